@@ -158,3 +158,86 @@ def with_domain(sql: str) -> str:
 
 def _mentions(text: str, name: str) -> bool:
     return re.search(rf"\b(FROM|JOIN)\s+{name}\b", text, re.IGNORECASE) is not None
+
+
+# -- request logs (twins of quadflow.sources.requests) -------------------------------------
+def _role(x: str) -> str:
+    return f"CASE WHEN {x} % 10 = 0 THEN 'admin' WHEN {x} % 10 IN (1, 2) THEN 'club' ELSE 'student' END"
+
+
+_EV = "event_id AS request_id, ts, user_id AS actor_user_id, " + _role("user_id") + " AS actor_role"
+_DUE = f"({_START} + to_hours(2) + to_days(CAST(o_orderkey % 9 AS INTEGER)))"
+_CREATED = f"({_E} + to_hours(CAST(o_orderkey % 720 AS BIGINT)))"
+
+DOMAIN.update({
+    "reg_request": f"""
+SELECT {_EV},
+       CASE WHEN user_id % 11 = 0 THEN (SELECT count(*) FROM orders) + event_id % 389 ELSE event_id % 389 END AS activity_id,
+       user_id AS student_id
+FROM events WHERE event_type = 'signup'""",
+    "like_request": f"""
+SELECT {_EV}, CASE WHEN user_id % 13 = 0 THEN {_N['n_post']} + event_id % 7 ELSE event_id % 211 END AS post_id
+FROM events WHERE event_type = 'click'""",
+    "trade_buy_request": f"""
+SELECT {_EV}, CASE WHEN user_id % 17 = 0 THEN {_N['n_resource']} + event_id % 5 ELSE event_id % 211 END AS product_id
+FROM events WHERE event_type = 'purchase'""",
+    "status_request": f"""
+SELECT {_EV}, event_id % 389 AS activity_id,
+       CASE event_id % 6 WHEN 0 THEN 'draft' WHEN 1 THEN 'published' WHEN 2 THEN 'ongoing' WHEN 3 THEN 'finished'
+            WHEN 4 THEN 'cancelled' ELSE 'archived' END AS status
+FROM events WHERE event_type = 'error'""",
+    "line_first": f"""
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_partkey ORDER BY {_LINE_ORDER}) AS _rn FROM lineitem) y
+WHERE _rn = 1""",
+    "checkin_request": f"""
+SELECT l_orderkey * {_N['n_resource']} + l_partkey AS request_id, l_shipdate + to_hours(CAST(l_linenumber AS BIGINT)) AS ts,
+       (l_orderkey % {_N['n_club']}) * 10 + 1 AS actor_user_id, 'club' AS actor_role,
+       l_orderkey * {_N['n_user']} + l_partkey % {_N['n_user']} AS reg_id,
+       CASE WHEN l_discount < 0.05 THEN 'checked' ELSE 'absent' END AS status
+FROM line_first""",
+    "borrow_request": f"""
+SELECT l_orderkey * {_N['n_resource']} + l_partkey AS request_id, l_shipdate + to_hours(CAST(l_linenumber AS BIGINT)) AS ts,
+       CASE WHEN l_linenumber % 3 = 0 THEN CAST(0 AS BIGINT) ELSE l_suppkey * 10 + 1 END AS actor_user_id,
+       CASE WHEN l_linenumber % 3 = 0 THEN 'admin' ELSE 'club' END AS actor_role,
+       CASE WHEN l_linenumber = 7 THEN 'X' || CAST(l_orderkey AS VARCHAR) ELSE CAST(l_orderkey AS VARCHAR) END AS order_ref,
+       l_partkey AS resource_id, CAST(floor(l_quantity) AS INTEGER) AS borrow_qty
+FROM line_first""",
+    "return_request": f"""
+SELECT o_orderkey AS request_id, {_DUE} - to_hours(1) AS ts,
+       CASE WHEN o_orderkey % 4 = 0 THEN CAST(0 AS BIGINT) ELSE o_custkey END AS actor_user_id,
+       {_role("CASE WHEN o_orderkey % 4 = 0 THEN CAST(0 AS BIGINT) ELSE o_custkey END")} AS actor_role,
+       o_orderkey AS order_id
+FROM orders""",
+    "trade_status_request": f"""
+SELECT request_id, ts, actor_user_id, {_role("actor_user_id")} AS actor_role, order_id, order_status FROM (
+  SELECT o_orderkey AS request_id, {_CREATED} + to_days(1) AS ts,
+         CASE WHEN o_orderkey % 3 = 0 THEN o_custkey WHEN o_orderkey % 3 = 1 THEN (o_orderkey % {_N['n_resource']}) % {_N['n_user']}
+              ELSE (o_custkey + 1) % {_N['n_user']} END AS actor_user_id,
+         o_orderkey AS order_id,
+         CASE WHEN o_orderpriority = '1-URGENT' THEN 'cancelled' WHEN o_orderpriority = '3-MEDIUM' THEN 'created'
+              WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'refunded' ELSE 'completed' END AS order_status
+  FROM orders
+  UNION ALL
+  SELECT o_orderkey + (SELECT count(*) FROM orders) AS request_id, {_CREATED} + to_days(3) AS ts, o_custkey AS actor_user_id,
+         o_orderkey AS order_id,
+         CASE o_orderkey % 3 WHEN 0 THEN 'cancelled' WHEN 1 THEN 'completed' ELSE 'created' END AS order_status
+  FROM orders) w""",
+    "activity_form_request": f"""
+SELECT request_id, ts, actor_user_id, {_role("actor_user_id")} AS actor_role, activity_id, title, category, venue_id,
+       start_time, end_time, signup_deadline, max_capacity, description, club_id FROM (
+  SELECT o_orderkey AS request_id, {_START} - to_days(2) AS ts,
+         CASE WHEN o_orderkey % 3 = 0 THEN CAST(0 AS BIGINT) WHEN o_orderkey % 3 = 1 THEN (o_orderkey % {_N['n_club']}) * 10 + 1
+              ELSE ((o_orderkey + 1) % {_N['n_club']}) * 10 + 1 END AS actor_user_id,
+         o_orderkey AS activity_id,
+         CASE WHEN o_orderkey % 13 = 0 THEN '   ' ELSE ' ' || o_orderpriority || ' (updated) #' || CAST(o_orderkey AS VARCHAR) || ' ' END AS title,
+         CASE WHEN o_orderkey % 4 = 0 THEN ' ' ELSE 'general' END AS category,
+         CASE WHEN o_orderkey % 17 = 0 THEN 'v' || CAST(o_orderkey % 25 AS VARCHAR) ELSE CAST(o_orderkey % 30 AS VARCHAR) END AS venue_id,
+         {_START} + to_days(1) AS start_time,
+         CASE WHEN o_orderkey % 23 = 0 THEN {_START} + to_days(1) - to_hours(1) ELSE {_START} + to_days(1) + to_hours(3) END AS end_time,
+         {_START} AS signup_deadline,
+         CASE WHEN o_orderkey % 19 = 0 THEN '' ELSE CAST(o_orderkey % 6 + 2 AS VARCHAR) END AS max_capacity,
+         CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE ' notes ' END AS description,
+         CASE WHEN o_orderkey % 7 = 0 THEN 'abc' ELSE CAST(o_orderkey % {_N['n_club']} AS VARCHAR) END AS club_id
+  FROM orders) f""",
+})
+_ORDER = list(DOMAIN)

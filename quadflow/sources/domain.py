@@ -234,7 +234,7 @@ class Campus:
     def product(self) -> DataFrame:
         k = F.col("p_partkey")
         cats = self.product_category.select(F.col("category_id"), F.col("_source_name").alias("p_type"))
-        return self.raw("part").join(F.broadcast(cats), "p_type").select(
+        return self.raw("part").join(cats, "p_type").select(
             k.alias("product_id"), (k % self.n_user).alias("seller_user_id"), "category_id",
             F.concat(F.col("p_name"), F.lit(" ("), F.col("p_brand"), F.lit(")")).alias("title"),
             F.lit(None).cast("string").alias("description"), F.col("p_retailprice").cast("decimal(10,2)").alias("price"),
@@ -264,7 +264,7 @@ class Campus:
     def post(self) -> DataFrame:
         k = F.col("doc_id")
         cats = self.post_category.select("category_id", F.col("_source_name").alias("lang"))
-        return self.raw("documents").join(F.broadcast(cats), "lang").select(
+        return self.raw("documents").join(cats, "lang").select(
             k.alias("post_id"), (k % self.n_user).alias("author_user_id"), "category_id",
             F.concat(F.col("source"), F.lit(" post #"), k.cast("string")).alias("title"),
             F.col("text").alias("content"), F.when(k % 10 == 9, "hidden").otherwise("visible").alias("status"),
