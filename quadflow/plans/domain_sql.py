@@ -65,7 +65,7 @@ SELECT reg_id AS checkin_id, reg_id, register_time AS checkin_time,
 FROM activity_registration WHERE checkin_status IN ('checked', 'absent')""",
     "resource_item": f"""
 SELECT p_partkey AS resource_id, p_partkey % {_N['n_club']} AS owner_club_id, p_name AS item_name, p_type AS category,
-       CAST(200 + p_size AS INTEGER) AS total_qty, CAST(p_size * 4 AS INTEGER) AS available_qty, 'piece' AS unit,
+       CAST(5000 + p_size AS INTEGER) AS total_qty, CAST(p_size * 4 AS INTEGER) AS available_qty, 'piece' AS unit,
        CAST(p_size AS DECIMAL(10,2)) AS deposit_amount, 'available' AS status
 FROM part""",
     "borrow_order": f"""
@@ -150,9 +150,10 @@ def with_domain(sql: str) -> str:
     if not needed:
         return sql
     ctes = ",\n".join(f"{n} AS ({DOMAIN[n]}\n)" for n in needed)
-    head = re.match(r"\s*WITH\s+", sql, re.IGNORECASE)
+    head = re.match(r"\s*WITH\s+(RECURSIVE\s+)?", sql, re.IGNORECASE)
     if head:
-        return f"WITH {ctes},\n{sql[head.end():]}"
+        rec = "RECURSIVE " if head.group(1) else ""
+        return f"WITH {rec}{ctes},\n{sql[head.end():]}"
     return f"WITH {ctes}\n{sql}"
 
 
