@@ -1 +1,124 @@
+"""Registered batch transitions (REG, CHK, LIK, FIN, SWP, DEL, AUD, STA, BOR, TRD, FOLD)."""
+
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quadflow.operators import admission as A
+from quadflow.plans.catalog import query
+from quadflow.plans.q_lists import _USER_DIM, viewers
+
+# -- REG ----------------------------------------------------------------------------------
+
+_REG_SQL = """
+WITH x AS (
+  SELECT q.request_id, q.ts, q.activity_id, q.student_id, a.activity_id IS NOT NULL AS has_act, a.status,
+         a.signup_deadline, a.max_capacity, a.category, s.student_id IS NOT NULL AS has_st, s.credit_score,
+         EXISTS (SELECT 1 FROM activity_registration ar
+                 WHERE ar.activity_id = q.activity_id AND ar.student_id = q.student_id) AS existing
+  FROM reg_request q LEFT JOIN activity a ON a.activity_id = q.activity_id
+  LEFT JOIN student s ON s.student_id = q.student_id),
+y AS (SELECT *, COALESCE(has_act AND status = 'published' AND NOT (ts > signup_deadline)
+                         AND NOT COALESCE(category = 'hot' AND credit_score < 60, false) AND has_st, false) AS eligible
+      FROM x),
+z AS (SELECT *, count(CASE WHEN eligible THEN 1 END) OVER (PARTITION BY activity_id, student_id ORDER BY ts, request_id
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior_eligible FROM y),
+r AS (SELECT *, CASE WHEN NOT has_act THEN 'missing' WHEN status <> 'published' THEN 'not_published'
+                     WHEN ts > signup_deadline THEN 'deadline_passed' WHEN existing OR prior_eligible > 0 THEN 'duplicate'
+                     WHEN COALESCE(category = 'hot' AND credit_score < 60, false) THEN 'low_credit'
+                     WHEN NOT has_st THEN 'unknown_student' END AS reason FROM z),
+acc AS (SELECT *, row_number() OVER (PARTITION BY activity_id ORDER BY ts, request_id) AS rk,
+               row_number() OVER (ORDER BY ts, request_id) AS gk FROM r WHERE reason IS NULL),
+cnt AS (SELECT activity_id, count(CASE WHEN reg_status = 'confirmed' THEN 1 END) AS confirmed,
+               max(CASE WHEN reg_status = 'waiting' THEN queue_no END) AS max_q
+        FROM activity_registration GROUP BY activity_id),
+out AS (
+  SELECT acc.request_id, acc.activity_id, acc.student_id, acc.ts,
+         CASE WHEN rk <= greatest(max_capacity - COALESCE(confirmed, 0), 0) THEN 'confirmed' ELSE 'waiting' END AS outcome,
+         CAST(CASE WHEN rk <= greatest(max_capacity - COALESCE(confirmed, 0), 0) THEN NULL
+                   ELSE COALESCE(max_q, 0) + rk - greatest(max_capacity - COALESCE(confirmed, 0), 0) END AS INTEGER) AS queue_no,
+         (SELECT max(reg_id) FROM activity_registration) + gk AS reg_id
+  FROM acc LEFT JOIN cnt ON cnt.activity_id = acc.activity_id
+  UNION ALL
+  SELECT request_id, activity_id, student_id, ts, reason AS outcome, CAST(NULL AS INTEGER), CAST(NULL AS BIGINT)
+  FROM r WHERE reason IS NOT NULL)"""
+
+
+def _reg(c, r):
+    return A.admit_registrations(r.registration, c.activity, c.student, c.activity_registration)
+
+
+@query("reg_admission", _REG_SQL + "\nSELECT * FROM out")
+def reg_admission(c, r):
+    """REG-1 over every sign-up event."""
+    return _reg(c, r)
+
+
+_MSG_CASE = "\n".join(f"WHEN '{k}' THEN '{m}'" for k, (m, _) in A.REG_MESSAGES.items())
+_FRIENDLY_CASE = "\n".join(f"WHEN '{k}' THEN '{f}'" for k, (_, f) in A.REG_MESSAGES.items())
+
+
+@query("reg_rejections", _REG_SQL + f"""
+SELECT request_id, outcome AS reason,
+       CASE outcome {_MSG_CASE} ELSE '{A.FOREIGN_KEY_MESSAGE}' END AS error,
+       CASE outcome {_FRIENDLY_CASE} ELSE '{A.GENERIC_MESSAGE}' || '{A.FOREIGN_KEY_MESSAGE}' END AS message
+FROM out WHERE outcome NOT IN ('confirmed', 'waiting')""")
+def reg_rejections(c, r):
+    """REG-2."""
+    return A.rejection_messages(_reg(c, r))
+
+
+@query("waitlist_promote", """
+SELECT reg_id, activity_id, student_id, CASE WHEN rn <= 1 THEN 'confirmed' ELSE 'waiting' END AS reg_status,
+       CAST(CASE WHEN rn <= 1 THEN NULL ELSE rn - 1 END AS INTEGER) AS queue_no
+FROM (SELECT *, row_number() OVER (PARTITION BY activity_id ORDER BY queue_no ASC NULLS FIRST, reg_id) AS rn
+      FROM activity_registration WHERE reg_status = 'waiting') w""")
+def waitlist_promote(c, r):
+    """REG-3 with one promotion per activity that has waiters."""
+    return A.promote_waitlist(c.activity_registration, k=1)
+
+
+@query("checkin_upsert", f"""
+WITH ok AS (
+  SELECT q.* FROM checkin_request q
+  JOIN activity_registration ar ON ar.reg_id = q.reg_id
+  JOIN activity a ON a.activity_id = ar.activity_id
+  JOIN ({_USER_DIM}) d ON d.user_id = q.actor_user_id
+  WHERE (d.role = 'admin' OR (d.role = 'club' AND d.club_id = a.club_id)) AND ar.reg_status = 'confirmed'),
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY reg_id ORDER BY ts DESC, request_id DESC) AS rn FROM ok) t
+         WHERE rn = 1),
+first AS (SELECT reg_id, min(ts) AS fts FROM ok GROUP BY reg_id),
+first_req AS (SELECT f.reg_id, f.fts, min(o.request_id) AS frid FROM first f JOIN ok o ON o.reg_id = f.reg_id AND o.ts = f.fts
+              GROUP BY f.reg_id, f.fts),
+fresh AS (SELECT l.*, fr.fts, fr.frid FROM last l JOIN first_req fr ON fr.reg_id = l.reg_id
+          WHERE l.reg_id NOT IN (SELECT reg_id FROM checkin))
+SELECT c.checkin_id, c.reg_id, COALESCE(l.ts, c.checkin_time) AS checkin_time,
+       COALESCE(l.actor_user_id, c.operator_id) AS operator_id, COALESCE(l.status, c.status) AS status
+FROM checkin c LEFT JOIN last l ON l.reg_id = c.reg_id
+UNION ALL
+SELECT (SELECT max(checkin_id) FROM checkin) + row_number() OVER (ORDER BY fts, frid) AS checkin_id, reg_id,
+       ts AS checkin_time, actor_user_id AS operator_id, status
+FROM fresh""")
+def checkin_upsert(c, r):
+    """CHK-1: the check-in table after every check-in / absence request."""
+    return A.checkin_upsert(r.checkin, c.activity_registration, c.activity, viewers(c), c.checkin)
+
+
+@query("like_toggle", """
+WITH q AS (
+  SELECT l.request_id, l.ts, l.post_id, l.actor_user_id AS user_id,
+         CASE WHEN EXISTS (SELECT 1 FROM post_like p WHERE p.post_id = l.post_id AND p.user_id = l.actor_user_id) THEN 1 ELSE 0 END AS e
+  FROM like_request l WHERE l.post_id IN (SELECT post_id FROM post)),
+n AS (SELECT *, row_number() OVER (PARTITION BY post_id, user_id ORDER BY ts, request_id) AS i,
+             count(*) OVER (PARTITION BY post_id, user_id) AS cnt FROM q),
+ins AS (SELECT *, (SELECT max(like_id) FROM post_like) + row_number() OVER (ORDER BY ts, request_id) AS like_id
+        FROM n WHERE (e + i - 1) % 2 = 0),
+touched AS (SELECT DISTINCT post_id, user_id, e, cnt FROM n)
+SELECT p.like_id, p.post_id, p.user_id, p.create_time FROM post_like p
+WHERE NOT EXISTS (SELECT 1 FROM touched t WHERE t.post_id = p.post_id AND t.user_id = p.user_id)
+   OR EXISTS (SELECT 1 FROM touched t WHERE t.post_id = p.post_id AND t.user_id = p.user_id AND t.cnt % 2 = 0)
+UNION ALL
+SELECT like_id, post_id, user_id, ts AS create_time FROM ins WHERE i = cnt""")
+def like_toggle(c, r):
+    """LIK-1: the like table after every like toggle."""
+    return A.toggle_likes(r.like, c.post, c.post_like)
