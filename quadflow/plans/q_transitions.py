@@ -122,3 +122,243 @@ SELECT like_id, post_id, user_id, ts AS create_time FROM ins WHERE i = cnt""")
 def like_toggle(c, r):
     """LIK-1: the like table after every like toggle."""
     return A.toggle_likes(r.like, c.post, c.post_like)
+
+
+# -- FIN / FOLD-1 ------------------------------------------------------------------------------
+
+from quadflow.operators import settlement as S  # noqa: E402
+from quadflow.sources.domain import AS_OF, ts_lit  # noqa: E402
+
+_ASOF = f"TIMESTAMP '{AS_OF}'"
+_FIN_SQL = f"""
+WITH g AS (
+  SELECT t.activity_id,
+         CASE WHEN a.activity_id IS NULL THEN 'missing' WHEN a.status <> 'ongoing' THEN 'not_ongoing'
+              WHEN {_ASOF} < a.end_time THEN 'not_ended' ELSE 'ok' END AS outcome, a.end_time
+  FROM (SELECT activity_id FROM activity UNION SELECT activity_id FROM reg_request) t
+  LEFT JOIN activity a ON a.activity_id = t.activity_id),
+s AS (SELECT activity_id, end_time FROM g WHERE outcome = 'ok'),
+conf AS (SELECT ar.student_id, ar.activity_id, s.end_time, ar.checkin_status = 'checked' AS checked
+         FROM activity_registration ar JOIN s ON s.activity_id = ar.activity_id WHERE ar.reg_status = 'confirmed'),
+bo2 AS (SELECT bo.order_id, bo.activity_id, bo.applicant_user_id, bo.order_status AS old_status,
+               bo.actual_return_time,
+               CASE WHEN s.activity_id IS NOT NULL AND bo.order_status = 'borrowed' AND bo.expected_return_time < {_ASOF}
+                    THEN 'overdue' ELSE bo.order_status END AS order_status
+        FROM borrow_order bo LEFT JOIN s ON s.activity_id = bo.activity_id),
+odp AS (SELECT DISTINCT st.student_id, bo2.activity_id, bo2.order_id, s.end_time
+        FROM bo2 JOIN s ON s.activity_id = bo2.activity_id JOIN user_account ua ON ua.user_id = bo2.applicant_user_id
+        JOIN student st ON st.user_id = ua.user_id WHERE bo2.order_status = 'overdue'),
+ops AS (SELECT student_id, end_time, activity_id, 0 AS step, CASE WHEN checked THEN 1 ELSE -5 END AS delta FROM conf
+        UNION ALL SELECT DISTINCT student_id, end_time, activity_id, 1 AS step, -8 AS delta FROM odp),
+fold AS (SELECT o.student_id,
+                CAST(list_reduce(list_prepend(s.credit_score, list(o.delta ORDER BY o.end_time, o.activity_id, o.step)),
+                                 lambda acc, d: least(120, greatest(0, acc + d))) AS INTEGER) AS credit_score
+         FROM ops o JOIN student s ON s.student_id = o.student_id GROUP BY o.student_id, s.credit_score),
+pen AS (SELECT student_id, activity_id, CAST(NULL AS BIGINT) AS order_id, end_time, 0 AS kind, 'no_show' AS penalty_type,
+               '{S.NO_SHOW_REASON}' AS reason, 'closed' AS status FROM conf WHERE NOT checked
+        UNION ALL
+        SELECT student_id, activity_id, order_id, end_time, 1, 'overdue', '{S.OVERDUE_REASON}', 'unpaid' FROM odp),
+pen_ids AS (SELECT (SELECT max(penalty_id) FROM penalty)
+                   + row_number() OVER (ORDER BY end_time, activity_id, kind, student_id, order_id NULLS FIRST) AS penalty_id,
+                   student_id, activity_id, order_id, penalty_type, reason, CAST(0 AS DECIMAL(10,2)) AS amount, status,
+                   {_ASOF} AS create_time, kind FROM pen)"""
+
+
+def _settlement(c, r):
+    as_of = ts_lit(AS_OF)
+    targets = c.activity.select("activity_id").unionByName(r.registration.select("activity_id"))
+    guard = S.finish_guard(targets, c.activity, as_of)
+    return S.Settlement(guard, c.activity_registration, c.student, c.borrow_order, as_of)
+
+
+@query("finish_guard", _FIN_SQL + "\nSELECT activity_id, outcome, end_time FROM g")
+def finish_guard(c, r):
+    """FIN-1 for every activity (and every sign-up target)."""
+    as_of = ts_lit(AS_OF)
+    targets = c.activity.select("activity_id").unionByName(r.registration.select("activity_id"))
+    return S.finish_guard(targets, c.activity, as_of)
+
+
+@query("finish_students", _FIN_SQL + """
+SELECT f.student_id, CAST(s.points + COALESCE(p.pts, 0) AS INTEGER) AS points,
+       CAST(s.violation_count + COALESCE(p.vio, 0) AS INTEGER) AS violation_count, f.credit_score
+FROM fold f JOIN student s ON s.student_id = f.student_id
+LEFT JOIN (SELECT student_id, sum(CASE WHEN checked THEN 5 ELSE 0 END) AS pts, sum(CASE WHEN checked THEN 0 ELSE 1 END) AS vio
+           FROM conf GROUP BY student_id) p ON p.student_id = f.student_id""")
+def finish_students(c, r):
+    """FIN-2 (+FIN-6 credit): students after settling every due activity."""
+    return _settlement(c, r).students()
+
+
+@query("credit_fold", _FIN_SQL + "\nSELECT student_id, credit_score FROM fold")
+def credit_fold(c, r):
+    """FOLD-1: clamped credit over many activities in end-time order."""
+    return _settlement(c, r).credit()
+
+
+def _penalties(c, r):
+    return _settlement(c, r).penalties(c.penalty.select(F.max("penalty_id")).scalar())
+
+
+@query("finish_noshow", _FIN_SQL + """
+SELECT penalty_id, student_id, activity_id, order_id, penalty_type, reason, amount, status, create_time
+FROM pen_ids WHERE kind = 0""")
+def finish_noshow(c, r):
+    """FIN-3."""
+    return _penalties(c, r).filter(F.col("penalty_type") == "no_show")
+
+
+@query("finish_overdue_penalty", _FIN_SQL + """
+SELECT penalty_id, student_id, activity_id, order_id, penalty_type, reason, amount, status, create_time
+FROM pen_ids WHERE kind = 1""")
+def finish_overdue_penalty(c, r):
+    """FIN-5 (no anti-join: may repeat a sweep penalty, as the procedure does)."""
+    return _penalties(c, r).filter(F.col("penalty_type") == "overdue")
+
+
+@query("finish_overdue", _FIN_SQL + """
+SELECT order_id, activity_id, order_status FROM bo2 WHERE order_status <> old_status""")
+def finish_overdue(c, r):
+    """FIN-4."""
+    return _settlement(c, r).orders_after.filter("_marked").select("order_id", "activity_id", "order_status")
+
+
+@query("finish_overdue_credit", _FIN_SQL + """
+SELECT DISTINCT student_id, activity_id, -8 AS credit_delta FROM odp""")
+def finish_overdue_credit(c, r):
+    """FIN-6: the -8 applications, one per (student, activity)."""
+    return _settlement(c, r).credit_hits().select("student_id", "activity_id", "credit_delta")
+
+
+@query("audit_activity", _FIN_SQL + f"""
+SELECT 'activity' AS biz_type, activity_id AS biz_id, 'status_change' AS action, CAST(NULL AS BIGINT) AS operator_id,
+       CAST(json_object('status', 'ongoing') AS VARCHAR) AS old_data,
+       CAST(json_object('status', 'finished') AS VARCHAR) AS new_data, {_ASOF} AS op_time
+FROM s""")
+def audit_activity(c, r):
+    """AUD-1 for the activities settlement moves from ongoing to finished."""
+    st = _settlement(c, r)
+    done = st.settled.select("activity_id", F.lit("finished").alias("_new"))
+    new = c.activity.join(done, "activity_id", "left").withColumn(
+        "status", F.coalesce(F.col("_new"), F.col("status"))).drop("_new")
+    return S.audit_activity(c.activity, new, ts_lit(AS_OF))
+
+
+@query("audit_orders", _FIN_SQL + f"""
+SELECT 'borrow_order' AS biz_type, order_id AS biz_id, 'status_change' AS action, applicant_user_id AS operator_id,
+       CAST(json_object('order_status', old_status, 'actual_return_time', strftime(actual_return_time, '%Y-%m-%d %H:%M:%S')) AS VARCHAR) AS old_data,
+       CAST(json_object('order_status', order_status, 'actual_return_time', strftime(actual_return_time, '%Y-%m-%d %H:%M:%S')) AS VARCHAR) AS new_data,
+       {_ASOF} AS op_time
+FROM bo2 WHERE order_status <> old_status""")
+def audit_orders(c, r):
+    """AUD-1 for the orders settlement marks overdue."""
+    return S.audit_orders(c.borrow_order, _settlement(c, r).orders_after, ts_lit(AS_OF))
+
+
+# -- SWP / DEL / STA -------------------------------------------------------------------------
+
+@query("overdue_sweep", f"""
+WITH bo2 AS (SELECT order_id, activity_id, applicant_user_id,
+                    CASE WHEN order_status = 'borrowed' AND expected_return_time < {_ASOF} THEN 'overdue'
+                         ELSE order_status END AS order_status FROM borrow_order),
+todo AS (SELECT st.student_id, bo2.activity_id, bo2.order_id FROM bo2
+         JOIN user_account ua ON ua.user_id = bo2.applicant_user_id JOIN student st ON st.user_id = ua.user_id
+         WHERE bo2.order_status = 'overdue'
+           AND NOT EXISTS (SELECT 1 FROM penalty p WHERE p.order_id = bo2.order_id AND p.penalty_type = 'overdue'))
+SELECT (SELECT max(penalty_id) FROM penalty) + row_number() OVER (ORDER BY order_id, student_id) AS penalty_id,
+       student_id, activity_id, order_id, 'overdue' AS penalty_type, '{S.SWEEP_REASON}' AS reason,
+       CAST(0 AS DECIMAL(10,2)) AS amount, 'unpaid' AS status, {_ASOF} AS create_time
+FROM todo""")
+def overdue_sweep(c, r):
+    """SWP-1: the penalties one sweep at as_of inserts."""
+    _, penalties = S.overdue_sweep(c.borrow_order, c.penalty, c.student, ts_lit(AS_OF))
+    return penalties.join(c.penalty.select("penalty_id"), "penalty_id", "left_anti")
+
+
+@query("cascade_delete", """
+WITH d AS (SELECT activity_id FROM activity WHERE status = 'cancelled'
+           AND activity_id IN (SELECT activity_id FROM status_request)),
+regs AS (SELECT reg_id FROM activity_registration WHERE activity_id IN (SELECT activity_id FROM d)),
+ords AS (SELECT order_id FROM borrow_order WHERE activity_id IN (SELECT activity_id FROM d))
+SELECT 'checkin' AS table_name, checkin_id AS row_id FROM checkin WHERE reg_id IN (SELECT reg_id FROM regs)
+UNION ALL SELECT 'penalty', penalty_id FROM penalty
+  WHERE activity_id IN (SELECT activity_id FROM d) OR order_id IN (SELECT order_id FROM ords)
+UNION ALL SELECT 'borrow_detail', detail_id FROM borrow_detail WHERE order_id IN (SELECT order_id FROM ords)
+UNION ALL SELECT 'borrow_order', order_id FROM ords
+UNION ALL SELECT 'activity_registration', reg_id FROM regs
+UNION ALL SELECT 'activity', activity_id FROM d""")
+def cascade_delete(c, r):
+    """DEL-1: rows deleted when every activity named in the status log is
+    deleted (only cancelled ones pass the guard)."""
+    tables = {n: c.table(n) for n in ("activity", "activity_registration", "borrow_order", "borrow_detail",
+                                      "penalty", "checkin")}
+    _, deleted = S.cascade_delete(r.status_change, tables)
+    keys = {"checkin": "checkin_id", "penalty": "penalty_id", "borrow_detail": "detail_id",
+            "borrow_order": "order_id", "activity_registration": "reg_id", "activity": "activity_id"}
+    out = None
+    for name, df in deleted.items():
+        part = df.select(F.lit(name).alias("table_name"), F.col(keys[name]).alias("row_id"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("status_changes", f"""
+WITH ok AS (SELECT q.*, a.status AS cur FROM status_request q JOIN activity a ON a.activity_id = q.activity_id
+            JOIN ({_USER_DIM}) d ON d.user_id = q.actor_user_id
+            WHERE q.status IN ('draft', 'published', 'ongoing', 'finished', 'cancelled')
+              AND (d.role = 'admin' OR (d.role = 'club' AND d.club_id = a.club_id))),
+st AS (SELECT *, COALESCE(lag(status) OVER (PARTITION BY activity_id ORDER BY ts, request_id), cur) AS old_status FROM ok)
+SELECT 'activity' AS biz_type, activity_id AS biz_id, 'status_change' AS action, CAST(NULL AS BIGINT) AS operator_id,
+       CAST(json_object('status', old_status) AS VARCHAR) AS old_data, CAST(json_object('status', status) AS VARCHAR) AS new_data,
+       ts AS op_time, request_id
+FROM st WHERE old_status <> status""")
+def status_changes(c, r):
+    """STA-1: audit rows of every effective status change in the log."""
+    return S.status_audit(S.status_changes(r.status_change, c.activity, viewers(c)))
+
+
+_FORM_OK = """(COALESCE(trim(title) <> '', false) AND COALESCE(regexp_full_match(trim(venue_id), '[0-9]+'), false)
+               AND COALESCE(regexp_full_match(trim(max_capacity), '[0-9]+'), false))"""
+_FORM_VALUES = """trim(title) AS _title, CASE WHEN trim(category) = '' THEN NULL ELSE trim(category) END AS _category,
+       TRY_CAST(trim(venue_id) AS BIGINT) AS _venue, TRY_CAST(trim(max_capacity) AS INTEGER) AS _cap,
+       CASE WHEN trim(description) = '' THEN NULL ELSE trim(description) END AS _desc"""
+_DB_OK = "(v.venue_id IS NOT NULL AND f.end_time > f.start_time AND f.signup_deadline <= f.start_time AND f._cap > 0)"
+
+
+@query("activity_update", f"""
+WITH f AS (SELECT *, {_FORM_VALUES} FROM activity_form_request WHERE {_FORM_OK}),
+ok AS (SELECT f.* FROM f JOIN activity a ON a.activity_id = f.activity_id JOIN ({_USER_DIM}) d ON d.user_id = f.actor_user_id
+       LEFT JOIN venue v ON v.venue_id = f._venue
+       WHERE (d.role = 'admin' OR (d.role = 'club' AND d.club_id = a.club_id)) AND {_DB_OK}),
+last AS (SELECT *, row_number() OVER (PARTITION BY activity_id ORDER BY ts DESC, request_id DESC) AS rn FROM ok)
+SELECT activity_id, request_id, _title AS title, _category AS category, _venue AS venue_id, start_time, end_time,
+       signup_deadline, _cap AS max_capacity, _desc AS description
+FROM last WHERE rn = 1""")
+def activity_update(c, r):
+    """STA-2: the last valid update of each activity."""
+    return S.activity_update(r.activity_form, c.activity, c.venue, viewers(c))
+
+
+@query("ingest_activity", f"""
+WITH f AS (SELECT q.*, {_FORM_VALUES}, d.role AS _role,
+                  CASE WHEN d.role = 'admin' THEN TRY_CAST(trim(q.club_id) AS BIGINT) ELSE d.club_id END AS _club
+           FROM activity_form_request q LEFT JOIN ({_USER_DIM}) d ON d.user_id = q.actor_user_id),
+x AS (SELECT f.*, CASE
+        WHEN NOT COALESCE(f._role IN ('admin', 'club'), false) THEN 'forbidden'
+        WHEN NOT {_FORM_OK.replace("(title", "(f.title").replace("(venue_id", "(f.venue_id").replace("(max_capacity", "(f.max_capacity")} THEN 'invalid_form'
+        WHEN f._role = 'admin' AND NOT COALESCE(regexp_full_match(trim(f.club_id), '[0-9]+'), false) THEN 'club_required'
+        WHEN f._club IS NULL OR c.club_id IS NULL OR NOT {_DB_OK} THEN 'db_error'
+        ELSE 'created' END AS outcome
+      FROM f LEFT JOIN venue v ON v.venue_id = f._venue LEFT JOIN club c ON c.club_id = f._club)
+SELECT request_id, outcome,
+       CASE WHEN outcome = 'created' THEN (SELECT max(activity_id) FROM activity)
+            + row_number() OVER (PARTITION BY outcome = 'created' ORDER BY ts, request_id) END AS activity_id,
+       CASE WHEN outcome = 'created' THEN _club END AS club_id, CASE WHEN outcome = 'created' THEN _venue END AS venue_id,
+       CASE WHEN outcome = 'created' THEN _title END AS title, CASE WHEN outcome = 'created' THEN _category END AS category,
+       CASE WHEN outcome = 'created' THEN start_time END AS start_time, CASE WHEN outcome = 'created' THEN end_time END AS end_time,
+       CASE WHEN outcome = 'created' THEN signup_deadline END AS signup_deadline,
+       CASE WHEN outcome = 'created' THEN _cap END AS max_capacity, CASE WHEN outcome = 'created' THEN _desc END AS description
+FROM x""")
+def ingest_activity(c, r):
+    """DQ-5: activity creation forms validated and inserted as drafts."""
+    return S.ingest_activity(r.activity_form, c.activity, c.venue, c.club, viewers(c))
