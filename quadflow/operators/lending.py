@@ -15,3 +15,146 @@ def backfill_order_uid(borrow_order: DataFrame) -> DataFrame:
     NULL with ``BOR-<apply day>-<id padded to 6>`` (never truncated)."""
     df = add_column_if_missing(borrow_order, "order_uid", T.StringType())
     return df.withColumn("order_uid", F.coalesce(F.col("order_uid"), order_uid(F.col("order_id"), F.col("apply_time"))))
+
+
+def _digits(c):
+    return F.coalesce(F.trim(c).rlike("^[0-9]+$"), F.lit(False))
+
+
+def _greedy_stock(batches):
+    """FOLD-2 kernel over rows sorted by (resource, ts, request_id).
+
+    Skip-if-insufficient is not a prefix sum, so each resource is walked in
+    order; only the current resource's remaining stock is kept between rows
+    and batches, so memory is one Arrow batch whatever the group size."""
+    import numpy as np
+    import pandas as pd
+    current, left = None, 0
+    for pdf in batches:
+        res = pdf["resource_id"].to_numpy()
+        qty = pdf["borrow_qty"].to_numpy()
+        avail = pdf["available_qty"].to_numpy()
+        ok = np.zeros(len(pdf), dtype=bool)
+        after = np.zeros(len(pdf), dtype=np.int64)
+        for i in range(len(pdf)):
+            if res[i] != current:
+                current, left = res[i], int(avail[i])
+            if qty[i] <= left:
+                left -= int(qty[i])
+                ok[i] = True
+            after[i] = left
+        yield pd.DataFrame({"request_id": pdf["request_id"], "accepted": ok, "left_after": after})
+
+
+def reserve_stock(requests: DataFrame, borrow_order: DataFrame, resource_item: DataFrame,
+                  viewers: DataFrame) -> DataFrame:
+    """BOR-2: add detail lines to borrow orders while stock lasts.
+
+    Static checks first (form, order by id or uid, role and ownership,
+    resource exists, positive quantity); then per resource, in request order,
+    a request is accepted when the remaining stock covers it. A rejected
+    request consumes nothing, so a later smaller one may still pass.
+    The walk is partitioned by resource and sorted with Spark's external
+    sort; the per-row step runs in Arrow batches (mapInPandas).
+    """
+    orders = backfill_order_uid(borrow_order).select("order_id", "order_uid", "applicant_user_id")
+    actors = viewers.select(F.col("user_id").alias("actor_user_id"), F.col("role").alias("_role"))
+    by_id = _digits(F.col("order_ref"))
+    req = requests.withColumn("_oid", F.when(by_id, F.trim("order_ref").try_cast("long")))
+    o1 = orders.select(F.col("order_id").alias("_oid"), F.col("order_id").alias("_id1"),
+                       F.col("applicant_user_id").alias("_app1"))
+    o2 = orders.select(F.col("order_uid").alias("order_ref"), F.col("order_id").alias("_id2"),
+                       F.col("applicant_user_id").alias("_app2"))
+    x = (req.join(o1, "_oid", "left").join(o2, "order_ref", "left")
+         .withColumn("order_id", F.when(by_id, F.col("_id1")).otherwise(F.col("_id2")))
+         .withColumn("_applicant", F.when(by_id, F.col("_app1")).otherwise(F.col("_app2")))
+         .join(actors, "actor_user_id", "left")
+         .join(resource_item.select("resource_id", "available_qty", F.lit(True).alias("_has_res")),
+               "resource_id", "left"))
+    form_ok = (F.coalesce(F.trim("order_ref") != "", F.lit(False)) & F.col("resource_id").isNotNull()
+               & (F.col("resource_id") >= 0) & F.col("borrow_qty").isNotNull() & (F.col("borrow_qty") >= 0))
+    reason = (F.when(~F.coalesce(F.col("_role").isin("admin", "club"), F.lit(False)), "forbidden")
+              .when(~form_ok, "invalid_form").when(F.col("order_id").isNull(), "order_not_found")
+              .when((F.col("_role") != "admin") & (F.col("_applicant") != F.col("actor_user_id")), "forbidden")
+              .when(F.col("_has_res").isNull(), "resource_not_found")
+              .when(F.col("borrow_qty") == 0, "db_error"))
+    x = x.withColumn("_reason", reason)
+    cand = (x.filter(F.col("_reason").isNull())
+            .select("request_id", "ts", "resource_id", "borrow_qty", "available_qty")
+            .repartition("resource_id").sortWithinPartitions("resource_id", "ts", "request_id"))
+    walked = cand.mapInPandas(_greedy_stock, "request_id long, accepted boolean, left_after long")
+    out = x.join(walked, "request_id", "left")
+    outcome = F.coalesce(F.col("_reason"), F.when(F.col("accepted"), "accepted").otherwise("insufficient_stock"))
+    return out.select("request_id", "ts", "order_id", "resource_id", "borrow_qty", outcome.alias("outcome"),
+                      F.col("left_after").cast("int").alias("left_after"))
+
+
+def return_orders(requests: DataFrame, borrow_order: DataFrame, borrow_detail: DataFrame,
+                  resource_item: DataFrame, viewers: DataFrame):
+    """BOR-3: full returns. Only borrowed/overdue orders with at least one
+    detail; the first valid request per order returns it, later ones find
+    it returned. Stock grows by each detail's outstanding quantity.
+
+    Returns (outcomes, new orders, new details, new resource stock)."""
+    actors = viewers.select(F.col("user_id").alias("actor_user_id"), F.col("role").alias("_role"))
+    has_detail = borrow_detail.select("order_id").distinct().withColumn("_has_det", F.lit(True))
+    x = (requests.join(borrow_order.select("order_id", "applicant_user_id", "order_status",
+                                           F.lit(True).alias("_has")), "order_id", "left")
+         .join(actors, "actor_user_id", "left").join(has_detail, "order_id", "left"))
+    reason = (F.when(~F.coalesce(F.col("_role").isin("admin", "club"), F.lit(False)), "forbidden")
+              .when(F.col("_has").isNull(), "order_not_found")
+              .when((F.col("_role") != "admin") & (F.col("applicant_user_id") != F.col("actor_user_id")), "forbidden")
+              .when(~F.col("order_status").isin("borrowed", "overdue"), "not_returnable")
+              .when(F.col("_has_det").isNull(), "no_detail"))
+    x = x.withColumn("_reason", reason)
+    first = (x.filter(F.col("_reason").isNull()).groupBy("order_id")
+             .agg(F.min(F.struct("ts", "request_id")).alias("_first")))
+    x = x.join(first, "order_id", "left")
+    later = F.col("_reason").isNull() & (F.struct("ts", "request_id") > F.col("_first"))
+    outcomes = x.select("request_id", "order_id",
+                        F.coalesce("_reason", F.when(later, "not_returnable").otherwise("returned")).alias("outcome"),
+                        "ts")
+    done = outcomes.filter(F.col("outcome") == "returned").select("order_id", F.col("ts").alias("_rt"))
+    new_orders = (borrow_order.join(done, "order_id", "left")
+                  .withColumn("order_status", F.when(F.col("_rt").isNotNull(), "returned").otherwise(F.col("order_status")))
+                  .withColumn("actual_return_time", F.coalesce("_rt", "actual_return_time")).drop("_rt"))
+    det = borrow_detail.join(done, "order_id", "left")
+    outstanding = F.when(F.col("_rt").isNotNull(), F.col("borrow_qty") - F.col("returned_qty")).otherwise(0)
+    det = det.withColumn("_back", F.greatest(outstanding, F.lit(0)))
+    back = det.groupBy("resource_id").agg(F.sum("_back").alias("_back")).filter(F.col("_back") > 0)
+    new_details = det.withColumn("returned_qty", F.when(F.col("_back") > 0, F.col("borrow_qty"))
+                                 .otherwise(F.col("returned_qty"))).drop("_rt", "_back")
+    new_stock = (resource_item.join(back, "resource_id", "left")
+                 .withColumn("available_qty", (F.col("available_qty") + F.coalesce("_back", F.lit(0))).cast("int"))
+                 .withColumn("_changed", F.col("_back").isNotNull()).drop("_back"))
+    return outcomes, new_orders, new_details, new_stock
+
+
+def ingest_borrow_orders(requests: DataFrame, borrow_order: DataFrame, activity: DataFrame,
+                         viewers: DataFrame) -> DataFrame:
+    """DQ-9 + BOR-1: create borrow orders. Activity id must be digits, the
+    status one of the order states (omitted -> 'approved'); the activity must
+    exist (foreign key). New ids follow request order; the uid uses the
+    request day and a six-digit-at-least id."""
+    from quadflow.sources.schemas import ORDER_STATUS
+    actors = viewers.select(F.col("user_id").alias("actor_user_id"), F.col("role").alias("_role"))
+    status = F.coalesce(F.col("order_status"), F.lit("approved"))
+    x = (requests.withColumn("_status", status).withColumn("_act", F.trim("activity_ref").try_cast("long"))
+         .join(actors, "actor_user_id", "left")
+         .join(activity.select(F.col("activity_id").alias("_act"), F.lit(True).alias("_has")), "_act", "left"))
+    reason = (F.when(~F.coalesce(F.col("_role").isin("admin", "club"), F.lit(False)), "forbidden")
+              .when(~_digits(F.col("activity_ref")) | ~F.col("_status").isin(*ORDER_STATUS), "invalid_form")
+              .when(F.col("_has").isNull(), "db_error"))
+    x = x.withColumn("outcome", F.coalesce(reason, F.lit("created")))
+    from quadflow.operators.settlement import _ids
+    from quadflow.functions.ordering import time_bucket
+    made = _ids(x.filter(F.col("outcome") == "created"), borrow_order.select(F.max("order_id")).scalar(),
+                "order_id", [F.col("ts"), F.col("request_id")], time_bucket("ts"))
+    made = made.select("request_id", "outcome", "order_id", order_uid(F.col("order_id"), F.col("ts")).alias("order_uid"),
+                       F.col("_act").alias("activity_id"), F.col("actor_user_id").alias("applicant_user_id"),
+                       F.col("ts").alias("apply_time"), "expected_return_time", F.col("_status").alias("order_status"))
+    bad = x.filter(F.col("outcome") != "created").select(
+        "request_id", "outcome", *[F.lit(None).cast(t).alias(n) for n, t in (
+            ("order_id", "long"), ("order_uid", "string"), ("activity_id", "long"), ("applicant_user_id", "long"),
+            ("apply_time", "timestamp_ntz"), ("expected_return_time", "timestamp_ntz"), ("order_status", "string"))])
+    return made.unionByName(bad)

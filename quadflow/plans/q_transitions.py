@@ -362,3 +362,223 @@ FROM x""")
 def ingest_activity(c, r):
     """DQ-5: activity creation forms validated and inserted as drafts."""
     return S.ingest_activity(r.activity_form, c.activity, c.venue, c.club, viewers(c))
+
+
+# -- BOR / TRD -------------------------------------------------------------------------------
+
+from quadflow.operators import lending as B  # noqa: E402
+from quadflow.operators import trade as T  # noqa: E402
+from quadflow.sources.domain import EPOCH, plus  # noqa: E402
+
+_UID = ("COALESCE(order_uid, 'BOR-' || strftime(apply_time, '%Y%m%d') || '-' || "
+        "lpad(CAST(order_id AS VARCHAR), CAST(greatest(6, length(CAST(order_id AS VARCHAR))) AS INTEGER), '0'))")
+
+
+@query("stock_reserve", f"""
+WITH RECURSIVE o AS (SELECT order_id, {_UID} AS order_uid, applicant_user_id FROM borrow_order),
+d AS ({_USER_DIM}),
+x AS (
+  SELECT q.*, CASE WHEN COALESCE(regexp_full_match(trim(q.order_ref), '[0-9]+'), false) THEN o1.order_id ELSE o2.order_id END AS oid,
+         CASE WHEN COALESCE(regexp_full_match(trim(q.order_ref), '[0-9]+'), false) THEN o1.applicant_user_id ELSE o2.applicant_user_id END AS applicant,
+         d.role, r.available_qty, r.resource_id IS NOT NULL AS has_res
+  FROM borrow_request q
+  LEFT JOIN o o1 ON o1.order_id = TRY_CAST(trim(q.order_ref) AS BIGINT)
+  LEFT JOIN o o2 ON o2.order_uid = q.order_ref
+  LEFT JOIN d ON d.user_id = q.actor_user_id
+  LEFT JOIN resource_item r ON r.resource_id = q.resource_id),
+y AS (SELECT *, CASE
+        WHEN NOT COALESCE(role IN ('admin', 'club'), false) THEN 'forbidden'
+        WHEN NOT (COALESCE(trim(order_ref) <> '', false) AND resource_id IS NOT NULL AND resource_id >= 0
+                  AND borrow_qty IS NOT NULL AND borrow_qty >= 0) THEN 'invalid_form'
+        WHEN oid IS NULL THEN 'order_not_found'
+        WHEN role <> 'admin' AND applicant <> actor_user_id THEN 'forbidden'
+        WHEN NOT has_res THEN 'resource_not_found'
+        WHEN borrow_qty = 0 THEN 'db_error' END AS reason FROM x),
+c AS (SELECT request_id, resource_id, borrow_qty, available_qty,
+             row_number() OVER (PARTITION BY resource_id ORDER BY ts, request_id) AS rn FROM y WHERE reason IS NULL),
+f AS (
+  SELECT resource_id, rn, request_id, borrow_qty <= available_qty AS accepted,
+         CASE WHEN borrow_qty <= available_qty THEN available_qty - borrow_qty ELSE available_qty END AS left_after
+  FROM c WHERE rn = 1
+  UNION ALL
+  SELECT c.resource_id, c.rn, c.request_id, c.borrow_qty <= f.left_after,
+         CASE WHEN c.borrow_qty <= f.left_after THEN f.left_after - c.borrow_qty ELSE f.left_after END
+  FROM f JOIN c ON c.resource_id = f.resource_id AND c.rn = f.rn + 1)
+SELECT y.request_id, y.ts, y.oid AS order_id, y.resource_id, y.borrow_qty,
+       COALESCE(y.reason, CASE WHEN f.accepted THEN 'accepted' ELSE 'insufficient_stock' END) AS outcome,
+       CAST(f.left_after AS INTEGER) AS left_after
+FROM y LEFT JOIN f ON f.request_id = y.request_id""")
+def stock_reserve(c, r):
+    """BOR-2 / FOLD-2: every line-item reservation, greedy per resource."""
+    return B.reserve_stock(r.borrow, c.borrow_order, c.resource_item, viewers(c))
+
+
+_RETURN_SQL = f"""
+WITH x AS (
+  SELECT q.*, bo.applicant_user_id, bo.order_status, bo.order_id IS NOT NULL AS has_order, d.role,
+         EXISTS (SELECT 1 FROM borrow_detail bd WHERE bd.order_id = q.order_id) AS has_det
+  FROM return_request q LEFT JOIN borrow_order bo ON bo.order_id = q.order_id
+  LEFT JOIN ({_USER_DIM}) d ON d.user_id = q.actor_user_id),
+y AS (SELECT *, CASE WHEN NOT COALESCE(role IN ('admin', 'club'), false) THEN 'forbidden'
+                     WHEN NOT has_order THEN 'order_not_found'
+                     WHEN role <> 'admin' AND applicant_user_id <> actor_user_id THEN 'forbidden'
+                     WHEN order_status NOT IN ('borrowed', 'overdue') THEN 'not_returnable'
+                     WHEN NOT has_det THEN 'no_detail' END AS reason FROM x),
+z AS (SELECT *, CASE WHEN reason IS NOT NULL THEN reason
+                     WHEN row_number() OVER (PARTITION BY order_id, reason IS NULL ORDER BY ts, request_id) > 1 THEN 'not_returnable'
+                     ELSE 'returned' END AS outcome FROM y),
+back AS (SELECT bd.resource_id, sum(bd.borrow_qty - bd.returned_qty) AS qty FROM borrow_detail bd
+         JOIN z ON z.order_id = bd.order_id AND z.outcome = 'returned'
+         WHERE bd.borrow_qty - bd.returned_qty > 0 GROUP BY bd.resource_id)"""
+
+
+def _returns(c, r):
+    return B.return_orders(r.return_, c.borrow_order, c.borrow_detail, c.resource_item, viewers(c))
+
+
+@query("borrow_return", _RETURN_SQL + """
+SELECT r.resource_id, CAST(r.available_qty + b.qty AS INTEGER) AS available_qty
+FROM resource_item r JOIN back b ON b.resource_id = r.resource_id""")
+def borrow_return(c, r):
+    """BOR-3: stock of every resource the returns give back to."""
+    _, _, _, stock = _returns(c, r)
+    return stock.filter("_changed").select("resource_id", "available_qty")
+
+
+@query("return_outcomes", _RETURN_SQL + "\nSELECT request_id, order_id, outcome, ts FROM z")
+def return_outcomes(c, r):
+    """BOR-3 per request."""
+    outcomes, _, _, _ = _returns(c, r)
+    return outcomes
+
+
+def _borrow_create_requests(c):
+    k = F.col("o_orderkey")
+    ts = plus(ts_lit(EPOCH), "HOUR", k % 720)
+    actor = F.when(k % 5 == 0, F.lit(0).cast("long")).otherwise((k % c.n_club) * 10 + 1)
+    ref = F.when(k % 29 == 0, F.concat(F.lit("A"), k.cast("string"))).otherwise(((k * 3) % (c.n_activity + 7)).cast("string"))
+    status = (F.when(k % 7 == 0, F.lit(None).cast("string")).when(k % 7 == 1, "lost").when(k % 7 == 2, "pending")
+              .when(k % 7 == 3, "borrowed").otherwise("approved"))
+    return c.raw("orders").select(k.alias("request_id"), ts.alias("ts"), actor.alias("actor_user_id"),
+                                  ref.alias("activity_ref"), plus(ts, "DAY", 7).alias("expected_return_time"),
+                                  status.alias("order_status"))
+
+
+_E2 = f"TIMESTAMP '{EPOCH}'"
+_CREATE_SQL = f"""
+WITH q AS (
+  SELECT o_orderkey AS request_id, {_E2} + to_hours(CAST(o_orderkey % 720 AS BIGINT)) AS ts,
+         CASE WHEN o_orderkey % 5 = 0 THEN CAST(0 AS BIGINT) ELSE (o_orderkey % (SELECT count(*) FROM supplier)) * 10 + 1 END AS actor_user_id,
+         CASE WHEN o_orderkey % 29 = 0 THEN 'A' || CAST(o_orderkey AS VARCHAR)
+              ELSE CAST((o_orderkey * 3) % ((SELECT count(*) FROM orders) + 7) AS VARCHAR) END AS activity_ref,
+         {_E2} + to_hours(CAST(o_orderkey % 720 AS BIGINT)) + to_days(7) AS expected_return_time,
+         CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'lost' WHEN 2 THEN 'pending' WHEN 3 THEN 'borrowed' ELSE 'approved' END AS order_status
+  FROM orders),
+x AS (SELECT q.*, COALESCE(q.order_status, 'approved') AS st, TRY_CAST(trim(q.activity_ref) AS BIGINT) AS act, d.role,
+             a.activity_id IS NOT NULL AS has_act
+      FROM q LEFT JOIN ({_USER_DIM}) d ON d.user_id = q.actor_user_id
+      LEFT JOIN activity a ON a.activity_id = TRY_CAST(trim(q.activity_ref) AS BIGINT)),
+y AS (SELECT *, CASE WHEN NOT COALESCE(role IN ('admin', 'club'), false) THEN 'forbidden'
+                     WHEN NOT COALESCE(regexp_full_match(trim(activity_ref), '[0-9]+'), false)
+                          OR st NOT IN ('pending', 'approved', 'borrowed', 'returned', 'overdue') THEN 'invalid_form'
+                     WHEN NOT has_act THEN 'db_error' ELSE 'created' END AS outcome FROM x),
+z AS (SELECT *, CASE WHEN outcome = 'created' THEN (SELECT max(order_id) FROM borrow_order)
+                     + row_number() OVER (PARTITION BY outcome = 'created' ORDER BY ts, request_id) END AS oid FROM y)
+SELECT request_id, outcome, oid AS order_id,
+       CASE WHEN outcome = 'created' THEN 'BOR-' || strftime(ts, '%Y%m%d') || '-' ||
+            lpad(CAST(oid AS VARCHAR), CAST(greatest(6, length(CAST(oid AS VARCHAR))) AS INTEGER), '0') END AS order_uid,
+       CASE WHEN outcome = 'created' THEN act END AS activity_id,
+       CASE WHEN outcome = 'created' THEN actor_user_id END AS applicant_user_id,
+       CASE WHEN outcome = 'created' THEN ts END AS apply_time,
+       CASE WHEN outcome = 'created' THEN expected_return_time END AS expected_return_time,
+       CASE WHEN outcome = 'created' THEN st END AS order_status
+FROM z"""
+
+
+def _created_orders(c, r):
+    return B.ingest_borrow_orders(_borrow_create_requests(c), c.borrow_order, c.activity, viewers(c))
+
+
+@query("ingest_borrow_order", _CREATE_SQL)
+def ingest_borrow_order(c, r):
+    """DQ-9: borrow-order creation forms."""
+    return _created_orders(c, r)
+
+
+@query("order_uid", f"SELECT order_id, order_uid FROM ({_CREATE_SQL}) t WHERE outcome = 'created'")
+def order_uid(c, r):
+    """BOR-1: uids of the orders the creation forms insert."""
+    return _created_orders(c, r).filter(F.col("outcome") == "created").select("order_id", "order_uid")
+
+
+@query("trade_admission", """
+WITH x AS (SELECT q.request_id, q.ts, q.product_id, q.actor_user_id, p.seller_user_id, p.status, p.product_id IS NOT NULL AS has_p
+           FROM trade_buy_request q LEFT JOIN product p ON p.product_id = q.product_id),
+w AS (SELECT product_id, min(ts) AS wts FROM x WHERE has_p AND status = 'on_sale' AND actor_user_id <> seller_user_id GROUP BY product_id),
+win AS (SELECT w.product_id, w.wts, min(x.request_id) AS wid FROM w JOIN x ON x.product_id = w.product_id AND x.ts = w.wts
+        AND x.actor_user_id <> x.seller_user_id GROUP BY w.product_id, w.wts),
+y AS (SELECT x.*, CASE WHEN NOT has_p THEN 'missing'
+                       WHEN status <> 'on_sale' OR (win.wts IS NOT NULL AND (x.ts > win.wts OR (x.ts = win.wts AND x.request_id > win.wid)))
+                            THEN 'not_on_sale'
+                       WHEN actor_user_id = seller_user_id THEN 'own_product' ELSE 'accepted' END AS outcome
+      FROM x LEFT JOIN win ON win.product_id = x.product_id)
+SELECT request_id, product_id, outcome,
+       CASE WHEN outcome = 'accepted' THEN (SELECT max(order_id) FROM trade_order)
+            + row_number() OVER (PARTITION BY outcome = 'accepted' ORDER BY ts, request_id) END AS order_id,
+       actor_user_id AS buyer_user_id, seller_user_id
+FROM y""")
+def trade_admission(c, r):
+    """TRD-1: every buy attempt in the purchase log."""
+    return T.admit_trades(r.trade_buy, c.product, c.trade_order)
+
+
+@query("trade_status", """
+WITH ok AS (SELECT q.*, o.finish_time AS fin FROM trade_status_request q JOIN trade_order o ON o.order_id = q.order_id
+            WHERE q.order_status IN ('created', 'cancelled', 'completed')
+              AND (q.actor_user_id = o.buyer_user_id OR q.actor_user_id = o.seller_user_id)),
+last AS (SELECT *, row_number() OVER (PARTITION BY order_id ORDER BY ts DESC, request_id DESC) AS rn FROM ok)
+SELECT l.order_id, l.order_status,
+       COALESCE((SELECT max(ts) FROM ok WHERE ok.order_id = l.order_id AND ok.order_status = 'completed'), l.fin) AS finish_time
+FROM last l WHERE rn = 1""")
+def trade_status(c, r):
+    """TRD-2: orders after every accepted status change."""
+    orders, _ = T.apply_trade_status(r.trade_status, c.trade_order, c.product)
+    return orders
+
+
+@query("trade_status_products", """
+WITH ok AS (SELECT q.*, o.product_id FROM trade_status_request q JOIN trade_order o ON o.order_id = q.order_id
+            WHERE q.order_status IN ('cancelled', 'completed')
+              AND (q.actor_user_id = o.buyer_user_id OR q.actor_user_id = o.seller_user_id)),
+last AS (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY ts DESC, request_id DESC) AS rn FROM ok)
+SELECT product_id, CASE WHEN order_status = 'cancelled' THEN 'on_sale' ELSE 'sold' END AS status FROM last WHERE rn = 1""")
+def trade_status_products(c, r):
+    """TRD-2: product states the status changes leave behind."""
+    _, products = T.apply_trade_status(r.trade_status, c.trade_order, c.product)
+    return products
+
+
+def trade_log_requests(c, r):
+    """Purchase events as buys plus, per purchase, a follow-up status change
+    by the same user ``value`` minutes later that refers to that buy."""
+    e = c.raw("events").filter(F.col("event_type") == "purchase")
+    product = F.col("event_id") % 211
+    status = F.when(F.col("event_id") % 3 == 0, "cancelled").when(F.col("event_id") % 3 == 1, "completed") \
+        .otherwise("created")
+    buys = e.select((F.col("event_id") * 2).alias("request_id"), "ts", product.alias("product_id"),
+                    F.lit("buy").alias("kind"), F.col("user_id").alias("actor_user_id"),
+                    F.lit(None).cast("long").alias("order_ref"), F.lit(None).cast("string").alias("new_status"))
+    changes = e.select((F.col("event_id") * 2 + 1).alias("request_id"),
+                       plus(F.col("ts"), "MINUTE", F.floor(F.col("value")).cast("int")).alias("ts"),
+                       product.alias("product_id"), F.lit("status").alias("kind"),
+                       F.col("user_id").alias("actor_user_id"), (F.col("event_id") * 2).alias("order_ref"),
+                       status.alias("new_status"))
+    return buys.unionByName(changes)
+
+
+@query("trade_log")
+def trade_log(c, r):
+    """TRD-3 / FOLD-3: buys and status changes replayed per product (no
+    closed SQL form; checked against a sequential replay in the tests)."""
+    return T.replay_trade_log(trade_log_requests(c, r), c.product).select(
+        "request_id", "kind", "product_id", "outcome", "product_status")
