@@ -1 +1,186 @@
+"""Registered data-quality jobs (DQ-1..4, DQ-6..8). DQ-5 and DQ-9 live with
+the transitions they feed."""
+
 from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quadflow.operators import quality as Q
+from quadflow.plans.catalog import query
+from quadflow.sources.domain import EPOCH, plus, ts_lit
+from quadflow.sources.schemas import TABLES
+
+_E = f"TIMESTAMP '{EPOCH}'"
+_ALL = list(TABLES)
+
+
+def _tables(c):
+    return {n: c.table(n) for n in _ALL if n != "audit_log"}
+
+
+def _check_sql() -> str:
+    parts = [f"SELECT '{t}' AS table_name, CAST({Q.key_of(t)} AS BIGINT) AS row_key, '{n}' AS rule FROM {t} "
+             f"WHERE ({r}) IS FALSE" for t, rules in Q.CHECKS.items() for n, r in rules]
+    return "\nUNION ALL\n".join(parts)
+
+
+def _fk_sql() -> str:
+    parts = [f"SELECT '{ch}' AS table_name, '{col}->{pa}' AS foreign_key, CAST({Q.key_of(ch)} AS BIGINT) AS row_key, "
+             f"CAST({col} AS BIGINT) AS value FROM {ch} WHERE {col} IS NOT NULL "
+             f"AND {col} NOT IN (SELECT {pk} FROM {pa} WHERE {pk} IS NOT NULL)"
+             for ch, col, pa, pk in Q.FOREIGN_KEYS]
+    return "\nUNION ALL\n".join(parts)
+
+
+def _unique_sql() -> str:
+    parts = []
+    for t, name, cols, ci in Q.UNIQUE_KEYS:
+        notnull = " AND ".join(f"{c} IS NOT NULL" for c in cols)
+        if ci:
+            parts.append(f"SELECT '{t}' AS table_name, '{name}' AS key_name, min(CAST({cols[0]} AS VARCHAR)) AS key_value, "
+                         f"count(*) AS dup_count FROM {t} WHERE {notnull} GROUP BY lower(strip_accents({cols[0]})) "
+                         f"HAVING count(*) > 1")
+        else:
+            value = " || ',' || ".join(f"CAST({c} AS VARCHAR)" for c in cols)
+            parts.append(f"SELECT '{t}' AS table_name, '{name}' AS key_name, {value} AS key_value, count(*) AS dup_count "
+                         f"FROM {t} WHERE {notnull} GROUP BY {', '.join(cols)} HAVING count(*) > 1")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _not_null_sql() -> str:
+    parts = []
+    for t, schema in TABLES.items():
+        if t == "audit_log":
+            continue
+        key = Q.key_of(t)
+        for f in schema.fields:
+            if not f.nullable:
+                parts.append(f"SELECT '{t}' AS table_name, CAST({key} AS BIGINT) AS row_key, '{f.name}_not_null' AS rule "
+                             f"FROM {t} WHERE {f.name} IS NULL")
+        for c, n in Q.LENGTHS.get(t, {}).items():
+            parts.append(f"SELECT '{t}' AS table_name, CAST({key} AS BIGINT) AS row_key, '{c}_length' AS rule "
+                         f"FROM {t} WHERE length({c}) > {n}")
+    return "\nUNION ALL\n".join(parts)
+
+
+@query("dq_check", _check_sql())
+def dq_check(c, r):
+    """DQ-1: CHECK constraints over every table."""
+    return Q.check_violations(_tables(c))
+
+
+@query("dq_foreign_key", _fk_sql())
+def dq_foreign_key(c, r):
+    """DQ-2: foreign keys over every table."""
+    return Q.foreign_key_violations(_tables(c))
+
+
+@query("dq_unique", _unique_sql())
+def dq_unique(c, r):
+    """DQ-3: unique keys over every table."""
+    return Q.unique_violations(_tables(c))
+
+
+@query("dq_not_null", _not_null_sql())
+def dq_not_null(c, r):
+    """DQ-4: NOT NULL and VARCHAR lengths over every table."""
+    return Q.not_null_violations(_tables(c))
+
+
+def _product_forms(c):
+    k = F.col("p_partkey")
+    title = F.when(k % 17 == 0, F.lit("  ")).otherwise(F.col("p_name"))
+    cat = F.when(k % 19 == 0, F.lit("x")).otherwise((F.col("p_size") % 8).cast("string"))
+    price = (F.when(k % 23 == 0, F.lit("abc")).when(k % 31 == 0, F.lit("-5"))
+             .otherwise(F.col("p_retailprice").cast("string")))
+    return c.raw("part").select(k.alias("request_id"), plus(ts_lit(EPOCH), "HOUR", k % 500).alias("ts"),
+                                (k % c.n_user).alias("actor_user_id"), title.alias("title"), cat.alias("category_id"),
+                                price.alias("price"))
+
+
+@query("ingest_product", f"""
+WITH q AS (SELECT p_partkey AS request_id, {_E} + to_hours(CAST(p_partkey % 500 AS BIGINT)) AS ts,
+                  p_partkey % (SELECT count(*) FROM customer) AS actor_user_id,
+                  CASE WHEN p_partkey % 17 = 0 THEN '  ' ELSE p_name END AS title,
+                  CASE WHEN p_partkey % 19 = 0 THEN 'x' ELSE CAST(p_size % 8 AS VARCHAR) END AS category_id,
+                  CASE WHEN p_partkey % 23 = 0 THEN 'abc' WHEN p_partkey % 31 = 0 THEN '-5' ELSE CAST(p_retailprice AS VARCHAR) END AS price
+           FROM part),
+x AS (SELECT q.*, TRY_CAST(trim(q.category_id) AS BIGINT) AS cat, TRY_CAST(trim(q.price) AS DOUBLE) AS pr,
+             pc.category_id IS NOT NULL AS has_cat
+      FROM q LEFT JOIN product_category pc ON pc.category_id = TRY_CAST(trim(q.category_id) AS BIGINT)),
+y AS (SELECT *, CASE WHEN NOT (COALESCE(trim(title) <> '', false) AND COALESCE(regexp_full_match(trim(category_id), '[0-9]+'), false))
+                          THEN 'invalid_form'
+                     WHEN pr IS NULL THEN 'bad_price' WHEN NOT has_cat OR pr < 0 THEN 'db_error' ELSE 'created' END AS outcome FROM x)
+SELECT request_id, outcome,
+       CASE WHEN outcome = 'created' THEN (SELECT max(product_id) FROM product)
+            + row_number() OVER (PARTITION BY outcome = 'created' ORDER BY ts, request_id) END AS product_id,
+       CASE WHEN outcome = 'created' THEN actor_user_id END AS seller_user_id,
+       CASE WHEN outcome = 'created' THEN cat END AS category_id, CASE WHEN outcome = 'created' THEN trim(title) END AS title,
+       CASE WHEN outcome = 'created' THEN CAST(pr AS DECIMAL(10,2)) END AS price
+FROM y""")
+def ingest_product(c, r):
+    """DQ-6: product creation forms derived from every part."""
+    return Q.ingest_products(_product_forms(c), c.product, c.table("product_category"))
+
+
+@query("ingest_comment", """
+WITH q AS (SELECT comment_id AS request_id, create_time AS ts, user_id AS actor_user_id, post_id * 11 AS post_id, content
+           FROM post_comment),
+x AS (SELECT q.*, CASE WHEN COALESCE(trim(content) = '', true) THEN 'empty'
+                       WHEN q.post_id NOT IN (SELECT post_id FROM post) THEN 'post_not_found'
+                       WHEN length(trim(content)) > 500 THEN 'db_error' ELSE 'created' END AS outcome FROM q)
+SELECT request_id, outcome,
+       CASE WHEN outcome = 'created' THEN (SELECT max(comment_id) FROM post_comment)
+            + row_number() OVER (PARTITION BY outcome = 'created' ORDER BY ts, request_id) END AS comment_id,
+       post_id, actor_user_id AS user_id
+FROM x""")
+def ingest_comment(c, r):
+    """DQ-7: every conversation turn posted as a comment on post conv*11."""
+    forms = c.post_comment.select(F.col("comment_id").alias("request_id"), F.col("create_time").alias("ts"),
+                                  F.col("user_id").alias("actor_user_id"), (F.col("post_id") * 11).alias("post_id"),
+                                  "content")
+    return Q.ingest_comments(forms, c.post, c.post_comment)
+
+
+def _user_forms(c):
+    k = F.col("c_custkey")
+    name = (F.when(k % 11 == 0, F.col("c_name"))
+            .otherwise(F.concat(F.lit("new_user_"), F.when(k % 7 == 0, k - 1).otherwise(k).cast("string"))))
+    role = F.when(k % 4 == 0, "club").when(k % 4 == 3, "admin").otherwise("student")
+    return c.raw("customer").select(
+        k.alias("request_id"), plus(ts_lit(EPOCH), "MINUTE", k).alias("ts"), name.alias("username"),
+        F.when(k % 13 == 0, F.lit("")).otherwise(F.lit("pw")).alias("password"), role.alias("role"),
+        F.when(k % 9 == 0, F.lit("")).otherwise(F.concat(F.lit("N"), k.cast("string"))).alias("student_no"),
+        F.col("c_name").alias("real_name"))
+
+
+@query("ingest_user", f"""
+WITH q AS (SELECT c_custkey AS request_id, {_E} + to_minutes(CAST(c_custkey AS BIGINT)) AS ts,
+                  CASE WHEN c_custkey % 11 = 0 THEN c_name
+                       ELSE 'new_user_' || CAST(CASE WHEN c_custkey % 7 = 0 THEN c_custkey - 1 ELSE c_custkey END AS VARCHAR) END AS username,
+                  CASE WHEN c_custkey % 13 = 0 THEN '' ELSE 'pw' END AS password,
+                  CASE WHEN c_custkey % 4 = 0 THEN 'club' WHEN c_custkey % 4 = 3 THEN 'admin' ELSE 'student' END AS role,
+                  CASE WHEN c_custkey % 9 = 0 THEN '' ELSE 'N' || CAST(c_custkey AS VARCHAR) END AS student_no,
+                  c_name AS real_name FROM customer),
+x AS (SELECT q.*, lower(trim(username)) AS nm,
+             EXISTS (SELECT 1 FROM user_account u WHERE lower(u.username) = lower(trim(q.username))) AS ex,
+             COALESCE(trim(username) <> '' AND trim(password) <> '', false) AS form_ok,
+             COALESCE(trim(role) IN ('student', 'club'), false) AS role_ok,
+             (trim(role) <> 'student' OR COALESCE(trim(student_no) <> '' AND trim(real_name) <> '', false)) AS st_ok
+      FROM q),
+y AS (SELECT *, count(CASE WHEN form_ok AND role_ok AND NOT ex AND st_ok THEN 1 END)
+                  OVER (PARTITION BY nm ORDER BY ts, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM x),
+z AS (SELECT *, CASE WHEN NOT form_ok THEN 'invalid_form' WHEN NOT role_ok THEN 'bad_role'
+                     WHEN ex OR prior > 0 THEN 'username_taken' WHEN NOT st_ok THEN 'student_fields_missing'
+                     ELSE 'created' END AS outcome FROM y),
+u AS (SELECT *, CASE WHEN outcome = 'created' THEN (SELECT max(user_id) FROM user_account)
+                     + row_number() OVER (PARTITION BY outcome = 'created' ORDER BY ts, request_id) END AS uid,
+             CASE WHEN outcome = 'created' AND trim(role) = 'student' THEN (SELECT max(student_id) FROM student)
+                     + row_number() OVER (PARTITION BY outcome = 'created' AND trim(role) = 'student' ORDER BY ts, request_id) END AS sid
+      FROM z)
+SELECT request_id, outcome, uid AS user_id, CASE WHEN outcome = 'created' THEN trim(username) END AS username,
+       CASE WHEN outcome = 'created' THEN trim(role) END AS role, sid AS student_id
+FROM u""")
+def ingest_user(c, r):
+    """DQ-8: sign-up forms derived from every customer."""
+    return Q.ingest_users(_user_forms(c), c.user_account, c.student)
