@@ -104,7 +104,7 @@ def checkin_upsert(c, r):
     return A.checkin_upsert(r.checkin, c.activity_registration, c.activity, viewers(c), c.checkin)
 
 
-@query("like_toggle", """
+_LIKE_SQL = """
 WITH q AS (
   SELECT l.request_id, l.ts, l.post_id, l.actor_user_id AS user_id,
          CASE WHEN EXISTS (SELECT 1 FROM post_like p WHERE p.post_id = l.post_id AND p.user_id = l.actor_user_id) THEN 1 ELSE 0 END AS e
@@ -118,7 +118,10 @@ SELECT p.like_id, p.post_id, p.user_id, p.create_time FROM post_like p
 WHERE NOT EXISTS (SELECT 1 FROM touched t WHERE t.post_id = p.post_id AND t.user_id = p.user_id)
    OR EXISTS (SELECT 1 FROM touched t WHERE t.post_id = p.post_id AND t.user_id = p.user_id AND t.cnt % 2 = 0)
 UNION ALL
-SELECT like_id, post_id, user_id, ts AS create_time FROM ins WHERE i = cnt""")
+SELECT like_id, post_id, user_id, ts AS create_time FROM ins WHERE i = cnt"""
+
+
+@query("like_toggle", _LIKE_SQL)
 def like_toggle(c, r):
     """LIK-1: the like table after every like toggle."""
     return A.toggle_likes(r.like, c.post, c.post_like)
@@ -582,3 +585,22 @@ def trade_log(c, r):
     closed SQL form; checked against a sequential replay in the tests)."""
     return T.replay_trade_log(trade_log_requests(c, r), c.product).select(
         "request_id", "kind", "product_id", "outcome", "product_status")
+
+
+# -- streaming forms --------------------------------------------------------------------------
+
+def _stream_likes(c, r):
+    from quadflow.streaming import jobs
+    ckpt, snaps = jobs.scratch_paths(c.spark, "likes")
+    store = jobs.SnapshotStore(c.spark, snaps)
+    events = jobs.event_stream(c.spark, c.root, glob="events.parquet")
+    q = jobs.like_stream(c.spark, c, events, store, ckpt)
+    q.awaitTermination()
+    return store.read("post_like")
+
+
+@query("stream_like_toggle", _LIKE_SQL)
+def stream_like_toggle(c, r):
+    """STR-4: the like table after the click stream is consumed (availableNow);
+    equal to the batch LIK-1 result (see tests for split replays)."""
+    return _stream_likes(c, r)

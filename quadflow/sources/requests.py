@@ -27,11 +27,14 @@ def _pick(index: Column, values: list[str | None]) -> Column:
 
 
 class Requests:
-    def __init__(self, campus: Campus):
+    def __init__(self, campus: Campus, events: DataFrame | None = None):
         self.c = campus
+        # A micro-batch of events may replace the table (streaming forms).
+        self.events = events
 
     def _events(self, kind: str) -> DataFrame:
-        return self.c.raw("events").filter(F.col("event_type") == kind)
+        events = self.events if self.events is not None else self.c.raw("events")
+        return events.filter(F.col("event_type") == kind)
 
     def _base(self, df: DataFrame, actor: Column) -> list[Column]:
         return [F.col("event_id").alias("request_id"), F.col("ts"), actor.alias("actor_user_id"),
