@@ -36,14 +36,11 @@ def optional_table(spark: SparkSession, df: DataFrame | None, schema: T.StructTy
 def seed_if_empty(target: DataFrame, seed: DataFrame) -> DataFrame:
     """SRC-3: append ``seed`` rows only when ``target`` has no row at all.
 
-    ``target.limit(1)`` is a bounded one-row probe; the anti join keeps every
-    seed row exactly when the probe is empty.
+    The emptiness test is a scalar subquery over ``target.limit(1)``: it
+    reads at most one row and is evaluated once, with no join.
     """
-    probe = target.limit(1).select(F.lit(1).alias("_probe"))
-    seed_rows = (seed.withColumn("_probe", F.lit(1))
-                 .join(F.broadcast(probe), "_probe", "left_anti")
-                 .drop("_probe"))
-    return target.unionByName(seed_rows)
+    empty = target.limit(1).select(F.count(F.lit(1))).scalar() == 0
+    return target.unionByName(seed.filter(empty))
 
 
 def with_defaults(df: DataFrame, defaults: dict[str, Column]) -> DataFrame:
