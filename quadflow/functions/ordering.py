@@ -41,18 +41,25 @@ def ordinal(df: DataFrame, keys: list[str], order: list[Column], bucket: Column,
     the leading timestamp). NULL buckets sort first, like NULL timestamps.
     """
     b = "_ord_bucket"
-    with_bucket = df.withColumn(b, bucket)
     part = keys + [b]
-    counts = with_bucket.groupBy(*part).agg(F.count(F.lit(1)).alias("_ord_n"))
+    # Number rows inside each (key, bucket) first. The bucket sizes are read
+    # off the numbered rows (max of the local number), so both branches hang
+    # off the same (key, bucket) shuffle, which Spark reuses: the input
+    # lineage is computed once.
+    local = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
+    numbered = df.withColumn(b, bucket).withColumn("_ord_local", local)
+    counts = numbered.groupBy(*part).agg(F.max("_ord_local").alias("_ord_n"))
     spec = Window.partitionBy(*keys) if keys else Window
     prior = spec.orderBy(F.col(b).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*part, F.coalesce(F.sum("_ord_n").over(prior), F.lit(0)).alias("_ord_off"))
-    local = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
-    numbered = with_bucket.withColumn("_ord_local", local)
-    joined = numbered.join(offsets, part_eq(numbered, offsets, part), "inner")
-    return (joined.select(numbered["*"], offsets["_ord_off"])
-            .withColumn(name, (F.col("_ord_off") + F.col("_ord_local")).cast("long"))
-            .drop("_ord_off", "_ord_local", b))
+    offsets = counts.select(*[F.col(c).alias(f"_off_{c}") for c in part],
+                            F.coalesce(F.sum("_ord_n").over(prior), F.lit(0)).alias("_ord_off"))
+    cond = None
+    for c in part:
+        term = numbered[c].eqNullSafe(offsets[f"_off_{c}"])
+        cond = term if cond is None else cond & term
+    joined = numbered.join(offsets, cond, "inner")
+    return (joined.withColumn(name, (F.col("_ord_off") + F.col("_ord_local")).cast("long"))
+            .drop("_ord_off", "_ord_local", b, *[f"_off_{c}" for c in part]))
 
 
 def part_eq(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:

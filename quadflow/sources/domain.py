@@ -17,6 +17,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadflow.sources.materialize import TableCache
 from quadflow.sources.tables import read_table
 
 # The epoch every derived timestamp is placed after, and the
@@ -42,19 +43,42 @@ def _first_row(df: DataFrame, keys: list[str], order: list[str], keep: list[str]
     return df.groupBy(*keys).agg(packed.alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in keep if c not in keys])
 
 
+def _stored(name: str):
+    """Accessor for a campus table: derived once, then read as a base table."""
+    def get(self) -> DataFrame:
+        if name not in self._tables:
+            build = getattr(self, f"_build_{name}")
+            self._tables[name] = self.cache.get(name, build) if self.cache else build()
+        return self._tables[name]
+    get.__name__ = name
+    return property(get)
+
+
 class Campus:
-    """Lazily built campus tables for one test-data directory."""
+    """Campus tables for one test-data directory (see ``materialize``)."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root
+        self._raw: dict[str, DataFrame] = {}
+        self._counts: dict[str, Column] = {}
+        self._tables: dict[str, DataFrame] = {}
+        self.cache = None
+        if TableCache.enabled(spark):
+            self.cache = TableCache(spark, root)
 
     def raw(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.root, name, schema=None)
+        # One DataFrame per source table: listed and its footer read once, and
+        # identical scans in one plan are recognised as the same relation.
+        if name not in self._raw:
+            self._raw[name] = read_table(self.spark, self.root, name, schema=None)
+        return self._raw[name]
 
     # -- cardinalities (scalar subqueries) ---------------------------------
     def count_of(self, name: str) -> Column:
-        return self.raw(name).select(F.count(F.lit(1))).scalar()
+        if name not in self._counts:
+            self._counts[name] = self.raw(name).select(F.count(F.lit(1))).scalar()
+        return self._counts[name]
 
     @property
     def n_user(self) -> Column:
@@ -81,8 +105,7 @@ class Campus:
         return self.count_of("documents")
 
     # -- people and organisations -------------------------------------------
-    @cached_property
-    def user_account(self) -> DataFrame:
+    def _build_user_account(self) -> DataFrame:
         k = F.col("c_custkey")
         role = (F.when(k % 10 == 0, "admin").when((k % 10).isin(1, 2), "club").otherwise("student"))
         phone = F.when(k % 3 == 0, F.lit(None).cast("string")).otherwise(
@@ -91,8 +114,7 @@ class Campus:
             k.alias("user_id"), F.col("c_name").alias("username"), role.alias("role"),
             phone.alias("phone"), ts_lit(EPOCH).alias("create_time"))
 
-    @cached_property
-    def student(self) -> DataFrame:
+    def _build_student(self) -> DataFrame:
         k = F.col("c_custkey")
         credit = (F.floor(F.abs(F.col("c_acctbal"))).cast("int") % 121).cast("int")
         return (self.raw("customer").filter(k % 10 >= 3).select(
@@ -102,16 +124,14 @@ class Campus:
             F.col("c_mktsegment").alias("major"), F.lit(0).alias("points"),
             F.lit(0).alias("violation_count"), credit.alias("credit_score")))
 
-    @cached_property
-    def club(self) -> DataFrame:
+    def _build_club(self) -> DataFrame:
         k = F.col("s_suppkey")
         return self.raw("supplier").select(
             k.alias("club_id"), F.col("s_name").alias("club_name"),
             (k * 10 + 1).alias("president_user_id"), F.lit(None).cast("string").alias("contact_phone"),
             F.concat(F.lit("Building "), F.col("s_nationkey").cast("string")).alias("office_location"))
 
-    @cached_property
-    def venue(self) -> DataFrame:
+    def _build_venue(self) -> DataFrame:
         k = F.col("n_nationkey")
         return self.raw("nation").select(
             k.cast("long").alias("venue_id"), F.col("n_name").alias("venue_name"),
@@ -120,8 +140,7 @@ class Campus:
             F.when(k % 7 == 6, "unavailable").otherwise("available").alias("status"))
 
     # -- activities and sign-ups --------------------------------------------
-    @cached_property
-    def activity(self) -> DataFrame:
+    def _build_activity(self) -> DataFrame:
         k = F.col("o_orderkey")
         start = plus(ts_lit(EPOCH), "HOUR", (k * 7) % 1080)
         status = (F.when((F.col("o_orderstatus") == "O") & (k % 2 == 0), "published")
@@ -140,8 +159,7 @@ class Campus:
     _LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice",
                    "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
 
-    @cached_property
-    def activity_registration(self) -> DataFrame:
+    def _build_activity_registration(self) -> DataFrame:
         lines = self.raw("lineitem").withColumn("student_id", F.col("l_partkey") % self.n_user)
         first = _first_row(lines, ["l_orderkey", "student_id"], self._LINE_ORDER,
                            ["l_orderkey", "student_id"] + self._LINE_ORDER)
@@ -155,8 +173,7 @@ class Campus:
             F.when(flag == "A", "confirmed").when(flag == "N", "waiting").otherwise("cancelled").alias("reg_status"),
             F.when(flag == "N", F.col("l_linenumber")).cast("int").alias("queue_no"))
 
-    @cached_property
-    def checkin(self) -> DataFrame:
+    def _build_checkin(self) -> DataFrame:
         """SRC-4: one check-in row per registration already marked checked or
         absent, operated by the president of the activity's club."""
         regs = self.activity_registration.filter(F.col("checkin_status").isin("checked", "absent"))
@@ -166,8 +183,7 @@ class Campus:
             F.col("checkin_status").alias("status"))
 
     # -- equipment lending ---------------------------------------------------
-    @cached_property
-    def resource_item(self) -> DataFrame:
+    def _build_resource_item(self) -> DataFrame:
         k = F.col("p_partkey")
         return self.raw("part").select(
             k.alias("resource_id"), (k % self.n_club).alias("owner_club_id"), F.col("p_name").alias("item_name"),
@@ -175,8 +191,7 @@ class Campus:
             (F.col("p_size") * 4).cast("int").alias("available_qty"), F.lit("piece").alias("unit"),
             F.col("p_size").cast("decimal(10,2)").alias("deposit_amount"), F.lit("available").alias("status"))
 
-    @cached_property
-    def borrow_order(self) -> DataFrame:
+    def _build_borrow_order(self) -> DataFrame:
         k = F.col("o_orderkey")
         start = plus(ts_lit(EPOCH), "HOUR", (k * 7) % 1080)
         expected = plus(plus(start, "HOUR", 2), "DAY", k % 9)
@@ -191,8 +206,7 @@ class Campus:
             F.when(F.col("o_orderstatus") == "F", plus(expected, "DAY", -1)).alias("actual_return_time"),
             status.alias("order_status"))
 
-    @cached_property
-    def borrow_detail(self) -> DataFrame:
+    def _build_borrow_detail(self) -> DataFrame:
         first = _first_row(self.raw("lineitem"), ["l_orderkey", "l_partkey"], self._LINE_ORDER,
                            ["l_orderkey"] + self._LINE_ORDER)
         qty = F.floor(F.col("l_quantity")).cast("int")
@@ -204,8 +218,7 @@ class Campus:
              .otherwise(0).alias("damage_qty"),
             F.lit(0).cast("decimal(10,2)").alias("compensation_amount"))
 
-    @cached_property
-    def penalty(self) -> DataFrame:
+    def _build_penalty(self) -> DataFrame:
         """Existing overdue penalties: every second overdue order already has one."""
         bo = self.borrow_order.filter((F.col("order_status") == "overdue") & (F.col("order_id") % 2 == 0))
         return bo.select(
@@ -216,8 +229,7 @@ class Campus:
             F.lit("unpaid").alias("status"), plus(F.col("expected_return_time"), "DAY", 1).alias("create_time"))
 
     # -- second-hand trade -----------------------------------------------------
-    @cached_property
-    def product_category(self) -> DataFrame:
+    def _build_product_category(self) -> DataFrame:
         return self._categories(self.raw("part").select(F.col("p_type").alias("name")))
 
     def _categories(self, names: DataFrame) -> DataFrame:
@@ -230,8 +242,7 @@ class Campus:
             F.lower(F.col("name")).alias("category_name"), F.lit("active").alias("status"),
             ts_lit(EPOCH).alias("create_time"), F.col("name").alias("_source_name"))
 
-    @cached_property
-    def product(self) -> DataFrame:
+    def _build_product(self) -> DataFrame:
         k = F.col("p_partkey")
         cats = self.product_category.select(F.col("category_id"), F.col("_source_name").alias("p_type"))
         return self.raw("part").join(cats, "p_type").select(
@@ -241,8 +252,7 @@ class Campus:
             F.when(k % 5 == 0, "locked").when(k % 5 == 1, "sold").otherwise("on_sale").alias("status"),
             plus(ts_lit(EPOCH), "DAY", k % 97).alias("publish_time"))
 
-    @cached_property
-    def trade_order(self) -> DataFrame:
+    def _build_trade_order(self) -> DataFrame:
         k = F.col("o_orderkey")
         product = k % self.n_resource
         created = plus(ts_lit(EPOCH), "HOUR", k % 720)
@@ -256,12 +266,10 @@ class Campus:
             .filter(F.col("buyer_user_id") != F.col("seller_user_id")))
 
     # -- community board -------------------------------------------------------
-    @cached_property
-    def post_category(self) -> DataFrame:
+    def _build_post_category(self) -> DataFrame:
         return self._categories(self.raw("documents").select(F.col("lang").alias("name")))
 
-    @cached_property
-    def post(self) -> DataFrame:
+    def _build_post(self) -> DataFrame:
         k = F.col("doc_id")
         cats = self.post_category.select("category_id", F.col("_source_name").alias("lang"))
         return self.raw("documents").join(cats, "lang").select(
@@ -270,8 +278,7 @@ class Campus:
             F.col("text").alias("content"), F.when(k % 10 == 9, "hidden").otherwise("visible").alias("status"),
             plus(ts_lit(EPOCH), "DAY", k % 50).alias("create_time"))
 
-    @cached_property
-    def post_comment(self) -> DataFrame:
+    def _build_post_comment(self) -> DataFrame:
         first = _first_row(self.raw("conversations"), ["conv_id", "turn"], ["role", "text"],
                            ["conv_id", "turn", "role", "text"])
         return first.select(
@@ -280,8 +287,7 @@ class Campus:
             F.col("text").alias("content"),
             plus(plus(ts_lit(EPOCH), "DAY", 60), "HOUR", F.col("turn")).alias("create_time"))
 
-    @cached_property
-    def post_like(self) -> DataFrame:
+    def _build_post_like(self) -> DataFrame:
         views = self.raw("events").filter(F.col("event_type") == "view")
         return (views.groupBy((F.col("event_id") % self.n_post).alias("post_id"), "user_id")
                 .agg(F.min("event_id").alias("like_id"), F.min("ts").alias("create_time"))
@@ -290,3 +296,7 @@ class Campus:
     def table(self, name: str) -> DataFrame:
         df = getattr(self, name)
         return df.drop("_source_name") if "_source_name" in df.columns else df
+
+
+for _name in ['user_account', 'student', 'club', 'venue', 'activity', 'activity_registration', 'checkin', 'resource_item', 'borrow_order', 'borrow_detail', 'penalty', 'product_category', 'product', 'trade_order', 'post_category', 'post', 'post_comment', 'post_like']:
+    setattr(Campus, _name, _stored(_name))

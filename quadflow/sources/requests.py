@@ -77,7 +77,10 @@ class Requests:
     @cached_property
     def _line_first(self) -> DataFrame:
         keep = ["l_orderkey"] + Campus._LINE_ORDER
-        return _first_row(self.c.raw("lineitem"), ["l_orderkey", "l_partkey"], Campus._LINE_ORDER, keep)
+
+        def build() -> DataFrame:
+            return _first_row(self.c.raw("lineitem"), ["l_orderkey", "l_partkey"], Campus._LINE_ORDER, keep)
+        return self.c.cache.get("line_first", build) if self.c.cache else build()
 
     @cached_property
     def checkin(self) -> DataFrame:
