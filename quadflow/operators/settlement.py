@@ -207,12 +207,19 @@ def _permitted(requests: DataFrame, activity: DataFrame, viewers: DataFrame) ->
 def status_changes(requests: DataFrame, activity: DataFrame, viewers: DataFrame) -> DataFrame:
     """STA-1: every accepted status change as (old, new) in request order;
     rows with old <> new are the audit trail. The last row per activity is
-    its final status."""
-    from pyspark.sql import Window
+    its final status.
+
+    The previous step is found without a per-activity window: accepted steps
+    get a skew-safe ordinal n per activity, and step n is equi-joined to step
+    n - 1 on (activity, n), a key that is unique, so a hot activity spreads
+    over many tasks."""
     ok = _permitted(requests.filter(F.col("status").isin(*ACTIVITY_STATUS)), activity, viewers)
-    w = Window.partitionBy("activity_id").orderBy("ts", "request_id")
-    steps = ok.withColumn("old_status", F.coalesce(F.lag("status").over(w), F.col("_current")))
-    return steps.select("request_id", "ts", "activity_id", "old_status", F.col("status").alias("new_status"))
+    steps = ordinal(ok, ["activity_id"], [F.col("ts"), F.col("request_id")], time_bucket("ts"), "_n")
+    prev = steps.select("activity_id", (F.col("_n") + 1).alias("_n"), F.col("status").alias("_prev"))
+    joined = steps.join(prev, ["activity_id", "_n"], "left")
+    return joined.select("request_id", "ts", "activity_id",
+                         F.coalesce(F.col("_prev"), F.col("_current")).alias("old_status"),
+                         F.col("status").alias("new_status"))
 
 
 def status_audit(steps: DataFrame) -> DataFrame:
