@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadflow.functions.ordering import ordinal, time_bucket, value_bucket
+from quadflow.sources.tables import with_defaults
 
 # Registration rejection reasons, the trigger's messages and
 # the friendly page messages they map to.
@@ -97,8 +98,9 @@ def registrations_after(registration: DataFrame, outcomes: DataFrame) -> DataFra
     """New registration snapshot: existing rows plus the admitted requests."""
     added = outcomes.filter(F.col("reg_id").isNotNull()).select(
         "reg_id", "activity_id", "student_id", F.col("ts").alias("register_time"),
-        F.lit("approved").alias("audit_status"), F.lit("not_checked").alias("checkin_status"),
         F.col("outcome").alias("reg_status"), "queue_no")
+    # SCH-2: the insert names only these columns; the rest take their defaults.
+    added = with_defaults(added, {"audit_status": F.lit("approved"), "checkin_status": F.lit("not_checked")})
     return registration.unionByName(added)
 
 

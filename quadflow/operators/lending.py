@@ -137,6 +137,10 @@ def ingest_borrow_orders(requests: DataFrame, borrow_order: DataFrame, activity:
     exist (foreign key). New ids follow request order; the uid uses the
     request day and a six-digit-at-least id."""
     from quadflow.sources.schemas import ORDER_STATUS
+    from quadflow.sources.tables import with_defaults
+    # SCH-2: a form without the status field gets the default; a row with the
+    # field left empty (NULL) is treated the same way.
+    requests = with_defaults(requests, {"order_status": F.lit(None).cast("string")})
     actors = viewers.select(F.col("user_id").alias("actor_user_id"), F.col("role").alias("_role"))
     status = F.coalesce(F.col("order_status"), F.lit("approved"))
     x = (requests.withColumn("_status", status).withColumn("_act", F.trim("activity_ref").try_cast("long"))

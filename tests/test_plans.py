@@ -27,7 +27,10 @@ def test_no_cartesian_no_row_udf(spark, name):
 
 def test_filter_and_projection_pushdown(spark):
     text = plan(Q["src_activity"](spark, SF_SMALL))
-    assert "ReadSchema: struct<o_orderkey:bigint,o_orderstatus:string" in text
+    assert "EqualTo(status,published)" in text
+    text = plan(Q["borrow_open_orders"](spark, SF_SMALL))
+    assert "In(order_status, [approved,borrowed,overdue,pending]" in text
+    assert "ReadSchema: struct<order_id:bigint,order_status:string>" in text
 
 
 def test_top_n_is_limited_map_side(spark):
