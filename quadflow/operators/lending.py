@@ -21,28 +21,58 @@ def _digits(c):
     return F.coalesce(F.trim(c).rlike("^[0-9]+$"), F.lit(False))
 
 
+def _greedy_walk(qty, left: int):
+    """Greedy skip-if-insufficient over one resource's requests (in order).
+
+    Works in runs: the longest prefix whose running total fits is accepted
+    at once (a cumulative sum), the first request that does not fit is
+    skipped, and once the stock is below the smallest remaining request
+    everything left is rejected. Returns (accepted flags, stock after each)."""
+    import numpy as np
+    n = len(qty)
+    ok = np.zeros(n, dtype=bool)
+    after = np.empty(n, dtype=np.int64)
+    suffix_min = np.minimum.accumulate(qty[::-1])[::-1] if n else qty
+    i = 0
+    while i < n:
+        if left < suffix_min[i]:
+            after[i:] = left
+            break
+        run = np.cumsum(qty[i:])
+        k = int(np.searchsorted(run, left, side="right"))
+        if k:
+            ok[i:i + k] = True
+            after[i:i + k] = left - run[:k]
+            left -= int(run[k - 1])
+            i += k
+        if i < n:
+            after[i] = left
+            i += 1
+    return ok, after, left
+
+
 def _greedy_stock(batches):
     """FOLD-2 kernel over rows sorted by (resource, ts, request_id).
 
     Skip-if-insufficient is not a prefix sum, so each resource is walked in
-    order; only the current resource's remaining stock is kept between rows
-    and batches, so memory is one Arrow batch whatever the group size."""
+    order, vectorised in runs (``_greedy_walk``). Only the current resource's
+    remaining stock is carried between Arrow batches, so memory is one batch
+    whatever the group size."""
     import numpy as np
     import pandas as pd
     current, left = None, 0
     for pdf in batches:
         res = pdf["resource_id"].to_numpy()
-        qty = pdf["borrow_qty"].to_numpy()
+        qty = pdf["borrow_qty"].to_numpy().astype(np.int64)
         avail = pdf["available_qty"].to_numpy()
         ok = np.zeros(len(pdf), dtype=bool)
         after = np.zeros(len(pdf), dtype=np.int64)
-        for i in range(len(pdf)):
-            if res[i] != current:
-                current, left = res[i], int(avail[i])
-            if qty[i] <= left:
-                left -= int(qty[i])
-                ok[i] = True
-            after[i] = left
+        starts = np.flatnonzero(np.r_[True, res[1:] != res[:-1]]) if len(pdf) else np.array([], dtype=int)
+        ends = np.r_[starts[1:], len(pdf)]
+        for s, e in zip(starts, ends):
+            if res[s] != current:
+                current, left = res[s], int(avail[s])
+            ok[s:e], after[s:e], left = _greedy_walk(qty[s:e], left)
         yield pd.DataFrame({"request_id": pdf["request_id"], "accepted": ok, "left_after": after})
 
 

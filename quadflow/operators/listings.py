@@ -355,3 +355,21 @@ def manageable_activities(viewers: DataFrame, activity: DataFrame) -> DataFrame:
     clubs = viewers.filter((F.col("role") == "club") & F.col("club_id").isNotNull()).select("user_id", "club_id")
     return clubs.join(activity.select("activity_id", "club_id"), "club_id").select(
         "user_id", "activity_id", "club_id")
+
+
+def pick_lists(venue: DataFrame, club: DataFrame, activity: DataFrame, viewers: DataFrame) -> DataFrame:
+    """LST-5 (rest): the venue and club pick-lists by name, and the activity
+    options a borrow form offers: every activity for an admin view (one list,
+    not one copy per admin), the club's own for each club account."""
+    venues = venue.select(F.lit("venue").alias("kind"), F.lit(None).cast("long").alias("viewer_user_id"),
+                          F.col("venue_id").alias("item_id"), F.col("venue_name").alias("item_name"))
+    clubs = club.select(F.lit("club").alias("kind"), F.lit(None).cast("long").alias("viewer_user_id"),
+                        F.col("club_id").alias("item_id"), F.col("club_name").alias("item_name"))
+    admin = activity.select(F.lit("activity_admin").alias("kind"), F.lit(None).cast("long").alias("viewer_user_id"),
+                            F.col("activity_id").alias("item_id"), F.col("title").alias("item_name"))
+    own = (viewers.filter(F.col("role") == "club").select(F.col("user_id").alias("viewer_user_id"), "club_id")
+           .join(activity.select("activity_id", "club_id", "title"), "club_id")
+           .select(F.lit("activity_club").alias("kind"), "viewer_user_id", F.col("activity_id").alias("item_id"),
+                   F.col("title").alias("item_name")))
+    return venues.unionByName(clubs).unionByName(admin).unionByName(own) \
+        .orderBy("kind", "viewer_user_id", "item_name", F.desc("item_id"))

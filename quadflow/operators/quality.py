@@ -248,3 +248,28 @@ def ingest_users(forms: DataFrame, users: DataFrame, student: DataFrame) -> Data
         "request_id", "outcome", F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("string").alias("username"),
         F.lit(None).cast("string").alias("role"), F.lit(None).cast("long").alias("student_id"))
     return made.unionByName(bad)
+
+
+def ingest_posts(forms: DataFrame, post: DataFrame, post_category: DataFrame) -> DataFrame:
+    """DQ-7 (posts): non-blank title and content and a digit category, then
+    the database (category FK, title within 150 characters). New posts are
+    visible."""
+    from quadflow.functions.ordering import time_bucket
+    from quadflow.operators.settlement import _ids
+    x = forms.withColumn("_cat", F.trim("category_id").try_cast("long")).join(
+        post_category.select(F.col("category_id").alias("_cat"), F.lit(True).alias("_has_cat")), "_cat", "left")
+    form_ok = (F.coalesce(F.trim("title") != "", F.lit(False)) & F.coalesce(F.trim("content") != "", F.lit(False))
+               & _digits(F.col("category_id")))
+    reason = (F.when(~form_ok, "invalid_form")
+              .when(F.col("_has_cat").isNull() | (F.char_length(F.trim("title")) > 150), "db_error"))
+    x = x.withColumn("outcome", F.coalesce(reason, F.lit("created")))
+    made = _ids(x.filter(F.col("outcome") == "created"), post.select(F.max("post_id")).scalar(), "post_id",
+                [F.col("ts"), F.col("request_id")], time_bucket("ts"))
+    made = made.select("request_id", "outcome", "post_id", F.col("actor_user_id").alias("author_user_id"),
+                       F.col("_cat").alias("category_id"), F.trim("title").alias("title"),
+                       F.lit("visible").alias("status"))
+    bad = x.filter(F.col("outcome") != "created").select(
+        "request_id", "outcome", *[F.lit(None).cast(t).alias(n) for n, t in (
+            ("post_id", "long"), ("author_user_id", "long"), ("category_id", "long"), ("title", "string"),
+            ("status", "string"))])
+    return made.unionByName(bad)

@@ -319,3 +319,14 @@ WHERE d.role = 'club' AND d.club_id IS NOT NULL""")
 def manageable_activities(c, r):
     """LST-26 (club accounts; admins by predicate)."""
     return L.manageable_activities(viewers(c), c.activity)
+
+
+@query("lookup_lists", f"""
+SELECT 'venue' AS kind, CAST(NULL AS BIGINT) AS viewer_user_id, venue_id AS item_id, venue_name AS item_name FROM venue
+UNION ALL SELECT 'club', CAST(NULL AS BIGINT), club_id, club_name FROM club
+UNION ALL SELECT 'activity_admin', CAST(NULL AS BIGINT), activity_id, title FROM activity
+UNION ALL SELECT 'activity_club', d.user_id, a.activity_id, a.title
+FROM ({_USER_DIM}) d JOIN activity a ON a.club_id = d.club_id WHERE d.role = 'club'""")
+def lookup_lists(c, r):
+    """LST-5: venue, club and activity pick-lists."""
+    return L.pick_lists(c.venue, c.club, c.activity, viewers(c))

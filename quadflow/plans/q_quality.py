@@ -184,3 +184,39 @@ FROM u""")
 def ingest_user(c, r):
     """DQ-8: sign-up forms derived from every customer."""
     return Q.ingest_users(_user_forms(c), c.user_account, c.student)
+
+
+def _post_forms(c):
+    k = F.col("doc_id")
+    title = F.when(k % 11 == 0, F.lit(" ")).otherwise(F.concat(F.lit("re: "), F.col("source"), F.lit(" "),
+                                                               F.col("lang")))
+    content = F.when(k % 13 == 0, F.lit("")).otherwise(F.col("text"))
+    cat = F.when(k % 7 == 0, F.lit("c")).otherwise((k % 6).cast("string"))
+    return c.raw("documents").select(k.alias("request_id"), plus(ts_lit(EPOCH), "MINUTE", k).alias("ts"),
+                                     (k % c.n_user).alias("actor_user_id"), title.alias("title"),
+                                     content.alias("content"), cat.alias("category_id"))
+
+
+@query("ingest_post", f"""
+WITH q AS (SELECT doc_id AS request_id, {_E} + to_minutes(CAST(doc_id AS BIGINT)) AS ts,
+                  doc_id % (SELECT count(*) FROM customer) AS actor_user_id,
+                  CASE WHEN doc_id % 11 = 0 THEN ' ' ELSE 're: ' || source || ' ' || lang END AS title,
+                  CASE WHEN doc_id % 13 = 0 THEN '' ELSE text END AS content,
+                  CASE WHEN doc_id % 7 = 0 THEN 'c' ELSE CAST(doc_id % 6 AS VARCHAR) END AS category_id
+           FROM documents),
+x AS (SELECT q.*, TRY_CAST(trim(q.category_id) AS BIGINT) AS cat, pc.category_id IS NOT NULL AS has_cat
+      FROM q LEFT JOIN post_category pc ON pc.category_id = TRY_CAST(trim(q.category_id) AS BIGINT)),
+y AS (SELECT *, CASE WHEN NOT (COALESCE(trim(title) <> '', false) AND COALESCE(trim(content) <> '', false)
+                               AND COALESCE(regexp_full_match(trim(category_id), '[0-9]+'), false)) THEN 'invalid_form'
+                     WHEN NOT has_cat OR length(trim(title)) > 150 THEN 'db_error' ELSE 'created' END AS outcome FROM x)
+SELECT request_id, outcome,
+       CASE WHEN outcome = 'created' THEN (SELECT max(post_id) FROM post)
+            + row_number() OVER (PARTITION BY outcome = 'created' ORDER BY ts, request_id) END AS post_id,
+       CASE WHEN outcome = 'created' THEN actor_user_id END AS author_user_id,
+       CASE WHEN outcome = 'created' THEN cat END AS category_id,
+       CASE WHEN outcome = 'created' THEN trim(title) END AS title,
+       CASE WHEN outcome = 'created' THEN 'visible' END AS status
+FROM y""")
+def ingest_post(c, r):
+    """DQ-7 (posts): post forms derived from every document (whole texts)."""
+    return Q.ingest_posts(_post_forms(c), c.post, c.table("post_category"))

@@ -305,7 +305,7 @@ def cascade_delete(c, r):
     return out
 
 
-@query("status_changes", f"""
+_STATUS_SQL = f"""
 WITH ok AS (SELECT q.*, a.status AS cur FROM status_request q JOIN activity a ON a.activity_id = q.activity_id
             JOIN ({_USER_DIM}) d ON d.user_id = q.actor_user_id
             WHERE q.status IN ('draft', 'published', 'ongoing', 'finished', 'cancelled')
@@ -314,7 +314,10 @@ st AS (SELECT *, COALESCE(lag(status) OVER (PARTITION BY activity_id ORDER BY ts
 SELECT 'activity' AS biz_type, activity_id AS biz_id, 'status_change' AS action, CAST(NULL AS BIGINT) AS operator_id,
        CAST(json_object('status', old_status) AS VARCHAR) AS old_data, CAST(json_object('status', status) AS VARCHAR) AS new_data,
        ts AS op_time, request_id
-FROM st WHERE old_status <> status""")
+FROM st WHERE old_status <> status"""
+
+
+@query("status_changes", _STATUS_SQL)
 def status_changes(c, r):
     """STA-1: audit rows of every effective status change in the log."""
     return S.status_audit(S.status_changes(r.status_change, c.activity, viewers(c)))
@@ -604,3 +607,28 @@ def stream_like_toggle(c, r):
     """STR-4: the like table after the click stream is consumed (availableNow);
     equal to the batch LIK-1 result (see tests for split replays)."""
     return _stream_likes(c, r)
+
+
+def _stream(c, name, job, table, versions_of):
+    from quadflow.streaming import jobs
+    ckpt, snaps = jobs.scratch_paths(c.spark, name)
+    store = jobs.SnapshotStore(c.spark, snaps)
+    events = jobs.event_stream(c.spark, c.root, glob="events.parquet")
+    getattr(jobs, job)(c.spark, c, events, store, ckpt).awaitTermination()
+    out = None
+    for v in range(1, (store.latest_version(versions_of) or 0) + 1):
+        df = store.read(table, v)
+        out = df if out is None else out.unionByName(df)
+    return out
+
+
+@query("stream_registrations", _REG_SQL + "\nSELECT * FROM out")
+def stream_registrations(c, r):
+    """STR-2: sign-up outcomes from the admission stream (availableNow)."""
+    return _stream(c, "admission", "admission_stream", "registration_outcome", "registration_outcome")
+
+
+@query("stream_status_audit", _STATUS_SQL)
+def stream_status_audit(c, r):
+    """STR-3: audit rows from the status-change stream (availableNow)."""
+    return _stream(c, "audit", "audit_stream", "audit_log", "audit_log")
