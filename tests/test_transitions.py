@@ -75,3 +75,22 @@ def test_settlement_scenario_on_seed_rows(spark):
     assert got == {1: (5, 0, 101), 2: (0, 1, 95)}
     pen = s.penalties(F.lit(0)).collect()
     assert [(p.student_id, p.penalty_type, p.status) for p in pen] == [(2, "no_show", "closed")]
+
+
+def test_new_queue_numbers_continue_without_gaps(spark):
+    """REG-1 queues after the current maximum with no gaps; REG-3 then
+    renumbers every waitlist to 1..n."""
+    c = Campus(spark, SF_SMALL)
+    out = admission.admit_registrations(Requests(c).registration, c.activity, c.student, c.activity_registration)
+    old_max = c.activity_registration.filter(F.col("reg_status") == "waiting").groupBy("activity_id") \
+        .agg(F.max("queue_no").alias("m"))
+    new = out.filter(F.col("outcome") == "waiting").groupBy("activity_id").agg(
+        F.min("queue_no").alias("lo"), F.max("queue_no").alias("hi"), F.count(F.lit(1)).alias("n"))
+    rows = new.join(old_max, "activity_id", "left").collect()
+    for r in rows:
+        assert r.lo == (r.m or 0) + 1 and r.hi - r.lo + 1 == r.n
+    after = admission.registrations_after(c.activity_registration, out)
+    promoted = admission.promote_waitlist(after).filter(F.col("reg_status") == "waiting")
+    per = promoted.groupBy("activity_id").agg(F.min("queue_no").alias("lo"), F.max("queue_no").alias("hi"),
+                                              F.count(F.lit(1)).alias("n")).collect()
+    assert all(r.lo == 1 and r.hi == r.n for r in per)
