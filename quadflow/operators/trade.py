@@ -47,7 +47,7 @@ def apply_trade_status(requests: DataFrame, trade_order: DataFrame, product: Dat
     orders = x.groupBy("order_id").agg(
         F.max(F.struct("ts", "request_id", "order_status")).alias("_last"),
         F.max(F.when(F.col("order_status") == "completed", F.col("ts"))).alias("_done"),
-        F.first("_fin").alias("_fin"))
+        F.max("_fin").alias("_fin"))
     orders = orders.select("order_id", F.col("_last.order_status").alias("order_status"),
                            F.coalesce("_done", "_fin").alias("finish_time"))
     effects = (x.filter(F.col("order_status").isin("cancelled", "completed")).groupBy("product_id")
