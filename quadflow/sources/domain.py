@@ -12,7 +12,6 @@ both must change together.
 
 from __future__ import annotations
 
-from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
