@@ -134,16 +134,9 @@ def promote_waitlist(registration: DataFrame, promotions: DataFrame | None = Non
         F.when(promoted, F.lit(None)).otherwise(F.col("_rn") - F.col("_k")).cast("int").alias("queue_no"))
 
 
-def checkin_upsert(requests: DataFrame, registration: DataFrame, activity: DataFrame, viewers: DataFrame,
-                   checkin: DataFrame) -> DataFrame:
-    """CHK-1: returns the new check-in table.
-
-    A request counts when its registration exists, the actor may manage the
-    activity and the registration is confirmed. The last counted request per
-    registration sets status, time and operator of *every* existing check-in
-    row of it; a registration without one gets a new row whose id follows
-    the order of its first counted request.
-    """
+def _counted_checkins(requests: DataFrame, registration: DataFrame, activity: DataFrame,
+                      viewers: DataFrame) -> DataFrame:
+    """CHK-1 requests that count, reduced to the last (and first) per registration."""
     from quadflow.operators.listings import can_manage
     regs = registration.select("reg_id", "activity_id", "reg_status").join(
         activity.select("activity_id", F.col("club_id").alias("_act_club")), "activity_id")
@@ -152,9 +145,22 @@ def checkin_upsert(requests: DataFrame, registration: DataFrame, activity: DataF
     ok = (requests.join(regs, "reg_id").join(actors, "actor_user_id")
           .filter(can_manage(F.col("_role"), F.col("_club"), F.col("_act_club")))
           .filter(F.col("reg_status") == "confirmed"))
-    last = ok.groupBy("reg_id").agg(
+    return ok.groupBy("reg_id").agg(
         F.max(F.struct("ts", "request_id", "actor_user_id", "status")).alias("_last"),
         F.min(_order_key()).alias("_first"))
+
+
+def checkin_upsert(requests: DataFrame, registration: DataFrame, activity: DataFrame, viewers: DataFrame,
+                   checkin: DataFrame) -> DataFrame:
+    """CHK-1: returns the new check-in table.
+
+    A request counts when its registration exists, the actor may manage the
+    activity and the registration is confirmed. The last counted request per
+    registration sets status, time and operator of *every* existing check-in
+    row of it; a registration without one gets a new row whose id follows
+    the order of its first counted request.
+    """
+    last = _counted_checkins(requests, registration, activity, viewers)
     updated = (checkin.join(last, "reg_id", "left").select(
         "checkin_id", "reg_id",
         F.coalesce(F.col("_last.ts"), F.col("checkin_time")).alias("checkin_time"),
@@ -168,6 +174,13 @@ def checkin_upsert(requests: DataFrame, registration: DataFrame, activity: DataF
     return updated.unionByName(inserted)
 
 
+def checkin_registration_updates(requests: DataFrame, registration: DataFrame, activity: DataFrame,
+                                 viewers: DataFrame) -> DataFrame:
+    """CHK-1 (registration side): the check-in status each registration ends with."""
+    last = _counted_checkins(requests, registration, activity, viewers)
+    return last.select("reg_id", F.col("_last.status").alias("checkin_status"))
+
+
 def toggle_likes(requests: DataFrame, post: DataFrame, post_like: DataFrame) -> DataFrame:
     """LIK-1: returns the new like table.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quadflow.operators import admission as A
-from quadflow.plans.catalog import query
+from quadflow.plans.catalog import REGISTRY, query
 from quadflow.plans.q_lists import _USER_DIM, viewers
 
 # -- REG ----------------------------------------------------------------------------------
@@ -632,3 +632,77 @@ def stream_registrations(c, r):
 def stream_status_audit(c, r):
     """STR-3: audit rows from the status-change stream (availableNow)."""
     return _stream(c, "audit", "audit_stream", "audit_log", "audit_log")
+
+
+# -- second-table effects and their audit rows -------------------------------------------------
+
+@query("checkin_registrations", f"""
+WITH ok AS (
+  SELECT q.* FROM checkin_request q
+  JOIN activity_registration ar ON ar.reg_id = q.reg_id
+  JOIN activity a ON a.activity_id = ar.activity_id
+  JOIN ({_USER_DIM}) d ON d.user_id = q.actor_user_id
+  WHERE (d.role = 'admin' OR (d.role = 'club' AND d.club_id = a.club_id)) AND ar.reg_status = 'confirmed')
+SELECT reg_id, status AS checkin_status
+FROM (SELECT *, row_number() OVER (PARTITION BY reg_id ORDER BY ts DESC, request_id DESC) AS rn FROM ok) t WHERE rn = 1""")
+def checkin_registrations(c, r):
+    """CHK-1: the check-in status every marked registration ends with."""
+    return A.checkin_registration_updates(r.checkin, c.activity_registration, c.activity, viewers(c))
+
+
+_AUDIT_JSON = ("CAST(json_object('order_status', {s}, 'actual_return_time', strftime({t}, '%Y-%m-%d %H:%M:%S')) "
+               "AS VARCHAR)")
+
+
+@query("audit_sweep", f"""
+SELECT 'borrow_order' AS biz_type, order_id AS biz_id, 'status_change' AS action, applicant_user_id AS operator_id,
+       {_AUDIT_JSON.format(s="order_status", t="actual_return_time")} AS old_data,
+       {_AUDIT_JSON.format(s="'overdue'", t="actual_return_time")} AS new_data, {_ASOF} AS op_time
+FROM borrow_order WHERE order_status = 'borrowed' AND expected_return_time < {_ASOF}""")
+def audit_sweep(c, r):
+    """AUD-1 for the orders one overdue sweep marks."""
+    orders, _ = S.overdue_sweep(c.borrow_order, c.penalty, c.student, ts_lit(AS_OF))
+    return S.audit_orders(c.borrow_order, orders, ts_lit(AS_OF))
+
+
+@query("audit_returns", _RETURN_SQL + f"""
+SELECT 'borrow_order' AS biz_type, bo.order_id AS biz_id, 'status_change' AS action, bo.applicant_user_id AS operator_id,
+       {_AUDIT_JSON.format(s="bo.order_status", t="bo.actual_return_time")} AS old_data,
+       {_AUDIT_JSON.format(s="'returned'", t="z.ts")} AS new_data, z.ts AS op_time
+FROM z JOIN borrow_order bo ON bo.order_id = z.order_id WHERE z.outcome = 'returned'""")
+def audit_returns(c, r):
+    """AUD-1 for the orders the return requests close (at each return's time)."""
+    _, orders, _, _ = _returns(c, r)
+    return S.audit_orders(c.borrow_order, orders, F.col("actual_return_time"))
+
+
+def _reserved(c, r):
+    outcomes = B.reserve_stock(r.borrow, c.borrow_order, c.resource_item, viewers(c))
+    return B.after_reservations(outcomes, c.borrow_order, c.resource_item)
+
+
+_RESERVE_HEAD, _RESERVE_TAIL = REGISTRY["stock_reserve"][1].split("\nSELECT y.request_id", 1)
+_RESERVED = _RESERVE_HEAD + ",\nres AS (SELECT y.request_id" + _RESERVE_TAIL + ")"
+
+
+@query("audit_reservations", _RESERVED + f"""
+, first_ok AS (SELECT order_id, min(ts) AS changed_at FROM res WHERE outcome = 'accepted' GROUP BY order_id)
+SELECT 'borrow_order' AS biz_type, bo.order_id AS biz_id, 'status_change' AS action, bo.applicant_user_id AS operator_id,
+       {_AUDIT_JSON.format(s="bo.order_status", t="bo.actual_return_time")} AS old_data,
+       {_AUDIT_JSON.format(s="'borrowed'", t="bo.actual_return_time")} AS new_data, f.changed_at AS op_time
+FROM first_ok f JOIN borrow_order bo ON bo.order_id = f.order_id WHERE bo.order_status <> 'borrowed'""")
+def audit_reservations(c, r):
+    """AUD-1 for the orders reservations move to 'borrowed' (at the first
+    accepted line of each)."""
+    orders, _ = _reserved(c, r)
+    return S.audit_orders(c.borrow_order, orders, F.col("_changed_at"))
+
+
+@query("stock_after_reserve", _RESERVED + """
+SELECT r.resource_id, CAST(r.available_qty - u.used AS INTEGER) AS available_qty
+FROM resource_item r JOIN (SELECT resource_id, sum(borrow_qty) AS used FROM res WHERE outcome = 'accepted'
+                           GROUP BY resource_id) u ON u.resource_id = r.resource_id""")
+def stock_after_reserve(c, r):
+    """BOR-2 state: stock of every resource after the accepted reservations."""
+    _, stock = _reserved(c, r)
+    return stock
