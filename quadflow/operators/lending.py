@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +20,11 @@ def backfill_order_uid(borrow_order: DataFrame) -> DataFrame:
     return df.withColumn("order_uid", F.coalesce(F.col("order_uid"), order_uid(F.col("order_id"), F.col("apply_time"))))
 
 
+# The per-partition kernels of this module run in Python workers; they are
+# shipped by value so executors need no copy of this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def _digits(c):
     return F.coalesce(F.trim(c).rlike("^[0-9]+$"), F.lit(False))
 

@@ -124,14 +124,23 @@ def check_violations(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def foreign_key_violations(tables: dict[str, DataFrame]) -> DataFrame:
-    """DQ-2: non-NULL child keys without a parent (anti joins)."""
-    out = None
+    """DQ-2: non-NULL child keys without a parent. All child keys that point
+    at the same parent are stacked and checked with one anti join per parent
+    table (12 joins for 27 keys)."""
+    by_parent: dict[tuple[str, str], list[DataFrame]] = {}
     for child, col, parent, pkey in FOREIGN_KEYS:
-        keys = tables[parent].select(F.col(pkey).alias(col)).distinct()
-        bad = tables[child].filter(F.col(col).isNotNull()).join(keys, col, "left_anti")
-        part = bad.select(F.lit(child).alias("table_name"), F.lit(f"{col}->{parent}").alias("foreign_key"),
-                          F.col(key_of(child)).cast("long").alias("row_key"), F.col(col).cast("long").alias("value"))
-        out = part if out is None else out.unionByName(part)
+        refs = tables[child].filter(F.col(col).isNotNull()).select(
+            F.lit(child).alias("table_name"), F.lit(f"{col}->{parent}").alias("foreign_key"),
+            F.col(key_of(child)).cast("long").alias("row_key"), F.col(col).cast("long").alias("value"))
+        by_parent.setdefault((parent, pkey), []).append(refs)
+    out = None
+    for (parent, pkey), parts in by_parent.items():
+        refs = parts[0]
+        for extra in parts[1:]:
+            refs = refs.unionByName(extra)
+        keys = tables[parent].select(F.col(pkey).cast("long").alias("value")).distinct()
+        bad = refs.join(keys, "value", "left_anti").select("table_name", "foreign_key", "row_key", "value")
+        out = bad if out is None else out.unionByName(bad)
     return out
 
 

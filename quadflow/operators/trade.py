@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,11 @@ from quadflow.functions.ordering import time_bucket
 from quadflow.sources.schemas import TRADE_STATUS
 
 
+# The per-partition kernels of this module run in Python workers; they are
+# shipped by value so executors need no copy of this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 def admit_trades(requests: DataFrame, product: DataFrame, trade_order: DataFrame) -> DataFrame:
     """TRD-1 for a log of buy attempts: per product, the first buy by someone
     other than the seller while the product is on sale locks it; reasons in

@@ -42,6 +42,9 @@ def _first_row(df: DataFrame, keys: list[str], order: list[str], keep: list[str]
     return df.groupBy(*keys).agg(packed.alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in keep if c not in keys])
 
 
+_RAW: dict[tuple[int, str, str], DataFrame] = {}
+
+
 def _stored(name: str):
     """Accessor for a campus table: derived once, then read as a base table."""
     def get(self) -> DataFrame:
@@ -67,10 +70,14 @@ class Campus:
             self.cache = TableCache(spark, root)
 
     def raw(self, name: str) -> DataFrame:
-        # One DataFrame per source table: listed and its footer read once, and
-        # identical scans in one plan are recognised as the same relation.
+        # One DataFrame per source table and session: listed and its footer
+        # read once (inputs are read-only), and identical scans in one plan
+        # are recognised as the same relation.
         if name not in self._raw:
-            self._raw[name] = read_table(self.spark, self.root, name, schema=None)
+            key = (id(self.spark), self.root, name)
+            if key not in _RAW:
+                _RAW[key] = read_table(self.spark, self.root, name, schema=None)
+            self._raw[name] = _RAW[key]
         return self._raw[name]
 
     # -- cardinalities (scalar subqueries) ---------------------------------

@@ -38,8 +38,10 @@ def _code_digest() -> str:
 
 
 # Committed tables seen by this process, per cache root. A commit is never
-# withdrawn, so a path once seen stays valid.
+# withdrawn and a committed folder never changes, so a path once seen stays
+# valid, and so does the DataFrame reading it (kept per session).
 _SEEN: dict[str, dict[str, str]] = {}
+_FRAMES: dict[tuple[int, str], DataFrame] = {}
 
 
 class TableCache:
@@ -71,4 +73,7 @@ class TableCache:
             record = self.spark.createDataFrame([(name, path)], "table_name string, path string")
             record.coalesce(1).write.mode("append").parquet(f"{self.root}/_commits")
             self._known[name] = path
-        return self.spark.read.parquet(path)
+        key = (id(self.spark), path)
+        if key not in _FRAMES:
+            _FRAMES[key] = self.spark.read.parquet(path)
+        return _FRAMES[key]

@@ -22,3 +22,23 @@ def test_job_runner_writes_a_query(spark):
     out = os.path.join(tempfile.mkdtemp(prefix="quadflow-out-"), "hot")
     main(["hot_activity_top10", SF_SMALL, out])
     assert spark.read.parquet(out).count() == 10
+
+
+def test_python_kernels_need_no_package_on_workers():
+    """The sequential-fold kernels are shipped by value: a job started from
+    another folder (workers cannot import the package) still runs them."""
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = ("import sys; sys.path.insert(0, %r)\n"
+            "from quadflow.session import get_session\n"
+            "from quadflow.plans.catalog import queries\n"
+            "s = get_session('local[2]', shuffle_partitions=2)\n"
+            "print(queries()['stock_reserve'](s, %r).count(), queries()['trade_log'](s, %r).count())\n"
+            % (repo, SF_SMALL, SF_SMALL))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tempfile.mkdtemp(), env=env,
+                         capture_output=True, text=True, timeout=600)
+    assert out.returncode == 0, out.stderr[-2000:]
+    counts = [int(x) for x in out.stdout.split()[-2:]]
+    assert counts[0] > 0 and counts[1] > 0
