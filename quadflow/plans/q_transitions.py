@@ -706,3 +706,26 @@ def stock_after_reserve(c, r):
     """BOR-2 state: stock of every resource after the accepted reservations."""
     _, stock = _reserved(c, r)
     return stock
+
+
+@query("stream_sweep", f"""
+WITH t AS (SELECT max(ts) AS as_of FROM events),
+bo2 AS (SELECT order_id, activity_id, applicant_user_id,
+               CASE WHEN order_status = 'borrowed' AND expected_return_time < (SELECT as_of FROM t) THEN 'overdue'
+                    ELSE order_status END AS order_status FROM borrow_order),
+todo AS (SELECT st.student_id, bo2.activity_id, bo2.order_id FROM bo2
+         JOIN user_account ua ON ua.user_id = bo2.applicant_user_id JOIN student st ON st.user_id = ua.user_id
+         WHERE bo2.order_status = 'overdue'
+           AND NOT EXISTS (SELECT 1 FROM penalty p WHERE p.order_id = bo2.order_id AND p.penalty_type = 'overdue'))
+SELECT (SELECT max(penalty_id) FROM penalty) + row_number() OVER (ORDER BY order_id, student_id) AS penalty_id,
+       student_id, activity_id, order_id, 'overdue' AS penalty_type, '{S.SWEEP_REASON}' AS reason,
+       CAST(0 AS DECIMAL(10,2)) AS amount, 'unpaid' AS status, (SELECT as_of FROM t) AS create_time
+FROM todo""")
+def stream_sweep(c, r):
+    """STR-1: the overdue sweep driven by the event stream (one availableNow tick at the newest event time); the penalties it inserts."""
+    from quadflow.streaming import jobs
+    ckpt, snaps = jobs.scratch_paths(c.spark, "sweep")
+    store = jobs.SnapshotStore(c.spark, snaps)
+    events = jobs.event_stream(c.spark, c.root, glob="events.parquet")
+    jobs.sweep_stream(c.spark, c, events, store, ckpt, trigger={"availableNow": True}).awaitTermination()
+    return store.read("penalty").join(c.penalty.select("penalty_id"), "penalty_id", "left_anti")

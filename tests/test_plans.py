@@ -8,7 +8,7 @@ from quadflow.plans.catalog import queries
 
 Q = queries()
 PYTHON_OK = {"stock_reserve", "trade_log"}  # the two sequential folds (mapInPandas)
-SKIP = {"stream_like_toggle", "stream_registrations", "stream_status_audit"}  # run a stream when built
+SKIP = {"stream_like_toggle", "stream_registrations", "stream_status_audit", "stream_sweep"}  # run a stream when built
 
 
 def plan(df) -> str:
