@@ -19,11 +19,10 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # A dimension is broadcast only below this size; larger ones go through a
-    # shuffle join, decided at runtime by AQE from real statistics.
-    "spark.sql.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
-    "spark.sql.adaptive.autoBroadcastJoinThreshold": str(32 * 1024 * 1024),
 }
+# Broadcasts are left to Spark's measured-size rule
+# (spark.sql.autoBroadcastJoinThreshold, 10 MB unless the cluster sets it):
+# no operator hints a broadcast of a data-dependent side.
 
 
 def get_session(master: str | None = None, app_name: str = "quadflow",
