@@ -16,10 +16,19 @@ def con():
     return duckdb_connection(SF_SMALL)
 
 
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE",
+         "timestamp_ntz": "TIMESTAMP", "boolean": "BOOLEAN", "decimal(10,2)": "DECIMAL(10,2)"}
+
+
 @pytest.mark.parametrize("name", sorted(O))
 def test_matches_oracle(spark, con, name):
-    ok, msg = compare(Q[name](spark, SF_SMALL), O[name], con)
+    df = Q[name](spark, SF_SMALL)
+    ok, msg = compare(df, O[name], con)
     assert ok, msg
+    # the driver compares schemas too: same column types on both sides
+    spark_types = {f.name: TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
+    rel = con.sql(O[name])
+    assert spark_types == {c: str(t) for c, t in zip(rel.columns, rel.types)}
 
 
 @pytest.mark.parametrize("name", sorted(set(Q) - set(O)))
