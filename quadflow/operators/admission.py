@@ -206,3 +206,22 @@ def toggle_likes(requests: DataFrame, post: DataFrame, post_like: DataFrame) ->
     even = per_pair.filter((F.col("_e") == 1) & (F.col("_n") % 2 == 0)).select("post_id", "user_id")
     kept_even = post_like.join(even, ["post_id", "user_id"], "left_semi")
     return kept.unionByName(kept_even).unionByName(final_new)
+
+
+def like_changes(requests: DataFrame, post: DataFrame, post_like: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """LIK-1 as a delta: (rows inserted or replaced, pairs deleted), touching
+    only the pairs the batch toggles. Same rules as ``toggle_likes``."""
+    req = requests.join(post.select("post_id"), "post_id", "left_semi").select(
+        "request_id", "ts", "post_id", F.col("actor_user_id").alias("user_id"))
+    touched = req.select("post_id", "user_id").distinct()
+    have = post_like.join(touched, ["post_id", "user_id"], "left_semi").select("post_id", "user_id",
+                                                                               F.lit(1).alias("_e"))
+    req = req.join(have, ["post_id", "user_id"], "left").withColumn("_e", F.coalesce("_e", F.lit(0)))
+    req = ordinal(req, ["post_id", "user_id"], [F.col("ts"), F.col("request_id")], time_bucket("ts"), "_i")
+    inserts = new_ids(req.filter((F.col("_e") + F.col("_i") - 1) % 2 == 0),
+                      post_like.select(F.max("like_id")).scalar(), "like_id")
+    per_pair = req.groupBy("post_id", "user_id").agg(F.max("_e").alias("_e"), F.count(F.lit(1)).alias("_n"))
+    added = (inserts.join(per_pair, ["post_id", "user_id"]).filter(F.col("_i") == F.col("_n"))
+             .select("like_id", "post_id", "user_id", F.col("ts").alias("create_time")))
+    deleted = per_pair.filter((F.col("_e") == 1) & (F.col("_n") % 2 == 1)).select("post_id", "user_id")
+    return added, deleted

@@ -1,10 +1,15 @@
-"""SNK-1: versioned table snapshots with an append-only commit log.
+"""SNK-1: versioned tables on shared storage, merge-on-read.
 
-A transition writes the whole new state of a table to ``<root>/<table>/v=<n>``
-and only then appends one commit record. Readers take the highest committed
-version, so a crashed or retried write is never visible half-done; writing
-the same version again overwrites its directory and re-commits it, which
-makes micro-batch retries idempotent. All paths live on shared storage.
+A table has a *base* version (the whole state, written once or by
+``compact``) followed by *delta* versions that hold only the rows a batch
+changed (new rows, new row versions, deletion markers), keyed by the
+table's primary key. Every write goes to a fresh folder and becomes visible
+only when one commit record is appended, so readers never see half a
+version, and rewriting a version (a retried micro-batch) is idempotent.
+
+Reading a version resolves base + deltas with one aggregate per key (the
+newest row version wins; a deletion marker removes the key). A batch writes
+O(changed rows), not O(table); ``compact`` bounds the delta chain.
 """
 
 from __future__ import annotations
@@ -12,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_COMMIT_SCHEMA = "table_name string, version long, kind string, keys string"
+
 
 class SnapshotStore:
     def __init__(self, spark: SparkSession, root: str):
@@ -21,21 +28,74 @@ class SnapshotStore:
     def _commits(self) -> str:
         return f"{self.root}/_commits"
 
-    def latest_version(self, table: str) -> int | None:
+    def _log(self, table: str) -> list[tuple[int, str, str]]:
         try:
-            log = self.spark.read.parquet(self._commits())
-        except Exception:  # no commit yet
-            return None
-        row = log.filter(F.col("table_name") == table).agg(F.max("version").alias("v")).first()
-        return None if row is None or row["v"] is None else int(row["v"])
+            log = self.spark.read.schema(_COMMIT_SCHEMA).parquet(self._commits())
+        except Exception:  # nothing committed yet
+            return []
+        rows = (log.filter(F.col("table_name") == table)
+                .groupBy("version").agg(F.min("kind").alias("kind"), F.max("keys").alias("keys")).collect())
+        return sorted((int(r["version"]), r["kind"], r["keys"]) for r in rows)
+
+    def latest_version(self, table: str) -> int | None:
+        log = self._log(table)
+        return log[-1][0] if log else None
+
+    def _path(self, table: str, version: int, kind: str) -> str:
+        return f"{self.root}/{table}/{kind}-v={version}"
+
+    def _commit(self, table: str, version: int, kind: str, keys: list[str] | None) -> None:
+        record = self.spark.createDataFrame([(table, int(version), kind, ",".join(keys or []))], _COMMIT_SCHEMA)
+        record.coalesce(1).write.mode("append").parquet(self._commits())
+
+    def write(self, df: DataFrame, table: str, version: int) -> None:
+        """A whole version (base of a state table, or one entry of a log)."""
+        df.write.mode("overwrite").parquet(self._path(table, version, "base"))
+        self._commit(table, version, "base", None)
+
+    def write_delta(self, changes: DataFrame, table: str, version: int, keys: list[str],
+                    deleted: DataFrame | None = None) -> None:
+        """Only the changed rows: ``changes`` are new or updated rows,
+        ``deleted`` holds the keys that disappear."""
+        rows = changes.withColumn("_deleted", F.lit(False))
+        if deleted is not None:
+            gone = deleted.select(*keys)
+            for c in changes.columns:
+                if c not in keys:
+                    gone = gone.withColumn(c, F.lit(None).cast(changes.schema[c].dataType))
+            rows = rows.unionByName(gone.withColumn("_deleted", F.lit(True)))
+        rows.write.mode("overwrite").parquet(self._path(table, version, "delta"))
+        self._commit(table, version, "delta", keys)
 
     def read(self, table: str, version: int | None = None) -> DataFrame | None:
-        version = self.latest_version(table) if version is None else version
-        if version is None:
+        log = self._log(table)
+        if version is not None:
+            log = [e for e in log if e[0] <= version]
+        if not log:
             return None
-        return self.spark.read.parquet(f"{self.root}/{table}/v={version}")
+        if version is not None and log[-1][0] != version:
+            return None
+        bases = [e for e in log if e[1] == "base"]
+        if not bases:
+            return None
+        base_v = bases[-1][0]
+        if base_v == log[-1][0]:
+            return self.spark.read.parquet(self._path(table, base_v, "base"))
+        deltas = [e for e in log if e[0] > base_v]
+        keys = deltas[-1][2].split(",")
+        base = self.spark.read.parquet(self._path(table, base_v, "base"))
+        cols = base.columns
+        parts = base.select(F.lit(base_v).alias("_v"), F.lit(False).alias("_deleted"), *cols)
+        for v, _, _ in deltas:
+            d = self.spark.read.parquet(self._path(table, v, "delta"))
+            parts = parts.unionByName(d.select(F.lit(v).alias("_v"), "_deleted", *cols))
+        others = [c for c in cols if c not in keys]
+        newest = parts.groupBy(*keys).agg(F.max(F.struct("_v", "_deleted", *others)).alias("_r"))
+        return newest.filter(~F.col("_r._deleted")).select(*[F.col(k) if k in keys else F.col(f"_r.{k}").alias(k)
+                                                             for k in cols])
 
-    def write(self, df: DataFrame, table: str, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/{table}/v={version}")
-        record = self.spark.createDataFrame([(table, int(version))], "table_name string, version long")
-        record.coalesce(1).write.mode("append").parquet(self._commits())
+    def compact(self, table: str, version: int) -> None:
+        """Fold the deltas up to ``version`` into a new base."""
+        current = self.read(table, version)
+        if current is not None:
+            self.write(current, table, version)

@@ -2,12 +2,16 @@
 
 The reference has one time-driven job (the overdue event every 30 minutes)
 and row-at-a-time triggers. Here an event stream (a file source) drives
-``foreachBatch``; each micro-batch applies the *batch* operator to the latest
-committed snapshot and commits the next version under the batch id:
-
+``foreachBatch``; each micro-batch applies the *batch* operator to the state
+as of the previous version and commits only what it changed:
+
+* state tables live in a ``SnapshotStore``: one base version, then one delta
+  version per micro-batch (O(changed rows) written per batch);
+* micro-batch ``b`` reads version ``b`` and writes version ``b + 1``, so a
+  retried batch recomputes from the same input state and rewrites the same
+  version (idempotent by batch id);
 * ordering inside a micro-batch is ``(ts, request_id)``; across batches it is
   arrival order, so replaying a log in any split equals one batch run;
-* a retried batch rewrites the same version (idempotent by batch id);
 * no watermark is needed: no operator keeps state that expires.
 """
 
@@ -38,9 +42,10 @@ def event_stream(spark: SparkSession, path: str, glob: str | None = None, files_
     return reader.parquet(path)
 
 
-def _state(store: SnapshotStore, table: str, initial: DataFrame) -> DataFrame:
-    current = store.read(table)
-    return initial if current is None else current
+def _init(store: SnapshotStore, table: str, initial: DataFrame) -> None:
+    """Write the starting state once, as base version 0."""
+    if store.latest_version(table) is None:
+        store.write(initial, table, 0)
 
 
 def _run(stream: DataFrame, fn, checkpoint: str, trigger: dict) -> StreamingQuery:
@@ -49,60 +54,83 @@ def _run(stream: DataFrame, fn, checkpoint: str, trigger: dict) -> StreamingQuer
 
 def like_stream(spark: SparkSession, campus: Campus, events: DataFrame, store: SnapshotStore, checkpoint: str,
                 trigger: dict | None = None) -> StreamingQuery:
-    """STR-4: LIK-1 per micro-batch; the like table and per-post counts are
-    snapshotted every batch."""
+    """STR-4: LIK-1 per micro-batch. The like table and the per-post like
+    counts are maintained as deltas of the touched pairs and posts."""
+    _init(store, "post_like", campus.post_like)
+    _init(store, "post_like_count",
+          campus.post_like.groupBy("post_id").agg(F.count(F.lit(1)).alias("like_count")))
+
     def apply(batch: DataFrame, batch_id: int) -> None:
-        likes = _state(store, "post_like", campus.post_like)
-        new = admission.toggle_likes(Requests(campus, batch).like, campus.post, likes)
-        store.write(new, "post_like", batch_id + 1)
-        counts = store.read("post_like", batch_id + 1).groupBy("post_id").agg(F.count(F.lit(1)).alias("like_count"))
-        store.write(counts, "post_like_count", batch_id + 1)
+        likes = store.read("post_like", batch_id)
+        added, deleted = admission.like_changes(Requests(campus, batch).like, campus.post, likes)
+        store.write_delta(added, "post_like", batch_id + 1, ["post_id", "user_id"], deleted=deleted)
+        posts = added.select("post_id").unionByName(deleted.select("post_id")).distinct()
+        now = store.read("post_like", batch_id + 1).join(posts, "post_id", "left_semi") \
+            .groupBy("post_id").agg(F.count(F.lit(1)).alias("like_count"))
+        store.write_delta(now, "post_like_count", batch_id + 1, ["post_id"],
+                          deleted=posts.join(now, "post_id", "left_anti"))
     return _run(events, apply, checkpoint, trigger or {"availableNow": True})
 
 
 def admission_stream(spark: SparkSession, campus: Campus, events: DataFrame, store: SnapshotStore, checkpoint: str,
                      trigger: dict | None = None) -> StreamingQuery:
-    """STR-2: REG-1 per micro-batch against the persisted registrations."""
+    """STR-2: REG-1 per micro-batch against the stored registrations; the
+    outcomes are a log, the admitted rows a delta."""
+    _init(store, "activity_registration", campus.activity_registration)
+
     def apply(batch: DataFrame, batch_id: int) -> None:
-        regs = _state(store, "activity_registration", campus.activity_registration)
+        regs = store.read("activity_registration", batch_id)
         outcomes = admission.admit_registrations(Requests(campus, batch).registration, campus.activity,
                                                  campus.student, regs)
         store.write(outcomes, "registration_outcome", batch_id + 1)
         written = store.read("registration_outcome", batch_id + 1)
-        store.write(admission.registrations_after(regs, written), "activity_registration", batch_id + 1)
+        empty = regs.limit(0)
+        added = admission.registrations_after(empty, written)
+        store.write_delta(added, "activity_registration", batch_id + 1, ["reg_id"])
     return _run(events, apply, checkpoint, trigger or {"availableNow": True})
 
 
 def audit_stream(spark: SparkSession, campus: Campus, events: DataFrame, store: SnapshotStore, checkpoint: str,
                  trigger: dict | None = None) -> StreamingQuery:
-    """STR-3: STA-1 per micro-batch; audit rows per effective change and
-    the activity snapshot after the batch."""
+    """STR-3: STA-1 per micro-batch; audit rows per effective change (a log)
+    and the touched activities' new rows (a delta)."""
+    _init(store, "activity", campus.activity)
+
     def apply(batch: DataFrame, batch_id: int) -> None:
-        activity = _state(store, "activity", campus.activity)
+        activity = store.read("activity", batch_id)
         steps = settlement.status_changes(Requests(campus, batch).status_change, activity,
                                           user_dim(campus.user_account, campus.student, campus.club))
         store.write(settlement.status_audit(steps), "audit_log", batch_id + 1)
         final = steps.groupBy("activity_id").agg(F.max(F.struct("ts", "request_id", "new_status")).alias("_l"))
-        new = (activity.join(final, "activity_id", "left")
-               .withColumn("status", F.coalesce(F.col("_l.new_status"), F.col("status"))).drop("_l"))
-        store.write(new, "activity", batch_id + 1)
+        changed = (activity.join(final, "activity_id")
+                   .withColumn("status", F.col("_l.new_status")).drop("_l"))
+        store.write_delta(changed, "activity", batch_id + 1, ["activity_id"])
     return _run(events, apply, checkpoint, trigger or {"availableNow": True})
 
 
 def sweep_stream(spark: SparkSession, campus: Campus, events: DataFrame, store: SnapshotStore, checkpoint: str,
                  trigger: dict | None = None) -> StreamingQuery:
     """STR-1: the overdue sweep on a cadence (30 minutes in production); each
-    tick sweeps at the newest event time it has seen."""
+    tick sweeps at the newest event time it has seen and stores the marked
+    orders and new penalties as deltas."""
+    _init(store, "borrow_order", campus.borrow_order)
+    _init(store, "penalty", campus.penalty)
+
     def apply(batch: DataFrame, batch_id: int) -> None:
         as_of = batch.agg(F.max("ts")).first()[0]
+        orders = store.read("borrow_order", batch_id)
+        penalty = store.read("penalty", batch_id)
         if as_of is None:
+            store.write_delta(orders.limit(0), "borrow_order", batch_id + 1, ["order_id"])
+            store.write_delta(penalty.limit(0), "penalty", batch_id + 1, ["penalty_id"])
             return
-        orders = _state(store, "borrow_order", campus.borrow_order)
-        penalty = _state(store, "penalty", campus.penalty)
         new_orders, new_pen = settlement.overdue_sweep(orders, penalty, campus.student,
                                                        F.lit(as_of).cast("timestamp_ntz"))
-        store.write(new_orders, "borrow_order", batch_id + 1)
-        store.write(new_pen, "penalty", batch_id + 1)
+        marked = new_orders.join(orders.select("order_id", F.col("order_status").alias("_old")), "order_id") \
+            .filter(F.col("order_status") != F.col("_old")).drop("_old")
+        store.write_delta(marked, "borrow_order", batch_id + 1, ["order_id"])
+        store.write_delta(new_pen.join(penalty.select("penalty_id"), "penalty_id", "left_anti"),
+                          "penalty", batch_id + 1, ["penalty_id"])
     return _run(events, apply, checkpoint, trigger or {"processingTime": "30 minutes"})
 
 
