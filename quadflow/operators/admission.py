@@ -58,7 +58,11 @@ def admit_registrations(requests: DataFrame, activity: DataFrame, student: DataF
     act = activity.select("activity_id", "status", "signup_deadline", "max_capacity", "category",
                           F.lit(True).alias("_has_act"))
     st = student.select("student_id", "credit_score", F.lit(True).alias("_has_st"))
-    pairs = registration.select("activity_id", "student_id").distinct().withColumn("_existing", F.lit(True))
+    # Only registrations of requested activities matter for pairs, seats and
+    # queues: reduce the state with a semi join on the batch's activity ids
+    # (broadcast by AQE when small) before anything is shuffled.
+    relevant = registration.join(req.select("activity_id").distinct(), "activity_id", "left_semi")
+    pairs = relevant.select("activity_id", "student_id").distinct().withColumn("_existing", F.lit(True))
     x = (req.join(act, "activity_id", "left").join(st, "student_id", "left")
          .join(pairs, ["activity_id", "student_id"], "left"))
     missing = F.col("_has_act").isNull()
@@ -77,7 +81,7 @@ def admit_registrations(requests: DataFrame, activity: DataFrame, student: DataF
 
     admitted = x.filter(F.col("reason").isNull())
     ranked = ordinal(admitted, ["activity_id"], [F.col("ts"), F.col("request_id")], time_bucket("ts"), "_rank")
-    counts = registration.groupBy("activity_id").agg(
+    counts = relevant.groupBy("activity_id").agg(
         F.count(F.when(F.col("reg_status") == "confirmed", 1)).alias("_confirmed"),
         F.max(F.when(F.col("reg_status") == "waiting", F.col("queue_no"))).alias("_max_q"))
     ranked = ranked.join(counts, "activity_id", "left")

@@ -48,6 +48,17 @@ def _init(store: SnapshotStore, table: str, initial: DataFrame) -> None:
         store.write(initial, table, 0)
 
 
+COMPACT_EVERY = 20  # micro-batches between compactions of a state table
+
+
+def _maybe_compact(store: SnapshotStore, batch_id: int, *tables: str) -> None:
+    """Bound the delta chain: every COMPACT_EVERY batches the state tables
+    get a new base, so a batch never resolves more than that many deltas."""
+    if (batch_id + 1) % COMPACT_EVERY == 0:
+        for table in tables:
+            store.compact(table, batch_id + 1)
+
+
 def _run(stream: DataFrame, fn, checkpoint: str, trigger: dict) -> StreamingQuery:
     return stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
@@ -69,6 +80,7 @@ def like_stream(spark: SparkSession, campus: Campus, events: DataFrame, store: S
             .groupBy("post_id").agg(F.count(F.lit(1)).alias("like_count"))
         store.write_delta(now, "post_like_count", batch_id + 1, ["post_id"],
                           deleted=posts.join(now, "post_id", "left_anti"))
+        _maybe_compact(store, batch_id, "post_like", "post_like_count")
     return _run(events, apply, checkpoint, trigger or {"availableNow": True})
 
 
@@ -87,6 +99,7 @@ def admission_stream(spark: SparkSession, campus: Campus, events: DataFrame, sto
         empty = regs.limit(0)
         added = admission.registrations_after(empty, written)
         store.write_delta(added, "activity_registration", batch_id + 1, ["reg_id"])
+        _maybe_compact(store, batch_id, "activity_registration")
     return _run(events, apply, checkpoint, trigger or {"availableNow": True})
 
 
@@ -105,6 +118,7 @@ def audit_stream(spark: SparkSession, campus: Campus, events: DataFrame, store:
         changed = (activity.join(final, "activity_id")
                    .withColumn("status", F.col("_l.new_status")).drop("_l"))
         store.write_delta(changed, "activity", batch_id + 1, ["activity_id"])
+        _maybe_compact(store, batch_id, "activity")
     return _run(events, apply, checkpoint, trigger or {"availableNow": True})
 
 
@@ -131,6 +145,7 @@ def sweep_stream(spark: SparkSession, campus: Campus, events: DataFrame, store:
         store.write_delta(marked, "borrow_order", batch_id + 1, ["order_id"])
         store.write_delta(new_pen.join(penalty.select("penalty_id"), "penalty_id", "left_anti"),
                           "penalty", batch_id + 1, ["penalty_id"])
+        _maybe_compact(store, batch_id, "borrow_order", "penalty")
     return _run(events, apply, checkpoint, trigger or {"processingTime": "30 minutes"})
 
 

@@ -71,3 +71,17 @@ def test_sweep_stream_converges_to_last_tick(spark):
     _, once = settlement.overdue_sweep(c.borrow_order, c.penalty, c.student, F.lit(last).cast("timestamp_ntz"))
     got = store.read("penalty").select("order_id", "student_id", "penalty_type")
     assert _same(got, once.select("order_id", "student_id", "penalty_type"))
+
+
+def test_like_stream_with_compaction_equals_one_batch(spark, monkeypatch):
+    monkeypatch.setattr(jobs, "COMPACT_EVERY", 2)
+    c = Campus(spark, SF_SMALL)
+    ckpt, snaps = jobs.scratch_paths(spark, "likes-compact-test")
+    store = jobs.SnapshotStore(spark, snaps)
+    jobs.like_stream(spark, c, _split_events(spark, c), store, ckpt).awaitTermination()
+    assert [k for v, k, _ in store._log("post_like") if v == 2] == ["base"]
+    streamed = store.read("post_like").select("post_id", "user_id", "create_time")
+    batch = admission.toggle_likes(Requests(c).like, c.post, c.post_like).select("post_id", "user_id", "create_time")
+    assert _same(streamed, batch)
+    counts = store.read("post_like_count")
+    assert _same(counts, batch.groupBy("post_id").agg(F.count(F.lit(1)).alias("like_count")))
