@@ -729,3 +729,20 @@ def stream_sweep(c, r):
     events = jobs.event_stream(c.spark, c.root, glob="events.parquet")
     jobs.sweep_stream(c.spark, c, events, store, ckpt, trigger={"availableNow": True}).awaitTermination()
     return store.read("penalty").join(c.penalty.select("penalty_id"), "penalty_id", "left_anti")
+
+
+@query("dq_audit_foreign_key", "SELECT 'audit_log' AS table_name, 'operator_id->user_account' AS foreign_key, biz_type, biz_id, "
+       "operator_id AS value FROM (" + "\nUNION ALL\n".join(
+           f"SELECT biz_type, biz_id, operator_id FROM ({REGISTRY[n][1]}) a_{i}"
+           for i, n in enumerate(["audit_orders", "audit_sweep", "audit_returns", "audit_reservations"]))
+       + ") a WHERE operator_id IS NOT NULL AND operator_id NOT IN (SELECT user_id FROM user_account)")
+def dq_audit_foreign_key(c, r):
+    """DQ-2 (28th key): audit rows whose operator is not a user, over every audit row the order transitions write."""
+    rows = None
+    for part in (audit_orders(c, r), audit_sweep(c, r), audit_returns(c, r), audit_reservations(c, r)):
+        part = part.select("biz_type", "biz_id", "operator_id")
+        rows = part if rows is None else rows.unionByName(part)
+    users = c.user_account.select(F.col("user_id").alias("operator_id"))
+    bad = rows.filter(F.col("operator_id").isNotNull()).join(users, "operator_id", "left_anti")
+    return bad.select(F.lit("audit_log").alias("table_name"), F.lit("operator_id->user_account").alias("foreign_key"),
+                      "biz_type", "biz_id", F.col("operator_id").alias("value"))
