@@ -225,26 +225,73 @@ def ingest_comments(forms: DataFrame, post: DataFrame, post_comment: DataFrame)
     return made.unionByName(bad)
 
 
+def _greedy_unique(rows: DataFrame, keys: list[str], max_rounds: int = 1000) -> DataFrame:
+    """Rows accepted by an ordered greedy pass over several unique keys: a
+    row is kept exactly when no earlier *kept* row shares any of its keys.
+
+    Computed in rounds instead of row by row: each round keeps the undecided
+    rows that are the earliest for every one of their keys, then drops the
+    later rows sharing a key with them. The earliest undecided row is always
+    kept, so the loop ends; the number of rounds is the longest chain of
+    conflicts, not the number of rows. Lineage is cut between rounds."""
+    from quadflow.session import cut_lineage
+    order = F.struct("ts", "request_id")
+    undecided = rows.select("request_id", "ts", *keys)
+    kept = None
+    for _ in range(max_rounds):
+        if undecided.isEmpty():
+            break
+        firsts = undecided
+        for k in keys:
+            first_k = (undecided.filter(F.col(k).isNotNull()).groupBy(k)
+                       .agg(F.min(order).alias(f"_first_{k}")))
+            firsts = firsts.join(first_k, k, "left")
+        earliest = None
+        for k in keys:
+            term = F.col(k).isNull() | (order == F.col(f"_first_{k}"))
+            earliest = term if earliest is None else earliest & term
+        winners = cut_lineage(firsts.filter(earliest).select("request_id", "ts", *keys))
+        kept = winners if kept is None else kept.unionByName(winners)
+        rest = undecided.join(winners.select("request_id"), "request_id", "left_anti")
+        for k in keys:
+            # rows whose key is NULL never match, so they survive this anti join
+            rest = rest.join(winners.select(k).filter(F.col(k).isNotNull()).distinct(), k, "left_anti")
+        undecided = cut_lineage(rest)
+    return kept if kept is not None else rows.select("request_id", "ts", *keys).limit(0)
+
+
 def ingest_users(forms: DataFrame, users: DataFrame, student: DataFrame) -> DataFrame:
     """DQ-8: sign-ups. Username and password, role student or club, username
-    unused (existing or taken earlier in the batch), then students need a
-    number and a name -- otherwise the whole sign-up rolls back and does not
-    take the username. A club sign-up creates no club row."""
+    unused (existing or taken by an earlier accepted sign-up), then students
+    need a number and a name, and the student number must be unused too
+    (a clash rolls the whole sign-up back, so it takes no username). Two
+    unique keys make acceptance an ordered greedy choice: ``_greedy_unique``.
+    Names and numbers compare case-insensitively. A club sign-up creates no
+    club row."""
     from quadflow.functions.ordering import time_bucket
     from quadflow.operators.settlement import _ids
     name = F.lower(F.trim("username"))
+    is_student = F.coalesce(F.trim("role") == "student", F.lit(False))
     taken = users.select(F.lower(F.col("username")).alias("_name")).distinct().withColumn("_exists", F.lit(True))
-    x = forms.withColumn("_name", name).join(taken, "_name", "left")
+    numbers = student.select(F.lower(F.col("student_no")).alias("_sno")).distinct().withColumn("_sno_exists", F.lit(True))
+    x = (forms.withColumn("_name", name)
+         .withColumn("_sno", F.when(is_student, F.lower(F.trim("student_no"))))
+         .join(taken, "_name", "left").join(numbers, "_sno", "left"))
     form_ok = F.coalesce((F.trim("username") != "") & (F.trim("password") != ""), F.lit(False))
     role_ok = F.coalesce(F.trim("role").isin("student", "club"), F.lit(False))
-    student_ok = (F.trim("role") != "student") | F.coalesce(
-        (F.trim("student_no") != "") & (F.trim("real_name") != ""), F.lit(False))
-    eligible = form_ok & role_ok & F.col("_exists").isNull() & student_ok
-    first = x.filter(eligible).groupBy("_name").agg(F.min(F.struct("ts", "request_id")).alias("_first"))
-    x = x.join(first, "_name", "left")
-    dup = F.col("_exists").isNotNull() | (F.col("_first").isNotNull() & (F.struct("ts", "request_id") > F.col("_first")))
-    reason = (F.when(~form_ok, "invalid_form").when(~role_ok, "bad_role").when(dup, "username_taken")
-              .when(~student_ok, "student_fields_missing"))
+    student_ok = ~is_student | F.coalesce((F.trim("student_no") != "") & (F.trim("real_name") != ""), F.lit(False))
+    static = form_ok & role_ok & student_ok & F.col("_exists").isNull() & F.col("_sno_exists").isNull()
+    kept = _greedy_unique(x.filter(static), ["_name", "_sno"])
+    by_name = kept.groupBy("_name").agg(F.min(F.struct("ts", "request_id")).alias("_first_name"))
+    by_sno = kept.filter(F.col("_sno").isNotNull()).groupBy("_sno").agg(
+        F.min(F.struct("ts", "request_id")).alias("_first_sno"))
+    x = x.join(by_name, "_name", "left").join(by_sno, "_sno", "left")
+    key = F.struct("ts", "request_id")
+    name_taken = F.col("_exists").isNotNull() | (F.col("_first_name").isNotNull() & (F.col("_first_name") < key))
+    sno_taken = is_student & (F.col("_sno_exists").isNotNull()
+                              | (F.col("_first_sno").isNotNull() & (F.col("_first_sno") < key)))
+    reason = (F.when(~form_ok, "invalid_form").when(~role_ok, "bad_role").when(name_taken, "username_taken")
+              .when(~student_ok, "student_fields_missing").when(sno_taken, "db_error"))
     x = x.withColumn("outcome", F.coalesce(reason, F.lit("created")))
     made = _ids(x.filter(F.col("outcome") == "created"), users.select(F.max("user_id")).scalar(), "user_id",
                 [F.col("ts"), F.col("request_id")], time_bucket("ts"))
@@ -257,28 +304,3 @@ def ingest_users(forms: DataFrame, users: DataFrame, student: DataFrame) -> Data
         "request_id", "outcome", F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("string").alias("username"),
         F.lit(None).cast("string").alias("role"), F.lit(None).cast("long").alias("student_id"))
     return made.unionByName(bad)
-
-
-def ingest_posts(forms: DataFrame, post: DataFrame, post_category: DataFrame) -> DataFrame:
-    """DQ-7 (posts): non-blank title and content and a digit category, then
-    the database (category FK, title within 150 characters). New posts are
-    visible."""
-    from quadflow.functions.ordering import time_bucket
-    from quadflow.operators.settlement import _ids
-    x = forms.withColumn("_cat", F.trim("category_id").try_cast("long")).join(
-        post_category.select(F.col("category_id").alias("_cat"), F.lit(True).alias("_has_cat")), "_cat", "left")
-    form_ok = (F.coalesce(F.trim("title") != "", F.lit(False)) & F.coalesce(F.trim("content") != "", F.lit(False))
-               & _digits(F.col("category_id")))
-    reason = (F.when(~form_ok, "invalid_form")
-              .when(F.col("_has_cat").isNull() | (F.char_length(F.trim("title")) > 150), "db_error"))
-    x = x.withColumn("outcome", F.coalesce(reason, F.lit("created")))
-    made = _ids(x.filter(F.col("outcome") == "created"), post.select(F.max("post_id")).scalar(), "post_id",
-                [F.col("ts"), F.col("request_id")], time_bucket("ts"))
-    made = made.select("request_id", "outcome", "post_id", F.col("actor_user_id").alias("author_user_id"),
-                       F.col("_cat").alias("category_id"), F.trim("title").alias("title"),
-                       F.lit("visible").alias("status"))
-    bad = x.filter(F.col("outcome") != "created").select(
-        "request_id", "outcome", *[F.lit(None).cast(t).alias(n) for n, t in (
-            ("post_id", "long"), ("author_user_id", "long"), ("category_id", "long"), ("title", "string"),
-            ("status", "string"))])
-    return made.unionByName(bad)

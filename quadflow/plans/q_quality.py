@@ -150,34 +150,53 @@ def _user_forms(c):
     return c.raw("customer").select(
         k.alias("request_id"), plus(ts_lit(EPOCH), "MINUTE", k).alias("ts"), name.alias("username"),
         F.when(k % 13 == 0, F.lit("")).otherwise(F.lit("pw")).alias("password"), role.alias("role"),
-        F.when(k % 9 == 0, F.lit("")).otherwise(F.concat(F.lit("N"), k.cast("string"))).alias("student_no"),
+        F.when(k % 9 == 0, F.lit(""))
+        .when(k % 17 == 0, F.concat(F.lit("S"), F.lpad((k + 3).cast("string"), 8, "0")))
+        .otherwise(F.concat(F.lit("N"), (k - k % 3).cast("string"))).alias("student_no"),
         F.col("c_name").alias("real_name"))
 
 
 @query("ingest_user", f"""
-WITH q AS (SELECT c_custkey AS request_id, {_E} + to_minutes(CAST(c_custkey AS BIGINT)) AS ts,
-                  CASE WHEN c_custkey % 11 = 0 THEN c_name
-                       ELSE 'new_user_' || CAST(CASE WHEN c_custkey % 7 = 0 THEN c_custkey - 1 ELSE c_custkey END AS VARCHAR) END AS username,
-                  CASE WHEN c_custkey % 13 = 0 THEN '' ELSE 'pw' END AS password,
-                  CASE WHEN c_custkey % 4 = 0 THEN 'club' WHEN c_custkey % 4 = 3 THEN 'admin' ELSE 'student' END AS role,
-                  CASE WHEN c_custkey % 9 = 0 THEN '' ELSE 'N' || CAST(c_custkey AS VARCHAR) END AS student_no,
-                  c_name AS real_name FROM customer),
+WITH RECURSIVE q AS (
+  SELECT c_custkey AS request_id, {_E} + to_minutes(CAST(c_custkey AS BIGINT)) AS ts,
+         CASE WHEN c_custkey % 11 = 0 THEN c_name
+              ELSE 'new_user_' || CAST(CASE WHEN c_custkey % 7 = 0 THEN c_custkey - 1 ELSE c_custkey END AS VARCHAR) END AS username,
+         CASE WHEN c_custkey % 13 = 0 THEN '' ELSE 'pw' END AS password,
+         CASE WHEN c_custkey % 4 = 0 THEN 'club' WHEN c_custkey % 4 = 3 THEN 'admin' ELSE 'student' END AS role,
+         CASE WHEN c_custkey % 9 = 0 THEN '' WHEN c_custkey % 17 = 0 THEN 'S' || lpad(CAST(c_custkey + 3 AS VARCHAR), 8, '0')
+              ELSE 'N' || CAST(c_custkey - c_custkey % 3 AS VARCHAR) END AS student_no,
+         c_name AS real_name FROM customer),
 x AS (SELECT q.*, lower(trim(username)) AS nm,
+             CASE WHEN trim(role) = 'student' THEN lower(trim(student_no)) END AS sk,
              EXISTS (SELECT 1 FROM user_account u WHERE lower(u.username) = lower(trim(q.username))) AS ex,
+             EXISTS (SELECT 1 FROM student s WHERE trim(q.role) = 'student'
+                     AND lower(s.student_no) = lower(trim(q.student_no))) AS ex_sno,
              COALESCE(trim(username) <> '' AND trim(password) <> '', false) AS form_ok,
              COALESCE(trim(role) IN ('student', 'club'), false) AS role_ok,
-             (trim(role) <> 'student' OR COALESCE(trim(student_no) <> '' AND trim(real_name) <> '', false)) AS st_ok
+             (trim(role) <> 'student' OR COALESCE(trim(student_no) <> '' AND trim(real_name) <> '', false)) AS st_ok,
+             row_number() OVER (ORDER BY ts, request_id) AS rn
       FROM q),
-y AS (SELECT *, count(CASE WHEN form_ok AND role_ok AND NOT ex AND st_ok THEN 1 END)
-                  OVER (PARTITION BY nm ORDER BY ts, request_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM x),
-z AS (SELECT *, CASE WHEN NOT form_ok THEN 'invalid_form' WHEN NOT role_ok THEN 'bad_role'
-                     WHEN ex OR prior > 0 THEN 'username_taken' WHEN NOT st_ok THEN 'student_fields_missing'
-                     ELSE 'created' END AS outcome FROM y),
+walk(rn, names, nos, kept) AS (
+  SELECT 0::BIGINT, []::VARCHAR[], []::VARCHAR[], false
+  UNION ALL
+  SELECT s.rn, CASE WHEN s.a THEN list_append(s.names, s.nm) ELSE s.names END,
+         CASE WHEN s.a AND s.sk IS NOT NULL THEN list_append(s.nos, s.sk) ELSE s.nos END, s.a
+  FROM (SELECT x.rn, x.nm, x.sk, w.names, w.nos,
+               (x.form_ok AND x.role_ok AND x.st_ok AND NOT x.ex AND NOT x.ex_sno
+                AND NOT list_contains(w.names, x.nm) AND (x.sk IS NULL OR NOT list_contains(w.nos, x.sk))) AS a
+        FROM walk w JOIN x ON x.rn = w.rn + 1) s),
+z AS (SELECT x.*, w.kept FROM x JOIN walk w ON w.rn = x.rn),
+fz AS (SELECT z.*,
+              (SELECT min(rn) FROM z z2 WHERE z2.kept AND z2.nm = z.nm) AS first_name,
+              (SELECT min(rn) FROM z z2 WHERE z2.kept AND z2.sk = z.sk) AS first_sno FROM z),
+o AS (SELECT *, CASE WHEN NOT form_ok THEN 'invalid_form' WHEN NOT role_ok THEN 'bad_role'
+                     WHEN ex OR first_name < rn THEN 'username_taken' WHEN NOT st_ok THEN 'student_fields_missing'
+                     WHEN sk IS NOT NULL AND (ex_sno OR first_sno < rn) THEN 'db_error' ELSE 'created' END AS outcome FROM fz),
 u AS (SELECT *, CASE WHEN outcome = 'created' THEN (SELECT max(user_id) FROM user_account)
                      + row_number() OVER (PARTITION BY outcome = 'created' ORDER BY ts, request_id) END AS uid,
              CASE WHEN outcome = 'created' AND trim(role) = 'student' THEN (SELECT max(student_id) FROM student)
                      + row_number() OVER (PARTITION BY outcome = 'created' AND trim(role) = 'student' ORDER BY ts, request_id) END AS sid
-      FROM z)
+      FROM o)
 SELECT request_id, outcome, uid AS user_id, CASE WHEN outcome = 'created' THEN trim(username) END AS username,
        CASE WHEN outcome = 'created' THEN trim(role) END AS role, sid AS student_id
 FROM u""")

@@ -135,3 +135,25 @@ def test_trade_log_matches_sequential_replay(spark):
                 want = "applied"
                 status[p] = {"cancelled": "on_sale", "completed": "sold"}.get(new, status[p])
         assert got[rid] == want, (rid, got[rid], want)
+
+
+def test_greedy_unique_matches_sequential_choice(spark):
+    """Two unique keys: a row is kept iff no earlier kept row shares a key.
+    Chains (a row freed because its blocker was itself blocked) included."""
+    from quadflow.operators.quality import _greedy_unique
+    rnd = random.Random(9)
+    rows = []
+    for i in range(400):
+        name = "hot" if rnd.random() < 0.2 else f"u{rnd.randint(0, 60)}"
+        sno = None if rnd.random() < 0.3 else f"s{rnd.randint(0, 60)}"
+        rows.append((i, _ts(rnd.randint(0, 300)), name, sno))
+    df = spark.createDataFrame(rows, "request_id long, ts timestamp_ntz, _name string, _sno string")
+    got = {r.request_id for r in _greedy_unique(df, ["_name", "_sno"]).collect()}
+    names, snos, want = set(), set(), set()
+    for rid, _, name, sno in sorted(rows, key=lambda x: (x[1], x[0])):
+        if name not in names and (sno is None or sno not in snos):
+            want.add(rid)
+            names.add(name)
+            if sno is not None:
+                snos.add(sno)
+    assert got == want
