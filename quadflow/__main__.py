@@ -2,6 +2,7 @@
 
     spark-submit -m quadflow QUERY SOURCE_DIR OUTPUT_PATH [--format parquet] [--mode overwrite]
     python -m quadflow --list
+    python -m quadflow --explain QUERY SOURCE_DIR      (formatted physical plan, nothing written)
 
 The session comes from the cluster (``spark-submit`` settings win); the
 result is written by the executors, never collected to the driver.
@@ -29,6 +30,11 @@ def main(argv: list[str] | None = None) -> None:
     if "--list" in argv:
         print("\n".join(sorted(queries())))
         return
+    if "--explain" in argv:
+        rest = [a for a in argv if a != "--explain"]
+        spark = get_session(app_name="quadflow-explain")
+        queries()[rest[0]](spark, rest[1]).explain("formatted")
+        return
     args = parser.parse_args(argv)
     spark = get_session(app_name=f"quadflow-{args.query}")
     queries()[args.query](spark, args.source).write.format(args.format).mode(args.mode).save(args.output)
