@@ -139,7 +139,7 @@ def sweep_stream(spark: SparkSession, campus: Campus, events: DataFrame, store:
             store.write_delta(penalty.limit(0), "penalty", batch_id + 1, ["penalty_id"])
             return
         new_orders, new_pen = settlement.overdue_sweep(orders, penalty, campus.student,
-                                                       F.lit(as_of).cast("timestamp_ntz"))
+                                                       F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz"))
         marked = new_orders.join(orders.select("order_id", F.col("order_status").alias("_old")), "order_id") \
             .filter(F.col("order_status") != F.col("_old")).drop("_old")
         store.write_delta(marked, "borrow_order", batch_id + 1, ["order_id"])

@@ -68,7 +68,7 @@ def test_sweep_stream_converges_to_last_tick(spark):
     jobs.sweep_stream(spark, c, _split_events(spark, c), store, ckpt,
                       trigger={"availableNow": True}).awaitTermination()
     last = c.raw("events").agg(F.max("ts")).first()[0]
-    _, once = settlement.overdue_sweep(c.borrow_order, c.penalty, c.student, F.lit(last).cast("timestamp_ntz"))
+    _, once = settlement.overdue_sweep(c.borrow_order, c.penalty, c.student, F.lit(last.isoformat(sep=" ")).cast("timestamp_ntz"))
     got = store.read("penalty").select("order_id", "student_id", "penalty_type")
     assert _same(got, once.select("order_id", "student_id", "penalty_type"))
 
