@@ -233,11 +233,16 @@ def _greedy_unique(rows: DataFrame, keys: list[str], max_rounds: int = 1000) ->
     rows that are the earliest for every one of their keys, then drops the
     later rows sharing a key with them. The earliest undecided row is always
     kept, so the loop ends; the number of rounds is the longest chain of
-    conflicts, not the number of rows. Lineage is cut between rounds."""
+    conflicts, not the number of rows. The undecided set is checkpointed each
+    round (its plan would otherwise double per round); each round's winners
+    are persisted, and the result is checkpointed once before they are
+    released."""
+    from pyspark import StorageLevel
+
     from quadflow.session import cut_lineage
     order = F.struct("ts", "request_id")
-    undecided = rows.select("request_id", "ts", *keys)
-    kept = None
+    undecided = cut_lineage(rows.select("request_id", "ts", *keys))
+    winners_by_round: list[DataFrame] = []
     for _ in range(max_rounds):
         if undecided.isEmpty():
             break
@@ -250,14 +255,22 @@ def _greedy_unique(rows: DataFrame, keys: list[str], max_rounds: int = 1000) ->
         for k in keys:
             term = F.col(k).isNull() | (order == F.col(f"_first_{k}"))
             earliest = term if earliest is None else earliest & term
-        winners = cut_lineage(firsts.filter(earliest).select("request_id", "ts", *keys))
-        kept = winners if kept is None else kept.unionByName(winners)
+        winners = firsts.filter(earliest).select("request_id", "ts", *keys).persist(StorageLevel.MEMORY_AND_DISK)
+        winners_by_round.append(winners)
         rest = undecided.join(winners.select("request_id"), "request_id", "left_anti")
         for k in keys:
             # rows whose key is NULL never match, so they survive this anti join
             rest = rest.join(winners.select(k).filter(F.col(k).isNotNull()).distinct(), k, "left_anti")
         undecided = cut_lineage(rest)
-    return kept if kept is not None else rows.select("request_id", "ts", *keys).limit(0)
+    if not winners_by_round:
+        return rows.select("request_id", "ts", *keys).limit(0)
+    kept = winners_by_round[0]
+    for w in winners_by_round[1:]:
+        kept = kept.unionByName(w)
+    kept = cut_lineage(kept)
+    for w in winners_by_round:
+        w.unpersist()
+    return kept
 
 
 def ingest_users(forms: DataFrame, users: DataFrame, student: DataFrame) -> DataFrame:
