@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quadflow.llm import bpe, language
+from quadflow.llm import bpe, language, quality
 
 
 def table(spark, sf_dir: str, name: str):
@@ -22,5 +22,10 @@ def op5_language(spark, sf_dir):
     return language.identify(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op5_language": op5_language}
+def op6_quality(spark, sf_dir):
+    """Quality score of every document."""
+    return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op4_bpe": op4_bpe, "op5_language": op5_language, "op6_quality": op6_quality}
 ORACLE_SQL: dict[str, str] = {}
