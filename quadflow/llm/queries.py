@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quadflow.llm import bpe, language, quality
+from quadflow.llm import bpe, jaccard, language, quality, toxicity
 
 
 def table(spark, sf_dir: str, name: str):
@@ -27,5 +27,16 @@ def op6_quality(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op5_language": op5_language, "op6_quality": op6_quality}
+def op9_toxicity(spark, sf_dir):
+    """Toxicity score of every document, with the nearest examples."""
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_jaccard(spark, sf_dir):
+    """Link classes of all documents by word 5-gram Jaccard of 0.75 or more."""
+    return jaccard.linked(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op4_bpe": op4_bpe, "op5_language": op5_language, "op6_quality": op6_quality,
+           "op9_toxicity": op9_toxicity, "op10_jaccard": op10_jaccard}
 ORACLE_SQL: dict[str, str] = {}

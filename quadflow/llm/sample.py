@@ -29,3 +29,17 @@ def bounded(rows: DataFrame, label: str, ident: str, per_label: int) -> tuple[Da
     out = (rows.withColumn("__key", key).filter(keep).withColumn("__rank", F.row_number().over(first))
            .filter(F.col("__rank") <= per_label).drop("__key", "__rank"))
     return out, counts
+
+
+def labelled(documents: DataFrame, labels: DataFrame, label: str, per_label: int) -> DataFrame:
+    """doc_id, text and label (0 or 1) of at most ``per_label`` labelled
+    documents of each label, one row per document and label.
+
+    The sample is drawn from the labels alone, so that the join's small side
+    is bounded by ``per_label`` and no text is shuffled to find it. Labels
+    other than 0 and 1, null ids and null texts are left out; of several texts
+    of one id the smallest counts."""
+    own = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
+    taken, _ = bounded(own.dropDuplicates(), "label", "doc_id", per_label)
+    rows = documents.select("doc_id", "text").filter("text is not null").join(F.broadcast(taken), "doc_id")
+    return rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
