@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadflow.llm.arrow import text_slices
-from quadflow.llm.sample import bounded, fold
+from quadflow.llm.sample import fold, labelled
 from quadflow.llm.words import LOWER, mix, words
 
 WORD_BUCKETS = 1 << 17
@@ -155,11 +155,10 @@ def fit(rows: list[np.ndarray], y: np.ndarray) -> dict:
             "slope": max(slope, 0.1), "shift": shift}
 
 
-def train(docs: DataFrame, text: str, label: str, ident: str, per_label: int = PER_LABEL) -> dict:
-    """Fits on at most ``per_label`` rows of each label 0 and 1 (smallest
-    hashed ids); other labels and null texts are not used."""
-    rows = docs.select(F.col(ident).alias("__id"), F.col(text).alias("__text"), F.col(label).cast("int").alias("__label"))
-    taken, _ = bounded(rows.filter(F.col("__label").isin(0, 1) & F.col("__text").isNotNull()), "__label", "__id", per_label)
+def train(rows: DataFrame) -> dict:
+    """Fits on rows of (doc_id, text, label), a bounded sample such as
+    ``sample.labelled`` draws."""
+    rows = rows.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"), F.col("label").alias("__label"))
 
     def run(batches):
         for batch in batches:
@@ -168,7 +167,7 @@ def train(docs: DataFrame, text: str, label: str, ident: str, per_label: int = P
                 yield pa.RecordBatch.from_arrays([part.column("__id").cast(pa.string()), part.column("__label"), pa.array(own, pa.binary())],
                                                  names=["id", "label", "idx"])
 
-    got = taken.mapInArrow(run, "id string, label int, idx binary").toArrow().sort_by([("id", "ascending"), ("label", "ascending"), ("idx", "ascending")])
+    got = rows.mapInArrow(run, "id string, label int, idx binary").toArrow().sort_by([("id", "ascending"), ("label", "ascending"), ("idx", "ascending")])
     # mixed order, so that every fourth row is a fair calibration part
     order = np.random.default_rng(3).permutation(got.num_rows)
     idx = got.column("idx").to_pylist()
@@ -203,17 +202,10 @@ def score(docs: DataFrame, text: str, model: dict, out: str = "score") -> DataFr
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
-def labelled(documents: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """doc_id, text and label of the labelled documents, one row per document
-    and label."""
-    own = labels.select("doc_id", F.col(label).alias("__y")).filter(F.col("__y").isNotNull()).dropDuplicates()
-    return documents.select("doc_id", "text").join(own, "doc_id")
-
-
 def judge(documents: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3) -> DataFrame:
     """Learns ``labels.quality`` from the documents outside the held-out fold
     and scores all documents. A null doc_id is in no fold: held_out is false."""
     mod = fold("doc_id", folds)
-    model = train(labelled(documents.filter(mod != held_out), labels, "quality"), "text", "__y", "doc_id")
+    model = train(labelled(documents, labels.filter(mod != held_out), "quality", PER_LABEL))
     rows = documents.select("doc_id", F.coalesce(mod == held_out, F.lit(False)).alias("held_out"), "text")
     return score(rows, "text", model).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
