@@ -1,14 +1,69 @@
-"""The corpus pipeline: documents through five stages, each a DataFrame."""
+"""The corpus pipeline: documents through five of the training-data operators.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; every stage but
+the last returns the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES = []
-ORACLE_SQL = None
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from quadflow.llm import bpe, decontaminate, jaccard, quality, toxicity
+from quadflow.session import cut_lineage
+
+
+def _labels(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def _kept(docs, scored):
+    """The rows of ``docs`` whose id got no rejecting prediction; a null id is
+    scored like any other but can't be named, so its row stays."""
+    return docs.join(scored.select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def toxic(spark, docs, sf_dir):
+    """Drops the documents that the toxicity operator rejects."""
+    return _kept(docs, toxicity.judge(docs, _labels(spark, sf_dir)).filter("predicted = 1"))
+
+
+def poor(spark, docs, sf_dir):
+    """Drops the documents that the quality classifier rejects."""
+    return _kept(docs, quality.judge(docs, _labels(spark, sf_dir)).filter("predicted = 0"))
+
+
+def duplicates(spark, docs, sf_dir):
+    """Keeps of each group of linked documents the one with the smallest
+    doc_id; of repeated rows with that id all stay."""
+    classes = jaccard.linked(docs)
+    return _kept(docs, classes.filter("doc_id <> component_id"))
+
+
+def leaks(spark, docs, sf_dir):
+    """Drops the documents that hold a benchmark passage."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokens(spark, docs, sf_dir):
+    """Token ids of what is left: doc_id, lang, source, n_tokens and ids
+    (little-endian unsigned 32-bit integers); the ids decode to the text."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), "text", path, public_tokenizers.PATTERN)
+    digests = bpe.decode(coded, "ids", path).withColumn("decoded_sha256", F.sha2("decoded", 256))
+    return digests.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded_sha256")
+
+
+STAGES = [("toxicity", toxic), ("quality", poor), ("duplicates", duplicates), ("decontamination", leaks), ("tokens", tokens)]
+ORACLE_SQL = None  # learned models and BPE have no SQL form; the stages are tested against plain versions
 
 
 def run(spark, sf_dir):
-    """All stages over the documents table."""
+    """All stages over the documents table; each stage's rows are kept in the
+    checkpoint folder, so a lost executor costs no earlier stage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = cut_lineage(docs)
     return docs

@@ -4,13 +4,29 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from quadflow.llm import bpe, jaccard, language, quality, toxicity
+from quadflow.llm import bpe, decontaminate, html, jaccard, language, neighbours, quality, toxicity, urls, warc
 
 
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_urls(spark, sf_dir):
+    """Host, path, rule and verdict of every page's url."""
+    out = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), urls.labelled_urls(spark))
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op2_neighbours(spark, sf_dir):
+    """The five nearest embeddings of every fiftieth."""
+    return neighbours.search(table(spark, sf_dir, "embeddings"), lambda i: i % 50 == 0)
+
+
+def op3_html(spark, sf_dir):
+    """Main text of every page."""
+    return html.texts(table(spark, sf_dir, "pages"))
+
+
 def op4_bpe(spark, sf_dir):
     """BPE ids of every document and their decoding, as digests."""
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"),
@@ -27,6 +43,16 @@ def op6_quality(spark, sf_dir):
     return quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_warc(spark, sf_dir):
+    """Every page written to WARC archives and read back."""
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+def op8_decontaminate(spark, sf_dir):
+    """Benchmark passages in all documents."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_toxicity(spark, sf_dir):
     """Toxicity score of every document, with the nearest examples."""
     return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -37,6 +63,27 @@ def op10_jaccard(spark, sf_dir):
     return jaccard.linked(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_bpe": op4_bpe, "op5_language": op5_language, "op6_quality": op6_quality,
-           "op9_toxicity": op9_toxicity, "op10_jaccard": op10_jaccard}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_urls": op1_urls, "op2_neighbours": op2_neighbours, "op3_html": op3_html, "op4_bpe": op4_bpe,
+    "op5_language": op5_language, "op6_quality": op6_quality, "op7_warc": op7_warc,
+    "op8_decontaminate": op8_decontaminate, "op9_toxicity": op9_toxicity, "op10_jaccard": op10_jaccard,
+}
+
+ORACLE_SQL = {
+    # SHA-1 in base32: each five hexadecimal digits (20 bits) are four base32 digits
+    "op7_warc": """
+WITH keyed AS (
+  SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS hex FROM pages),
+digested AS (
+  SELECT page_id, octet_length(encode(body)) AS payload_bytes,
+         list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+           ((('0x' || substr(hex, 5 * (i // 4)::INTEGER + 1, 5))::BIGINT >> (15 - 5 * (i % 4))::INTEGER) & 31)::INTEGER + 1, 1)),
+           'string_agg', '') AS payload_digest
+  FROM keyed),
+newest AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS top FROM digested)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id < top THEN top END AS refers_to
+FROM newest""",
+}
