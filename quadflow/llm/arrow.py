@@ -10,7 +10,7 @@ import types
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 
 def texts(column: pa.Array) -> pa.Array:

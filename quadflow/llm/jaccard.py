@@ -14,8 +14,8 @@ pair. Three passes keep the work near the number of real links:
    prefix; sets that share a prefix shingle may link. Size, position and a
    256-bit parity signature (a lower bound of the symmetric difference) drop
    pairs that cannot.
-3. Pairs are verified by summed partial overlaps. The first round tries one
-   star and one chain per prefix shingle and joins what links into components;
+3. Pairs are verified by summed partial overlaps. The first round tries
+   one star per prefix shingle and joins what links into components;
    the second tries every remaining pair between different components, so
    that no link is lost and a group of copies is never expanded into all its
    pairs. Groups of more than ``BLOCK`` sets are cut into block pairs.
@@ -38,8 +38,8 @@ from quadflow.session import cut_lineage
 SIZE = 5
 PERCENT = 75
 EXTRA = 15  # percent of a set by which pass 1 lengthens the prefix
-FRAGMENT_ENTRIES = 1_500_000  # shingles that one fragment is planned to hold
-FLUSH_ENTRIES = 1_000_000  # shingles that a task holds before it sends them on
+FRAGMENT_ENTRIES = 1_000_000  # shingles that one fragment is planned to hold
+FLUSH_ENTRIES = 500_000  # shingles that a task holds before it sends them on
 BLOCK = 2048
 PAIR_BLOCK = 2_000_000  # pairs that one verification task is planned to hold
 MAX_BITS = 27  # the survivors' bitmap has at most 2^27 bits (16 MB)
@@ -138,30 +138,41 @@ def _first_pass(count: int, size: int, percent: int):
     return run
 
 
+def _number(places: list, tables: list):
+    """(distinct set ids, number of its set per entry) from each batch's own
+    numbering; -1 where an entry stands for several sets."""
+    every = np.concatenate(tables)
+    real = every[:, 1] != 0
+    names, place = np.unique(every[real, 0], return_inverse=True)
+    number = np.full(len(every), -1, np.int32)
+    number[real] = place
+    base = np.cumsum([0, *map(len, tables[:-1])])
+    return names, np.concatenate([number[b + p] for b, p in zip(base, places)])
+
+
 def _count_shared(table: pa.Table) -> pa.Table:
     """Reducer of pass 1 for one fragment: the documents that came with it,
     and per set how many of its shingles here other sets hold too."""
-    hashes, owners, docs = [], [], []
-    for h, o, s, d in zip(*(table.column(c).to_pylist() for c in ("hashes", "owner", "sets", "docs"))):
-        docs.append(np.frombuffer(d, np.int64).reshape(-1, 5))
-        if h:
-            hashes.append(np.frombuffer(h, np.uint64))
-            owners.append(np.frombuffer(s, np.int64).reshape(-1, 2)[np.frombuffer(o, np.uint32)])
+    hashes, places, tables, docs = [], [], [], []
+    for h, o, s, d in zip(*(table.column(c) for c in ("hashes", "owner", "sets", "docs"))):
+        docs.append(np.frombuffer(d.as_buffer(), np.int64).reshape(-1, 5))
+        if len(h.as_buffer()):
+            hashes.append(np.frombuffer(h.as_buffer(), np.uint64))
+            places.append(np.frombuffer(o.as_buffer(), np.uint32).astype(np.int32))
+            tables.append(np.frombuffer(s.as_buffer(), np.int64).reshape(-1, 2))
     doc = np.concatenate(docs) if docs else np.zeros((0, 5), np.int64)
     sets, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
     if hashes:
-        h, o = np.concatenate(hashes), np.concatenate(owners)
-        del hashes, owners
-        order = np.lexsort((o[:, 0], h))
-        h, o = h[order], o[order]
+        names, owners = _number(places, tables)
+        h = np.concatenate(hashes)
+        order = np.lexsort((owners, h))
+        h, owners = h[order], owners[order]
         new = np.r_[True, h[1:] != h[:-1]]
-        start = np.flatnonzero(new)
-        run = np.cumsum(new) - 1
-        fresh = np.r_[True, (h[1:] != h[:-1]) | (o[1:, 0] != o[:-1, 0]) | (o[1:, 1] != o[:-1, 1])]
-        several = np.bincount(run[fresh], minlength=len(start)) > 1
-        marked = np.minimum.reduceat(o[:, 1], start) == 0
-        take = (several | marked)[run] & (o[:, 1] == 1) & fresh
-        sets, counts = np.unique(o[take, 0], return_counts=True)
+        fresh = np.r_[True, new[1:] | (owners[1:] != owners[:-1])]
+        run = (np.cumsum(new) - 1).astype(np.int32)
+        shared = (np.bincount(run[fresh]) > 1) | (owners[new] < 0)
+        counts = np.bincount(owners[shared[run] & (owners >= 0) & fresh], minlength=len(names))
+        sets, counts = names[counts > 0], counts[counts > 0]
     known = doc[:, 0] == 1
     return pa.table({
         "doc_id": pa.concat_arrays([pa.array(doc[:, 1], pa.int64(), mask=~known), pa.nulls(len(sets), pa.int64())]),
@@ -237,13 +248,14 @@ def _segments(table: pa.Table) -> pa.Table:
     """Reducer of pass 2 for one fragment: per set its shingles here that
     other sets hold too, their document frequencies, and the parity
     signature of all its shingles here."""
-    hashes, owners = [], []
-    for h, o, s in zip(*(table.column(c).to_pylist() for c in ("hashes", "owner", "sets"))):
-        hashes.append(np.frombuffer(h, np.uint64))
-        owners.append(np.frombuffer(s, np.int64).reshape(-1, 2)[np.frombuffer(o, np.uint32)])
-    h, o = np.concatenate(hashes), np.concatenate(owners)
-    sids, first, s = np.unique(o[:, 0], return_index=True, return_inverse=True)
-    ns = o[first, 1]
+    hashes = [np.frombuffer(h.as_buffer(), np.uint64) for h in table.column("hashes")]
+    places = [np.frombuffer(o.as_buffer(), np.uint32) for o in table.column("owner")]
+    tables = [np.frombuffer(t.as_buffer(), np.int64).reshape(-1, 2) for t in table.column("sets")]
+    sids, s = _number(places, tables)  # a set has a shingle at least, so its size is never 0
+    every = np.concatenate(tables)
+    ns = np.zeros(len(sids), np.int64)
+    ns[np.searchsorted(sids, every[:, 0])] = every[:, 1]
+    h = np.concatenate(hashes)
     order = np.lexsort((s, h))
     h, s = h[order], s[order]
     fresh = np.r_[True, (h[1:] != h[:-1]) | (s[1:] != s[:-1])]
@@ -309,8 +321,8 @@ def _may_link(a, b, n, position, sign, percent: int) -> np.ndarray:
 
 
 def _candidates(whole: bool, percent: int):
-    """Kernel over rows sorted by group (shingle and block pair): the star and
-    chain of each group, or (``whole``) all pairs of different components."""
+    """Kernel over rows sorted by group (shingle and block pair): the star of
+    each group, or (``whole``) all pairs of different components."""
 
     def pairs_of(sid, n, position, sign, component, start, end):
         for s, e in zip(start, end):
@@ -338,10 +350,8 @@ def _candidates(whole: bool, percent: int):
             parts = pairs_of(sid, n, position, sign, component, start, end)
         else:
             rows = np.concatenate([np.arange(s, e) for s, e in zip(start, end)])
-            length = np.repeat(end - start, end - start)
             middle = np.repeat((start + end) // 2, end - start)
-            last = rows == np.repeat(end - 1, end - start)
-            parts = [(rows[(rows != middle)], middle[rows != middle]), (rows[~last & (length > 2)], rows[~last & (length > 2)] + 1)]
+            parts = [(rows[rows != middle], middle[rows != middle])]
         found = []
         for a, b in parts:
             ok = _may_link(a, b, n, position, sign, percent) & (sid[a] != sid[b])
@@ -395,7 +405,7 @@ def _verified(pairs: DataFrame, segments: DataFrame, count: int, percent: int) -
     blocks = pairs.count() // PAIR_BLOCK + 1
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     right = pairs.withColumn("block", F.pmod(F.xxhash64("x", "y"), F.lit(blocks)).cast("int")).withColumn("fragment", every(count))
-    left = segments.select("fragment", "sid", "hashes").withColumn("block", every(blocks))
+    left = segments.select("fragment", "sid", "hashes").withColumn("block", every(blocks) if blocks > 1 else F.lit(0))
     part = (left.groupBy("fragment", "block").cogroup(right.groupBy("fragment", "block"))
             .applyInArrow(_overlaps, PAIRS + ", overlap long"))
     total = part.groupBy("x", "y", "nx", "ny").agg(F.sum("overlap").alias("o"))
@@ -427,7 +437,7 @@ def linked(docs: DataFrame, ident: str = "doc_id", text: str = "text", size: int
     if not stats[0]:
         return _result(documents, sets.select("sid", F.col("sid").alias("component"), "doc_id"))
     bitmap = docs.sparkSession.sparkContext.broadcast(_bitmap(survivors, stats[0]))
-    count = max(4, _ceil(stats[1], FRAGMENT_ENTRIES))
+    count = max(8, _ceil(stats[1], FRAGMENT_ENTRIES))
     dealt = rows.mapInArrow(_second_pass(bitmap, count, size), "fragment int, hashes binary, owner binary, sets binary")
     segments = cut_lineage(dealt.groupBy("fragment").applyInArrow(_segments, SEGMENTS))
     prefixes = (segments.groupBy("sid", "n").agg(F.collect_list(F.struct("hashes", "frequency", "signature")).alias("parts"))
