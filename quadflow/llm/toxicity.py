@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadflow.llm.arrow import text_slices
+from quadflow.llm.arrow import text_slices, utf8
 from quadflow.llm.sample import fold, labelled
 from quadflow.llm.words import LOWER, U, mix, powers, words, BASE, BASE_INVERSE
 
@@ -164,25 +165,37 @@ def _telling(names, df, y, rows) -> np.ndarray:
     return np.sort(np.array(chosen, np.int64))
 
 
-def fit(ids: list, y: np.ndarray, sets: list[np.ndarray], counts: list[np.ndarray]) -> dict:
+def fit(ids: list, y: np.ndarray, flat: np.ndarray, times: np.ndarray, offsets: np.ndarray) -> dict:
     """Vocabulary, example vectors and calibration from each labelled text's
-    distinct term hashes and their counts."""
+    distinct term hashes and their counts, all texts in one array. Terms of
+    fewer than MIN_DOCS texts are dropped first."""
     n, n1 = len(y), int(y.sum())
-    prior = n1 / n if n else 0.0
-    if n:
-        names, df = np.unique(np.concatenate(sets), return_counts=True)
-        use = _telling(names, df, y, [np.searchsorted(names, s) for s in sets])
-        vocabulary, idf = names[use], np.log((1 + n) / (1 + df[use])) + 1
-    else:
-        vocabulary, idf = np.zeros(0, U), np.zeros(0)
-    text = np.repeat(np.arange(n), [len(s) for s in sets])
-    flat = np.concatenate(sets) if n else np.zeros(0, U)
-    times = np.concatenate(counts) if n else np.zeros(0, np.int64)
-    vectors = _vectors(np.repeat(flat, times), np.repeat(text, times), n, vocabulary, idf)
+    in_order = np.sort(flat)
+    start = np.flatnonzero(np.r_[True, in_order[1:] != in_order[:-1]]) if len(flat) else np.zeros(0, np.int64)
+    df = np.diff(np.r_[start, len(flat)])
+    names, df = in_order[start[df >= MIN_DOCS]], df[df >= MIN_DOCS]
+    del in_order, start
+    rows, counts = [], []
+    for a, b in zip(offsets, offsets[1:]):
+        own = flat[a:b]
+        at = np.minimum(np.searchsorted(names, own), max(0, len(names) - 1))
+        hit = names[at] == own if len(names) else np.zeros(len(own), bool)
+        rows.append(at[hit].astype(np.int32))
+        counts.append(times[a:b][hit])
+    use = _telling(names, df, y, rows) if len(names) else np.zeros(0, np.int64)
+    vocabulary, idf = names[use], np.log((1 + n) / (1 + df[use])) + 1
+    place = np.full(len(names), -1, np.int32)
+    place[use] = np.arange(len(use))
+    vectors = []
+    for own, c in zip(rows, counts):
+        term = place[own]
+        w = (1 + np.log(c[term >= 0])) * idf[term[term >= 0]]
+        order = np.argsort(term[term >= 0])
+        vectors.append((term[term >= 0][order].astype(np.int64), (w / np.sqrt(w @ w) if len(w) else w)[order]))
     empty = np.array([len(t) == 0 for t, _ in vectors], bool)
     return {"vocabulary": vocabulary, "idf": idf, "vectors": [v for v, e in zip(vectors, empty) if not e],
             "labels": y[~empty], "ids": [i for i, e in zip(ids, empty) if not e],
-            "prior": float(y[empty].mean()) if empty.any() else prior}
+            "prior": float(y[empty].mean()) if empty.any() else (n1 / n if n else 0.0)}
 
 
 def train(rows: DataFrame) -> dict:
@@ -202,10 +215,11 @@ def train(rows: DataFrame) -> dict:
                      pa.array([c.astype("<i4").tobytes() for _, c in own], pa.binary())], names=["id", "label", "terms", "counts"])
 
     got = rows.mapInArrow(run, "id long, label int, terms binary, counts binary").toArrow()
-    got = got.sort_by([("id", "ascending"), ("label", "ascending"), ("terms", "ascending")])
-    return fit(got.column("id").to_pylist(), np.array(got.column("label").to_pylist(), np.int64),
-               [np.frombuffer(x, U) for x in got.column("terms").to_pylist()],
-               [np.frombuffer(x, "<i4").astype(np.int64) for x in got.column("counts").to_pylist()])
+    order = pa.compute.sort_indices(got.select(["id", "label"]), [("id", "ascending"), ("label", "ascending")])
+    terms_, counts = (got.column(c).combine_chunks().take(order) for c in ("terms", "counts"))
+    raw, at = utf8(terms_)
+    return fit(got.column("id").take(order).to_pylist(), np.array(got.column("label").take(order).to_pylist(), np.int64),
+               raw.view(U), utf8(counts)[0].view("<i4"), at // 8)
 
 
 def score(docs: DataFrame, text: str, model: dict, out: str = "score", evidence: str = "evidence") -> DataFrame:
