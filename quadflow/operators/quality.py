@@ -225,7 +225,7 @@ def ingest_comments(forms: DataFrame, post: DataFrame, post_comment: DataFrame)
     return made.unionByName(bad)
 
 
-def _greedy_unique(rows: DataFrame, keys: list[str], max_rounds: int = 1000) -> DataFrame:
+def _greedy_unique(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows accepted by an ordered greedy pass over several unique keys: a
     row is kept exactly when no earlier *kept* row shares any of its keys.
 
@@ -243,9 +243,7 @@ def _greedy_unique(rows: DataFrame, keys: list[str], max_rounds: int = 1000) ->
     order = F.struct("ts", "request_id")
     undecided = cut_lineage(rows.select("request_id", "ts", *keys))
     winners_by_round: list[DataFrame] = []
-    for _ in range(max_rounds):
-        if undecided.isEmpty():
-            break
+    while not undecided.isEmpty():  # every round decides a row at least
         firsts = undecided
         for k in keys:
             first_k = (undecided.filter(F.col(k).isNotNull()).groupBy(k)

@@ -170,20 +170,30 @@ _EV = "event_id AS request_id, ts, user_id AS actor_user_id, " + _role("user_id"
 _DUE = f"({_START} + to_hours(2) + to_days(CAST(o_orderkey % 9 AS INTEGER)))"
 _CREATED = f"({_E} + to_hours(CAST(o_orderkey % 720 AS BIGINT)))"
 
+
+
+def target_sql(rows: str) -> str:
+    """Twin of ``quadflow.sources.requests._target``."""
+    spread = f"(event_id * 7919 % {rows})"
+    return f"CASE WHEN event_id % 4 = 0 THEN {spread} - {spread} % 16 ELSE {spread} END"
+
+
+_ACTIVITIES = "(SELECT count(*) FROM orders)"
+
 DOMAIN.update({
     "reg_request": f"""
 SELECT {_EV},
-       CASE WHEN user_id % 11 = 0 THEN (SELECT count(*) FROM orders) + event_id % 389 ELSE event_id % 389 END AS activity_id,
+       CASE WHEN user_id % 11 = 0 THEN {_ACTIVITIES} + event_id % 389 ELSE {target_sql(_ACTIVITIES)} END AS activity_id,
        user_id AS student_id
 FROM events WHERE event_type = 'signup'""",
     "like_request": f"""
 SELECT {_EV}, CASE WHEN user_id % 13 = 0 THEN {_N['n_post']} + event_id % 7 ELSE event_id % 211 END AS post_id
 FROM events WHERE event_type = 'click'""",
     "trade_buy_request": f"""
-SELECT {_EV}, CASE WHEN user_id % 17 = 0 THEN {_N['n_resource']} + event_id % 5 ELSE event_id % 211 END AS product_id
+SELECT {_EV}, CASE WHEN user_id % 17 = 0 THEN {_N['n_resource']} + event_id % 5 ELSE {target_sql(_N['n_resource'])} END AS product_id
 FROM events WHERE event_type = 'purchase'""",
     "status_request": f"""
-SELECT {_EV}, event_id % 389 AS activity_id,
+SELECT {_EV}, {target_sql(_ACTIVITIES)} AS activity_id,
        CASE event_id % 6 WHEN 0 THEN 'draft' WHEN 1 THEN 'published' WHEN 2 THEN 'ongoing' WHEN 3 THEN 'finished'
             WHEN 4 THEN 'cancelled' ELSE 'archived' END AS status
 FROM events WHERE event_type = 'error'""",

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from quadflow.operators import admission as A
 from quadflow.plans.catalog import REGISTRY, query
+from quadflow.plans.domain_sql import target_sql
 from quadflow.plans.q_lists import _USER_DIM, viewers
+from quadflow.sources.requests import _target
 
 # -- REG ----------------------------------------------------------------------------------
 
@@ -568,7 +570,7 @@ def trade_log_requests(c, r):
     """Purchase events as buys plus, per purchase, a follow-up status change
     by the same user ``value`` minutes later that refers to that buy."""
     e = c.raw("events").filter(F.col("event_type") == "purchase")
-    product = F.col("event_id") % 211
+    product = _target(F.col("event_id"), c.n_resource)
     status = F.when(F.col("event_id") % 3 == 0, "cancelled").when(F.col("event_id") % 3 == 1, "completed") \
         .otherwise("created")
     buys = e.select((F.col("event_id") * 2).alias("request_id"), "ts", product.alias("product_id"),
@@ -584,11 +586,11 @@ def trade_log_requests(c, r):
 
 _TRADE_LOG_SQL = """
 WITH RECURSIVE lg AS (
-  SELECT event_id * 2 AS request_id, ts, event_id % 211 AS product_id, 'buy' AS kind, user_id AS actor_user_id,
+  SELECT event_id * 2 AS request_id, ts, @TARGET@ AS product_id, 'buy' AS kind, user_id AS actor_user_id,
          CAST(NULL AS BIGINT) AS order_ref, CAST(NULL AS VARCHAR) AS new_status
   FROM events WHERE event_type = 'purchase'
   UNION ALL
-  SELECT event_id * 2 + 1, ts + to_minutes(CAST(floor(value) AS BIGINT)), event_id % 211, 'status', user_id, event_id * 2,
+  SELECT event_id * 2 + 1, ts + to_minutes(CAST(floor(value) AS BIGINT)), @TARGET@, 'status', user_id, event_id * 2,
          CASE event_id % 3 WHEN 0 THEN 'cancelled' WHEN 1 THEN 'completed' ELSE 'created' END
   FROM events WHERE event_type = 'purchase'),
 x AS (SELECT lg.*, p.status AS init_status, p.seller_user_id AS seller,
@@ -623,7 +625,7 @@ FROM walk w JOIN x ON x.product_id = w.product_id AND x.rn = w.rn
 WHERE w.rn >= 1"""
 
 
-@query("trade_log", _TRADE_LOG_SQL)
+@query("trade_log", _TRADE_LOG_SQL.replace("@TARGET@", target_sql("(SELECT count(*) FROM part)")))
 def trade_log(c, r):
     """TRD-3 / FOLD-3: buys and status changes replayed per product (the oracle is a recursive per-product replay in SQL)."""
     return T.replay_trade_log(trade_log_requests(c, r), c.product).select(

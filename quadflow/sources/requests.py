@@ -18,6 +18,14 @@ from quadflow.functions.scalar import role_of
 from quadflow.sources.domain import EPOCH, Campus, _first_row, plus, ts_lit
 
 
+def _target(event_id: Column, rows: Column | int) -> Column:
+    """A target row for an event: spread over the whole table by a large odd
+    stride; every fourth event goes to a busy sixteenth of the table, so some
+    targets see more requests than others at every size."""
+    spread = event_id * F.lit(7919) % rows
+    return F.when(event_id % 4 == 0, spread - spread % 16).otherwise(spread)
+
+
 def _pick(index: Column, values: list[str | None]) -> Column:
     expr = None
     for i, v in enumerate(values):
@@ -45,7 +53,7 @@ class Requests:
         """signup events -> registration requests (student = the user)."""
         e = self._events("signup")
         target = F.when(F.col("user_id") % 11 == 0, self.c.n_activity + F.col("event_id") % 389) \
-            .otherwise(F.col("event_id") % 389)
+            .otherwise(_target(F.col("event_id"), self.c.n_activity))
         return e.select(*self._base(e, F.col("user_id")), target.alias("activity_id"),
                         F.col("user_id").alias("student_id"))
 
@@ -62,7 +70,7 @@ class Requests:
         """purchase events -> buy attempts on products."""
         e = self._events("purchase")
         target = F.when(F.col("user_id") % 17 == 0, self.c.n_resource + F.col("event_id") % 5) \
-            .otherwise(F.col("event_id") % 211)
+            .otherwise(_target(F.col("event_id"), self.c.n_resource))
         return e.select(*self._base(e, F.col("user_id")), target.alias("product_id"))
 
     @cached_property
@@ -71,7 +79,7 @@ class Requests:
         e = self._events("error")
         status = _pick(F.col("event_id") % 6, ["draft", "published", "ongoing", "finished", "cancelled",
                                                "archived"])
-        return e.select(*self._base(e, F.col("user_id")), (F.col("event_id") % 389).alias("activity_id"),
+        return e.select(*self._base(e, F.col("user_id")), _target(F.col("event_id"), self.c.n_activity).alias("activity_id"),
                         status.alias("status"))
 
     @cached_property
