@@ -204,12 +204,9 @@ def toggle_likes(requests: DataFrame, post: DataFrame, post_like: DataFrame) ->
     final_new = (inserts.join(per_pair, ["post_id", "user_id"])
                  .filter((F.col("_i") == F.col("_n")))
                  .select("like_id", "post_id", "user_id", F.col("ts").alias("create_time")))
-    touched = per_pair.select("post_id", "user_id")
-    kept = post_like.join(touched, ["post_id", "user_id"], "left_anti")
-    # A touched pair that was liked and toggled an even number of times keeps its row.
-    even = per_pair.filter((F.col("_e") == 1) & (F.col("_n") % 2 == 0)).select("post_id", "user_id")
-    kept_even = post_like.join(even, ["post_id", "user_id"], "left_semi")
-    return kept.unionByName(kept_even).unionByName(final_new)
+    # A touched pair's old row is gone: its first toggle deleted it, and a later one inserts a new row.
+    kept = post_like.join(per_pair.select("post_id", "user_id"), ["post_id", "user_id"], "left_anti")
+    return kept.unionByName(final_new)
 
 
 def like_changes(requests: DataFrame, post: DataFrame, post_like: DataFrame) -> tuple[DataFrame, DataFrame]:

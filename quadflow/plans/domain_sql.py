@@ -187,7 +187,7 @@ SELECT {_EV},
        user_id AS student_id
 FROM events WHERE event_type = 'signup'""",
     "like_request": f"""
-SELECT {_EV}, CASE WHEN user_id % 13 = 0 THEN {_N['n_post']} + event_id % 7 ELSE event_id % 211 END AS post_id
+SELECT {_EV}, CASE WHEN user_id % 13 = 0 THEN {_N['n_post']} + event_id % 7 ELSE {target_sql(_N['n_post'])} END AS post_id
 FROM events WHERE event_type = 'click'""",
     "trade_buy_request": f"""
 SELECT {_EV}, CASE WHEN user_id % 17 = 0 THEN {_N['n_resource']} + event_id % 5 ELSE {target_sql(_N['n_resource'])} END AS product_id

@@ -115,10 +115,9 @@ n AS (SELECT *, row_number() OVER (PARTITION BY post_id, user_id ORDER BY ts, re
              count(*) OVER (PARTITION BY post_id, user_id) AS cnt FROM q),
 ins AS (SELECT *, (SELECT max(like_id) FROM post_like) + row_number() OVER (ORDER BY ts, request_id) AS like_id
         FROM n WHERE (e + i - 1) % 2 = 0),
-touched AS (SELECT DISTINCT post_id, user_id, e, cnt FROM n)
+touched AS (SELECT DISTINCT post_id, user_id FROM n)
 SELECT p.like_id, p.post_id, p.user_id, p.create_time FROM post_like p
 WHERE NOT EXISTS (SELECT 1 FROM touched t WHERE t.post_id = p.post_id AND t.user_id = p.user_id)
-   OR EXISTS (SELECT 1 FROM touched t WHERE t.post_id = p.post_id AND t.user_id = p.user_id AND t.cnt % 2 = 0)
 UNION ALL
 SELECT like_id, post_id, user_id, ts AS create_time FROM ins WHERE i = cnt"""
 

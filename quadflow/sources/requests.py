@@ -62,7 +62,7 @@ class Requests:
         """click events -> like toggles; some target posts that do not exist."""
         e = self._events("click")
         target = F.when(F.col("user_id") % 13 == 0, self.c.n_post + F.col("event_id") % 7) \
-            .otherwise(F.col("event_id") % 211)
+            .otherwise(_target(F.col("event_id"), self.c.n_post))
         return e.select(*self._base(e, F.col("user_id")), target.alias("post_id"))
 
     @cached_property
