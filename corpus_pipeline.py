@@ -49,8 +49,8 @@ def tokens(spark, docs, sf_dir):
     """Token ids of what is left: doc_id, lang, source, n_tokens and ids
     (little-endian unsigned 32-bit integers); the ids decode to the text."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), "text", path, public_tokenizers.PATTERN)
-    digests = bpe.decode(coded, "ids", path).withColumn("decoded_sha256", F.sha2("decoded", 256))
+    coded = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), "text", path, public_tokenizers.PATTERN)
+    digests = coded.withColumn("decoded_sha256", F.sha2("decoded", 256))
     return digests.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 

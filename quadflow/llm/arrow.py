@@ -4,6 +4,7 @@ size Spark happens to send."""
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 
@@ -54,6 +55,16 @@ def text_slices(batch: pa.RecordBatch, name: str, limit: int = SLICE_BYTES):
     data, off = utf8(batch.column(name))
     for lo, hi in slices(np.diff(off), limit):
         yield batch.slice(lo, hi - lo), data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo]
+    release()
+
+
+def release() -> None:
+    """Gives memory that this Python worker has freed back to the system, so
+    that a worker reused by many tasks doesn't keep the peak of each."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def worker_store(name: str) -> dict:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadflow.llm.arrow import slices, texts, utf8, worker_store
+from quadflow.llm.arrow import release, slices, texts, utf8, worker_store
 
 CACHE_ENTRIES = 600_000  # units a Python worker remembers before it starts afresh
 CACHE_BYTES = 64_000_000  # and their characters
@@ -200,18 +200,47 @@ class Encoder:
         return [b"".join(map(known.__getitem__, parts)) for parts in cut]
 
 
-def _batch(source: pa.RecordBatch, field: pa.Field, values: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([*source.columns, pa.array(values, field.type)],
-                                      schema=pa.schema([*source.schema, field]))
+class Decoder:
+    """The bytes behind ids (little-endian unsigned 32-bit integers)."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.tokens = [None] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+
+    def decode_all(self, rows: list[bytes]) -> list[bytes]:
+        return [b"".join(map(self.tokens.__getitem__, memoryview(x).cast("I"))) if x else b"" for x in rows]
 
 
-def _in_slices(batches, column: str, out: str, convert, limit: int):
-    field = pa.field(out, pa.binary())
+def _in_slices(batches, column: str, drop: bool, outs: list[str], convert):
+    """The batches, cut by the bytes in ``column``, with the binary columns
+    that ``convert`` makes of its rows."""
     for batch in batches:
-        sizes = np.diff(utf8(batch.column(column))[1])
-        for lo, hi in slices(sizes, limit):
+        for lo, hi in slices(np.diff(utf8(batch.column(column))[1]), OUT_BYTES):
             part = batch.slice(lo, hi - lo)
-            yield _batch(part.drop_columns([column]), field, convert(texts(part.column(column)).to_pylist()))
+            values = convert(texts(part.column(column)).to_pylist())
+            rest = part.drop_columns([column]) if drop else part
+            yield pa.RecordBatch.from_arrays([*rest.columns, *(pa.array(v, pa.binary()) for v in values)],
+                                             schema=pa.schema([*rest.schema, *(pa.field(n, pa.binary()) for n in outs)]))
+        release()
+
+
+def _stored(kind: str, key: tuple, make):
+    """What ``make`` builds from the ranks, kept while the Python worker lives."""
+    store = worker_store(kind)
+    if key not in store:
+        store.clear()
+        store[key] = make()
+    return store[key]
+
+
+def _read(df: DataFrame, ranks_path: str):
+    with open(ranks_path, "rb") as f:
+        return df.sparkSession.sparkContext.broadcast(f.read())
+
+
+def _with_binary(df: DataFrame, keep: list[str], outs: list[str]) -> T.StructType:
+    return T.StructType([df.schema[c] for c in keep] + [T.StructField(n, T.BinaryType()) for n in outs])
 
 
 def encode(df: DataFrame, column: str, ranks_path: str, pattern: str, out: str = "ids") -> DataFrame:
@@ -224,21 +253,14 @@ def encode(df: DataFrame, column: str, ranks_path: str, pattern: str, out: str =
     driver (a vocabulary, about 1 MB), and sent with the tasks. A column that
     already has the name ``out`` is replaced.
     """
-    with open(ranks_path, "rb") as f:
-        lines = df.sparkSession.sparkContext.broadcast(f.read())
+    lines = _read(df, ranks_path)
     keep = [c for c in df.columns if c not in (column, out)]
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, T.BinaryType())])
 
     def run(batches):
-        store = worker_store("bpe")
-        key = (ranks_path, pattern, len(lines.value))
-        encoder = store.get(key)
-        if encoder is None:
-            store.clear()
-            encoder = store[key] = Encoder(read_ranks(lines.value.splitlines()), pattern)
-        yield from _in_slices(batches, "__text", out, encoder.encode_all, OUT_BYTES)
+        encoder = _stored("bpe", (ranks_path, pattern, len(lines.value)), lambda: Encoder(read_ranks(lines.value.splitlines()), pattern))
+        yield from _in_slices(batches, "__text", True, [out], lambda rows: [encoder.encode_all(rows)])
 
-    return df.select(*keep, F.col(column).alias("__text")).mapInArrow(run, schema)
+    return df.select(*keep, F.col(column).alias("__text")).mapInArrow(run, _with_binary(df, keep, [out]))
 
 
 def decode(df: DataFrame, column: str, ranks_path: str, out: str = "decoded") -> DataFrame:
@@ -247,32 +269,41 @@ def decode(df: DataFrame, column: str, ranks_path: str, out: str = "decoded") ->
     Null or empty ids give empty bytes. Rows, their number and the other
     columns are kept. Ids that the vocabulary lacks raise an error.
     """
-    with open(ranks_path, "rb") as f:
-        lines = df.sparkSession.sparkContext.broadcast(f.read())
+    lines = _read(df, ranks_path)
     keep = [c for c in df.columns if c != out]
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(out, T.BinaryType())])
 
     def run(batches):
-        ranks = read_ranks(lines.value.splitlines())
-        tokens = [None] * (max(ranks.values(), default=-1) + 1)
-        for token, rank in ranks.items():
-            tokens[rank] = token
-        field = pa.field(out, pa.binary())
-        for batch in batches:
-            for lo, hi in slices(np.diff(utf8(batch.column(column))[1]), OUT_BYTES):
-                part = batch.slice(lo, hi - lo)
-                rows = [b"".join(map(tokens.__getitem__, memoryview(x).cast("I"))) if x else b""
-                        for x in part.column(column).to_pylist()]
-                yield _batch(part, field, rows)
+        decoder = Decoder(read_ranks(lines.value.splitlines()))
+        yield from _in_slices(batches, column, False, [out], lambda rows: [decoder.decode_all(rows)])
+
+    return df.select(*keep).mapInArrow(run, _with_binary(df, keep, [out]))
+
+
+def round_trip(df: DataFrame, column: str, ranks_path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """``encode``, then ``decode`` of the ids, in one Python worker per task:
+    text ``column`` becomes the binary columns ``ids`` and ``decoded``. Rows,
+    nulls and other columns as there."""
+    lines = _read(df, ranks_path)
+    keep = [c for c in df.columns if c not in (column, ids, decoded)]
+
+    def run(batches):
+        def both():
+            ranks = read_ranks(lines.value.splitlines())
+            return Encoder(ranks, pattern), Decoder(ranks)
+
+        encoder, decoder = _stored("bpe_both", (ranks_path, pattern, len(lines.value)), both)
+
+        def convert(rows):
+            coded = encoder.encode_all(rows)
+            return [coded, decoder.decode_all(coded)]
+
+        yield from _in_slices(batches, "__text", True, [ids, decoded], convert)
 
-    return df.select(*keep).mapInArrow(run, schema)
+    return df.select(*keep, F.col(column).alias("__text")).mapInArrow(run, _with_binary(df, keep, [ids, decoded]))
 
 
 def round_trip_digests(documents: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """Per document: doc_id, n_tokens, ids_sha256 and decoded_sha256, from
-    ``encode`` and ``decode``."""
-    coded = encode(documents.select("doc_id", "text"), "text", ranks_path, pattern)
-    coded = coded.select("doc_id", "ids", F.sha2("ids", 256).alias("ids_sha256"))
-    return decode(coded, "ids", ranks_path).select(
-        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids_sha256",
-        F.sha2("decoded", 256).alias("decoded_sha256"))
+    """Per document: doc_id, n_tokens, ids_sha256 and decoded_sha256."""
+    coded = round_trip(documents.select("doc_id", "text"), "text", ranks_path, pattern)
+    return coded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -31,7 +31,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadflow.llm.arrow import text_slices
+from quadflow.llm.arrow import release, text_slices
 from quadflow.llm.graph import components
 from quadflow.llm.words import mix, shingles, words
 from quadflow.session import cut_lineage
@@ -43,6 +43,7 @@ FRAGMENT_ENTRIES = 1_000_000  # shingles that one fragment is planned to hold
 FLUSH_ENTRIES = 500_000  # shingles that a task holds before it sends them on
 BLOCK = 2048
 PAIR_BLOCK = 2_000_000  # pairs that one verification task is planned to hold
+PAIR_SLICE = 100_000  # pairs that are Python integers at a time
 MAX_BITS = 27  # the survivors' bitmap has at most 2^27 bits (16 MB)
 
 
@@ -175,6 +176,7 @@ def _count_shared(table: pa.Table) -> pa.Table:
         counts = np.bincount(owners[shared[run] & (owners >= 0) & fresh], minlength=len(names))
         sets, counts = names[counts > 0], counts[counts > 0]
     known = doc[:, 0] == 1
+    release()
     return pa.table({
         "doc_id": pa.concat_arrays([pa.array(doc[:, 1], pa.int64(), mask=~known), pa.nulls(len(sets), pa.int64())]),
         "sid": pa.array(np.r_[doc[:, 2], sets], pa.int64()),
@@ -273,6 +275,7 @@ def _segments(table: pa.Table) -> pa.Table:
         shared = frequency[a:b] > 1
         rows.append((h[a:b][shared].tobytes(), frequency[a:b][shared].tobytes(), np.packbits(parity.astype(np.uint8)).tobytes()))
     hs, fs, gs = zip(*rows)
+    release()
     return pa.table({"fragment": pa.array([table.column("fragment")[0].as_py()] * len(sids), pa.int32()), "sid": pa.array(sids, pa.int64()),
                      "n": pa.array(ns, pa.int64()), "hashes": pa.array(hs, pa.binary()),
                      "frequency": pa.array(fs, pa.binary()), "signature": pa.array(gs, pa.binary())})
@@ -368,6 +371,7 @@ def _candidates(whole: bool, percent: int):
 
     def run(batches):
         held = None
+        release()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -394,10 +398,15 @@ def _overlaps(key, left: pa.Table, right: pa.Table) -> pa.Table:
     """Partial overlaps of a block of pairs in one fragment."""
     parts = {s: np.frombuffer(h, np.uint64) for s, h in zip(left.column("sid").to_pylist(), left.column("hashes").to_pylist())}
     none = np.zeros(0, np.uint64)
-    x, y = right.column("x").to_pylist(), right.column("y").to_pylist()
-    counts = [len(np.intersect1d(parts.get(a, none), parts.get(b, none), assume_unique=True)) for a, b in zip(x, y)]
-    out = pa.table({**{c: right.column(c) for c in ("x", "y", "nx", "ny")}, "overlap": pa.array(counts, pa.int64())})
-    return out.filter(pa.compute.greater(out.column("overlap"), 0))
+    right, found = right.select(["x", "y", "nx", "ny"]), []
+    for lo in range(0, len(right), PAIR_SLICE):
+        own = right.slice(lo, PAIR_SLICE)
+        counts = [len(np.intersect1d(parts.get(a, none), parts.get(b, none), assume_unique=True))
+                  for a, b in zip(own.column("x").to_pylist(), own.column("y").to_pylist())]
+        own = own.append_column("overlap", pa.array(counts, pa.int64()))
+        found.append(own.filter(pa.compute.greater(own.column("overlap"), 0)))
+    release()
+    return pa.concat_tables(found) if found else right.append_column("overlap", pa.array([], pa.int64()))
 
 
 def _verified(pairs: DataFrame, segments: DataFrame, count: int, percent: int) -> DataFrame:
