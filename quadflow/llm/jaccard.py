@@ -15,10 +15,14 @@ pair. Three passes keep the work near the number of real links:
    256-bit parity signature (a lower bound of the symmetric difference) drop
    pairs that cannot.
 3. Pairs are verified by summed partial overlaps. The first round tries
-   one star per prefix shingle and joins what links into components;
-   the second tries every remaining pair between different components, so
-   that no link is lost and a group of copies is never expanded into all its
-   pairs. Groups of more than ``BLOCK`` sets are cut into block pairs.
+   each set with one other set per smallest shingle (sets that link mostly
+   share one of the ``STARS`` smallest hashes) and joins what links into
+   components; the second tries, per prefix shingle, each set with the middle
+   one and with ``SHIFTS`` others picked by hash, where their components
+   differ; the third tries every remaining pair of a prefix shingle between different
+   components, so that no link is lost and a group of copies is never
+   expanded into all its pairs. Groups of more than ``BLOCK`` sets are cut
+   into block pairs.
 
 Equal sets are one node all along. Sets and shingles are 64-bit hashes.
 """
@@ -41,6 +45,8 @@ PERCENT = 75
 EXTRA = 15  # percent of a set by which pass 1 lengthens the prefix
 FRAGMENT_ENTRIES = 1_000_000  # shingles that one fragment is planned to hold
 FLUSH_ENTRIES = 500_000  # shingles that a task holds before it sends them on
+STARS = 4  # smallest shared shingles of a set that give it a partner in the first round
+SHIFTS = (1, 2, 4, 8)  # places in a prefix shingle's hash order from a set to its partners in the second round
 BLOCK = 2048
 PAIR_BLOCK = 2_000_000  # pairs that one verification task is planned to hold
 PAIR_SLICE = 100_000  # pairs that are Python integers at a time
@@ -152,9 +158,17 @@ def _number(places: list, tables: list):
     return names, np.concatenate([number[b + p] for b, p in zip(base, places)])
 
 
-def _count_shared(table: pa.Table) -> pa.Table:
+INFO = "doc_id long, sid long, n long, shared long, bucket int, counts binary"
+
+
+def _count_shared(buckets: int):
+    return lambda table: _shared_of(table, buckets)
+
+
+def _shared_of(table: pa.Table, buckets: int) -> pa.Table:
     """Reducer of pass 1 for one fragment: the documents that came with it,
-    and per set how many of its shingles here other sets hold too."""
+    and per set how many of its shingles here other sets hold too; these
+    partial counts are packed, one row per bucket of set ids."""
     hashes, places, tables, docs = [], [], [], []
     for h, o, s, d in zip(*(table.column(c) for c in ("hashes", "owner", "sets", "docs"))):
         docs.append(np.frombuffer(d.as_buffer(), np.int64).reshape(-1, 5))
@@ -176,15 +190,31 @@ def _count_shared(table: pa.Table) -> pa.Table:
         counts = np.bincount(owners[shared[run] & (owners >= 0) & fresh], minlength=len(names))
         sets, counts = names[counts > 0], counts[counts > 0]
     known = doc[:, 0] == 1
+    home = sets % buckets
+    order = np.argsort(home, kind="stable")
+    used, start = np.unique(home[order], return_index=True)
+    packed = [np.stack([sets[own], counts[own]]).tobytes() for own in np.split(order, start[1:])] if len(sets) else []
+    d, p = len(doc), len(packed)
     release()
     return pa.table({
-        "doc_id": pa.concat_arrays([pa.array(doc[:, 1], pa.int64(), mask=~known), pa.nulls(len(sets), pa.int64())]),
-        "sid": pa.array(np.r_[doc[:, 2], sets], pa.int64()),
-        "n": pa.concat_arrays([pa.array(doc[:, 3], pa.int64()), pa.nulls(len(sets), pa.int64())]),
-        "shared": pa.array(np.r_[doc[:, 4], counts], pa.int64()),
+        "doc_id": pa.concat_arrays([pa.array(doc[:, 1], pa.int64(), mask=~known), pa.nulls(p, pa.int64())]),
+        **{c: pa.concat_arrays([pa.array(doc[:, k], pa.int64()), pa.nulls(p, pa.int64())]) for c, k in (("sid", 2), ("n", 3), ("shared", 4))},
+        "bucket": pa.concat_arrays([pa.nulls(d, pa.int32()), pa.array(used[:p], pa.int32())]),
+        "counts": pa.concat_arrays([pa.nulls(d, pa.binary()), pa.array(packed, pa.binary())]),
     })
 
 
+def _sum_counts(table: pa.Table) -> pa.Table:
+    """Sums the partial counts of one bucket of set ids."""
+    parts = [np.frombuffer(c.as_buffer(), np.int64).reshape(2, -1) for c in table.column("counts")]
+    every = np.concatenate(parts, axis=1)
+    sids, place = np.unique(every[0], return_inverse=True)
+    total = np.zeros(len(sids), np.int64)
+    np.add.at(total, place, every[1])
+    release()
+    return pa.table({"sid": pa.array(sids, pa.int64()), "shared": pa.array(total, pa.int64())})
+
+
 def _needed(n, percent: int):
     """Shingles of its lengthened prefix that a set of n must share to link."""
     return F.ceil(F.lit(EXTRA) * F.ceil(F.lit(percent) * n / 100) / 100)
@@ -311,6 +341,20 @@ def _prefixes(percent: int):
     return run
 
 
+SMALLEST = "shingle long, sid long, n long"
+
+
+def _smallest(batches):
+    """Kernel: the smallest shared shingles of each set, in hash order."""
+    for batch in batches:
+        rows = []
+        for sid, n, parts in zip(*(batch.column(c).to_pylist() for c in ("sid", "n", "parts"))):
+            h = np.concatenate([np.frombuffer(p["hashes"], np.uint64) for p in parts])
+            rows += [(s, sid, n) for s in np.sort(h)[:STARS].view(np.int64).tolist()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["shingle", "sid", "n"])
+
+
 PAIRS = "x long, y long, nx long, ny long"
 
 
@@ -325,8 +369,9 @@ def _may_link(a, b, n, position, sign, percent: int) -> np.ndarray:
 
 
 def _candidates(whole: bool, percent: int):
-    """Kernel over rows sorted by group (shingle and block pair): the star of
-    each group, or (``whole``) all pairs of different components."""
+    """Kernel over rows sorted by group (shingle and block pair): pairs of
+    different components; of each row with the middle row and a few picked
+    by hash, or (``whole``) all."""
 
     def pairs_of(sid, n, position, sign, component, start, end):
         for s, e in zip(start, end):
@@ -354,8 +399,13 @@ def _candidates(whole: bool, percent: int):
             parts = pairs_of(sid, n, position, sign, component, start, end)
         else:
             rows = np.concatenate([np.arange(s, e) for s, e in zip(start, end)])
-            middle = np.repeat((start + end) // 2, end - start)
-            parts = [(rows[rows != middle], middle[rows != middle])]
+            group = np.repeat(np.arange(len(start)), end - start)
+            order = rows[np.lexsort((mix(sid[rows].view(np.uint64) ^ mix(key[rows, 0].view(np.uint64))), group))]
+            parts = [(rows, ((start + end) // 2)[group])]
+            for k in SHIFTS:
+                same = group[:-k] == group[k:]
+                parts.append((order[:-k][same], order[k:][same]))
+            parts = [(a[component[a] != component[b]], b[component[a] != component[b]]) for a, b in parts]
         found = []
         for a, b in parts:
             ok = _may_link(a, b, n, position, sign, percent) & (sid[a] != sid[b])
@@ -415,7 +465,8 @@ def _verified(pairs: DataFrame, segments: DataFrame, count: int, percent: int) -
     blocks = pairs.count() // PAIR_BLOCK + 1
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     right = pairs.withColumn("block", F.pmod(F.xxhash64("x", "y"), F.lit(blocks)).cast("int")).withColumn("fragment", every(count))
-    left = segments.select("fragment", "sid", "hashes").withColumn("block", every(blocks) if blocks > 1 else F.lit(0))
+    asked = pairs.select(F.explode(F.array("x", "y")).alias("sid")).distinct()
+    left = segments.select("fragment", "sid", "hashes").join(asked, "sid", "left_semi").withColumn("block", every(blocks) if blocks > 1 else F.lit(0))
     part = (left.groupBy("fragment", "block").cogroup(right.groupBy("fragment", "block"))
             .applyInArrow(_overlaps, PAIRS + ", overlap long"))
     total = part.groupBy("x", "y", "nx", "ny").agg(F.sum("overlap").alias("o"))
@@ -438,9 +489,11 @@ def linked(docs: DataFrame, ident: str = "doc_id", text: str = "text", size: int
     volume = rows.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     count = max(4, _ceil(volume // 14, FRAGMENT_ENTRIES))  # a word in six bytes, two words in five not in the prefix
     first = rows.mapInArrow(_first_pass(count, size, percent), _first_schema())
-    info = cut_lineage(first.groupBy("fragment").applyInArrow(_count_shared, "doc_id long, sid long, n long, shared long"))
+    info = cut_lineage(first.groupBy("fragment").applyInArrow(_count_shared(count), INFO))
     documents = info.filter("n is not null").select("doc_id", "sid", "n")
-    sets = info.groupBy("sid").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"), F.min("doc_id").alias("doc_id"))
+    counts = info.filter("bucket is not null").select("bucket", "counts").groupBy("bucket").applyInArrow(_sum_counts, "sid long, shared long")
+    known = info.filter("n is not null").select("doc_id", "sid", "n", "shared").unionByName(counts, allowMissingColumns=True)
+    sets = known.groupBy("sid").agg(F.max("n").alias("n"), F.sum("shared").alias("shared"), F.min("doc_id").alias("doc_id"))
     sets = sets.filter("n > 0")
     survivors = sets.filter(F.col("shared") >= _needed(F.col("n"), percent))
     stats = survivors.agg(F.count("*"), F.sum("n")).first()
@@ -450,23 +503,27 @@ def linked(docs: DataFrame, ident: str = "doc_id", text: str = "text", size: int
     count = max(8, _ceil(stats[1], FRAGMENT_ENTRIES))
     dealt = rows.mapInArrow(_second_pass(bitmap, count, size), "fragment int, hashes binary, owner binary, sets binary")
     segments = cut_lineage(dealt.groupBy("fragment").applyInArrow(_segments, SEGMENTS))
-    prefixes = (segments.groupBy("sid", "n").agg(F.collect_list(F.struct("hashes", "frequency", "signature")).alias("parts"))
-                .mapInArrow(_prefixes(percent), PREFIX))
+    gathered = segments.groupBy("sid", "n").agg(F.collect_list(F.struct("hashes", "frequency", "signature")).alias("parts"))
+    prefixes = gathered.mapInArrow(_prefixes(percent), PREFIX)
     blocks = F.ceil(F.col("frequency") / BLOCK).cast("int")
     own = F.pmod("sid", blocks).cast("int")
     grouped = (prefixes.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
                .withColumn("low", F.least(own, "other")).withColumn("high", F.greatest(own, "other")))
 
-    def candidates(rows, whole):
+    def candidates(near, whole):
+        rows = grouped.join(near.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
         spread = rows.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high", "n", "sid")
         return spread.select("shingle", "low", "high", "sid", "n", "position", "signature", "component").mapInArrow(_candidates(whole, percent), PAIRS)
 
-    links = _verified(candidates(grouped.withColumn("component", F.lit(0).cast("long")), False), segments, count, percent)
-    near = components(links)
-    reached = grouped.join(near.withColumnRenamed("node", "sid"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
-    rest = _verified(candidates(reached, True), segments, count, percent)
-    final = components(near.select(F.col("node").alias("u"), F.col("component").alias("v")).union(rest))
-    named = sets.join(final.withColumnRenamed("node", "sid"), "sid", "left")
+    small = cut_lineage(gathered.mapInArrow(_smallest, SMALLEST))
+    centre = small.groupBy("shingle").agg(F.min(F.struct("sid", "n")).alias("c"))
+    stars = (small.join(centre, "shingle").select(F.col("c.sid").alias("x"), F.col("sid").alias("y"), F.col("c.n").alias("nx"), F.col("n").alias("ny"))
+             .filter((F.col("x") != F.col("y")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))))
+    near = components(_verified(stars, segments, count, percent))
+    for every in (False, True):
+        found = _verified(candidates(near, every), segments, count, percent)
+        near = components(near.select(F.col("node").alias("u"), F.col("component").alias("v")).union(found))
+    named = sets.join(near.withColumnRenamed("node", "sid"), "sid", "left")
     return _result(documents, named.select("sid", F.coalesce("component", "sid").alias("component"), "doc_id"))
 
 
