@@ -30,6 +30,14 @@ def rate_pct(num: Column | str, den: Column | str) -> Column:
     return F.when(den == 0, F.lit(0.0)).otherwise(exact.cast("double"))
 
 
+BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())  # what a form field is stripped of
+
+
+def strip(col: Column | str) -> Column:
+    """Text without the white space (of any kind) around it."""
+    return F.btrim(F.col(col) if isinstance(col, str) else col, F.lit(BLANKS))
+
+
 def clamp(col: Column, lo: int, hi: int) -> Column:
     return F.least(F.lit(hi), F.greatest(F.lit(lo), col))
 

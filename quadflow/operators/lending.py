@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadflow.functions.scalar import order_uid
+from quadflow.functions.scalar import order_uid, strip
 from quadflow.sources.tables import add_column_if_missing
 
 
@@ -26,7 +26,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _digits(c):
-    return F.coalesce(F.trim(c).rlike("^[0-9]+$"), F.lit(False))
+    return F.coalesce(strip(c).rlike(r"\A[0-9]+\z"), F.lit(False))
 
 
 def _greedy_walk(qty, left: int):
@@ -98,7 +98,7 @@ def reserve_stock(requests: DataFrame, borrow_order: DataFrame, resource_item: D
     orders = backfill_order_uid(borrow_order).select("order_id", "order_uid", "applicant_user_id")
     actors = viewers.select(F.col("user_id").alias("actor_user_id"), F.col("role").alias("_role"))
     by_id = _digits(F.col("order_ref"))
-    req = requests.withColumn("_oid", F.when(by_id, F.trim("order_ref").try_cast("long")))
+    req = requests.withColumn("order_ref", strip("order_ref")).withColumn("_oid", F.when(by_id, strip("order_ref").try_cast("long")))
     o1 = orders.select(F.col("order_id").alias("_oid"), F.col("order_id").alias("_id1"),
                        F.col("applicant_user_id").alias("_app1"))
     o2 = orders.select(F.col("order_uid").alias("order_ref"), F.col("order_id").alias("_id2"),
@@ -109,7 +109,7 @@ def reserve_stock(requests: DataFrame, borrow_order: DataFrame, resource_item: D
          .join(actors, "actor_user_id", "left")
          .join(resource_item.select("resource_id", "available_qty", F.lit(True).alias("_has_res")),
                "resource_id", "left"))
-    form_ok = (F.coalesce(F.trim("order_ref") != "", F.lit(False)) & F.col("resource_id").isNotNull()
+    form_ok = (F.coalesce(strip("order_ref") != "", F.lit(False)) & F.col("resource_id").isNotNull()
                & (F.col("resource_id") >= 0) & F.col("borrow_qty").isNotNull() & (F.col("borrow_qty") >= 0))
     reason = (F.when(~F.coalesce(F.col("_role").isin("admin", "club"), F.lit(False)), "forbidden")
               .when(~form_ok, "invalid_form").when(F.col("order_id").isNull(), "order_not_found")
@@ -180,13 +180,13 @@ def ingest_borrow_orders(requests: DataFrame, borrow_order: DataFrame, activity:
     # field left empty (NULL) is treated the same way.
     requests = with_defaults(requests, {"order_status": F.lit(None).cast("string")})
     actors = viewers.select(F.col("user_id").alias("actor_user_id"), F.col("role").alias("_role"))
-    status = F.coalesce(F.col("order_status"), F.lit("approved"))
-    x = (requests.withColumn("_status", status).withColumn("_act", F.trim("activity_ref").try_cast("long"))
+    status = F.coalesce(strip("order_status"), F.lit("approved"))
+    x = (requests.withColumn("_status", status).withColumn("_act", strip("activity_ref").try_cast("long"))
          .join(actors, "actor_user_id", "left")
          .join(activity.select(F.col("activity_id").alias("_act"), F.lit(True).alias("_has")), "_act", "left"))
     reason = (F.when(~F.coalesce(F.col("_role").isin("admin", "club"), F.lit(False)), "forbidden")
               .when(~_digits(F.col("activity_ref")) | ~F.col("_status").isin(*ORDER_STATUS), "invalid_form")
-              .when(F.col("_has").isNull(), "db_error"))
+              .when(F.col("_has").isNull() | F.col("expected_return_time").isNull(), "db_error"))
     x = x.withColumn("outcome", F.coalesce(reason, F.lit("created")))
     from quadflow.operators.settlement import _ids
     from quadflow.functions.ordering import time_bucket

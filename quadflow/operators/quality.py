@@ -7,6 +7,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quadflow.functions.scalar import strip
 from quadflow.sources.schemas import TABLES
 
 # The CHECK constraints of the schema, as SQL predicates.
@@ -178,27 +179,34 @@ def not_null_violations(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def _digits(c):
-    return F.coalesce(F.trim(c).rlike("^[0-9]+$"), F.lit(False))
+    return F.coalesce(strip(c).rlike(r"\A[0-9]+\z"), F.lit(False))
+
+
+# Fixed value: text that reads as a float, infinities and NaN included.
+NUMBER = (r"(?i)\A[+-]?((\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?|inf|infinity|nan)\z")
 
 
 def ingest_products(forms: DataFrame, product: DataFrame, product_category: DataFrame) -> DataFrame:
     """DQ-6: product forms. Title and digit category, then a price that
     parses as a number, then the database (category FK, price >= 0).
-    Prices are stored as DECIMAL(10,2), rounded half-up."""
+    Prices are stored as DECIMAL(10,2), rounded half-up; infinities, NaN and
+    prices out of that range are the database's errors."""
     from quadflow.functions.ordering import time_bucket
     from quadflow.operators.settlement import _ids
-    x = forms.withColumn("_cat", F.trim("category_id").try_cast("long")) \
-        .withColumn("_price", F.trim("price").try_cast("double")) \
+    x = forms.withColumn("_cat", strip("category_id").try_cast("long")) \
+        .withColumn("_number", F.coalesce(strip("price").rlike(NUMBER), F.lit(False))) \
+        .withColumn("_price", F.regexp_replace(strip("price"), "_", "").try_cast("double").try_cast("decimal(10,2)")) \
         .join(product_category.select(F.col("category_id").alias("_cat"), F.lit(True).alias("_has_cat")), "_cat", "left")
-    reason = (F.when(~(F.coalesce(F.trim("title") != "", F.lit(False)) & _digits(F.col("category_id"))), "invalid_form")
-              .when(F.col("_price").isNull(), "bad_price")
-              .when(F.col("_has_cat").isNull() | (F.col("_price") < 0), "db_error"))
+    reason = (F.when(~(F.coalesce(strip("title") != "", F.lit(False)) & _digits(F.col("category_id"))), "invalid_form")
+              .when(~F.col("_number"), "bad_price")
+              .when(F.col("_has_cat").isNull() | F.coalesce(F.col("_price") < 0, F.lit(True))
+                    | (F.char_length(strip("title")) > 120), "db_error"))
     x = x.withColumn("outcome", F.coalesce(reason, F.lit("created")))
     made = _ids(x.filter(F.col("outcome") == "created"), product.select(F.max("product_id")).scalar(), "product_id",
                 [F.col("ts"), F.col("request_id")], time_bucket("ts"))
     made = made.select("request_id", "outcome", "product_id", F.col("actor_user_id").alias("seller_user_id"),
-                       F.col("_cat").alias("category_id"), F.trim("title").alias("title"),
-                       F.col("_price").cast("decimal(10,2)").alias("price"))
+                       F.col("_cat").alias("category_id"), strip("title").alias("title"),
+                       F.col("_price").alias("price"))
     bad = x.filter(F.col("outcome") != "created").select(
         "request_id", "outcome", *[F.lit(None).cast(t).alias(n) for n, t in (
             ("product_id", "long"), ("seller_user_id", "long"), ("category_id", "long"), ("title", "string"),
@@ -211,7 +219,7 @@ def ingest_comments(forms: DataFrame, post: DataFrame, post_comment: DataFrame)
     status); the database rejects content over 500 characters."""
     from quadflow.functions.ordering import time_bucket
     from quadflow.operators.settlement import _ids
-    content = F.trim("content")
+    content = strip("content")
     x = forms.join(post.select("post_id", F.lit(True).alias("_has")), "post_id", "left")
     reason = (F.when(F.coalesce(content == "", F.lit(True)), "empty").when(F.col("_has").isNull(), "post_not_found")
               .when(F.char_length(content) > 500, "db_error"))
@@ -281,16 +289,16 @@ def ingest_users(forms: DataFrame, users: DataFrame, student: DataFrame) -> Data
     club row."""
     from quadflow.functions.ordering import time_bucket
     from quadflow.operators.settlement import _ids
-    name = F.lower(F.trim("username"))
-    is_student = F.coalesce(F.trim("role") == "student", F.lit(False))
+    name = F.lower(strip("username"))
+    is_student = F.coalesce(strip("role") == "student", F.lit(False))
     taken = users.select(F.lower(F.col("username")).alias("_name")).distinct().withColumn("_exists", F.lit(True))
     numbers = student.select(F.lower(F.col("student_no")).alias("_sno")).distinct().withColumn("_sno_exists", F.lit(True))
     x = (forms.withColumn("_name", name)
-         .withColumn("_sno", F.when(is_student, F.lower(F.trim("student_no"))))
+         .withColumn("_sno", F.when(is_student, F.lower(strip("student_no"))))
          .join(taken, "_name", "left").join(numbers, "_sno", "left"))
-    form_ok = F.coalesce((F.trim("username") != "") & (F.trim("password") != ""), F.lit(False))
-    role_ok = F.coalesce(F.trim("role").isin("student", "club"), F.lit(False))
-    student_ok = ~is_student | F.coalesce((F.trim("student_no") != "") & (F.trim("real_name") != ""), F.lit(False))
+    form_ok = F.coalesce((strip("username") != "") & (strip("password") != ""), F.lit(False))
+    role_ok = F.coalesce(strip("role").isin("student", "club"), F.lit(False))
+    student_ok = ~is_student | F.coalesce((strip("student_no") != "") & (strip("real_name") != ""), F.lit(False))
     static = form_ok & role_ok & student_ok & F.col("_exists").isNull() & F.col("_sno_exists").isNull()
     kept = _greedy_unique(x.filter(static), ["_name", "_sno"])
     by_name = kept.groupBy("_name").agg(F.min(F.struct("ts", "request_id")).alias("_first_name"))
@@ -306,10 +314,10 @@ def ingest_users(forms: DataFrame, users: DataFrame, student: DataFrame) -> Data
     x = x.withColumn("outcome", F.coalesce(reason, F.lit("created")))
     made = _ids(x.filter(F.col("outcome") == "created"), users.select(F.max("user_id")).scalar(), "user_id",
                 [F.col("ts"), F.col("request_id")], time_bucket("ts"))
-    studs = _ids(made.filter(F.trim("role") == "student"), student.select(F.max("student_id")).scalar(), "student_id",
+    studs = _ids(made.filter(strip("role") == "student"), student.select(F.max("student_id")).scalar(), "student_id",
                  [F.col("ts"), F.col("request_id")], time_bucket("ts")).select("request_id", "student_id")
     made = made.join(studs, "request_id", "left").select(
-        "request_id", "outcome", "user_id", F.trim("username").alias("username"), F.trim("role").alias("role"),
+        "request_id", "outcome", "user_id", strip("username").alias("username"), strip("role").alias("role"),
         "student_id")
     bad = x.filter(F.col("outcome") != "created").select(
         "request_id", "outcome", F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("string").alias("username"),
@@ -323,17 +331,17 @@ def ingest_posts(forms: DataFrame, post: DataFrame, post_category: DataFrame) ->
     visible."""
     from quadflow.functions.ordering import time_bucket
     from quadflow.operators.settlement import _ids
-    x = forms.withColumn("_cat", F.trim("category_id").try_cast("long")).join(
+    x = forms.withColumn("_cat", strip("category_id").try_cast("long")).join(
         post_category.select(F.col("category_id").alias("_cat"), F.lit(True).alias("_has_cat")), "_cat", "left")
-    form_ok = (F.coalesce(F.trim("title") != "", F.lit(False)) & F.coalesce(F.trim("content") != "", F.lit(False))
+    form_ok = (F.coalesce(strip("title") != "", F.lit(False)) & F.coalesce(strip("content") != "", F.lit(False))
                & _digits(F.col("category_id")))
     reason = (F.when(~form_ok, "invalid_form")
-              .when(F.col("_has_cat").isNull() | (F.char_length(F.trim("title")) > 150), "db_error"))
+              .when(F.col("_has_cat").isNull() | (F.char_length(strip("title")) > 150), "db_error"))
     x = x.withColumn("outcome", F.coalesce(reason, F.lit("created")))
     made = _ids(x.filter(F.col("outcome") == "created"), post.select(F.max("post_id")).scalar(), "post_id",
                 [F.col("ts"), F.col("request_id")], time_bucket("ts"))
     made = made.select("request_id", "outcome", "post_id", F.col("actor_user_id").alias("author_user_id"),
-                       F.col("_cat").alias("category_id"), F.trim("title").alias("title"),
+                       F.col("_cat").alias("category_id"), strip("title").alias("title"),
                        F.lit("visible").alias("status"))
     bad = x.filter(F.col("outcome") != "created").select(
         "request_id", "outcome", *[F.lit(None).cast(t).alias(n) for n, t in (

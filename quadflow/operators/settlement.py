@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quadflow.functions.ordering import ordinal, time_bucket, value_bucket
-from quadflow.functions.scalar import json_of, ts_text
+from quadflow.functions.scalar import json_of, strip, ts_text
 from quadflow.operators.folds import clamped_fold
 from quadflow.operators.listings import can_manage
 from quadflow.sources.schemas import ACTIVITY_STATUS
@@ -231,31 +231,33 @@ def status_audit(steps: DataFrame) -> DataFrame:
 
 
 def _nullif_blank(c: Column) -> Column:
-    t = F.trim(c)
+    t = strip(c)
     return F.when(t == "", F.lit(None)).otherwise(t)
 
 
 def _digits(c: Column) -> Column:
-    return F.coalesce(F.trim(c).rlike("^[0-9]+$"), F.lit(False))
+    return F.coalesce(strip(c).rlike(r"\A[0-9]+\z"), F.lit(False))
 
 
 def validate_activity_form(forms: DataFrame) -> Column:
     """DQ-5 form rule: trimmed title present, venue id and capacity digits."""
-    return (F.coalesce(F.trim(F.col("title")) != "", F.lit(False)) & _digits(F.col("venue_id"))
+    return (F.coalesce(strip("title") != "", F.lit(False)) & _digits(F.col("venue_id"))
             & _digits(F.col("max_capacity")))
 
 
 def _form_values(forms: DataFrame) -> DataFrame:
     return forms.select(
-        "*", F.trim("title").alias("_title"), _nullif_blank(F.col("category")).alias("_category"),
-        F.trim("venue_id").try_cast("long").alias("_venue"), F.trim("max_capacity").try_cast("int").alias("_cap"),
+        "*", strip("title").alias("_title"), _nullif_blank(F.col("category")).alias("_category"),
+        strip("venue_id").try_cast("long").alias("_venue"), strip("max_capacity").try_cast("int").alias("_cap"),
         _nullif_blank(F.col("description")).alias("_desc"))
 
 
 def _db_checks(x: DataFrame, venue: DataFrame) -> Column:
     """What the database enforces on write: venue FK and the CHECKs."""
-    return (F.col("_venue_ok").isNotNull() & (F.col("end_time") > F.col("start_time"))
-            & (F.col("signup_deadline") <= F.col("start_time")) & (F.col("_cap") > 0))
+    rules = (F.col("_venue_ok").isNotNull() & (F.col("end_time") > F.col("start_time"))
+             & (F.col("signup_deadline") <= F.col("start_time")) & (F.col("_cap") > 0)
+             & (F.char_length("_title") <= 200) & (F.coalesce(F.char_length("_category"), F.lit(0)) <= 50))
+    return F.coalesce(rules, F.lit(False))  # these columns are NOT NULL, so an unknown rule is a broken one
 
 
 def activity_update(forms: DataFrame, activity: DataFrame, venue: DataFrame, viewers: DataFrame) -> DataFrame:
@@ -285,7 +287,7 @@ def ingest_activity(forms: DataFrame, activity: DataFrame, venue: DataFrame, clu
                             F.col("club_id").alias("_own_club"))
     x = _form_values(forms.drop("activity_id")).join(actors, "actor_user_id", "left")
     admin = F.col("_role") == "admin"
-    club_id = F.when(admin, F.trim("club_id").try_cast("long")).otherwise(F.col("_own_club"))
+    club_id = F.when(admin, strip("club_id").try_cast("long")).otherwise(F.col("_own_club"))
     x = x.withColumn("_club", club_id)
     x = x.join(venue.select(F.col("venue_id").alias("_venue"), F.lit(True).alias("_venue_ok")), "_venue", "left")
     x = x.join(club.select(F.col("club_id").alias("_club"), F.lit(True).alias("_club_ok")), "_club", "left")
