@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from quadflow.llm.arrow import release, slices, texts, utf8, worker_store
 
-CACHE_ENTRIES = 600_000  # units a Python worker remembers before it starts afresh
-CACHE_BYTES = 64_000_000  # and their characters
+CACHE_ENTRIES = 300_000  # units, and as many pre-tokens, in a generation of a Python worker's memory
+CACHE_CHARS = 16_000_000  # and their characters
 OUT_BYTES = 4_000_000
 
 
@@ -74,6 +74,31 @@ class RankQueue:
         return self.buckets.pop(rank)
 
 
+class Recent:
+    """A bounded dictionary of two generations: when the young one is full it
+    becomes the old one, whose entries come back when they are asked for again
+    and are forgotten otherwise."""
+
+    def __init__(self):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.chars = 0
+
+    def missing(self, wanted: set[str]) -> list[str]:
+        """Those not remembered; afterwards ``young`` holds all the others."""
+        if len(self.young) >= CACHE_ENTRIES or self.chars >= CACHE_CHARS:
+            self.young, self.old, self.chars = {}, self.young, 0
+        young, old, out = self.young, self.old, []
+        for key in wanted.difference(young):
+            value = old.get(key)
+            if value is None:
+                out.append(key)
+            else:
+                young[key] = value
+            self.chars += len(key)
+        return out
+
+
 class Encoder:
     """Encodes texts with the merge ranks; every match of ``pattern`` is
     encoded on its own, no special tokens. ``ranks`` must hold all 256 bytes."""
@@ -94,8 +119,8 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         self.units = regex.compile(r"\s*\S+|\s+").findall
         self.uneven = regex.compile(r" (?:(?<=\s )|\Z)").search
-        self.known: dict[str, bytes] = {}
-        self.held = 0
+        self.known = Recent()
+        self.pieces = Recent()
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of pre-tokens that are no entries themselves, all in one rank
@@ -165,10 +190,10 @@ class Encoder:
     def learn(self, units: list[str]) -> None:
         """Adds units to the known ones."""
         found = [self.find(u) for u in units]
-        self.held += sum(map(len, units))
-        ids: dict[str, bytes] = {}
         todo, names = [], []
-        for text in {p for ps in found for p in ps}:
+        new = self.pieces.missing(set().union(*found))
+        ids = self.pieces.young
+        for text in new:
             piece = text.encode("utf-8", "replace")
             whole = self.ranks.get(piece)
             if whole is not None:
@@ -178,17 +203,13 @@ class Encoder:
                 names.append(text)
         if todo:
             ids.update(zip(names, self.merge(todo)))
-        self.known.update((u, b"".join(map(ids.__getitem__, ps))) for u, ps in zip(units, found))
+        self.known.young.update((u, ids[ps[0]] if len(ps) == 1 else b"".join(map(ids.__getitem__, ps))) for u, ps in zip(units, found))
 
     def encode_all(self, rows: list[str]) -> list[bytes]:
         """Ids of each whole text, as little-endian unsigned 32-bit integers.
 
         White space only ever joins what follows it, so a text is cut before
         each run of white space; a unit is encoded alike wherever it stands."""
-        known = self.known
-        if len(known) >= CACHE_ENTRIES or self.held >= CACHE_BYTES:
-            known.clear()
-            self.held = 0
         cut = []
         for text in rows:
             if self.uneven(text):
@@ -196,7 +217,8 @@ class Encoder:
             else:
                 parts = text.replace(" ", "\0 ").split("\0") if "\0" not in text else self.units(text)
                 cut.append(parts)
-        self.learn([u for u in set().union(*cut) if u not in known])
+        self.learn(self.known.missing(set().union(*cut)))
+        known = self.known.young
         return [b"".join(map(known.__getitem__, parts)) for parts in cut]
 
 

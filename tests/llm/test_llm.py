@@ -67,6 +67,15 @@ def test_rank_queue_returns_to_a_smaller_rank():
             assert own.encode_all(["".join(t)])[0] == np.array(ref.encode_ordinary("".join(t)), "<u4").tobytes()
 
 
+def test_bpe_forgets_without_changing_ids(tok, monkeypatch):
+    """Generations of three entries, passed over by every slice."""
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 3)
+    own, rnd = bpe.Encoder(tok[0], public_tokenizers.PATTERN), random.Random(8)
+    for _ in range(60):
+        rows = [" ".join(rnd.choice(["the", "thha,", "***x", "öä%%%", "", "aab"]) for _ in range(rnd.randint(0, 6))) for _ in range(2)]
+        assert own.encode_all(rows) == [np.array(tok[1].encode_ordinary(t), "<u4").tobytes() for t in rows]
+
+
 def plain_set(text):
     w = re.findall("[^\x20\x09-\x0d]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
     return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
