@@ -56,6 +56,18 @@ def activity_list(activity: DataFrame, club: DataFrame, venue: DataFrame, regist
                      F.desc("activity_id")))
 
 
+def activity_list_by_club(activity: DataFrame, club: DataFrame, venue: DataFrame, registration: DataFrame,
+                          viewers: DataFrame, keyword: str | None = None, status: str | None = None) -> DataFrame:
+    """LST-1 under the club scope, for every club account at once: the list of
+    its own club. Accounts without a club see the unscoped list, which is
+    ``activity_list`` and isn't repeated for each of them."""
+    scoped = viewers.filter((F.col("role") == "club") & F.col("club_id").isNotNull()).select(
+        F.col("user_id").alias("viewer_user_id"), "club_id")
+    rows = activity_list(activity, club, venue, registration, keyword, status).join(scoped, "club_id")
+    return rows.orderBy("viewer_user_id", field_position("status", ACTIVITY_LIST_ORDER), F.asc("start_time"),
+                        F.desc("activity_id"))
+
+
 def activity_detail(activity: DataFrame, club: DataFrame, venue: DataFrame, registration: DataFrame,
                     ids: DataFrame) -> DataFrame:
     """LST-2 for a whole table of requested ids (a semi join, not a loop)."""
@@ -203,6 +215,16 @@ def borrow_orders(borrow_order: DataFrame, viewer_user_id: int | None = None,
                        "expected_return_time", "actual_return_time", "order_status").orderBy(F.desc("order_id"))
 
 
+def own_borrow_orders(borrow_order: DataFrame, users: DataFrame) -> DataFrame:
+    """LST-13 for all accounts that are no admins at once: each order is on
+    its applicant's page, newest first there."""
+    plain = users.filter(~F.col("role").eqNullSafe("admin")).select(F.col("user_id").alias("applicant_user_id"))
+    return (borrow_order.join(plain, "applicant_user_id", "left_semi")
+            .select("order_id", "order_uid", "activity_id", "applicant_user_id", "apply_time",
+                    "expected_return_time", "actual_return_time", "order_status")
+            .orderBy("applicant_user_id", F.desc("order_id")))
+
+
 def borrow_open_orders(orders: DataFrame) -> DataFrame:
     """LST-14: orders a detail can still be added to."""
     return orders.filter(F.col("order_status").isin(*OPEN_ORDER_STATUS))
