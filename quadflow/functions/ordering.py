@@ -6,7 +6,8 @@ third of the job. ``ordinal`` splits each key into ordered buckets (by default
 fixed-width time slices of the first order column):
 
 1. count rows per (key, bucket)                -- partial aggregate, small output
-2. prefix-sum those counts per key             -- window over the *count* table
+2. prefix-sum those counts per key             -- window over the *count* table; without
+   keys in two levels, so that only one row per SPAN buckets meets in one task
 3. number rows inside each (key, bucket)       -- many independent tasks
 4. ordinal = bucket offset + local number      -- join on (key, bucket)
 
@@ -21,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_BUCKET_MICROS = 60 * 1_000_000  # one minute of request time
+SPAN = 4096  # consecutive buckets whose counts a keyless ordinal sums in one task
 
 
 def time_bucket(ts: Column | str, width_micros: int = DEFAULT_BUCKET_MICROS) -> Column:
@@ -49,23 +51,37 @@ def ordinal(df: DataFrame, keys: list[str], order: list[Column], bucket: Column,
     local = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
     numbered = df.withColumn(b, bucket).withColumn("_ord_local", local)
     counts = numbered.groupBy(*part).agg(F.max("_ord_local").alias("_ord_n"))
-    spec = Window.partitionBy(*keys) if keys else Window
-    prior = spec.orderBy(F.col(b).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*[F.col(c).alias(f"_off_{c}") for c in part],
-                            F.coalesce(F.sum("_ord_n").over(prior), F.lit(0)).alias("_ord_off"))
-    cond = None
-    for c in part:
-        term = numbered[c].eqNullSafe(offsets[f"_off_{c}"])
-        cond = term if cond is None else cond & term
-    joined = numbered.join(offsets, cond, "inner")
+    offsets = _offsets(counts, keys, b)
+    joined = numbered.join(offsets, part_eq(numbered, offsets, part, "_off_"), "inner")
     return (joined.withColumn(name, (F.col("_ord_off") + F.col("_ord_local")).cast("long"))
             .drop("_ord_off", "_ord_local", b, *[f"_off_{c}" for c in part]))
 
 
-def part_eq(left: DataFrame, right: DataFrame, cols: list[str]) -> Column:
-    """Null-safe equality on ``cols`` (a NULL key or bucket still matches itself)."""
+def _offsets(counts: DataFrame, keys: list[str], bucket: str) -> DataFrame:
+    """Rows before each (key, bucket): ``_off_`` + key and bucket columns, ``_ord_off``."""
+    if keys:
+        return _prior(counts, keys, bucket, "_ord_n", "_ord_off").select(
+            *[F.col(c).alias(f"_off_{c}") for c in [*keys, bucket]], "_ord_off")
+    spans = counts.withColumn("_span", F.floor(F.col(bucket) / SPAN).cast("long"))
+    inside = _prior(spans, ["_span"], bucket, "_ord_n", "_in")
+    sizes = inside.groupBy("_span").agg(F.sum("_ord_n").alias("_n"))
+    before = _prior(sizes, [], "_span", "_n", "_before").select(F.col("_span").alias("_b_span"), "_before")
+    return inside.join(before, F.col("_span").eqNullSafe(F.col("_b_span"))).select(
+        F.col(bucket).alias(f"_off_{bucket}"), (F.col("_before") + F.col("_in")).alias("_ord_off"))
+
+
+def _prior(df: DataFrame, keys: list[str], order: str, amount: str, name: str) -> DataFrame:
+    """Adds ``name``: the sum of ``amount`` over the earlier rows of the key."""
+    spec = Window.partitionBy(*keys) if keys else Window
+    earlier = spec.orderBy(F.col(order).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn(name, F.coalesce(F.sum(amount).over(earlier), F.lit(0)))
+
+
+def part_eq(left: DataFrame, right: DataFrame, cols: list[str], prefix: str = "") -> Column:
+    """Null-safe equality of ``cols`` with the prefixed columns of ``right``
+    (a NULL key or bucket still matches itself)."""
     cond = None
     for c in cols:
-        term = left[c].eqNullSafe(right[c])
+        term = left[c].eqNullSafe(right[prefix + c])
         cond = term if cond is None else cond & term
     return cond

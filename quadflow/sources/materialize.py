@@ -9,9 +9,10 @@ back from there by later queries:
 
 * written to a fresh folder, then committed by appending one record, so a
   reader never sees a half-written table and concurrent writers don't clash;
-* keyed by the source directory (inputs are read-only, versioned paths) and
-  by a hash of the code that derives the tables, so a changed mapping never
-  reads tables written by an older one;
+* keyed by the source directory, by its files' names, lengths and times (as
+  they were when the session first read the directory) and by a hash of the
+  code that derives the tables, so neither rewritten inputs nor a changed
+  mapping ever read tables written for older ones;
 * switched off with ``spark.conf.set("quadflow.materialize", "false")``.
 """
 
@@ -25,6 +26,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quadflow.session import ensure_checkpoint_dir
+from quadflow.sources.tables import read_if_written
+
+_COMMIT_SCHEMA = "table_name string, path string"
 
 
 def _code_digest() -> str:
@@ -44,10 +48,23 @@ _SEEN: dict[str, dict[str, str]] = {}
 _FRAMES: dict[tuple[int, str], DataFrame] = {}
 
 
+_FILES: dict[tuple[int, str], str] = {}
+
+
+def _files_digest(spark: SparkSession, root: str) -> str:
+    key = (id(spark), root)
+    if key not in _FILES:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+        one = files.agg(F.count("*"), F.bit_xor(F.xxhash64("path", "modificationTime", "length"))).first()
+        _FILES[key] = f"{one[0]} {one[1]}"
+    return _FILES[key]
+
+
 class TableCache:
     def __init__(self, spark: SparkSession, source_root: str):
         self.spark = spark
-        digest = hashlib.sha1(f"{source_root.rstrip('/')}\n{_code_digest()}".encode()).hexdigest()[:16]
+        source_root = source_root.rstrip("/")
+        digest = hashlib.sha1(f"{source_root}\n{_files_digest(spark, source_root)}\n{_code_digest()}".encode()).hexdigest()[:16]
         self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/campus-tables/{digest}"
         self._known = _SEEN.setdefault(self.root, {})
 
@@ -56,11 +73,10 @@ class TableCache:
         return spark.conf.get("quadflow.materialize", "true").lower() != "false"
 
     def _commits(self) -> dict[str, str]:
-        try:
-            rows = self.spark.read.parquet(f"{self.root}/_commits").groupBy("table_name") \
-                .agg(F.min("path").alias("path")).collect()
-        except Exception:  # nothing committed yet
+        commits = read_if_written(self.spark, f"{self.root}/_commits", _COMMIT_SCHEMA)
+        if commits is None:
             return {}
+        rows = commits.groupBy("table_name").agg(F.min("path").alias("path")).collect()
         return {r["table_name"]: r["path"] for r in rows}
 
     def get(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -70,7 +86,7 @@ class TableCache:
         if path is None:
             path = f"{self.root}/{name}/{uuid.uuid4().hex}"
             build().write.parquet(path)
-            record = self.spark.createDataFrame([(name, path)], "table_name string, path string")
+            record = self.spark.createDataFrame([(name, path)], _COMMIT_SCHEMA)
             record.coalesce(1).write.mode("append").parquet(f"{self.root}/_commits")
             self._known[name] = path
         key = (id(self.spark), path)

@@ -17,6 +17,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadflow.sources.tables import read_if_written
+
 _COMMIT_SCHEMA = "table_name string, version long, kind string, keys string"
 
 
@@ -29,9 +31,8 @@ class SnapshotStore:
         return f"{self.root}/_commits"
 
     def _log(self, table: str) -> list[tuple[int, str, str]]:
-        try:
-            log = self.spark.read.schema(_COMMIT_SCHEMA).parquet(self._commits())
-        except Exception:  # nothing committed yet
+        log = read_if_written(self.spark, self._commits(), _COMMIT_SCHEMA)
+        if log is None:
             return []
         rows = (log.filter(F.col("table_name") == table)
                 .groupBy("version").agg(F.min("kind").alias("kind"), F.max("keys").alias("keys")).collect())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -57,3 +58,14 @@ def add_column_if_missing(df: DataFrame, name: str, dtype: T.DataType) -> DataFr
     if name in df.columns:
         return df
     return df.withColumn(name, F.lit(None).cast(dtype))
+
+
+def read_if_written(spark: SparkSession, path: str, schema: str) -> DataFrame | None:
+    """The Parquet table at ``path``, or None where nothing was ever written;
+    any other failure to read it is raised."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None

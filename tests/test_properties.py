@@ -7,6 +7,7 @@ import random
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from quadflow.functions import ordering
 from quadflow.functions.ordering import ordinal, time_bucket
 from quadflow.operators.folds import clamped_fold
 from quadflow.operators.lending import reserve_stock
@@ -35,6 +36,16 @@ def test_keyless_ordinal_is_a_global_sequence(spark):
     assert got == {i: i + 1 for i in range(500)}
 
 
+def test_keyless_ordinal_sums_counts_over_many_spans(spark, monkeypatch):
+    monkeypatch.setattr(ordering, "SPAN", 3)
+    rows = [(0, None), (1, None)] + [(i, _ts(i * i % 301)) for i in range(2, 200)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp_ntz")
+    out = ordinal(df, [], [F.col("ts").asc_nulls_first(), F.col("id")], time_bucket("ts"), "o")
+    want = sorted(rows, key=lambda x: (x[1] is not None, x[1] or _ts(0), x[0]))
+    assert [r.id for r in out.orderBy("o").collect()] == [i for i, _ in want]
+    assert sorted(r.o for r in out.collect()) == list(range(1, 201))
+
+
 def test_clamped_fold_matches_sequential_clamps(spark):
     rnd = random.Random(11)
     ops, start = [], []

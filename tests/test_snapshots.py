@@ -3,6 +3,8 @@ idempotent; compaction keeps the state."""
 
 import tempfile
 
+import pytest
+
 from quadflow.sources.snapshots import SnapshotStore
 
 SCHEMA = "k long, v string"
@@ -28,3 +30,12 @@ def test_deltas_resolve_latest_row_and_deletions(spark):
     assert _rows(store.read("t")) == [(1, "a"), (2, "b2"), (4, "d2")]
     store.write_delta(spark.createDataFrame([], SCHEMA), "t", 3, ["k"], deleted=spark.createDataFrame([(1,)], "k long"))
     assert _rows(store.read("t")) == [(2, "b2"), (4, "d2")]
+
+
+def test_an_unreadable_log_is_no_empty_log(spark, tmp_path):
+    store = SnapshotStore(spark, str(tmp_path))
+    assert store.latest_version("t") is None
+    (tmp_path / "_commits").mkdir()
+    (tmp_path / "_commits" / "part-0.parquet").write_text("not parquet")
+    with pytest.raises(Exception, match="part-0"):
+        store.latest_version("t")
