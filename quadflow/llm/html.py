@@ -5,9 +5,12 @@ text. Spark counts, per host, on how many pages each subtree occurs; subtrees
 that recur across many pages of a host are template and are deleted, the
 largest first. Menus, headers, footers, sidebars, notices, adverts, forms and
 reader comments that differ from page to page are told by their element or by
-the words of their class, id and role. Text inside an article or main element
-is not deleted for recurring alone, since passages and whole articles recur on
-a host's pages too. What is left is cut into blocks at block elements.
+the words of their class, id and role. Inside an article or main element only
+recurring boxes are template (BOXES, at most half of its text); paragraphs,
+headings, lists and tables are not, since passages and whole articles recur on
+a host's pages too. What is left is cut into blocks at block elements. Article
+and main are a hint: if they hold at least half of the text that is left, the
+rest goes too; otherwise all that is left stays.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from quadflow.llm.arrow import slices, utf8
 MIN_PAGES = 5  # pages of a host that hold a template subtree, at least
 SHARE = 0.1  # and the share of the host's pages; so a host has at most 10 times a page's subtrees as templates
 SALTS = 16
+INSIDE = b"\x01"  # ends the key of a subtree inside article or main
 
 # Fixed values of HTML: elements by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,6 +43,7 @@ BLOCKS = frozenset("address article aside blockquote body br caption center dd d
 CLOSES_P = BLOCKS - {"br", "body", "html", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
              "option": {"option"}, "thead": set(), "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
+BOXES = frozenset("div section header address center details hgroup dir".split())  # what may be template inside an article
 SCOPES = frozenset("table ul ol dl td th div section article main body html".split())
 
 # Words of class, id and role that mark what is not the article.
@@ -55,10 +60,10 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "marks", "kids", "hash", "size")
+    __slots__ = ("tag", "marks", "kids", "hash", "size", "mark")
 
     def __init__(self, tag: str, marks: str = ""):
-        self.tag, self.marks, self.kids, self.hash, self.size = tag, marks, [], b"", 1
+        self.tag, self.marks, self.kids, self.hash, self.size, self.mark = tag, marks, [], b"", 0, False
 
 
 def parse(text: str) -> Node:
@@ -114,22 +119,27 @@ def parse(text: str) -> Node:
 
 
 def seal(root: Node) -> None:
-    """Sets the hash of every subtree, without recursion."""
+    """Sets whether a subtree is marked, and the hash and text size of every
+    other one, both without the marked subtrees in it; without recursion."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
-        order.append(node)
-        todo += [k for k in node.kids if isinstance(k, Node)]
+        node.mark = marked(node)
+        if not node.mark:
+            order.append(node)
+            todo += [k for k in node.kids if isinstance(k, Node)]
     for node in reversed(order):
         h = hashlib.blake2b(node.tag.encode("utf-8", "replace"), digest_size=8)
         for k in node.kids:
-            if isinstance(k, Node):
-                h.update(b"\x01" + k.hash)
-                node.size += k.size
-            else:
+            if not isinstance(k, Node):
                 words = k.split()
                 if words:
-                    h.update(b"\x02" + " ".join(words).encode("utf-8", "replace"))
+                    text = " ".join(words)
+                    h.update(b"\x02" + text.encode("utf-8", "replace"))
+                    node.size += len(text)
+            elif not k.mark:
+                h.update(b"\x01" + k.hash)
+                node.size += k.size
         node.hash = h.digest()
 
 
@@ -150,72 +160,71 @@ def marked(node: Node) -> bool:
     return False
 
 
-def has_text(node: Node) -> bool:
-    todo = [node]
-    while todo:
-        for k in todo.pop().kids:
-            if isinstance(k, Node):
-                todo.append(k)
-            elif k.strip():
-                return True
-    return False
+def key_of(node: Node, named: Node | None) -> bytes:
+    """What a subtree is counted by if it may be template, else nothing.
+    ``named`` is the outermost article or main element around it."""
+    if not node.size or node.tag in ("#root", "html", "body", "article", "main"):
+        return b""
+    if named is None:
+        return node.hash
+    return node.hash + INSIDE if node.tag in BOXES and 2 * node.size <= named.size else b""
 
 
 def subtrees(root: Node) -> set[bytes]:
-    """Hashes of the subtrees with text that may be template: elements
-    outside article and main."""
-    out, todo = set(), [k for k in root.kids if isinstance(k, Node)]
+    """Keys of the subtrees with text that may be template; INSIDE alone if
+    the page has an article or main element with text."""
+    out, todo = set(), [(root, None)]
     while todo:
-        node = todo.pop()
-        if node.tag in ("article", "main", "script", "style", "head"):
+        node, named = todo.pop()
+        if node.mark:
             continue
-        if node.tag not in ("html", "body") and has_text(node):
-            out.add(node.hash)
-        todo += [k for k in node.kids if isinstance(k, Node)]
+        if key := key_of(node, named):
+            out.add(key)
+        if named is None and node.size and node.tag in ("article", "main"):
+            named = node
+            out.add(INSIDE)
+        todo += [(k, named) for k in node.kids if isinstance(k, Node)]
     return out
 
 
 def main_text(root: Node, templates) -> str:
-    """Blocks of what is left without template subtrees and marked ones."""
-    named, todo = False, [root]
-    while todo and not named:  # whether the page says where its article is
-        for k in todo.pop().kids:
-            if isinstance(k, Node) and not marked(k):
-                named = named or k.tag in ("article", "main") and has_text(k)
-                todo.append(k)
-    blocks, now = [], []
+    """Blocks of what is left without template subtrees and marked ones: those
+    inside article and main if they are at least half of the text, else all."""
+    blocks, now, within = [], [], False
 
     def cut():
         nonlocal now
         text = SPACE.sub(" ", entities.unescape("".join(now))).strip()
         if text:
-            blocks.append(text)
+            blocks.append((text, within))
         now = []
 
-    work = [(root, named, False)]  # node, still looking for an article, inside one
+    work = [(root, None)]  # node, the outermost article or main element around it
     while work:
-        node, looking, inside = work.pop()
+        node, named = work.pop()
         if node is None:
             cut()
             continue
         if isinstance(node, str):
-            if not looking:
-                now.append(node)
+            now.append(node)
+            within = named is not None
+            continue
+        if node.mark or (node.tag == "header" and named is None) or key_of(node, named) in templates:
+            if node.tag in BLOCKS:
+                cut()
             continue
-        if node.tag != "#root":
-            if marked(node) or (node.tag == "header" and not inside) or (not inside and node.hash in templates):
-                if node.tag in BLOCKS and not looking:
-                    cut()
-                continue
-            if node.tag in ("article", "main"):
-                looking, inside = False, True
+        if named is None and node.size and node.tag in ("article", "main"):
+            named = node
         if node.tag in BLOCKS:
-            work.append((None, looking, inside))
-        work += [(k, looking, inside) for k in reversed(node.kids)]
+            work.append((None, named))
+        work += [(k, named) for k in reversed(node.kids)]
         if node.tag in BLOCKS:
-            work.append((None, looking, inside))
+            work.append((None, named))
     cut()
-    return " ".join(blocks)
+    own = [text for text, inside in blocks if inside]
+    if 2 * sum(map(len, own)) >= sum(len(text) for text, _ in blocks):
+        return " ".join(own)
+    return " ".join(text for text, _ in blocks)
 
 
 def host_of(url):
@@ -236,7 +245,8 @@ def _trees(batch):
 
 def _census(batches):
     """(host, subtree, pages) of each slice, counted before the shuffle; the
-    row without a subtree counts the host's pages."""
+    rows without a hash (empty, INSIDE) count the host's pages, and those with
+    article or main."""
     for batch in batches:
         for part, trees in _trees(batch):
             count: dict[tuple, int] = {}
@@ -248,14 +258,15 @@ def _census(batches):
 
 
 def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
-    """Per host with any: host and its template subtrees' hashes, those on at
-    least ``min_pages`` of its pages and ``share`` of them. The list is bounded
-    by (a page's subtrees) / share, whatever the host's pages."""
+    """Per host with any: host and its template subtrees' keys, those on at
+    least ``min_pages`` of its pages and ``share`` of them; inside article and
+    main, of its pages with such. The list is bounded by (a page's subtrees) /
+    share, whatever the host's pages."""
     rows = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
     total = rows.mapInArrow(_census, "host string, subtree binary, pages long").groupBy("host", "subtree").agg(F.sum("pages").alias("pages"))
-    total = total.filter((F.col("pages") >= min_pages) | (F.octet_length("subtree") == 0))
-    hosts = total.filter(F.octet_length("subtree") == 0).select("host", F.col("pages").alias("all"))
-    often = total.filter(F.octet_length("subtree") > 0).join(hosts, "host").filter(F.col("pages") >= share * F.col("all"))
+    total = total.withColumn("inside", F.octet_length("subtree") % 8).filter((F.col("pages") >= min_pages) | (F.octet_length("subtree") < 2))
+    hosts = total.filter(F.octet_length("subtree") < 2).select("host", "inside", F.col("pages").alias("all"))
+    often = total.filter(F.octet_length("subtree") >= 8).join(hosts, ["host", "inside"]).filter(F.col("pages") >= share * F.col("all"))
     return often.groupBy("host").agg(F.collect_set("subtree").alias("subtrees"))
 
 

@@ -314,6 +314,20 @@ def test_html_template_without_marks_goes_only_where_it_recurs(spark):
     assert got == {**{i: f"own {i}" for i in range(6)}, 9: "Recurring text"}
 
 
+def html_texts(spark, rows):
+    return {r["page_id"]: r["text"] for r in html.texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_html_counts_decide_inside_the_article_and_the_tag_is_a_hint(spark):
+    box = "<div>Share this page <p>with friends</p></div>"
+    rows = [(i, "http://a.example/", f"<p>Same passage</p><article><h1>Title {i}</h1><p>A passage that recurs in every article</p>{box}<div>own box {i}</div></article>") for i in range(6)]
+    rows += [(8, "http://b.example/", f"<article>{box}<p>the box is met only once on this host</p></article>"),
+             (9, "http://c.example/", "<article>Teaser</article><div><p>The long text of the page stands beside its article element</p></div>")]
+    assert html_texts(spark, rows) == {**{i: f"Title {i} A passage that recurs in every article own box {i}" for i in range(6)},
+                                       8: "Share this page with friends the box is met only once on this host",
+                                       9: "Teaser The long text of the page stands beside its article element"}
+
+
 def test_html_on_the_test_pages(spark):
     pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet")
     got = {r["page_id"]: r for r in html.texts(pages).collect()}
