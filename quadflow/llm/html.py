@@ -1,9 +1,10 @@
 """HTML extraction by site template removal.
 
 A page is parsed into a tree; every element subtree has a hash of its tags and
-text. Spark counts, per host, on how many pages each subtree occurs; subtrees
-that recur across many pages of a host are template and are deleted, the
-largest first. Menus, headers, footers, sidebars, notices, adverts, forms and
+text. Spark counts, per host, on how many distinct pages each subtree occurs,
+copies of a page being one; subtrees that recur across many of them are
+template and are deleted, the largest first, but nothing that holds an article
+or main element. Menus, headers, footers, sidebars, notices, adverts, forms and
 reader comments that differ from page to page are told by their element or by
 the words of their class, id and role. Inside an article or main element only
 recurring boxes are template (BOXES, at most half of its text); paragraphs,
@@ -27,8 +28,8 @@ from pyspark.sql import types as T
 
 from quadflow.llm.arrow import slices, utf8
 
-MIN_PAGES = 5  # pages of a host that hold a template subtree, at least
-SHARE = 0.1  # and the share of the host's pages; so a host has at most 10 times a page's subtrees as templates
+MIN_PAGES = 5  # distinct pages of a host that hold a template subtree, at least
+SHARE = 0.1  # and the share of the host's distinct pages; so a host has at most 10 times a page's subtrees as templates
 SALTS = 16
 INSIDE = b"\x01"  # ends the key of a subtree inside article or main
 
@@ -60,10 +61,10 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "marks", "kids", "hash", "size", "mark")
+    __slots__ = ("tag", "marks", "kids", "hash", "size", "mark", "holds")
 
     def __init__(self, tag: str, marks: str = ""):
-        self.tag, self.marks, self.kids, self.hash, self.size, self.mark = tag, marks, [], b"", 0, False
+        self.tag, self.marks, self.kids, self.hash, self.size, self.mark, self.holds = tag, marks, [], b"", 0, False, False
 
 
 def parse(text: str) -> Node:
@@ -119,8 +120,9 @@ def parse(text: str) -> Node:
 
 
 def seal(root: Node) -> None:
-    """Sets whether a subtree is marked, and the hash and text size of every
-    other one, both without the marked subtrees in it; without recursion."""
+    """Sets whether a subtree is marked, and of every other one the hash, the
+    text size and whether it holds or is an article or main element with text,
+    all without the marked subtrees in it; without recursion."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
@@ -140,6 +142,8 @@ def seal(root: Node) -> None:
             elif not k.mark:
                 h.update(b"\x01" + k.hash)
                 node.size += k.size
+                node.holds = node.holds or k.holds
+        node.holds = node.holds or node.size > 0 and node.tag in ("article", "main")
         node.hash = h.digest()
 
 
@@ -163,17 +167,18 @@ def marked(node: Node) -> bool:
 def key_of(node: Node, named: Node | None) -> bytes:
     """What a subtree is counted by if it may be template, else nothing.
     ``named`` is the outermost article or main element around it."""
-    if not node.size or node.tag in ("#root", "html", "body", "article", "main"):
+    if not node.size or node.holds or node.tag in ("#root", "html", "body"):
         return b""
     if named is None:
         return node.hash
     return node.hash + INSIDE if node.tag in BOXES and 2 * node.size <= named.size else b""
 
 
-def subtrees(root: Node) -> set[bytes]:
-    """Keys of the subtrees with text that may be template; INSIDE alone if
-    the page has an article or main element with text."""
-    out, todo = set(), [(root, None)]
+def subtrees(root: Node) -> tuple[set[bytes], dict[bytes, bytes]]:
+    """Keys of the subtrees with text that may be template, and whose vote each
+    is: copies have one vote. Outside article and main (empty) a page goes by
+    its hash, inside (INSIDE) by the hash of its article and main elements."""
+    out, articles, todo = set(), [], [(root, None)]
     while todo:
         node, named = todo.pop()
         if node.mark:
@@ -182,9 +187,12 @@ def subtrees(root: Node) -> set[bytes]:
             out.add(key)
         if named is None and node.size and node.tag in ("article", "main"):
             named = node
-            out.add(INSIDE)
+            articles.append(node.hash)
         todo += [(k, named) for k in node.kids if isinstance(k, Node)]
-    return out
+    votes = {b"": root.hash}
+    if articles:
+        votes[INSIDE] = hashlib.blake2b(b"".join(articles), digest_size=8).digest()
+    return out, votes
 
 
 def main_text(root: Node, templates) -> str:
@@ -244,26 +252,28 @@ def _trees(batch):
 
 
 def _census(batches):
-    """(host, subtree, pages) of each slice, counted before the shuffle; the
-    rows without a hash (empty, INSIDE) count the host's pages, and those with
-    article or main."""
+    """(host, subtree, vote), each once a slice; the rows without a hash
+    (empty, INSIDE) count the host's pages, and those with article or main."""
     for batch in batches:
         for part, trees in _trees(batch):
-            count: dict[tuple, int] = {}
+            seen = set()
             for host, root in zip(part.column("host").to_pylist(), trees):
-                for h in (b"", *subtrees(root)):
-                    count[host, h] = count.get((host, h), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in count], pa.string()), pa.array([s for _, s in count], pa.binary()),
-                                              pa.array(list(count.values()), pa.int64())], names=["host", "subtree", "pages"])
+                keys, votes = subtrees(root)
+                seen.update((host, x, vote) for x, vote in votes.items())
+                seen.update((host, x, votes[x[8:]]) for x in keys)
+            rows = list(seen)
+            yield pa.RecordBatch.from_arrays([pa.array([h for h, _, _ in rows], pa.string()), pa.array([x for _, x, _ in rows], pa.binary()),
+                                              pa.array([v for _, _, v in rows], pa.binary())], names=["host", "subtree", "vote"])
 
 
 def templates(pages: DataFrame, url: str = "url", html: str = "html", min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
     """Per host with any: host and its template subtrees' keys, those on at
-    least ``min_pages`` of its pages and ``share`` of them; inside article and
-    main, of its pages with such. The list is bounded by (a page's subtrees) /
+    least ``min_pages`` of its distinct pages and ``share`` of them; inside
+    article and main, of its pages with such. The list is bounded by (a page's subtrees) /
     share, whatever the host's pages."""
     rows = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
-    total = rows.mapInArrow(_census, "host string, subtree binary, pages long").groupBy("host", "subtree").agg(F.sum("pages").alias("pages"))
+    votes = rows.mapInArrow(_census, "host string, subtree binary, vote binary").distinct()
+    total = votes.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("pages"))
     total = total.withColumn("inside", F.octet_length("subtree") % 8).filter((F.col("pages") >= min_pages) | (F.octet_length("subtree") < 2))
     hosts = total.filter(F.octet_length("subtree") < 2).select("host", "inside", F.col("pages").alias("all"))
     often = total.filter(F.octet_length("subtree") >= 8).join(hosts, ["host", "inside"]).filter(F.col("pages") >= share * F.col("all"))

@@ -328,6 +328,20 @@ def test_html_counts_decide_inside_the_article_and_the_tag_is_a_hint(spark):
                                        9: "Teaser The long text of the page stands beside its article element"}
 
 
+def test_html_copies_on_one_host_lose_nothing(spark):
+    wrapped = "<div id=wrap><section><article><h1>Copied</h1><div>boxed passage</div><p>whole text</p></article></section></div>"
+    plain = "<div id=content><p>Copied text without an article</p></div>"
+    rows = [(i, "http://a.example/", wrapped) for i in range(6)] + [(10 + i, "http://b.example/", plain) for i in range(6)]
+    rows += [(20 + i, "http://c.example/", f"<div>Recurs {i % 2}</div>{wrapped}<div class=ad>{i}</div>") for i in range(6)]
+    rows += [(30 + i, "http://d.example/", f"{plain}<div class=ad>{i}</div>") for i in range(6)]
+    # the wrapper of an article with other text before it each time
+    rows += [(40 + i, "http://e.example/", f"<p>{i}</p>{wrapped}") for i in range(6)]
+    want = "Copied boxed passage whole text"
+    got = html_texts(spark, rows)
+    assert got == {**{i: want for i in (*range(6), *range(20, 26), *range(40, 46))},
+                   **{i: "Copied text without an article" for i in (*range(10, 16), *range(30, 36))}}
+
+
 def test_html_on_the_test_pages(spark):
     pages = spark.read.parquet(f"{SF_SMALL}/pages.parquet")
     got = {r["page_id"]: r for r in html.texts(pages).collect()}
