@@ -105,26 +105,23 @@ def read_records(stream):
         yield head, bytes(block)
 
 
-def _keyed(batches):
-    for batch in batches:
-        payloads = [(x or "").encode("utf-8", "replace") for x in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), pa.array([_digest(p) for p in payloads], pa.string()), pa.array([len(p) for p in payloads], pa.int64())],
-            names=["page_id", "digest", "size"])
+def _keyed(pages: DataFrame) -> DataFrame:
+    """``pages`` with their payload's key: digest and size."""
+    payload = F.coalesce("html", F.lit(""))
+    return pages.withColumn("digest", F.unhex(F.sha1(payload.cast("binary")))).withColumn("size", F.octet_length(payload).cast("long"))
 
 
 def revisits(pages: DataFrame, min_bytes: int = MIN_REVISIT) -> DataFrame:
-    """(page_id, refers_to) of the pages whose payload, of at least
-    ``min_bytes``, a page with a larger id has too; the largest is referred
-    to. Null ids neither refer nor are referred to."""
-    keys = pages.filter("page_id is not null").select("page_id", "html").mapInArrow(_keyed, "page_id long, digest string, size long")
-    keys = keys.filter(F.col("size") >= min_bytes)
+    """(page_id, digest, size, refers_to) of the payloads, of at least
+    ``min_bytes``, that a page with a larger id has too; the largest is
+    referred to. Null ids neither refer nor are referred to."""
+    keys = _keyed(pages.filter("page_id is not null")).select("page_id", "digest", "size").filter(F.col("size") >= min_bytes)
     groups = keys.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least"))
     # one digest may hold a third of the pages: both sides are salted
     salts = 32
     groups = groups.filter("least < refers_to").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     own = keys.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts)).cast("int")).join(groups, ["digest", "size", "salt"])
-    return own.filter("page_id < refers_to").select("page_id", "refers_to").distinct()
+    return own.filter("page_id < refers_to").select("page_id", "digest", "size", "refers_to").distinct()
 
 
 def write(pages: DataFrame, folder: str | None = None, min_bytes: int = MIN_REVISIT) -> DataFrame:
@@ -132,12 +129,13 @@ def write(pages: DataFrame, folder: str | None = None, min_bytes: int = MIN_REVI
     manifest: path, records, bytes, one row per archive.
 
     A null html is an empty payload, a null url a record without target, a
-    null page_id a response without id. Repeated rows are written each;
-    with one page_id and payload they are all responses or revisits alike."""
+    null page_id a response without id. Repeated rows are written once each;
+    with one page_id and payload they are all responses or revisits alike, and
+    each payload of a page_id goes by itself."""
     spark = pages.sparkSession
     folder = f"{(folder or ensure_checkpoint_dir(spark)).rstrip('/')}/warc-{uuid.uuid4().hex}"
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    rows = rows.join(revisits(rows, min_bytes), "page_id", "left")
+    rows = _keyed(rows).join(revisits(rows, min_bytes), ["page_id", "digest", "size"], "left")
 
     def run(batches):
         files, path = _open(folder)

@@ -373,6 +373,15 @@ def test_warc_round_trip_and_revisits(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_payloads_of_one_page_id_go_by_themselves(spark):
+    rows = [(1, "A"), (1, "B"), (2, "A"), (3, "C"), (3, "D"), (4, "C"), (5, "D"), (5, "E")]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")
+    got = warc.read(warc.write(pages)).collect()
+    size = {warc._digest(h.encode()): h for _, h in rows}
+    assert sorted((r["page_id"], size[r["payload_digest"]], r["refers_to"] or 0, bytes(r["payload"] or b"")) for r in got) == [
+        (1, "A", 2, b""), (1, "B", 0, b"B"), (2, "A", 0, b"A"), (3, "C", 4, b""), (3, "D", 5, b""), (4, "C", 0, b"C"), (5, "D", 0, b"D"), (5, "E", 0, b"E")]
+
+
 def test_warc_reader_rejects_damage():
     import io
     good = warc.record(1, "u", b"payload", warc._digest(b"payload"), None)
