@@ -17,32 +17,38 @@ def _labels(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def _kept(docs, scored):
-    """The rows of ``docs`` whose id got no rejecting prediction; a null id is
-    scored like any other but can't be named, so its row stays."""
-    return docs.join(scored.select("doc_id").distinct(), "doc_id", "left_anti")
+def _keyed(docs):
+    """The rows with a key made of all their values, so that a row is named by
+    what it holds and no id is needed; only equal rows share one."""
+    return docs.withColumn("__key", F.xxhash64(*[x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]))
 
 
 def toxic(spark, docs, sf_dir):
-    """Drops the documents that the toxicity operator rejects."""
-    return _kept(docs, toxicity.judge(docs, _labels(spark, sf_dir)).filter("predicted = 1"))
+    """Drops the rows that the toxicity operator rejects."""
+    return toxicity.accepted(docs, _labels(spark, sf_dir))
 
 
 def poor(spark, docs, sf_dir):
-    """Drops the documents that the quality classifier rejects."""
-    return _kept(docs, quality.judge(docs, _labels(spark, sf_dir)).filter("predicted = 0"))
+    """Drops the rows that the quality classifier rejects."""
+    return quality.accepted(docs, _labels(spark, sf_dir))
 
 
 def duplicates(spark, docs, sf_dir):
-    """Keeps of each group of linked documents the one with the smallest
-    doc_id; of repeated rows with that id all stay."""
-    classes = jaccard.linked(docs)
-    return _kept(docs, classes.filter("doc_id <> component_id"))
+    """Keeps of each group of linked rows the one with the smallest doc_id
+    (null last), and of equal rows one."""
+    rows = _keyed(docs)
+    classes = jaccard.linked(rows, "__key").select(F.col("doc_id").alias("__key"), "component_id")
+    named = classes.distinct().join(rows.select("__key", "doc_id").distinct(), "__key")
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("first"))
+    kept = rows.join(first.select("first.__key"), "__key", "left_semi")
+    return kept.dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def leaks(spark, docs, sf_dir):
-    """Drops the documents that hold a benchmark passage."""
-    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Drops the rows that hold a benchmark passage."""
+    rows = _keyed(docs)
+    found = decontaminate.contaminated(rows.select(F.col("__key").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return rows.join(found.select(F.col("doc_id").alias("__key")).distinct(), "__key", "left_anti").select(*docs.columns)
 
 
 def tokens(spark, docs, sf_dir):

@@ -175,15 +175,16 @@ def train(rows: DataFrame) -> dict:
     return fit([np.frombuffer(idx[i], "<i4").astype(np.int64) for i in order], y[order])
 
 
-def score(docs: DataFrame, text: str, model: dict, out: str = "score") -> DataFrame:
+def score(docs: DataFrame, text: str, model: dict, out: str = "score", whole: bool = False) -> DataFrame:
     """Adds ``out``: the calibrated score of each whole text (0 to 1).
 
     Null and empty texts have no indicators and get the score of the bias
-    alone. Every row is kept; the text column is dropped, the others pass
-    through; a column that already has the name ``out`` is replaced."""
+    alone. Every row is kept; the text column is dropped unless ``whole`` is
+    set, the others pass through; a column that already has the name ``out`` is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c not in (text, out)]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(out, T.DoubleType())])
+    back = ["__text"] if whole else []
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, T.StringType()) for c in back] + [T.StructField(out, T.DoubleType())])
 
     def run(batches):
         m = shared.value
@@ -197,15 +198,26 @@ def score(docs: DataFrame, text: str, model: dict, out: str = "score") -> DataFr
                         norm = np.sqrt(np.square(m["ratio"][idx], dtype=np.float64).sum())
                         margin = m["bias"] + (m["weights"][idx].sum(dtype=np.float64) / norm if norm else 0.0)
                         value.append(float(1 / (1 + np.exp(-np.clip(m["slope"] * margin + m["shift"], -30, 30)))))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(value, pa.float64())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep + back), pa.array(value, pa.float64())], names=schema.names)
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema).withColumnRenamed("__text", text)
+
+
+def fitted(documents: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3) -> dict:
+    """The model learned from the documents outside the held-out fold."""
+    return train(labelled(documents, labels.filter(fold("doc_id", folds) != held_out), "quality", PER_LABEL))
+
+
+def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``documents`` that are not rejected, each by its own text."""
+    scored = score(documents, "text", fitted(documents, labels), "__score", whole=True)
+    return scored.filter(F.col("__score") >= THRESHOLD).select(*documents.columns)
 
 
 def judge(documents: DataFrame, labels: DataFrame, held_out: int = 1, folds: int = 3) -> DataFrame:
     """Learns ``labels.quality`` from the documents outside the held-out fold
     and scores all documents. A null doc_id is in no fold: held_out is false."""
     mod = fold("doc_id", folds)
-    model = train(labelled(documents, labels.filter(mod != held_out), "quality", PER_LABEL))
+    model = fitted(documents, labels, held_out, folds)
     rows = documents.select("doc_id", F.coalesce(mod == held_out, F.lit(False)).alias("held_out"), "text")
     return score(rows, "text", model).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -222,17 +222,18 @@ def train(rows: DataFrame) -> dict:
                raw.view(U), utf8(counts)[0].view("<i4"), at // 8)
 
 
-def score(docs: DataFrame, text: str, model: dict, out: str = "score", evidence: str = "evidence") -> DataFrame:
+def score(docs: DataFrame, text: str, model: dict, out: str = "score", evidence: str = "evidence", whole: bool = False) -> DataFrame:
     """Adds the score of each whole text (0 to 1) and its evidence, the ids of
     its nearest examples, nearest first.
 
     Null and empty texts, and texts without a term of the vocabulary, have no
     neighbours and get the share of label 1 among the examples without one.
-    Every row is kept; the text column is dropped, others pass through;
-    columns named ``out`` or ``evidence`` are replaced."""
+    Every row is kept; the text column is dropped unless ``whole`` is set,
+    others pass through; columns named ``out`` or ``evidence`` are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in docs.columns if c not in (text, out, evidence)]
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(out, T.DoubleType()), T.StructField(evidence, T.ArrayType(T.LongType()))])
+    back = ["__text"] if whole else []
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(c, T.StringType()) for c in back] + [T.StructField(out, T.DoubleType()), T.StructField(evidence, T.ArrayType(T.LongType()))])
 
     def run(batches):
         m = shared.value
@@ -253,15 +254,26 @@ def score(docs: DataFrame, text: str, model: dict, out: str = "score", evidence:
                         known[key] = got
                     values.append(got[0])
                     near_ids.append(got[1])
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(values, pa.float64()), pa.array(near_ids, pa.list_(pa.int64()))], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep + back), pa.array(values, pa.float64()), pa.array(near_ids, pa.list_(pa.int64()))], names=schema.names)
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema).withColumnRenamed("__text", text)
+
+
+def fitted(documents: DataFrame, labels: DataFrame, held_out: int = 2, folds: int = 4) -> dict:
+    """The model learned from the documents outside the held-out fold."""
+    return train(labelled(documents, labels.filter(fold("doc_id", folds) != held_out), "toxic", PER_LABEL))
+
+
+def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``documents`` that are not rejected, each by its own text."""
+    scored = score(documents, "text", fitted(documents, labels), "__score", "__evidence", whole=True)
+    return scored.filter(F.col("__score") < THRESHOLD).select(*documents.columns)
 
 
 def judge(documents: DataFrame, labels: DataFrame, held_out: int = 2, folds: int = 4) -> DataFrame:
     """Learns ``labels.toxic`` from the documents outside the held-out fold
     and scores all documents. A null doc_id is in no fold: held_out is false."""
     mod = fold("doc_id", folds)
-    model = train(labelled(documents, labels.filter(mod != held_out), "toxic", PER_LABEL))
+    model = fitted(documents, labels, held_out, folds)
     rows = documents.select("doc_id", F.coalesce(mod == held_out, F.lit(False)).alias("held_out"), "text")
     return score(rows, "text", model).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

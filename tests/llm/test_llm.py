@@ -489,6 +489,37 @@ def test_pipeline_stages_against_plain_versions(spark):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF_SMALL).select("doc_id").collect()} == set(texts)
 
 
+def test_pipeline_decides_on_rows_not_ids(spark, tmp_path):
+    import corpus_pipeline
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    labels, benchmark = (spark.read.parquet(f"{SF_SMALL}/{t}.parquet") for t in ("labels", "benchmark"))
+    passage = benchmark.orderBy(F.length("text").desc()).first()["text"]
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+
+    def rows(*pairs):
+        return spark.createDataFrame([(i, t) for i, t in pairs], "doc_id long, text string").select(
+            *[F.col(c) if c in ("doc_id", "text") else F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns]).localCheckpoint()
+
+    def texts(name, df):
+        out = dict(corpus_pipeline.STAGES)[name](spark, df, SF_SMALL)
+        assert out.columns == docs.columns
+        return sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+
+    assert rest
+    for name, judge, verdict in (("toxicity", toxicity.judge, 1), ("quality", quality.judge, 0)):
+        seen = judge(docs, labels)
+        bad = seen.filter(F.col("predicted") == verdict).join(docs, "doc_id").orderBy("doc_id").first()
+        good = seen.filter(F.col("predicted") != verdict).join(docs, "doc_id").orderBy("doc_id").first()
+        out = texts(name, docs.union(rows((None, bad["text"]), (bad["doc_id"], good["text"]), (None, good["text"]))))
+        assert (None, bad["text"]) not in out and (bad["doc_id"], bad["text"]) not in out
+        assert (bad["doc_id"], good["text"]) in out and (None, good["text"]) in out and (good["doc_id"], good["text"]) in out
+    one, two = "alpha beta gamma delta epsilon zeta eta", "some other words that link to nothing at all"
+    assert texts("duplicates", rows((5, one), (5, one), (7, one), (None, one), (7, two), (None, ""), (9, None), (9, None))) == sorted(
+        [(5, one), (7, two), (None, ""), (9, None)], key=str)
+    assert texts("duplicates", rows((None, one), (None, one))) == [(None, one)]
+    assert texts("decontamination", rows((None, passage), (3, passage), (3, two), (None, two))) == sorted([(3, two), (None, two)], key=str)
+
+
 def test_empty_tables_pass_the_pipeline(spark, tmp_path):
     import corpus_pipeline
     for t in ("documents", "labels", "benchmark"):
