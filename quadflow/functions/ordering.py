@@ -21,7 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quadflow.session import cut_lineage
+
 DEFAULT_BUCKET_MICROS = 60 * 1_000_000  # one minute of request time
+PIECE, PLACE = "_piece", "_place"
 SPAN = 4096  # consecutive buckets whose counts a keyless ordinal sums in one task
 
 
@@ -35,6 +38,23 @@ def value_bucket(value: Column | str, width: int = 1024) -> Column:
     return F.floor(value / F.lit(width)).cast("long")
 
 
+def sorted_pieces(df: DataFrame, cut: list[Column | str], order: list[Column | str], pieces: int) -> DataFrame:
+    """``df`` in globally sorted pieces, with ``_piece`` (from 0, in order) and
+    ``_place`` (from 0 in its piece, in order).
+
+    Spark samples the ``cut`` columns, deals the rows out by range and sorts
+    each piece by ``order``, of which ``cut`` must be a prefix (or coarser): a
+    key holding a third of the rows is spread over many pieces, as long as
+    ``cut`` tells its rows apart. The pieces are kept in the checkpoint folder
+    as they are, in partitions of the same numbers, because a second sampling
+    could cut elsewhere; mapInArrow may read them in order.
+    """
+    dealt = df.repartitionByRange(pieces, *cut).sortWithinPartitions(*order)
+    kept = cut_lineage(dealt.withColumn("_at", F.monotonically_increasing_id()))
+    return (kept.withColumn(PIECE, F.shiftright("_at", 33).cast("int"))
+            .withColumn(PLACE, F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at"))
+
+
 def ordinal(df: DataFrame, keys: list[str], order: list[Column], bucket: Column,
             name: str = "ordinal") -> DataFrame:
     """Add ``name`` = 1-based position of each row within ``keys`` by ``order``.
