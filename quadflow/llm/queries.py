@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from quadflow.llm import bpe, decontaminate, html, jaccard, language, neighbours, quality, toxicity, urls, warc
+from quadflow.llm import (bpe, conversations, decontaminate, divergence, html, jaccard, language, licences, neighbours, quality, toxicity, urls,
+                          warc)
 
 
 def table(spark, sf_dir: str, name: str):
@@ -63,10 +65,43 @@ def op10_jaccard(spark, sf_dir):
     return jaccard.linked(table(spark, sf_dir, "documents"))
 
 
+def damaged(turns):
+    """Conversation rows with planted faults, by crc32(``conv_id:turn``) % 20:
+    0 drops a row, 1 empties its text, 2 removes its ``.``, ``!`` and ``?``, 3
+    repeats it, 4 sets its role to user. Nulls are one space there."""
+    word = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    kind = F.crc32(F.concat(word("conv_id"), F.lit(":"), word("turn")).cast("binary")) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.translate(word("text"), ".!?", "")).otherwise(word("text"))
+    rows = turns.select("conv_id", "turn", F.when(kind == 4, "user").otherwise(word("role")).alias("role"), text.alias("text"), kind.alias("__kind"))
+    kept = rows.filter("__kind <> 0")
+    return kept.withColumn("__copy", F.explode(F.when(F.col("__kind") == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))).drop("__kind", "__copy")
+
+
+def op11_conversations(spark, sf_dir):
+    """Faults and the cheapest repair of every damaged conversation."""
+    turns = table(spark, sf_dir, "conversations")
+    found = conversations.audit(damaged(turns)).withColumnRenamed("conv_id", "__conv")
+    every = turns.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    out = every.join(found, F.col("conv_id").eqNullSafe(F.col("__conv")), "left").drop("__conv")
+    empty = {c: 0 for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    return out.fillna(empty).fillna({"audit": "", "repaired_sha256": conversations.hashlib.sha256().hexdigest()})
+
+
+def op12_divergence(spark, sf_dir):
+    """Divergence of every source from the others and from its language."""
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_licences(spark, sf_dir):
+    """Licence phrases and labels of every document."""
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_urls": op1_urls, "op2_neighbours": op2_neighbours, "op3_html": op3_html, "op4_bpe": op4_bpe,
     "op5_language": op5_language, "op6_quality": op6_quality, "op7_warc": op7_warc,
     "op8_decontaminate": op8_decontaminate, "op9_toxicity": op9_toxicity, "op10_jaccard": op10_jaccard,
+    "op11_conversations": op11_conversations, "op12_divergence": op12_divergence, "op13_licences": op13_licences,
 }
 
 ORACLE_SQL = {
@@ -86,4 +121,33 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
        CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN page_id < top THEN top END AS refers_to
 FROM newest""",
+    "op12_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents),
+w AS (SELECT id, lang, source, unnest(regexp_extract_all(body, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS l FROM w GROUP BY lang, term HAVING count(DISTINCT id) >= 10),
+lang_size AS (SELECT lang, count(*) AS v, sum(l)::HUGEINT AS total FROM kept GROUP BY lang),
+grp AS (SELECT DISTINCT lang, source FROM d),
+seen AS (SELECT lang, source, term, count(*) AS c FROM w SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+grp_size AS (SELECT lang, source, sum(c)::HUGEINT AS total FROM seen GROUP BY lang, source),
+cells AS (
+  SELECT g.lang, g.source, k.term, coalesce(s.c, 0)::HUGEINT AS c,
+         1 + (1000000000::HUGEINT * (coalesce(s.c, 0) + 2)) // (coalesce(z.total, 0) + 2 * y.v) AS p,
+         1 + (1000000000::HUGEINT * (k.l + 2)) // (y.total + 2 * y.v) AS q
+  FROM grp g JOIN kept k USING (lang) JOIN lang_size y USING (lang)
+  LEFT JOIN seen s ON s.lang = g.lang AND s.source = g.source AND s.term = k.term
+  LEFT JOIN grp_size z ON z.lang = g.lang AND z.source = g.source),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(f.value, 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source AS one, y.source AS two, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value
+             FROM cells x JOIN cells y ON x.lang = y.lang AND x.term = y.term GROUP BY x.lang, x.source, y.source) f
+    ON f.lang = a.lang AND f.one = a.source AND f.two = b.source),
+term AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM cells WHERE c > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value::BIGINT AS value,
+       (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM pair
+UNION ALL
+SELECT * FROM (SELECT lang, source, 'term' AS part, item, value::BIGINT AS value,
+       (row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item))::INTEGER AS rank FROM term) WHERE rank <= 10""",
 }
