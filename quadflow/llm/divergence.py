@@ -18,7 +18,9 @@ All numbers are integers or exact decimals.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,10 +31,10 @@ from quadflow.session import cut_lineage
 MIN_DOCS = 10
 TOP = 10
 SCALE = 1_000_000_000
-FLUSH_TERMS = 200_000  # distinct (group, term) pairs that a task holds before it sends them on
+FLUSH_TERMS = 300_000  # distinct (group, term) pairs that a task holds before it sends them on
 CHUNK = 1 << 20  # bytes of one text that are cut into terms at a time
 
-COUNTS = "lang string, source string, term string, n long, docs long"
+COUNTS = "lang string, term string, sources array<string>, ns array<long>, docs array<long>"
 
 
 def _terms(data: bytes, pattern, gap):
@@ -48,46 +50,45 @@ def _terms(data: bytes, pattern, gap):
         lo = hi
 
 
+def _packed(held: dict) -> pa.RecordBatch:
+    """One row per language and term, with its groups in lists; the null term
+    lists all groups."""
+    langs, sources = (pa.array([k[i] for k in held], pa.string()) for i in (0, 1))
+    sizes = [len(n) + 1 for n, _ in held.values()]
+    group = np.repeat(np.arange(len(held)), sizes)
+    terms = pa.array([t for n, _ in held.values() for t in (None, *n)], pa.binary()).dictionary_encode(null_encoding="encode")
+    ns = np.array([x for n, _ in held.values() for x in (0, *n.values())], np.int64)
+    docs = np.array([x for n, d in held.values() for x in (0, *map(d.__getitem__, n))], np.int64)
+    lang, code = langs.dictionary_encode().indices.to_numpy()[group], terms.indices.to_numpy()
+    order = np.lexsort((code, lang))
+    first = np.flatnonzero(np.r_[True, (np.diff(lang[order]) != 0) | (np.diff(code[order]) != 0)])
+    offsets = pa.array(np.r_[first, len(order)], pa.int32())
+    lists = [pa.ListArray.from_arrays(offsets, x) for x in (sources.take(pa.array(group[order])), pa.array(ns[order]), pa.array(docs[order]))]
+    names = terms.dictionary.take(pa.array(code[order][first])).cast(pa.string())
+    return pa.RecordBatch.from_arrays([langs.take(pa.array(group[order][first])), names, *lists], names=["lang", "term", "sources", "ns", "docs"])
+
+
 def _count(batches):
-    """Kernel: per group and term the occurrences and documents of some rows; a
-    row without a term per group, so that groups without terms are kept."""
+    """Kernel: per language and term the occurrences and documents in each
+    source, of some rows at a time."""
     pattern, gap = re.compile(rb"[A-Za-z\x80-\xff]+"), re.compile(rb"[^A-Za-z\x80-\xff]")
-    held: dict[tuple, dict] = {}
+    held: dict[tuple, tuple] = {}
     size = 0
-
-    def flush():
-        cols = [[] for _ in range(5)]
-        for (lang, source), terms in held.items():
-            terms = {None: [0, 0]} | {t.decode(): v for t, v in terms.items()}
-            cols[0] += [lang] * len(terms)
-            cols[1] += [source] * len(terms)
-            cols[2] += list(terms)
-            cols[3] += [v[0] for v in terms.values()]
-            cols[4] += [v[1] for v in terms.values()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()))],
-                                          names=["lang", "source", "term", "n", "docs"])
-
     for batch in batches:
         for lang, source, text in zip(*(batch.column(c) for c in ("lang", "source", "text"))):
-            terms = held.setdefault((lang.as_py(), source.as_py()), {})
-            before, here = len(terms), {}
+            n, docs = held.setdefault((lang.as_py(), source.as_py()), (Counter(), Counter()))
+            before, here = len(n), set()
             raw = text.as_py()
             for some in _terms(raw.encode().lower() if raw else b"", pattern, gap):  # bytes: A-Z alone are lower-cased
-                for t in some:
-                    here[t] = here.get(t, 0) + 1
-            for t, k in here.items():
-                own = terms.get(t)
-                if own is None:
-                    terms[t] = [k, 1]
-                else:
-                    own[0] += k
-                    own[1] += 1
-            size += len(terms) - before
+                n.update(some)
+                here.update(some)
+            docs.update(here)
+            size += len(n) - before
             if size >= FLUSH_TERMS:
-                yield flush()
+                yield _packed(held)
                 held, size = {}, 0
     if held:
-        yield flush()
+        yield _packed(held)
     release()
 
 
@@ -105,11 +106,20 @@ def _apart(p, q):
 
 
 def term_counts(documents: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences and documents per group; a row
-    with a null term and zeros for every group. Null text, lang and source are
-    empty strings."""
+    """(lang, term, source, n, docs, l, df, leads): occurrences and rows of a
+    term in a group, and in its language; ``leads`` holds in one row of each
+    language and term. A row with a null term and zeros for every group. Null
+    text, lang and source are empty strings.
+
+    Tasks count what they read before it is dealt out by language and term,
+    once; all sums follow in place."""
     rows = documents.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    return rows.mapInArrow(_count, COUNTS).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    dealt = rows.mapInArrow(_count, COUNTS).repartition("lang", "term")
+    each = dealt.select("lang", "term", F.explode(F.arrays_zip("sources", "ns", "docs")).alias("x"))
+    counts = each.groupBy("lang", "term", F.col("x.sources").alias("source")).agg(F.sum("x.ns").alias("n"), F.sum("x.docs").alias("docs"))
+    whole = Window.partitionBy("lang", "term")
+    return counts.select("*", F.sum("n").over(whole).alias("l"), F.sum("docs").over(whole).alias("df"),
+                         (F.col("source") == F.min("source").over(whole)).alias("leads"))
 
 
 def audit(documents: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> DataFrame:
@@ -129,12 +139,11 @@ def audit(documents: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP) -> Dat
     often as they occur; groups without terms, empty and null texts have zero
     counts; an empty table gives no rows; other columns are ignored.
     """
-    counts = cut_lineage(term_counts(documents))
+    counts = term_counts(documents).filter((F.col("df") >= min_docs) | F.col("term").isNull())
+    counts = cut_lineage(counts.select("lang", "source", "term", F.col("n").alias("c"), "l", "leads"))
     groups = counts.filter("term is null").select("lang", "source")
-    by_lang = counts.filter("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("l"), F.sum("docs").alias("docs"))
-    kept = by_lang.filter(F.col("docs") >= min_docs).select("lang", "term", "l")
-    own = cut_lineage(counts.filter("term is not null").select("lang", "source", "term", F.col("n").alias("c")).join(kept, ["lang", "term"]))
-    sizes = own.groupBy("lang").agg(F.countDistinct("term").alias("v"), F.sum("c").alias("lang_total"))
+    own = counts.filter("term is not null")
+    sizes = own.groupBy("lang").agg(F.sum(F.col("leads").cast("long")).alias("v"), F.sum("c").alias("lang_total"))
     totals = own.groupBy("lang", "source").agg(F.sum("c").alias("total"), F.count("*").alias("held"))
     facts = (groups.join(sizes, "lang", "left").join(totals, ["lang", "source"], "left").na.fill(0, ["v", "lang_total", "total", "held"]))
     facts = cut_lineage(facts)
@@ -145,7 +154,6 @@ def _pairs(own: DataFrame, facts: DataFrame) -> DataFrame:
     """Part ``pair``. Each pair of sources is worked out once, smaller name first."""
     a, b = (facts.select("lang", *[F.col(c).alias(f"{c}_{k}") for c in ("source", "total", "held")], *(["v"] if k == "a" else [])) for k in "ab")
     pairs = a.join(b, "lang").filter("source_a < source_b")
-    empty = lambda k: _share(F.lit(0), F.col(f"total_{k}"), F.col("v"))
     cell = lambda ca, cb: _apart(_share(ca, F.col("total_a"), F.col("v")), _share(cb, F.col("total_b"), F.col("v")))
     zero = F.lit(0).cast("long")
 
@@ -156,7 +164,7 @@ def _pairs(own: DataFrame, facts: DataFrame) -> DataFrame:
     parts = [shared.select("lang", "source_a", "source_b", (gain * F.col("m")).alias("value"))]
 
     histogram = own.groupBy("lang", "source", "c").agg(F.count("*").alias("m"))
-    for k, other in ("ab", "ba"):
+    for k in "ab":
         alone = histogram.select("lang", F.col("source").alias(f"source_{k}"), "c", "m").join(pairs, ["lang", f"source_{k}"])
         value = cell(F.col("c"), zero) if k == "a" else cell(zero, F.col("c"))
         parts.append(alone.select("lang", "source_a", "source_b", ((value - cell(zero, zero)) * F.col("m")).alias("value")))
