@@ -55,6 +55,12 @@ def sorted_pieces(df: DataFrame, cut: list[Column | str], order: list[Column | s
             .withColumn(PLACE, F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at"))
 
 
+def pieces_for(df: DataFrame, rows: int) -> int:
+    """Pieces of about ``rows`` rows each, as many as shuffle partitions at
+    least (counts ``df``, which should be cheap to count, such as a table)."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
+
+
 def ordinal(df: DataFrame, keys: list[str], order: list[Column], bucket: Column,
             name: str = "ordinal") -> DataFrame:
     """Add ``name`` = 1-based position of each row within ``keys`` by ``order``.

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quadflow.functions.ordering import PIECE, pieces_for, sorted_pieces
 from quadflow.functions.scalar import order_uid, strip
 from quadflow.sources.tables import add_column_if_missing
 
@@ -29,86 +30,165 @@ def _digits(c):
     return F.coalesce(strip(c).rlike(r"\A[0-9]+\z"), F.lit(False))
 
 
+PIECE_ROWS = 200_000  # requests that one task walks
+WINDOW = 4096  # requests looked at together
+
+
 def _greedy_walk(qty, left: int):
     """Greedy skip-if-insufficient over one resource's requests (in order).
 
-    Works in runs: the longest prefix whose running total fits is accepted
-    at once (a cumulative sum), the first request that does not fit is
-    skipped, and once the stock is below the smallest remaining request
-    everything left is rejected. Returns (accepted flags, stock after each)."""
+    Looks at a window at a time: what exceeds the stock is rejected for good
+    (stock only falls), of the rest the longest prefix whose running total fits
+    is accepted at once; the walk goes on behind the first that doesn't fit.
+    Returns (accepted flags, stock after each, stock left)."""
     import numpy as np
     n = len(qty)
     ok = np.zeros(n, dtype=bool)
     after = np.empty(n, dtype=np.int64)
-    suffix_min = np.minimum.accumulate(qty[::-1])[::-1] if n else qty
     i = 0
     while i < n:
-        if left < suffix_min[i]:
-            after[i:] = left
-            break
-        run = np.cumsum(qty[i:])
+        window = qty[i:i + WINDOW]
+        fits = np.flatnonzero(window <= left)
+        run = np.cumsum(window[fits])
         k = int(np.searchsorted(run, left, side="right"))
-        if k:
-            ok[i:i + k] = True
-            after[i:i + k] = left - run[:k]
-            left -= int(run[k - 1])
-            i += k
-        if i < n:
-            after[i] = left
-            i += 1
+        done = len(window) if k == len(fits) else int(fits[k]) + 1
+        ok[i + fits[:k]] = True
+        after[i:i + done] = left - np.cumsum(np.where(ok[i:i + done], window[:done], 0))
+        left = int(after[i + done - 1])
+        i += done
     return ok, after, left
 
 
-def _greedy_stock(batches):
-    """FOLD-2 kernel over rows sorted by (resource, ts, request_id).
+def _stock_steps(qty, top: int):
+    """The walk from every stock 0..top at once, as a step table: (first stock
+    of each step, what it loses). Stocks that have met are walked as one, and
+    requests beyond the largest stock left are passed over."""
+    import numpy as np
+    place = np.arange(top + 1)
+    now = np.arange(top + 1)
+    i = 0
+    while i < len(qty):
+        hits = np.flatnonzero(qty[i:i + WINDOW] <= now[-1])
+        if not len(hits):
+            i += WINDOW
+            continue
+        i += int(hits[0])
+        now = np.where(now >= qty[i], now - qty[i], now)
+        now, met = np.unique(now, return_inverse=True)
+        place = met[place]
+        i += 1
+    lost = np.arange(top + 1) - now[place]
+    first = np.flatnonzero(np.r_[True, lost[1:] != lost[:-1]])
+    return first, lost[first]
+
 
-    Skip-if-insufficient is not a prefix sum, so each resource is walked in
-    order, vectorised in runs (``_greedy_walk``). Only the current resource's
-    remaining stock is carried between Arrow batches, so memory is one batch
-    whatever the group size."""
+def _stretches(batch):
+    """(resource, first row, end row, open rows' quantities, stock at first) of a sorted piece."""
     import numpy as np
-    import pandas as pd
-    current, left = None, 0
-    for pdf in batches:
-        res = pdf["resource_id"].to_numpy()
-        qty = pdf["borrow_qty"].to_numpy().astype(np.int64)
-        avail = pdf["available_qty"].to_numpy()
-        ok = np.zeros(len(pdf), dtype=bool)
-        after = np.zeros(len(pdf), dtype=np.int64)
-        starts = np.flatnonzero(np.r_[True, res[1:] != res[:-1]]) if len(pdf) else np.array([], dtype=int)
-        ends = np.r_[starts[1:], len(pdf)]
-        for s, e in zip(starts, ends):
-            if res[s] != current:
-                current, left = res[s], int(avail[s])
-            ok[s:e], after[s:e], left = _greedy_walk(qty[s:e], left)
-        yield pd.DataFrame({"request_id": pdf["request_id"], "accepted": ok, "left_after": after})
+    known = batch.column("resource_id").is_valid().to_numpy(zero_copy_only=False)
+    res = batch.column("resource_id").fill_null(0).to_numpy()
+    cuts = np.r_[0, np.flatnonzero((res[1:] != res[:-1]) | (known[1:] != known[:-1])) + 1, len(res)]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if known[a] and b > a:
+            yield int(res[a]), int(a), int(b)
+
+
+def _whole(batches):
+    """A sorted piece as one record batch (None if empty); its rows are bounded."""
+    import pyarrow as pa
+    batches = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0] if batches else None
+
+
+def _edge_tables(batches):
+    """Kernel: step tables of the first and the last resource of a piece, the
+    only ones that may lie in other pieces too."""
+    import pyarrow as pa
+    piece = _whole(batches)
+    if piece is None:
+        return
+    stretches, rows = list(_stretches(piece)), []
+    for side in sorted({0, len(stretches) - 1}) if stretches else ():
+        res, a, b = stretches[side]
+        part = piece.slice(a, b - a)
+        part = part.filter(part.column("_reason").is_null())
+        if part.num_rows:
+            top = part.column("available_qty")[0].as_py()
+            first, lost = _stock_steps(part.column("borrow_qty").to_numpy().astype("int64"), max(top, 0))
+            rows.append((res, piece.column(PIECE)[0].as_py(), top, first.tolist(), lost.tolist()))
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))],
+                                         names=["resource_id", "piece", "top", "first", "lost"])
+
+
+def _chain(table):
+    """Reducer over one resource's step tables: its stock at the start of every
+    piece but the first."""
+    import numpy as np
+    import pyarrow as pa
+    rows, left, out = sorted(table.to_pylist(), key=lambda r: r["piece"]), None, []
+    for row in rows:
+        left = row["top"] if left is None else left
+        if row is not rows[0]:
+            out.append((row["resource_id"], row["piece"], left))
+        if left >= 0:
+            left -= row["lost"][int(np.searchsorted(row["first"], left, side="right")) - 1]
+    return pa.table({c: pa.array([r[k] for r in out], t) for k, (c, t) in enumerate((("resource_id", pa.int64()), ("piece", pa.int32()), ("stock", pa.int64())))})
+
+
+def _walk_pieces(starts):
+    """Kernel: every piece from its known start stocks; rows come back with
+    ``accepted`` and ``left_after`` (null for rows with a reason)."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        piece = _whole(batches)
+        if piece is None:
+            return
+        number = piece.column(PIECE)[0].as_py()
+        open_ = piece.column("_reason").is_null().to_numpy(zero_copy_only=False)
+        ok, after = np.zeros(len(open_), bool), np.zeros(len(open_), np.int64)
+        qty = piece.column("borrow_qty").fill_null(0).to_numpy().astype(np.int64)
+        for res, a, b in _stretches(piece):
+            rows = a + np.flatnonzero(open_[a:b])
+            if len(rows):
+                stock = starts.value.get((res, number), piece.column("available_qty")[int(rows[0])].as_py())
+                ok[rows], after[rows], _ = _greedy_walk(qty[rows], stock)
+        names = ["request_id", "ts", "order_id", "resource_id", "borrow_qty", "_reason"]
+        yield pa.RecordBatch.from_arrays([*(piece.column(c) for c in names), pa.array(ok), pa.array(after, pa.int64(), mask=~open_)],
+                                         names=[*names, "accepted", "left_after"])
+
+    return run
 
 
 def reserve_stock(requests: DataFrame, borrow_order: DataFrame, resource_item: DataFrame,
-                  viewers: DataFrame) -> DataFrame:
+                  viewers: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """BOR-2: add detail lines to borrow orders while stock lasts.
 
     Static checks first (form, order by id or uid, role and ownership,
     resource exists, positive quantity); then per resource, in request order,
     a request is accepted when the remaining stock covers it. A rejected
     request consumes nothing, so a later smaller one may still pass.
-    The walk is partitioned by resource and sorted with Spark's external
-    sort; the per-row step runs in Arrow batches (mapInPandas).
+
+    FOLD-2 over many tasks: the log is sorted by (resource, ts, request_id)
+    into pieces of about ``piece_rows``. Where a resource goes on in the next
+    piece, its part is first walked from every possible stock at once (stock is
+    bounded, so that is a short step table); the tables are chained per
+    resource, and then all pieces are walked at once from known stocks. What is
+    broadcast is one number per piece. Rows carry their columns through the
+    walk, so nothing is joined back.
     """
-    orders = backfill_order_uid(borrow_order).select("order_id", "order_uid", "applicant_user_id")
+    spark = requests.sparkSession
+    orders = backfill_order_uid(borrow_order)
+    named = orders.select(F.explode(F.array(F.concat(F.lit("i"), F.col("order_id").cast("string")), F.concat(F.lit("u"), "order_uid"))).alias("_key"),
+                          "order_id", F.col("applicant_user_id").alias("_applicant"))
     actors = viewers.select(F.col("user_id").alias("actor_user_id"), F.col("role").alias("_role"))
     by_id = _digits(F.col("order_ref"))
-    req = requests.withColumn("order_ref", strip("order_ref")).withColumn("_oid", F.when(by_id, strip("order_ref").try_cast("long")))
-    o1 = orders.select(F.col("order_id").alias("_oid"), F.col("order_id").alias("_id1"),
-                       F.col("applicant_user_id").alias("_app1"))
-    o2 = orders.select(F.col("order_uid").alias("order_ref"), F.col("order_id").alias("_id2"),
-                       F.col("applicant_user_id").alias("_app2"))
-    x = (req.join(o1, "_oid", "left").join(o2, "order_ref", "left")
-         .withColumn("order_id", F.when(by_id, F.col("_id1")).otherwise(F.col("_id2")))
-         .withColumn("_applicant", F.when(by_id, F.col("_app1")).otherwise(F.col("_app2")))
-         .join(actors, "actor_user_id", "left")
-         .join(resource_item.select("resource_id", "available_qty", F.lit(True).alias("_has_res")),
-               "resource_id", "left"))
+    ref = strip("order_ref")
+    key = F.when(by_id, F.concat(F.lit("i"), ref.try_cast("long").cast("string"))).otherwise(F.concat(F.lit("u"), ref))
+    x = (requests.withColumn("_key", key).join(named, "_key", "left").join(actors, "actor_user_id", "left")
+         .join(resource_item.select("resource_id", "available_qty", F.lit(True).alias("_has_res")), "resource_id", "left"))
     form_ok = (F.coalesce(strip("order_ref") != "", F.lit(False)) & F.col("resource_id").isNotNull()
                & (F.col("resource_id") >= 0) & F.col("borrow_qty").isNotNull() & (F.col("borrow_qty") >= 0))
     reason = (F.when(~F.coalesce(F.col("_role").isin("admin", "club"), F.lit(False)), "forbidden")
@@ -116,15 +196,20 @@ def reserve_stock(requests: DataFrame, borrow_order: DataFrame, resource_item: D
               .when((F.col("_role") != "admin") & (F.col("_applicant") != F.col("actor_user_id")), "forbidden")
               .when(F.col("_has_res").isNull(), "resource_not_found")
               .when(F.col("borrow_qty") == 0, "db_error"))
-    x = x.withColumn("_reason", reason)
-    cand = (x.filter(F.col("_reason").isNull())
-            .select("request_id", "ts", "resource_id", "borrow_qty", "available_qty")
-            .repartition("resource_id").sortWithinPartitions("resource_id", "ts", "request_id"))
-    walked = cand.mapInPandas(_greedy_stock, "request_id long, accepted boolean, left_after long")
-    out = x.join(walked, "request_id", "left")
+    rows = x.select("request_id", "ts", "order_id", F.col("resource_id").cast("long").alias("resource_id"), "borrow_qty",
+                    F.col("available_qty").cast("long").alias("available_qty"), reason.alias("_reason"))
+    order = ["resource_id", "ts", "request_id"]
+    sorted_ = sorted_pieces(rows, order, order, pieces_for(requests, piece_rows))
+    edges = sorted_.select("resource_id", "borrow_qty", "available_qty", "_reason", PIECE).mapInArrow(
+        _edge_tables, "resource_id long, piece int, top long, first array<long>, lost array<long>")
+    chained = edges.groupBy("resource_id").applyInArrow(_chain, "resource_id long, piece int, stock long").collect()
+    starts = spark.sparkContext.broadcast({(r["resource_id"], r["piece"]): r["stock"] for r in chained})
+    fields = {f.name: f.dataType.simpleString() for f in sorted_.schema}
+    kept = ["request_id", "ts", "order_id", "resource_id", "borrow_qty", "_reason"]
+    walked = sorted_.mapInArrow(_walk_pieces(starts), ", ".join(f"`{c}` {fields[c]}" for c in kept) + ", accepted boolean, left_after long")
     outcome = F.coalesce(F.col("_reason"), F.when(F.col("accepted"), "accepted").otherwise("insufficient_stock"))
-    return out.select("request_id", "ts", "order_id", "resource_id", "borrow_qty", outcome.alias("outcome"),
-                      F.col("left_after").cast("int").alias("left_after"))
+    return walked.select("request_id", "ts", "order_id", "resource_id", "borrow_qty", outcome.alias("outcome"),
+                         F.col("left_after").cast("int").alias("left_after"))
 
 
 def return_orders(requests: DataFrame, borrow_order: DataFrame, borrow_detail: DataFrame,

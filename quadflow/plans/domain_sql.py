@@ -178,6 +178,13 @@ def target_sql(rows: str) -> str:
     return f"CASE WHEN event_id % 4 = 0 THEN {spread} - {spread} % 16 ELSE {spread} END"
 
 
+def _uid_sql(order: str, days: int) -> str:
+    """Uid of an order that was applied for ``days`` days before its activity."""
+    text = f"CAST({order} AS VARCHAR)"
+    return (f"('BOR-' || strftime({_E} + to_hours(CAST({order} * 7 % 1080 AS BIGINT)) - to_days({days}), '%Y%m%d') || '-' || "
+            f"lpad({text}, CAST(greatest(6, length({text})) AS INTEGER), '0'))")
+
+
 _ACTIVITIES = "(SELECT count(*) FROM orders)"
 
 DOMAIN.update({
@@ -210,7 +217,9 @@ FROM line_first""",
 SELECT l_orderkey * {_N['n_resource']} + l_partkey AS request_id, l_shipdate + to_hours(CAST(l_linenumber AS BIGINT)) AS ts,
        CASE WHEN l_linenumber % 3 = 0 THEN CAST(0 AS BIGINT) ELSE l_suppkey * 10 + 1 END AS actor_user_id,
        CASE WHEN l_linenumber % 3 = 0 THEN 'admin' ELSE 'club' END AS actor_role,
-       CASE WHEN l_linenumber = 7 THEN 'X' || CAST(l_orderkey AS VARCHAR) ELSE CAST(l_orderkey AS VARCHAR) END AS order_ref,
+       CASE WHEN l_linenumber = 7 THEN 'X' || CAST(l_orderkey AS VARCHAR)
+            WHEN l_linenumber = 5 THEN chr(32) || chr(9) || {_uid_sql("l_orderkey", 3)} || ' '
+            WHEN l_linenumber = 6 THEN {_uid_sql("l_orderkey", 2)} ELSE CAST(l_orderkey AS VARCHAR) END AS order_ref,
        l_partkey AS resource_id, CAST(floor(l_quantity) AS INTEGER) AS borrow_qty
 FROM line_first""",
     "return_request": f"""

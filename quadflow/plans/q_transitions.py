@@ -377,6 +377,7 @@ from quadflow.operators import lending as B  # noqa: E402
 from quadflow.operators import trade as T  # noqa: E402
 from quadflow.sources.domain import EPOCH, plus  # noqa: E402
 
+_WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UID = ("COALESCE(order_uid, 'BOR-' || strftime(apply_time, '%Y%m%d') || '-' || "
         "lpad(CAST(order_id AS VARCHAR), CAST(greatest(6, length(CAST(order_id AS VARCHAR))) AS INTEGER), '0'))")
 
@@ -385,17 +386,17 @@ _UID = ("COALESCE(order_uid, 'BOR-' || strftime(apply_time, '%Y%m%d') || '-' ||
 WITH RECURSIVE o AS (SELECT order_id, {_UID} AS order_uid, applicant_user_id FROM borrow_order),
 d AS ({_USER_DIM}),
 x AS (
-  SELECT q.*, CASE WHEN COALESCE(regexp_full_match(trim(q.order_ref), '[0-9]+'), false) THEN o1.order_id ELSE o2.order_id END AS oid,
-         CASE WHEN COALESCE(regexp_full_match(trim(q.order_ref), '[0-9]+'), false) THEN o1.applicant_user_id ELSE o2.applicant_user_id END AS applicant,
+  SELECT q.*, CASE WHEN COALESCE(regexp_full_match(trim(q.order_ref, {_WS}), '[0-9]+'), false) THEN o1.order_id ELSE o2.order_id END AS oid,
+         CASE WHEN COALESCE(regexp_full_match(trim(q.order_ref, {_WS}), '[0-9]+'), false) THEN o1.applicant_user_id ELSE o2.applicant_user_id END AS applicant,
          d.role, r.available_qty, r.resource_id IS NOT NULL AS has_res
   FROM borrow_request q
-  LEFT JOIN o o1 ON o1.order_id = TRY_CAST(trim(q.order_ref) AS BIGINT)
-  LEFT JOIN o o2 ON o2.order_uid = q.order_ref
+  LEFT JOIN o o1 ON o1.order_id = TRY_CAST(trim(q.order_ref, {_WS}) AS BIGINT)
+  LEFT JOIN o o2 ON o2.order_uid = trim(q.order_ref, {_WS})
   LEFT JOIN d ON d.user_id = q.actor_user_id
   LEFT JOIN resource_item r ON r.resource_id = q.resource_id),
 y AS (SELECT *, CASE
         WHEN NOT COALESCE(role IN ('admin', 'club'), false) THEN 'forbidden'
-        WHEN NOT (COALESCE(trim(order_ref) <> '', false) AND resource_id IS NOT NULL AND resource_id >= 0
+        WHEN NOT (COALESCE(trim(order_ref, {_WS}) <> '', false) AND resource_id IS NOT NULL AND resource_id >= 0
                   AND borrow_qty IS NOT NULL AND borrow_qty >= 0) THEN 'invalid_form'
         WHEN oid IS NULL THEN 'order_not_found'
         WHEN role <> 'admin' AND applicant <> actor_user_id THEN 'forbidden'

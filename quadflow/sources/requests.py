@@ -14,7 +14,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadflow.functions.scalar import role_of
+from quadflow.functions.scalar import order_uid, role_of
 from quadflow.sources.domain import EPOCH, Campus, _first_row, plus, ts_lit
 
 
@@ -104,12 +104,17 @@ class Requests:
 
     @cached_property
     def borrow(self) -> DataFrame:
-        """lineitem -> stock reservations (add a detail line to an order)."""
+        """lineitem -> stock reservations (add a detail line to an order), by
+        order id or, for some lines, by a right or a wrong order uid."""
         x = self._line_first
         admin = F.col("l_linenumber") % 3 == 0
         actor = F.when(admin, F.lit(0).cast("long")).otherwise(F.col("l_suppkey") * 10 + 1)
-        ref = F.when(F.col("l_linenumber") == 7, F.concat(F.lit("X"), F.col("l_orderkey").cast("string"))) \
-            .otherwise(F.col("l_orderkey").cast("string"))
+        k = F.col("l_orderkey")
+        applied = plus(plus(ts_lit(EPOCH), "HOUR", (k * 7) % 1080), "DAY", -3)  # of the order, as its uid says
+        ref = (F.when(F.col("l_linenumber") == 7, F.concat(F.lit("X"), k.cast("string")))
+               .when(F.col("l_linenumber") == 5, F.concat(F.lit(" \t"), order_uid(k, applied), F.lit(" ")))
+               .when(F.col("l_linenumber") == 6, order_uid(k, plus(applied, "DAY", 1)))
+               .otherwise(k.cast("string")))
         return x.select(
             (F.col("l_orderkey") * self.c.n_resource + F.col("l_partkey")).alias("request_id"),
             plus(F.col("l_shipdate"), "HOUR", F.col("l_linenumber")).alias("ts"),

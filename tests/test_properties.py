@@ -168,3 +168,49 @@ def test_greedy_unique_matches_sequential_choice(spark):
             if sno is not None:
                 snos.add(sno)
     assert got == want
+
+
+def test_hot_resource_is_walked_by_many_tasks(spark):
+    """One resource holds nearly all requests: its part lies in many pieces,
+    each walked from a known stock, and the result is the serial one."""
+    from quadflow.operators import lending
+    rnd = random.Random(21)
+    orders = spark.createDataFrame([(1, None, 5, T0)], "order_id long, order_uid string, applicant_user_id long, apply_time timestamp_ntz")
+    stock = {0: 3000, 1: 7, 2: 0}
+    items = spark.createDataFrame(list(stock.items()), "resource_id long, available_qty int")
+    viewers = spark.createDataFrame([(5, "club")], "user_id long, role string")
+    reqs = [(i, _ts(i % 97), 5, rnd.choice(["1", " 1 ", "bor", "BOR-20240101-000001"]), 0 if rnd.random() < .95 else rnd.choice([1, 2, None]),
+             rnd.choice([1, 2, 900, 2500, rnd.randint(0, 40)])) for i in range(3000)]
+    req_df = spark.createDataFrame(reqs, "request_id long, ts timestamp_ntz, actor_user_id long, order_ref string, resource_id long, borrow_qty int")
+    got = {r.request_id: (r.outcome, r.left_after) for r in reserve_stock(req_df, orders, items, viewers, piece_rows=100).collect()}
+    left, accepted = dict(stock), set()
+    for rid, ts, actor, ref, res, qty in sorted(reqs, key=lambda x: (x[1], x[0])):
+        want = ("invalid_form" if res is None else "order_not_found" if ref == "bor" else "db_error" if qty == 0
+                else "accepted" if qty <= left[res] else "insufficient_stock")
+        if want == "accepted":
+            left[res] -= qty
+            accepted.add(rid)
+        after = left[res] if want in ("accepted", "insufficient_stock") else None
+        assert got[rid] == (want, after), rid
+    rows = spark.createDataFrame([(r[0], r[1], r[4], r[5], 3000, None) for r in reqs],
+                                 "request_id long, ts timestamp_ntz, resource_id long, borrow_qty int, available_qty long, _reason string")
+    order = ["resource_id", "ts", "request_id"]
+    pieces = ordering.sorted_pieces(rows, order, order, 30)
+    assert pieces.filter("resource_id = 0").select("_piece").distinct().count() > 20
+
+
+def test_stock_steps_equal_a_walk_from_every_stock():
+    import numpy as np
+    from quadflow.operators.lending import _greedy_walk, _stock_steps
+    rnd = random.Random(23)
+    for _ in range(200):
+        top = rnd.randint(0, 40)
+        qty = np.array([rnd.randint(1, 50) for _ in range(rnd.randint(0, 30))], np.int64)
+        first, lost = _stock_steps(qty, top)
+        for s in range(top + 1):
+            left, flags = s, []
+            for q in qty.tolist():
+                flags.append(q <= left)
+                left -= q if q <= left else 0
+            ok, after, end = _greedy_walk(qty, s)
+            assert ok.tolist() == flags and end == left and s - lost[np.searchsorted(first, s, side="right") - 1] == left
