@@ -61,6 +61,22 @@ def pieces_for(df: DataFrame, rows: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
 
 
+def running_count(df: DataFrame, key: str, order: list[str], flag: Column, name: str, pieces: int) -> DataFrame:
+    """``df`` with ``name``: how many rows of the same ``key`` before the row (by
+    ``order``, a total one) are flagged; null flags don't count. A segmented
+    scan: counted inside each sorted piece, after the counts of the earlier
+    pieces that hold the key, so a hot key is counted by many tasks."""
+    flagged = df.withColumn("_flag", F.coalesce(flag, F.lit(False)).cast("long"))
+    rows = sorted_pieces(flagged, [key, *order], [key, *order], pieces)
+    part = [key, PIECE]
+    inside = Window.partitionBy(*part).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_in", F.coalesce(F.sum("_flag").over(inside), F.lit(0)))
+    counts = rows.groupBy(*part).agg(F.sum("_flag").alias("_n"))
+    before = _prior(counts, [key], PIECE, "_n", "_before").select(*[F.col(c).alias(f"_off_{c}") for c in part], "_before")
+    out = rows.join(before, part_eq(rows, before, part, "_off_"))
+    return out.withColumn(name, F.col("_before") + F.col("_in")).drop("_flag", "_in", "_before", PIECE, PLACE, *before.columns)
+
+
 def ordinal(df: DataFrame, keys: list[str], order: list[Column], bucket: Column,
             name: str = "ordinal") -> DataFrame:
     """Add ``name`` = 1-based position of each row within ``keys`` by ``order``.

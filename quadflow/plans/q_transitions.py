@@ -540,6 +540,39 @@ def trade_admission(c, r):
     return T.admit_trades(r.trade_buy, c.product, c.trade_order)
 
 
+_REOPENED_SQL = """
+WITH RECURSIVE lg AS (
+  SELECT q.request_id, q.ts, q.product_id, q.actor_user_id, 0 AS change, CAST(NULL AS VARCHAR) AS new_status FROM trade_buy_request q
+  UNION ALL
+  SELECT q.request_id, q.ts, o.product_id, q.actor_user_id, 1, q.order_status
+  FROM trade_status_request q JOIN trade_order o ON o.order_id = q.order_id
+  WHERE q.order_status IN ('cancelled', 'completed') AND q.actor_user_id IN (o.buyer_user_id, o.seller_user_id)),
+x AS (SELECT lg.*, p.status AS init_status, p.seller_user_id,
+             row_number() OVER (PARTITION BY lg.product_id ORDER BY lg.ts, lg.request_id, lg.change) AS rn
+      FROM lg LEFT JOIN product p ON p.product_id = lg.product_id),
+walk AS (
+  SELECT product_id, CAST(0 AS BIGINT) AS rn, any_value(init_status) AS status, CAST(NULL AS VARCHAR) AS outcome FROM x GROUP BY product_id
+  UNION ALL
+  SELECT t.product_id, t.rn, CASE WHEN t.oc = 'accepted' THEN 'locked' WHEN t.oc = 'cancelled' THEN 'on_sale'
+                                  WHEN t.oc = 'completed' THEN 'sold' ELSE t.cur END, t.oc
+  FROM (SELECT x.product_id, x.rn, w.status AS cur,
+               CASE WHEN x.change = 1 THEN x.new_status WHEN w.status IS NULL THEN 'missing' WHEN w.status <> 'on_sale' THEN 'not_on_sale'
+                    WHEN x.actor_user_id = x.seller_user_id THEN 'own_product' ELSE 'accepted' END AS oc
+        FROM walk w JOIN x ON x.product_id = w.product_id AND x.rn = w.rn + 1) t)
+SELECT x.request_id, x.product_id, w.outcome,
+       CASE WHEN w.outcome = 'accepted' THEN (SELECT max(order_id) FROM trade_order)
+            + row_number() OVER (PARTITION BY w.outcome = 'accepted' ORDER BY x.ts, x.request_id) END AS order_id,
+       x.actor_user_id AS buyer_user_id, x.seller_user_id
+FROM walk w JOIN x ON x.product_id = w.product_id AND x.rn = w.rn WHERE x.change = 0"""
+
+
+@query("trade_admission_reopened", _REOPENED_SQL)
+def trade_admission_reopened(c, r):
+    """TRD-1 with the status log of the same time: a product that a cancel puts
+    on sale again is sold again (the oracle replays every product serially)."""
+    return T.admit_trades(r.trade_buy, c.product, c.trade_order, r.trade_status)
+
+
 @query("trade_status", """
 WITH ok AS (SELECT q.*, o.finish_time AS fin FROM trade_status_request q JOIN trade_order o ON o.order_id = q.order_id
             WHERE q.order_status IN ('created', 'cancelled', 'completed')

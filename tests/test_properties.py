@@ -214,3 +214,89 @@ def test_stock_steps_equal_a_walk_from_every_stock():
                 left -= q if q <= left else 0
             ok, after, end = _greedy_walk(qty, s)
             assert ok.tolist() == flags and end == left and s - lost[np.searchsorted(first, s, side="right") - 1] == left
+
+
+def _plain_trade(log, products):
+    """(outcome, product status) per request, one after the other."""
+    status, seller, orders, out = {p: s for p, _, s in products}, {p: s for p, s, _ in products}, {}, {}
+    for rid, _, p, kind, actor, ref, new in sorted(log, key=lambda r: (r[1], r[0])):
+        now = status.get(p)
+        if kind == "buy":
+            oc = "missing" if now is None else "not_on_sale" if now != "on_sale" else "own_product" if actor == seller[p] else "accepted"
+            if oc == "accepted":
+                orders[rid], status[p] = (actor, p), "locked"
+        else:
+            mine = orders.get(ref)
+            oc = ("invalid_status" if new not in ("created", "cancelled", "completed") else "order_not_found" if mine is None or mine[1] != p
+                  else "forbidden" if actor not in (mine[0], seller[p]) else "applied")
+            if oc == "applied":
+                status[p] = {"cancelled": "on_sale", "completed": "sold"}.get(new, now)
+        out[rid] = (oc, status.get(p))
+    return out
+
+
+def test_trade_log_of_a_hot_product_in_many_pieces(spark):
+    """Most of the log is one product's: its orders are cancelled, re-opened and
+    completed again and again, also long after; ids beyond 2^53 are exact."""
+    rnd = random.Random(29)
+    big = 1 << 60
+    products = [(0, 100, "on_sale"), (1, 101, "on_sale"), (2, 102, "locked"), (3, 103, "sold")]
+    log, buys, made, state = [], [], [], {p: x for p, _, x in products}
+    for i in range(2500):
+        rid, ts = big + i, _ts(i // 3)
+        p = 0 if rnd.random() < .8 else rnd.randint(1, 4)
+        if made and rnd.random() < .55:
+            b = rnd.choice(rnd.choice([made[-3:], made, buys]))
+            actor, new = rnd.choice([b[2], b[2], 100 + b[1], 7]), rnd.choice(["cancelled", "cancelled", "cancelled", "completed", "created", "bogus", None])
+            log.append((rid, ts, b[1] if rnd.random() < .95 else p, "status", actor, b[0], new))
+            if b in made and actor != 7 and log[-1][2] == b[1] and new in ("cancelled", "completed"):
+                state[b[1]] = "on_sale" if new == "cancelled" else "sold"
+        else:
+            actor = rnd.choice([1, 2, 3, 100 + p])
+            log.append((rid, ts, p, "buy", actor, None, None))
+            buys.append((rid, p, actor))
+            if state.get(p) == "on_sale" and actor != 100 + p:
+                made.append(buys[-1])
+                state[p] = "locked"
+    df = spark.createDataFrame(log, "request_id long, ts timestamp_ntz, product_id long, kind string, actor_user_id long, order_ref long, new_status string")
+    prod = spark.createDataFrame(products, "product_id long, seller_user_id long, status string")
+    want = _plain_trade(log, products)
+    assert sum(o == ("accepted", "locked") for o in want.values()) > 200
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)  # a product's segments in many batches
+    try:
+        got = {r.request_id: (r.outcome, r.product_status) for r in replay_trade_log(df, prod, piece_rows=100).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == want
+
+
+def test_reopened_products_are_sold_again(spark):
+    """TRD-1 with status changes on older orders, a hot product over many pieces."""
+    from quadflow.operators.trade import admit_trades
+    rnd = random.Random(31)
+    products = [(p, 100 + p, rnd.choice(["on_sale", "locked", "sold"])) for p in range(4)]
+    orders = [(o, o % 4, 10 + o, 100 + o % 4, "created", None) for o in range(40)]
+    buys = [(i, _ts(rnd.randint(0, 200)), 0 if rnd.random() < .7 else rnd.randint(0, 5), rnd.choice([1, 2, 100, 101])) for i in range(900)]
+    changes = []
+    for i in range(500):
+        o = rnd.randint(0, 44)
+        changes.append((i, _ts(rnd.randint(0, 200)), rnd.choice([10 + o, 100 + o % 4, 5]), o, rnd.choice(["cancelled", "completed", "created", "x"])))
+    T = "timestamp_ntz"
+    out = admit_trades(spark.createDataFrame(buys, f"request_id long, ts {T}, product_id long, actor_user_id long"),
+                       spark.createDataFrame(products, "product_id long, seller_user_id long, status string"),
+                       spark.createDataFrame(orders, f"order_id long, product_id long, buyer_user_id long, seller_user_id long, order_status string, finish_time {T}"),
+                       spark.createDataFrame(changes, f"request_id long, ts {T}, actor_user_id long, order_id long, order_status string"), piece_rows=60)
+    got = {r.request_id: (r.outcome, r.order_id) for r in out.collect()}
+    status, known, nxt, want = {p: s for p, _, s in products}, {o[0]: o for o in orders}, 39, {}
+    for ts, rid, change, row in sorted([(b[1], b[0], 0, b) for b in buys] + [(x[1], x[0], 1, x) for x in changes]):
+        if change:
+            o = known.get(row[3])
+            if o and row[4] in ("cancelled", "completed") and row[2] in (o[2], o[3]):
+                status[o[1]] = "on_sale" if row[4] == "cancelled" else "sold"
+            continue
+        p = row[2]
+        oc = ("missing" if p not in status else "not_on_sale" if status[p] != "on_sale" else "own_product" if row[3] == 100 + p else "accepted")
+        if oc == "accepted":
+            status[p], nxt = "locked", nxt + 1
+        want[rid] = (oc, nxt if oc == "accepted" else None)
+    assert got == want and sum(o == "accepted" for o, _ in want.values()) > 20
