@@ -6,14 +6,16 @@ third of the job. ``ordinal`` splits each key into ordered buckets (by default
 fixed-width time slices of the first order column):
 
 1. count rows per (key, bucket)                -- partial aggregate, small output
-2. prefix-sum those counts per key             -- window over the *count* table; without
-   keys in two levels, so that only one row per SPAN buckets meets in one task
+2. prefix-sum those counts per key             -- window over the *count* table
 3. number rows inside each (key, bucket)       -- many independent tasks
 4. ordinal = bucket offset + local number      -- join on (key, bucket)
 
 The result equals the single-window ``row_number`` whenever bucket order is
 consistent with the row order, which holds because the bucket is a
 non-decreasing function of the leading order column.
+
+``numbered`` (no key) and ``running_count`` (segmented) go by sampled ranges of
+the whole order instead, which also splits rows of one and the same time.
 """
 
 from __future__ import annotations
@@ -25,7 +27,6 @@ from quadflow.session import cut_lineage
 
 DEFAULT_BUCKET_MICROS = 60 * 1_000_000  # one minute of request time
 PIECE, PLACE = "_piece", "_place"
-SPAN = 4096  # consecutive buckets whose counts a keyless ordinal sums in one task
 
 
 def time_bucket(ts: Column | str, width_micros: int = DEFAULT_BUCKET_MICROS) -> Column:
@@ -38,7 +39,7 @@ def value_bucket(value: Column | str, width: int = 1024) -> Column:
     return F.floor(value / F.lit(width)).cast("long")
 
 
-def sorted_pieces(df: DataFrame, cut: list[Column | str], order: list[Column | str], pieces: int) -> DataFrame:
+def sorted_pieces(df: DataFrame, cut: list[Column | str], order: list[Column | str], pieces: int | None = None) -> DataFrame:
     """``df`` in globally sorted pieces, with ``_piece`` (from 0, in order) and
     ``_place`` (from 0 in its piece, in order).
 
@@ -47,9 +48,10 @@ def sorted_pieces(df: DataFrame, cut: list[Column | str], order: list[Column | s
     key holding a third of the rows is spread over many pieces, as long as
     ``cut`` tells its rows apart. The pieces are kept in the checkpoint folder
     as they are, in partitions of the same numbers, because a second sampling
-    could cut elsewhere; mapInArrow may read them in order.
+    could cut elsewhere; mapInArrow may read them in order. Without ``pieces``
+    there are as many as shuffle partitions, small ones coalesced.
     """
-    dealt = df.repartitionByRange(pieces, *cut).sortWithinPartitions(*order)
+    dealt = (df.repartitionByRange(pieces, *cut) if pieces else df.repartitionByRange(*cut)).sortWithinPartitions(*order)
     kept = cut_lineage(dealt.withColumn("_at", F.monotonically_increasing_id()))
     return (kept.withColumn(PIECE, F.shiftright("_at", 33).cast("int"))
             .withColumn(PLACE, F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at"))
@@ -61,7 +63,20 @@ def pieces_for(df: DataFrame, rows: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // rows))
 
 
-def running_count(df: DataFrame, key: str, order: list[str], flag: Column, name: str, pieces: int) -> DataFrame:
+def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """``df`` with ``name``: the 1-based position of each row by ``order`` (a
+    total one). Rows are dealt out by sampled ranges of the whole order, so one
+    timestamp that holds a third of them is numbered by several tasks; a row's
+    number is its place in its piece after the sizes of the earlier pieces."""
+    rows = sorted_pieces(df, order, order)
+    sizes = rows.groupBy(PIECE).agg(F.count("*").alias("_n"))
+    before = _prior(sizes, [], PIECE, "_n", "_before").select(F.col(PIECE).alias("_p"), "_before")
+    # one row per piece, so never more than there are shuffle partitions
+    out = rows.join(F.broadcast(before), F.col(PIECE) == F.col("_p"))
+    return out.withColumn(name, F.col("_before") + F.col(PLACE) + 1).drop("_p", "_before", PIECE, PLACE)
+
+
+def running_count(df: DataFrame, key: str, order: list[str], flag: Column, name: str, pieces: int | None = None) -> DataFrame:
     """``df`` with ``name``: how many rows of the same ``key`` before the row (by
     ``order``, a total one) are flagged; null flags don't count. A segmented
     scan: counted inside each sorted piece, after the counts of the earlier
@@ -93,25 +108,12 @@ def ordinal(df: DataFrame, keys: list[str], order: list[Column], bucket: Column,
     local = F.row_number().over(Window.partitionBy(*part).orderBy(*order))
     numbered = df.withColumn(b, bucket).withColumn("_ord_local", local)
     counts = numbered.groupBy(*part).agg(F.max("_ord_local").alias("_ord_n"))
-    offsets = _offsets(counts, keys, b)
+    offsets = _prior(counts, keys, b, "_ord_n", "_ord_off").select(*[F.col(c).alias(f"_off_{c}") for c in part], "_ord_off")
     joined = numbered.join(offsets, part_eq(numbered, offsets, part, "_off_"), "inner")
     return (joined.withColumn(name, (F.col("_ord_off") + F.col("_ord_local")).cast("long"))
             .drop("_ord_off", "_ord_local", b, *[f"_off_{c}" for c in part]))
 
 
-def _offsets(counts: DataFrame, keys: list[str], bucket: str) -> DataFrame:
-    """Rows before each (key, bucket): ``_off_`` + key and bucket columns, ``_ord_off``."""
-    if keys:
-        return _prior(counts, keys, bucket, "_ord_n", "_ord_off").select(
-            *[F.col(c).alias(f"_off_{c}") for c in [*keys, bucket]], "_ord_off")
-    spans = counts.withColumn("_span", F.floor(F.col(bucket) / SPAN).cast("long"))
-    inside = _prior(spans, ["_span"], bucket, "_ord_n", "_in")
-    sizes = inside.groupBy("_span").agg(F.sum("_ord_n").alias("_n"))
-    before = _prior(sizes, [], "_span", "_n", "_before").select(F.col("_span").alias("_b_span"), "_before")
-    return inside.join(before, F.col("_span").eqNullSafe(F.col("_b_span"))).select(
-        F.col(bucket).alias(f"_off_{bucket}"), (F.col("_before") + F.col("_in")).alias("_ord_off"))
-
-
 def _prior(df: DataFrame, keys: list[str], order: str, amount: str, name: str) -> DataFrame:
     """Adds ``name``: the sum of ``amount`` over the earlier rows of the key."""
     spec = Window.partitionBy(*keys) if keys else Window

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadflow.functions.ordering import ordinal, time_bucket, value_bucket
+from quadflow.functions.ordering import numbered, ordinal, running_count, time_bucket
 from quadflow.sources.tables import with_defaults
 
 # Registration rejection reasons, the trigger's messages and
@@ -31,14 +31,11 @@ def _order_key() -> Column:
     return F.struct(F.col("ts"), F.col("request_id"))
 
 
-def new_ids(df: DataFrame, current_max: Column, name: str, order: list[Column] | None = None,
-            ts_col: str = "ts") -> DataFrame:
-    """Auto-increment ids for inserted rows: ``max(id) + ordinal`` in request
-    order, computed with the keyless skew-safe ordinal."""
-    order = order or [F.col(ts_col), F.col("request_id")]
-    numbered = ordinal(df, [], order, time_bucket(ts_col), name="_new_ord")
-    return numbered.withColumn(name, (F.coalesce(current_max, F.lit(0)) + F.col("_new_ord")).cast("long")) \
-        .drop("_new_ord")
+def new_ids(df: DataFrame, current_max: Column, name: str) -> DataFrame:
+    """Auto-increment ids for inserted rows: ``max(id)`` plus the position in
+    request order."""
+    out = numbered(df, ["ts", "request_id"], "_new_ord")
+    return out.withColumn(name, (F.coalesce(current_max, F.lit(0)) + F.col("_new_ord")).cast("long")).drop("_new_ord")
 
 
 def admit_registrations(requests: DataFrame, activity: DataFrame, student: DataFrame,
@@ -123,14 +120,15 @@ def rejection_messages(outcomes: DataFrame) -> DataFrame:
 def promote_waitlist(registration: DataFrame, promotions: DataFrame | None = None, k: int = 1) -> DataFrame:
     """REG-3: per activity, the k lowest queue numbers (NULL first, reg_id
     breaks ties) become confirmed; the rest are renumbered 1..n. No capacity
-    check, as in the reference. ``promotions`` may give a count per activity."""
+    check, as in the reference. ``promotions`` (activity_id, count) gives a
+    number per activity; activities it leaves out are left alone. Positions are
+    counted over sorted pieces, so one long waitlist lies in many tasks."""
     waiting = registration.filter(F.col("reg_status") == "waiting")
     if promotions is not None:
         waiting = waiting.join(promotions.select("activity_id", F.col("count").alias("_k")), "activity_id")
     else:
         waiting = waiting.withColumn("_k", F.lit(k))
-    ranked = ordinal(waiting, ["activity_id"], [F.col("queue_no").asc_nulls_first(), F.col("reg_id")],
-                     value_bucket("queue_no"), "_rn")
+    ranked = running_count(waiting, "activity_id", ["queue_no", "reg_id"], F.lit(True), "_rn").withColumn("_rn", F.col("_rn") + 1)
     promoted = F.col("_rn") <= F.col("_k")
     return ranked.select(
         "reg_id", "activity_id", "student_id",

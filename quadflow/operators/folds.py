@@ -6,10 +6,12 @@ clamped adds, so the final credit depends on order. The family of maps
 
     (g o f) = (a_f + a_g,  clamp(L_f + a_g, L_g, H_g),  clamp(H_f + a_g, L_g, H_g))
 
-so a long ordered sequence reduces associatively. Each student's deltas are
-composed per time bucket first (many small groups, in parallel), then the
-per-bucket maps are composed in bucket order and applied to the start score.
-Neither level collects more than one bucket's ops or one student's buckets.
+so a long ordered sequence reduces associatively: a tree with a fixed fan-in.
+Each step's place in its key's sequence is counted over sorted pieces; runs of
+``FAN_IN`` places are composed into one map, then runs of ``FAN_IN`` maps, until
+every key has one, which is applied to its start score. No row ever holds more
+than ``FAN_IN`` maps, however long one key's sequence is or how many of its
+steps have the same time.
 """
 
 from __future__ import annotations
@@ -17,8 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadflow.functions.ordering import time_bucket
+from quadflow.functions.ordering import running_count
 
+FAN_IN = 512  # maps that are composed in one row
 _WIDE = 1_000_000_000  # identity bounds: wider than any score
 
 
@@ -41,14 +44,15 @@ def clamped_fold(ops: DataFrame, start: DataFrame, key: str, lo: int, hi: int,
     Returns (key, value) for keys that have ops."""
     op = F.struct(F.col("delta").cast("long").alias("a"), F.lit(lo).cast("long").alias("lo"),
                   F.lit(hi).cast("long").alias("hi"))
-    sort_key = F.struct(F.col(ts), *[F.col(c) for c in order])
-    level1 = (ops.withColumn("_b", time_bucket(ts))
-              .groupBy(key, "_b")
-              .agg(F.array_sort(F.collect_list(F.struct(sort_key.alias("k"), op.alias("f")))).alias("_ops"))
-              .select(key, "_b", F.aggregate("_ops", _identity(), lambda acc, x: _compose(acc, x["f"])).alias("_f")))
-    level2 = (level1.groupBy(key)
-              .agg(F.array_sort(F.collect_list(F.struct(F.col("_b").alias("k"), F.col("_f").alias("f")))).alias("_fs"))
-              .select(key, F.aggregate("_fs", _identity(), lambda acc, x: _compose(acc, x["f"])).alias("_f")))
-    applied = level2.join(start.select(key, F.col(value).alias("_x")), key)
+    maps = running_count(ops.select(key, ts, *order, op.alias("_f")), key, [ts, *order], F.lit(True), "_at").select(key, "_at", "_f")
+    longest = (maps.agg(F.max("_at")).first()[0] or 0) + 1
+    while True:
+        runs = maps.groupBy(key, F.floor(F.col("_at") / FAN_IN).cast("long").alias("_at"))
+        listed = runs.agg(F.array_sort(F.collect_list(F.struct(F.col("_at").alias("k"), F.col("_f").alias("f")))).alias("_fs"))
+        maps = listed.select(key, "_at", F.aggregate("_fs", _identity(), lambda acc, x: _compose(acc, x["f"])).alias("_f"))
+        longest = -(-longest // FAN_IN)
+        if longest == 1:
+            break
+    applied = maps.join(start.select(key, F.col(value).alias("_x")), key)
     f = F.col("_f")
     return applied.select(key, F.least(f["hi"], F.greatest(f["lo"], F.col("_x") + f["a"])).cast("int").alias(value))

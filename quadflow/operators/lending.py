@@ -274,9 +274,8 @@ def ingest_borrow_orders(requests: DataFrame, borrow_order: DataFrame, activity:
               .when(F.col("_has").isNull() | F.col("expected_return_time").isNull(), "db_error"))
     x = x.withColumn("outcome", F.coalesce(reason, F.lit("created")))
     from quadflow.operators.settlement import _ids
-    from quadflow.functions.ordering import time_bucket
     made = _ids(x.filter(F.col("outcome") == "created"), borrow_order.select(F.max("order_id")).scalar(),
-                "order_id", [F.col("ts"), F.col("request_id")], time_bucket("ts"))
+                "order_id", ["ts", "request_id"])
     made = made.select("request_id", "outcome", "order_id", order_uid(F.col("order_id"), F.col("ts")).alias("order_uid"),
                        F.col("_act").alias("activity_id"), F.col("actor_user_id").alias("applicant_user_id"),
                        F.col("ts").alias("apply_time"), "expected_return_time", F.col("_status").alias("order_status"))

@@ -191,7 +191,6 @@ def ingest_products(forms: DataFrame, product: DataFrame, product_category: Data
     parses as a number, then the database (category FK, price >= 0).
     Prices are stored as DECIMAL(10,2), rounded half-up; infinities, NaN and
     prices out of that range are the database's errors."""
-    from quadflow.functions.ordering import time_bucket
     from quadflow.operators.settlement import _ids
     x = forms.withColumn("_cat", strip("category_id").try_cast("long")) \
         .withColumn("_number", F.coalesce(strip("price").rlike(NUMBER), F.lit(False))) \
@@ -203,7 +202,7 @@ def ingest_products(forms: DataFrame, product: DataFrame, product_category: Data
                     | (F.char_length(strip("title")) > 120), "db_error"))
     x = x.withColumn("outcome", F.coalesce(reason, F.lit("created")))
     made = _ids(x.filter(F.col("outcome") == "created"), product.select(F.max("product_id")).scalar(), "product_id",
-                [F.col("ts"), F.col("request_id")], time_bucket("ts"))
+                ["ts", "request_id"])
     made = made.select("request_id", "outcome", "product_id", F.col("actor_user_id").alias("seller_user_id"),
                        F.col("_cat").alias("category_id"), strip("title").alias("title"),
                        F.col("_price").alias("price"))
@@ -217,7 +216,6 @@ def ingest_products(forms: DataFrame, product: DataFrame, product_category: Data
 def ingest_comments(forms: DataFrame, post: DataFrame, post_comment: DataFrame) -> DataFrame:
     """DQ-7: comments need non-blank content and an existing post (any
     status); the database rejects content over 500 characters."""
-    from quadflow.functions.ordering import time_bucket
     from quadflow.operators.settlement import _ids
     content = strip("content")
     x = forms.join(post.select("post_id", F.lit(True).alias("_has")), "post_id", "left")
@@ -225,7 +223,7 @@ def ingest_comments(forms: DataFrame, post: DataFrame, post_comment: DataFrame)
               .when(F.char_length(content) > 500, "db_error"))
     x = x.withColumn("outcome", F.coalesce(reason, F.lit("created")))
     made = _ids(x.filter(F.col("outcome") == "created"), post_comment.select(F.max("comment_id")).scalar(),
-                "comment_id", [F.col("ts"), F.col("request_id")], time_bucket("ts"))
+                "comment_id", ["ts", "request_id"])
     made = made.select("request_id", "outcome", "comment_id", "post_id", F.col("actor_user_id").alias("user_id"))
     bad = x.filter(F.col("outcome") != "created").select(
         "request_id", "outcome", F.lit(None).cast("long").alias("comment_id"), "post_id",
@@ -287,7 +285,6 @@ def ingest_users(forms: DataFrame, users: DataFrame, student: DataFrame) -> Data
     unique keys make acceptance an ordered greedy choice: ``_greedy_unique``.
     Names and numbers compare case-insensitively. A club sign-up creates no
     club row."""
-    from quadflow.functions.ordering import time_bucket
     from quadflow.operators.settlement import _ids
     name = F.lower(strip("username"))
     is_student = F.coalesce(strip("role") == "student", F.lit(False))
@@ -313,9 +310,9 @@ def ingest_users(forms: DataFrame, users: DataFrame, student: DataFrame) -> Data
               .when(~student_ok, "student_fields_missing").when(sno_taken, "db_error"))
     x = x.withColumn("outcome", F.coalesce(reason, F.lit("created")))
     made = _ids(x.filter(F.col("outcome") == "created"), users.select(F.max("user_id")).scalar(), "user_id",
-                [F.col("ts"), F.col("request_id")], time_bucket("ts"))
+                ["ts", "request_id"])
     studs = _ids(made.filter(strip("role") == "student"), student.select(F.max("student_id")).scalar(), "student_id",
-                 [F.col("ts"), F.col("request_id")], time_bucket("ts")).select("request_id", "student_id")
+                 ["ts", "request_id"]).select("request_id", "student_id")
     made = made.join(studs, "request_id", "left").select(
         "request_id", "outcome", "user_id", strip("username").alias("username"), strip("role").alias("role"),
         "student_id")
@@ -329,7 +326,6 @@ def ingest_posts(forms: DataFrame, post: DataFrame, post_category: DataFrame) ->
     """DQ-7 (posts): non-blank title and content and a digit category, then
     the database (category FK, title within 150 characters). New posts are
     visible."""
-    from quadflow.functions.ordering import time_bucket
     from quadflow.operators.settlement import _ids
     x = forms.withColumn("_cat", strip("category_id").try_cast("long")).join(
         post_category.select(F.col("category_id").alias("_cat"), F.lit(True).alias("_has_cat")), "_cat", "left")
@@ -339,7 +335,7 @@ def ingest_posts(forms: DataFrame, post: DataFrame, post_category: DataFrame) ->
               .when(F.col("_has_cat").isNull() | (F.char_length(strip("title")) > 150), "db_error"))
     x = x.withColumn("outcome", F.coalesce(reason, F.lit("created")))
     made = _ids(x.filter(F.col("outcome") == "created"), post.select(F.max("post_id")).scalar(), "post_id",
-                [F.col("ts"), F.col("request_id")], time_bucket("ts"))
+                ["ts", "request_id"])
     made = made.select("request_id", "outcome", "post_id", F.col("actor_user_id").alias("author_user_id"),
                        F.col("_cat").alias("category_id"), strip("title").alias("title"),
                        F.lit("visible").alias("status"))

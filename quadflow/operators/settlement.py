@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadflow.functions.ordering import ordinal, time_bucket, value_bucket
+from quadflow.functions.ordering import numbered, ordinal, time_bucket
 from quadflow.functions.scalar import json_of, strip, ts_text
 from quadflow.operators.folds import clamped_fold
 from quadflow.operators.listings import can_manage
@@ -17,9 +17,10 @@ OVERDUE_REASON = "Resource overdue return"
 SWEEP_REASON = "Resource overdue return (event)"
 
 
-def _ids(df: DataFrame, current_max: Column, name: str, order: list[Column], bucket: Column) -> DataFrame:
-    numbered = ordinal(df, [], order, bucket, "_o")
-    return numbered.withColumn(name, (F.coalesce(current_max, F.lit(0)) + F.col("_o")).cast("long")).drop("_o")
+def _ids(df: DataFrame, current_max: Column, name: str, order: list[Column | str]) -> DataFrame:
+    """Auto-increment ids for inserted rows: ``max(id)`` plus the row's position."""
+    out = numbered(df, order, "_o")
+    return out.withColumn(name, (F.coalesce(current_max, F.lit(0)) + F.col("_o")).cast("long")).drop("_o")
 
 
 # -- FIN ----------------------------------------------------------------------------------
@@ -82,9 +83,7 @@ class Settlement:
             "student_id", "activity_id", "order_id", "end_time", F.lit(1).alias("_kind"),
             F.lit("overdue").alias("penalty_type"), F.lit(OVERDUE_REASON).alias("reason"), F.lit("unpaid").alias("status"))
         rows = noshow.unionByName(overdue)
-        order = [F.col("end_time"), F.col("activity_id"), F.col("_kind"), F.col("student_id"),
-                 F.col("order_id").asc_nulls_first()]
-        rows = _ids(rows, current_max, "penalty_id", order, time_bucket("end_time"))
+        rows = _ids(rows, current_max, "penalty_id", ["end_time", "activity_id", "_kind", "student_id", "order_id"])
         return rows.select("penalty_id", "student_id", "activity_id", "order_id", "penalty_type", "reason",
                            F.lit(0).cast("decimal(10,2)").alias("amount"), "status",
                            self.as_of.alias("create_time"))
@@ -133,7 +132,7 @@ def overdue_sweep(borrow_order: DataFrame, penalty: DataFrame, student: DataFram
     todo = (orders.filter(F.col("order_status") == "overdue").join(has, "order_id", "left_anti")
             .join(st, "applicant_user_id"))
     rows = _ids(todo, penalty.select(F.max("penalty_id")).scalar(), "penalty_id",
-                [F.col("order_id"), F.col("student_id")], value_bucket("order_id", 1 << 16))
+                ["order_id", "student_id"])
     new = rows.select("penalty_id", "student_id", "activity_id", "order_id", F.lit("overdue").alias("penalty_type"),
                       F.lit(SWEEP_REASON).alias("reason"), F.lit(0).cast("decimal(10,2)").alias("amount"),
                       F.lit("unpaid").alias("status"), as_of.alias("create_time"))
@@ -297,7 +296,7 @@ def ingest_activity(forms: DataFrame, activity: DataFrame, venue: DataFrame, clu
               .when(F.col("_club").isNull() | F.col("_club_ok").isNull() | ~_db_checks(x, venue), "db_error"))
     x = x.withColumn("outcome", F.coalesce(reason, F.lit("created")))
     created = _ids(x.filter(F.col("outcome") == "created"), activity.select(F.max("activity_id")).scalar(),
-                   "activity_id", [F.col("ts"), F.col("request_id")], time_bucket("ts"))
+                   "activity_id", ["ts", "request_id"])
     cols = [F.col("_club").alias("club_id"), F.col("_venue").alias("venue_id"), F.col("_title").alias("title"),
             F.col("_category").alias("category"), "start_time", "end_time", "signup_deadline",
             F.col("_cap").alias("max_capacity"), F.col("_desc").alias("description")]

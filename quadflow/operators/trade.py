@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadflow.functions.ordering import pieces_for, running_count, time_bucket
+from quadflow.functions.ordering import pieces_for, running_count
 from quadflow.session import cut_lineage
 from quadflow.sources.schemas import TRADE_STATUS
 
@@ -72,7 +72,7 @@ def admit_trades(requests: DataFrame, product: DataFrame, trade_order: DataFrame
               .when(own, "own_product"))
     x = x.withColumn("outcome", F.coalesce(reason, F.lit("accepted")))
     ok = _ids(x.filter(F.col("outcome") == "accepted"), trade_order.select(F.max("order_id")).scalar(), "order_id",
-              [F.col("ts"), F.col("request_id")], time_bucket("ts"))
+              ["ts", "request_id"])
     cols = ["request_id", "product_id", "outcome", "order_id", F.col("actor_user_id").alias("buyer_user_id"),
             "seller_user_id"]
     bad = x.filter(F.col("outcome") != "accepted").withColumn("order_id", F.lit(None).cast("long"))

@@ -80,6 +80,25 @@ def waitlist_promote(c, r):
     return A.promote_waitlist(c.activity_registration, k=1)
 
 
+_FREE = """
+SELECT a.activity_id, greatest(a.max_capacity - count(CASE WHEN ar.reg_status = 'confirmed' THEN 1 END), 0) AS k
+FROM activity a LEFT JOIN activity_registration ar ON ar.activity_id = a.activity_id
+WHERE a.status = 'published' GROUP BY a.activity_id, a.max_capacity"""
+
+
+@query("waitlist_promote_free", f"""
+SELECT reg_id, activity_id, student_id, CASE WHEN rn <= k THEN 'confirmed' ELSE 'waiting' END AS reg_status,
+       CAST(CASE WHEN rn <= k THEN NULL ELSE rn - k END AS INTEGER) AS queue_no
+FROM (SELECT ar.*, f.k, row_number() OVER (PARTITION BY ar.activity_id ORDER BY ar.queue_no ASC NULLS FIRST, ar.reg_id) AS rn
+      FROM activity_registration ar JOIN ({_FREE}) f ON f.activity_id = ar.activity_id WHERE ar.reg_status = 'waiting') w""")
+def waitlist_promote_free(c, r):
+    """REG-3 as often per published activity as it has free seats."""
+    taken = c.activity_registration.groupBy("activity_id").agg(F.count(F.when(F.col("reg_status") == "confirmed", 1)).alias("_n"))
+    free = (c.activity.filter(F.col("status") == "published").join(taken, "activity_id", "left")
+            .select("activity_id", F.greatest(F.col("max_capacity") - F.coalesce("_n", F.lit(0)), F.lit(0)).alias("count")))
+    return A.promote_waitlist(c.activity_registration, free)
+
+
 @query("checkin_upsert", f"""
 WITH ok AS (
   SELECT q.* FROM checkin_request q

@@ -29,21 +29,69 @@ def test_ordinal_equals_row_number_with_a_hot_key(spark):
     assert sorted(got.collect()) == sorted(want.select("id", "k", "ts", F.col("o").cast("long")).collect())
 
 
-def test_keyless_ordinal_is_a_global_sequence(spark):
+def test_numbered_is_a_global_sequence(spark):
     rows = [(i, _ts(i // 3)) for i in range(500)]
     df = spark.createDataFrame(rows, "id long, ts timestamp_ntz")
-    got = {r.id: r.o for r in ordinal(df, [], [F.col("ts"), F.col("id")], time_bucket("ts", 120_000_000), "o").collect()}
+    got = {r.id: r.o for r in ordering.numbered(df, ["ts", "id"], "o").collect()}
     assert got == {i: i + 1 for i in range(500)}
+    assert ordering.numbered(df.limit(0), ["ts", "id"], "o").count() == 0
 
 
-def test_keyless_ordinal_sums_counts_over_many_spans(spark, monkeypatch):
-    monkeypatch.setattr(ordering, "SPAN", 3)
-    rows = [(0, None), (1, None)] + [(i, _ts(i * i % 301)) for i in range(2, 200)]
+def test_one_timestamp_is_numbered_by_several_tasks(spark):
+    """Most rows have the same time; null times come first."""
+    rows = [(0, None), (1, None)] + [(i, _ts(7) if i % 5 else _ts(i * i % 301)) for i in range(2, 4000)]
     df = spark.createDataFrame(rows, "id long, ts timestamp_ntz")
-    out = ordinal(df, [], [F.col("ts").asc_nulls_first(), F.col("id")], time_bucket("ts"), "o")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pieces = ordering.sorted_pieces(df, ["ts", "id"], ["ts", "id"])
+        out = ordering.numbered(df, ["ts", "id"], "o").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert pieces.filter(F.col("ts") == F.lit(_ts(7))).select("_piece").distinct().count() >= 4
     want = sorted(rows, key=lambda x: (x[1] is not None, x[1] or _ts(0), x[0]))
-    assert [r.id for r in out.orderBy("o").collect()] == [i for i, _ in want]
-    assert sorted(r.o for r in out.collect()) == list(range(1, 201))
+    assert [r.id for r in sorted(out, key=lambda r: r.o)] == [i for i, _ in want]
+    assert sorted(r.o for r in out) == list(range(1, 4001))
+
+
+def test_running_count_of_a_hot_key(spark):
+    rnd = random.Random(19)
+    rows = [(i, None if rnd.random() < .05 else "hot" if rnd.random() < .8 else f"k{i % 9}", _ts(rnd.randint(0, 20)), rnd.choice([True, False, None])) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id long, k string, ts timestamp_ntz, f boolean")
+    got = {r.id: r.n for r in ordering.running_count(df, "k", ["ts", "id"], F.col("f"), "n", 25).collect()}
+    seen, want = {}, {}
+    for i, k, _, f in sorted(rows, key=lambda r: (r[2], r[0])):
+        want[i] = seen.get(k, 0)
+        seen[k] = want[i] + (f is True)
+    assert got == want
+
+
+def test_clamped_fold_in_many_levels(spark, monkeypatch):
+    """A fan-in of three, and a student whose steps all have one time."""
+    from quadflow.operators import folds
+    monkeypatch.setattr(folds, "FAN_IN", 3)
+    rnd = random.Random(37)
+    ops = [(0, _ts(1), j, rnd.choice([1, -5, -8, 30])) for j in range(200)] + [(s, _ts(j), j, rnd.choice([7, -9])) for s in range(1, 5) for j in range(s)]
+    df = spark.createDataFrame(ops, "student_id long, ts timestamp_ntz, seq long, delta int")
+    start = {s: 60 for s in range(6)}
+    got = {r.student_id: r.score for r in clamped_fold(df, spark.createDataFrame(list(start.items()), "student_id long, score int"), "student_id", 0, 120, order=("seq",)).collect()}
+    for s, _, _, d in sorted(ops, key=lambda r: (r[0], r[1], r[2])):
+        start[s] = min(120, max(0, start[s] + d))
+    assert got == {s: start[s] for s in range(5)}
+
+
+def test_waitlists_promote_a_number_per_activity(spark):
+    """Counts per activity, a hot waitlist with NULL and equal queue numbers."""
+    from quadflow.operators.admission import promote_waitlist
+    rnd = random.Random(41)
+    rows = [(i, 0 if rnd.random() < .8 else rnd.randint(1, 4), i, rnd.choice(["waiting", "waiting", "confirmed"]), rnd.choice([None, 1, 2, 2, 900])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "reg_id long, activity_id long, student_id long, reg_status string, queue_no int")
+    counts = {0: 700, 1: 0, 2: 3, 9: 5}
+    got = {r.reg_id: (r.reg_status, r.queue_no) for r in promote_waitlist(df, spark.createDataFrame(list(counts.items()), "activity_id long, count long")).collect()}
+    want, seen = {}, {}
+    for q, rid, a in sorted((-1 if r[4] is None else r[4], r[0], r[1]) for r in rows if r[3] == "waiting" and r[1] in counts):
+        n = seen[a] = seen.get(a, 0) + 1
+        want[rid] = ("confirmed", None) if n <= counts[a] else ("waiting", n - counts[a])
+    assert got == want
 
 
 def test_clamped_fold_matches_sequential_clamps(spark):
