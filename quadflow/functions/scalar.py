@@ -38,6 +38,19 @@ def strip(col: Column | str) -> Column:
     return F.btrim(F.col(col) if isinstance(col, str) else col, F.lit(BLANKS))
 
 
+COLLATION = "UNICODE_CI_AI"  # of the database: case and accents don't tell names apart, trailing blanks do
+
+
+def collated(col: Column | str) -> Column:
+    """A key under the database's collation, for joins, groups and orders."""
+    return F.collate(F.col(col) if isinstance(col, str) else col, COLLATION)
+
+
+def strip_or_null(col: Column | str) -> Column:
+    """An optional form field: stripped text, null if nothing is left."""
+    return F.nullif(strip(col), F.lit(""))
+
+
 def clamp(col: Column, lo: int, hi: int) -> Column:
     return F.least(F.lit(hi), F.greatest(F.lit(lo), col))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadflow.functions.ordering import PIECE, pieces_for, sorted_pieces
-from quadflow.functions.scalar import order_uid, strip
+from quadflow.functions.scalar import collated, order_uid, strip
 from quadflow.sources.tables import add_column_if_missing
 
 
@@ -181,13 +181,13 @@ def reserve_stock(requests: DataFrame, borrow_order: DataFrame, resource_item: D
     """
     spark = requests.sparkSession
     orders = backfill_order_uid(borrow_order)
-    named = orders.select(F.explode(F.array(F.concat(F.lit("i"), F.col("order_id").cast("string")), F.concat(F.lit("u"), "order_uid"))).alias("_key"),
-                          "order_id", F.col("applicant_user_id").alias("_applicant"))
+    named = orders.select(F.explode(F.array(F.concat(F.lit("i"), F.col("order_id").cast("string")), F.concat(F.lit("u"), "order_uid"))).alias("_ref"),
+                          "order_id", F.col("applicant_user_id").alias("_applicant")).withColumn("_key", collated("_ref")).drop("_ref")
     actors = viewers.select(F.col("user_id").alias("actor_user_id"), F.col("role").alias("_role"))
     by_id = _digits(F.col("order_ref"))
     ref = strip("order_ref")
     key = F.when(by_id, F.concat(F.lit("i"), ref.try_cast("long").cast("string"))).otherwise(F.concat(F.lit("u"), ref))
-    x = (requests.withColumn("_key", key).join(named, "_key", "left").join(actors, "actor_user_id", "left")
+    x = (requests.withColumn("_key", collated(key)).join(named, "_key", "left").join(actors, "actor_user_id", "left")
          .join(resource_item.select("resource_id", "available_qty", F.lit(True).alias("_has_res")), "resource_id", "left"))
     form_ok = (F.coalesce(strip("order_ref") != "", F.lit(False)) & F.col("resource_id").isNotNull()
                & (F.col("resource_id") >= 0) & F.col("borrow_qty").isNotNull() & (F.col("borrow_qty") >= 0))

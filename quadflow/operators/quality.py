@@ -7,8 +7,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quadflow.functions.scalar import strip
+from quadflow.functions.scalar import collated, strip, strip_or_null
+from quadflow.session import cut_lineage
 from quadflow.sources.schemas import TABLES
+from quadflow.sources.tables import with_defaults
 
 # The CHECK constraints of the schema, as SQL predicates.
 CHECKS: dict[str, list[tuple[str, str]]] = {
@@ -152,7 +154,7 @@ def unique_violations(tables: dict[str, DataFrame]) -> DataFrame:
     for table, name, cols, ci in UNIQUE_KEYS:
         df = tables[table].dropna(subset=cols)
         if ci:
-            group = [F.collate(F.col(cols[0]), "UNICODE_CI_AI").alias("_k")]
+            group = [collated(cols[0]).alias("_k")]
             value = F.min(F.col(cols[0]).cast("string"))
         else:
             group = [F.col(c) for c in cols]
@@ -186,11 +188,18 @@ def _digits(c):
 NUMBER = (r"(?i)\A[+-]?((\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?|inf|infinity|nan)\z")
 
 
+def _with_rejected(made: DataFrame, forms: DataFrame, *kept: str) -> DataFrame:
+    """The inserted rows and, with nulls for their columns, the refused forms."""
+    bad = forms.filter(F.col("outcome") != "created").select("request_id", "outcome", *kept)
+    return made.unionByName(bad, allowMissingColumns=True)
+
+
 def ingest_products(forms: DataFrame, product: DataFrame, product_category: DataFrame) -> DataFrame:
     """DQ-6: product forms. Title and digit category, then a price that
     parses as a number, then the database (category FK, price >= 0).
     Prices are stored as DECIMAL(10,2), rounded half-up; infinities, NaN and
-    prices out of that range are the database's errors."""
+    prices out of that range are the database's errors. The inserted rows are
+    whole: an omitted status is on_sale, an omitted publish time the request's."""
     from quadflow.operators.settlement import _ids
     x = forms.withColumn("_cat", strip("category_id").try_cast("long")) \
         .withColumn("_number", F.coalesce(strip("price").rlike(NUMBER), F.lit(False))) \
@@ -203,14 +212,10 @@ def ingest_products(forms: DataFrame, product: DataFrame, product_category: Data
     x = x.withColumn("outcome", F.coalesce(reason, F.lit("created")))
     made = _ids(x.filter(F.col("outcome") == "created"), product.select(F.max("product_id")).scalar(), "product_id",
                 ["ts", "request_id"])
-    made = made.select("request_id", "outcome", "product_id", F.col("actor_user_id").alias("seller_user_id"),
-                       F.col("_cat").alias("category_id"), strip("title").alias("title"),
-                       F.col("_price").alias("price"))
-    bad = x.filter(F.col("outcome") != "created").select(
-        "request_id", "outcome", *[F.lit(None).cast(t).alias(n) for n, t in (
-            ("product_id", "long"), ("seller_user_id", "long"), ("category_id", "long"), ("title", "string"),
-            ("price", "decimal(10,2)"))])
-    return made.unionByName(bad)
+    made = with_defaults(made, {"status": F.lit("on_sale"), "publish_time": F.col("ts"), "description": F.lit(None).cast("string")}).select(
+        "request_id", "outcome", "product_id", F.col("actor_user_id").alias("seller_user_id"), F.col("_cat").alias("category_id"),
+        strip("title").alias("title"), strip_or_null("description").alias("description"), F.col("_price").alias("price"), "status", "publish_time")
+    return _with_rejected(made, x)
 
 
 def ingest_comments(forms: DataFrame, post: DataFrame, post_comment: DataFrame) -> DataFrame:
@@ -224,79 +229,86 @@ def ingest_comments(forms: DataFrame, post: DataFrame, post_comment: DataFrame)
     x = x.withColumn("outcome", F.coalesce(reason, F.lit("created")))
     made = _ids(x.filter(F.col("outcome") == "created"), post_comment.select(F.max("comment_id")).scalar(),
                 "comment_id", ["ts", "request_id"])
-    made = made.select("request_id", "outcome", "comment_id", "post_id", F.col("actor_user_id").alias("user_id"))
-    bad = x.filter(F.col("outcome") != "created").select(
-        "request_id", "outcome", F.lit(None).cast("long").alias("comment_id"), "post_id",
-        F.col("actor_user_id").alias("user_id"))
-    return made.unionByName(bad)
+    made = with_defaults(made, {"create_time": F.col("ts")}).select(
+        "request_id", "outcome", "comment_id", "post_id", F.col("actor_user_id").alias("user_id"), content.alias("content"), "create_time")
+    return _with_rejected(made, x.withColumnRenamed("actor_user_id", "user_id"), "post_id", "user_id")
 
 
 def _greedy_unique(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Rows accepted by an ordered greedy pass over several unique keys: a
     row is kept exactly when no earlier *kept* row shares any of its keys.
 
-    Computed in rounds instead of row by row: each round keeps the undecided
-    rows that are the earliest for every one of their keys, then drops the
-    later rows sharing a key with them. The earliest undecided row is always
-    kept, so the loop ends; the number of rounds is the longest chain of
-    conflicts, not the number of rows. The undecided set is checkpointed each
-    round (its plan would otherwise double per round); each round's winners
-    are persisted, and the result is checkpointed once before they are
-    released."""
-    from pyspark import StorageLevel
-
-    from quadflow.session import cut_lineage
+    A conflict graph instead of a row-by-row pass. An undecided row that is the
+    first of all its keys is kept. One that is the second of one key and the
+    first of the others depends on that key's first row alone: it is kept if
+    that one isn't. Such links form chains, which pointer doubling follows to
+    their ends, so a chain of n rows takes log2(n) steps; the parity of its
+    distance to a kept end decides a row. Rows that share a key with a kept row
+    are dropped, and what is left, rows that wait for several others, goes into
+    another round. The earliest undecided row is always decided, so it ends."""
     order = F.struct("ts", "request_id")
     undecided = cut_lineage(rows.select("request_id", "ts", *keys))
-    winners_by_round: list[DataFrame] = []
-    while not undecided.isEmpty():  # every round decides a row at least
-        firsts = undecided
-        for k in keys:
-            first_k = (undecided.filter(F.col(k).isNotNull()).groupBy(k)
-                       .agg(F.min(order).alias(f"_first_{k}")))
-            firsts = firsts.join(first_k, k, "left")
-        earliest = None
-        for k in keys:
-            term = F.col(k).isNull() | (order == F.col(f"_first_{k}"))
-            earliest = term if earliest is None else earliest & term
-        winners = firsts.filter(earliest).select("request_id", "ts", *keys).persist(StorageLevel.MEMORY_AND_DISK)
-        winners_by_round.append(winners)
-        rest = undecided.join(winners.select("request_id"), "request_id", "left_anti")
-        for k in keys:
-            # rows whose key is NULL never match, so they survive this anti join
-            rest = rest.join(winners.select(k).filter(F.col(k).isNotNull()).distinct(), k, "left_anti")
+    kept = undecided.limit(0)
+    while not undecided.isEmpty():
+        links = undecided
+        for i, k in enumerate(keys):
+            first = undecided.filter(F.col(k).isNotNull()).groupBy(k).agg(F.min(order).alias(f"_first{i}"))
+            links = links.join(first, k, "left")
+        for i, k in enumerate(keys):
+            later = links.filter(F.col(k).isNotNull() & (order > F.col(f"_first{i}")))
+            links = links.join(later.groupBy(k).agg(F.min(order).alias(f"_second{i}")), k, "left")
+        n = len(keys)
+        lead = [(F.col(k).isNull() | (order == F.col(f"_first{i}"))).cast("int") for i, k in enumerate(keys)]
+        leads = sum(lead[1:], lead[0])
+        before = F.coalesce(*[F.when(order == F.col(f"_second{i}"), F.col(f"_first{i}.request_id")) for i in range(n)])
+        to = F.when((leads == n - 1) & before.isNotNull(), before).otherwise(F.col("request_id"))
+        links = cut_lineage(links.select("request_id", "ts", *keys, to.alias("_to"), (leads == n).alias("_end")))
+        hops = links.select("request_id", "_to", (F.col("_to") != F.col("request_id")).alias("_odd"))
+        while True:
+            onward = hops.select(F.col("request_id").alias("_to"), F.col("_to").alias("_next"), F.col("_odd").alias("_more"))
+            step = hops.join(onward, "_to").select(
+                "request_id", F.col("_next").alias("_to"), (F.col("_odd") != F.col("_more")).alias("_odd"), (F.col("_next") != F.col("_to")).alias("_moved"))
+            step = cut_lineage(step)
+            hops = step.drop("_moved")
+            if step.filter("_moved").isEmpty():
+                break
+        ends = links.select(F.col("request_id").alias("_to"), F.col("_end").alias("_decided"))
+        decided = links.drop("_to", "_end").join(hops, "request_id").join(ends, "_to")
+        decided = cut_lineage(decided.select("request_id", "ts", *keys, "_decided", "_odd"))
+        won = decided.filter("_decided and not _odd").select("request_id", "ts", *keys)
+        rest = decided.filter("not _decided").select("request_id", "ts", *keys)
+        for k in keys:  # null keys never match, so their rows survive
+            rest = rest.join(won.select(k).filter(F.col(k).isNotNull()).distinct(), k, "left_anti")
         undecided = cut_lineage(rest)
-    if not winners_by_round:
-        return rows.select("request_id", "ts", *keys).limit(0)
-    kept = winners_by_round[0]
-    for w in winners_by_round[1:]:
-        kept = kept.unionByName(w)
-    kept = cut_lineage(kept)
-    for w in winners_by_round:
-        w.unpersist()
+        kept = kept.unionByName(won)
     return kept
 
 
 def ingest_users(forms: DataFrame, users: DataFrame, student: DataFrame) -> DataFrame:
     """DQ-8: sign-ups. Username and password, role student or club, username
-    unused (existing or taken by an earlier accepted sign-up), then students
-    need a number and a name, and the student number must be unused too
-    (a clash rolls the whole sign-up back, so it takes no username). Two
-    unique keys make acceptance an ordered greedy choice: ``_greedy_unique``.
-    Names and numbers compare case-insensitively. A club sign-up creates no
-    club row."""
+    unused (existing or taken by an earlier accepted sign-up) and within the
+    column lengths, then students need a number and a name, within the column
+    lengths, and the student number must be unused too (a clash rolls the whole
+    sign-up back, so it takes no username). Two unique keys make acceptance an
+    ordered greedy choice: ``_greedy_unique``. Names and numbers are compared
+    under the database's collation. A club sign-up creates no club row. The
+    inserted user and student rows are whole, defaults included."""
     from quadflow.operators.settlement import _ids
-    name = F.lower(strip("username"))
     is_student = F.coalesce(strip("role") == "student", F.lit(False))
-    taken = users.select(F.lower(F.col("username")).alias("_name")).distinct().withColumn("_exists", F.lit(True))
-    numbers = student.select(F.lower(F.col("student_no")).alias("_sno")).distinct().withColumn("_sno_exists", F.lit(True))
-    x = (forms.withColumn("_name", name)
-         .withColumn("_sno", F.when(is_student, F.lower(strip("student_no"))))
+    taken = users.select(collated("username").alias("_name")).distinct().withColumn("_exists", F.lit(True))
+    numbers = student.select(collated("student_no").alias("_sno")).distinct().withColumn("_sno_exists", F.lit(True))
+    optional = {c: strip_or_null(c) if c in forms.columns else F.lit(None).cast("string") for c in ("phone", "grade", "major")}
+    x = (forms.withColumns(optional).withColumn("_name", collated(strip("username")))
+         .withColumn("_sno", F.when(is_student, collated(strip("student_no"))))
          .join(taken, "_name", "left").join(numbers, "_sno", "left"))
     form_ok = F.coalesce((strip("username") != "") & (strip("password") != ""), F.lit(False))
     role_ok = F.coalesce(strip("role").isin("student", "club"), F.lit(False))
     student_ok = ~is_student | F.coalesce((strip("student_no") != "") & (strip("real_name") != ""), F.lit(False))
-    static = form_ok & role_ok & student_ok & F.col("_exists").isNull() & F.col("_sno_exists").isNull()
+    lengths = LENGTHS | {"user_account": LENGTHS["user_account"] | {"password": 100}}
+    fits = lambda table, *cols: ~F.greatest(*[F.coalesce(F.char_length(strip(c)) > lengths[table][c], F.lit(False)) for c in cols])
+    user_fits = fits("user_account", "username", "password", "phone")
+    student_fits = ~is_student | fits("student", "student_no", "real_name", "grade", "major")
+    static = form_ok & role_ok & student_ok & user_fits & student_fits & F.col("_exists").isNull() & F.col("_sno_exists").isNull()
     kept = _greedy_unique(x.filter(static), ["_name", "_sno"])
     by_name = kept.groupBy("_name").agg(F.min(F.struct("ts", "request_id")).alias("_first_name"))
     by_sno = kept.filter(F.col("_sno").isNotNull()).groupBy("_sno").agg(
@@ -306,20 +318,17 @@ def ingest_users(forms: DataFrame, users: DataFrame, student: DataFrame) -> Data
     name_taken = F.col("_exists").isNotNull() | (F.col("_first_name").isNotNull() & (F.col("_first_name") < key))
     sno_taken = is_student & (F.col("_sno_exists").isNotNull()
                               | (F.col("_first_sno").isNotNull() & (F.col("_first_sno") < key)))
-    reason = (F.when(~form_ok, "invalid_form").when(~role_ok, "bad_role").when(name_taken, "username_taken")
-              .when(~student_ok, "student_fields_missing").when(sno_taken, "db_error"))
+    reason = (F.when(~form_ok, "invalid_form").when(~role_ok, "bad_role").when(name_taken, "username_taken").when(~user_fits, "db_error")
+              .when(~student_ok, "student_fields_missing").when(sno_taken | ~student_fits, "db_error"))
     x = x.withColumn("outcome", F.coalesce(reason, F.lit("created")))
-    made = _ids(x.filter(F.col("outcome") == "created"), users.select(F.max("user_id")).scalar(), "user_id",
-                ["ts", "request_id"])
-    studs = _ids(made.filter(strip("role") == "student"), student.select(F.max("student_id")).scalar(), "student_id",
-                 ["ts", "request_id"]).select("request_id", "student_id")
-    made = made.join(studs, "request_id", "left").select(
-        "request_id", "outcome", "user_id", strip("username").alias("username"), strip("role").alias("role"),
-        "student_id")
-    bad = x.filter(F.col("outcome") != "created").select(
-        "request_id", "outcome", F.lit(None).cast("long").alias("user_id"), F.lit(None).cast("string").alias("username"),
-        F.lit(None).cast("string").alias("role"), F.lit(None).cast("long").alias("student_id"))
-    return made.unionByName(bad)
+    made = _ids(x.filter(F.col("outcome") == "created"), users.select(F.max("user_id")).scalar(), "user_id", ["ts", "request_id"])
+    studs = _ids(made.filter(strip("role") == "student"), student.select(F.max("student_id")).scalar(), "student_id", ["ts", "request_id"])
+    studs = with_defaults(studs, {"points": F.lit(0), "violation_count": F.lit(0), "credit_score": F.lit(100)}).select(
+        "request_id", "student_id", strip("student_no").alias("student_no"), strip("real_name").alias("real_name"), "grade", "major",
+        "points", "violation_count", "credit_score")
+    own = with_defaults(made, {"create_time": F.col("ts")}).select(
+        "request_id", "outcome", "user_id", strip("username").alias("username"), strip("role").alias("role"), "phone", "create_time")
+    return _with_rejected(own.join(studs, "request_id", "left"), x)
 
 
 def ingest_posts(forms: DataFrame, post: DataFrame, post_category: DataFrame) -> DataFrame:
@@ -336,11 +345,7 @@ def ingest_posts(forms: DataFrame, post: DataFrame, post_category: DataFrame) ->
     x = x.withColumn("outcome", F.coalesce(reason, F.lit("created")))
     made = _ids(x.filter(F.col("outcome") == "created"), post.select(F.max("post_id")).scalar(), "post_id",
                 ["ts", "request_id"])
-    made = made.select("request_id", "outcome", "post_id", F.col("actor_user_id").alias("author_user_id"),
-                       F.col("_cat").alias("category_id"), strip("title").alias("title"),
-                       F.lit("visible").alias("status"))
-    bad = x.filter(F.col("outcome") != "created").select(
-        "request_id", "outcome", *[F.lit(None).cast(t).alias(n) for n, t in (
-            ("post_id", "long"), ("author_user_id", "long"), ("category_id", "long"), ("title", "string"),
-            ("status", "string"))])
-    return made.unionByName(bad)
+    made = with_defaults(made, {"status": F.lit("visible"), "create_time": F.col("ts")}).select(
+        "request_id", "outcome", "post_id", F.col("actor_user_id").alias("author_user_id"), F.col("_cat").alias("category_id"),
+        strip("title").alias("title"), strip("content").alias("content"), "status", "create_time")
+    return _with_rejected(made, x)

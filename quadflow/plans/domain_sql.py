@@ -185,6 +185,14 @@ def _uid_sql(order: str, days: int) -> str:
             f"lpad({text}, CAST(greatest(6, length({text})) AS INTEGER), '0'))")
 
 
+BLANKS = " || ".join(f"chr({k})" for k in [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288])
+
+
+def strip_sql(x: str) -> str:
+    """A form field without the white space around it."""
+    return f"trim({x}, {BLANKS})"
+
+
 _ACTIVITIES = "(SELECT count(*) FROM orders)"
 
 DOMAIN.update({
@@ -249,13 +257,13 @@ SELECT request_id, ts, actor_user_id, {_role("actor_user_id")} AS actor_role, ac
          CASE WHEN o_orderkey % 3 = 0 THEN CAST(0 AS BIGINT) WHEN o_orderkey % 3 = 1 THEN (o_orderkey % {_N['n_club']}) * 10 + 1
               ELSE ((o_orderkey + 1) % {_N['n_club']}) * 10 + 1 END AS actor_user_id,
          o_orderkey AS activity_id,
-         CASE WHEN o_orderkey % 13 = 0 THEN '   ' ELSE ' ' || o_orderpriority || ' (updated) #' || CAST(o_orderkey AS VARCHAR) || ' ' END AS title,
-         CASE WHEN o_orderkey % 4 = 0 THEN ' ' ELSE 'general' END AS category,
+         CASE WHEN o_orderkey % 13 = 0 THEN ' ' || chr(9) || ' ' WHEN o_orderkey % 37 = 0 THEN repeat('t', 200 + o_orderkey % 2) ELSE ' ' || o_orderpriority || ' (updated) #' || CAST(o_orderkey AS VARCHAR) || ' ' END AS title,
+         CASE WHEN o_orderkey % 4 = 0 THEN ' ' WHEN o_orderkey % 41 = 0 THEN repeat('c', 51) ELSE chr(9) || 'general' END AS category,
          CASE WHEN o_orderkey % 17 = 0 THEN 'v' || CAST(o_orderkey % 25 AS VARCHAR) ELSE CAST(o_orderkey % 30 AS VARCHAR) END AS venue_id,
-         {_START} + to_days(1) AS start_time,
+         CASE WHEN o_orderkey % 43 <> 0 THEN {_START} + to_days(1) END AS start_time,
          CASE WHEN o_orderkey % 23 = 0 THEN {_START} + to_days(1) - to_hours(1) ELSE {_START} + to_days(1) + to_hours(3) END AS end_time,
          {_START} AS signup_deadline,
-         CASE WHEN o_orderkey % 19 = 0 THEN '' ELSE CAST(o_orderkey % 6 + 2 AS VARCHAR) END AS max_capacity,
+         CASE WHEN o_orderkey % 19 = 0 THEN '' WHEN o_orderkey % 29 = 0 THEN '99999999999' ELSE CAST(o_orderkey % 6 + 2 AS VARCHAR) END AS max_capacity,
          CASE WHEN o_orderkey % 2 = 0 THEN '' ELSE ' notes ' END AS description,
          CASE WHEN o_orderkey % 7 = 0 THEN 'abc' ELSE CAST(o_orderkey % {_N['n_club']} AS VARCHAR) END AS club_id
   FROM orders) f""",

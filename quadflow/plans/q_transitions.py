@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quadflow.operators import admission as A
 from quadflow.plans.catalog import REGISTRY, query
-from quadflow.plans.domain_sql import target_sql
+from quadflow.plans.domain_sql import strip_sql, target_sql
 from quadflow.plans.q_lists import _USER_DIM, viewers
 from quadflow.sources.requests import _target
 
@@ -343,12 +343,13 @@ def status_changes(c, r):
     return S.status_audit(S.status_changes(r.status_change, c.activity, viewers(c)))
 
 
-_FORM_OK = """(COALESCE(trim(title) <> '', false) AND COALESCE(regexp_full_match(trim(venue_id), '[0-9]+'), false)
-               AND COALESCE(regexp_full_match(trim(max_capacity), '[0-9]+'), false))"""
-_FORM_VALUES = """trim(title) AS _title, CASE WHEN trim(category) = '' THEN NULL ELSE trim(category) END AS _category,
-       TRY_CAST(trim(venue_id) AS BIGINT) AS _venue, TRY_CAST(trim(max_capacity) AS INTEGER) AS _cap,
-       CASE WHEN trim(description) = '' THEN NULL ELSE trim(description) END AS _desc"""
-_DB_OK = "(v.venue_id IS NOT NULL AND f.end_time > f.start_time AND f.signup_deadline <= f.start_time AND f._cap > 0)"
+_FORM_OK = f"""(COALESCE({strip_sql("title")} <> '', false) AND COALESCE(regexp_full_match({strip_sql("venue_id")}, '[0-9]+'), false)
+               AND COALESCE(regexp_full_match({strip_sql("max_capacity")}, '[0-9]+'), false))"""
+_FORM_VALUES = f"""{strip_sql("title")} AS _title, nullif({strip_sql("category")}, '') AS _category,
+       TRY_CAST({strip_sql("venue_id")} AS BIGINT) AS _venue, TRY_CAST({strip_sql("max_capacity")} AS INTEGER) AS _cap,
+       nullif({strip_sql("description")}, '') AS _desc"""
+_DB_OK = """(v.venue_id IS NOT NULL AND COALESCE(f.end_time > f.start_time AND f.signup_deadline <= f.start_time AND f._cap > 0, false)
+           AND length(f._title) <= 200 AND COALESCE(length(f._category) <= 50, true))"""
 
 
 @query("activity_update", f"""
@@ -367,12 +368,12 @@ def activity_update(c, r):
 
 @query("ingest_activity", f"""
 WITH f AS (SELECT q.*, {_FORM_VALUES}, d.role AS _role,
-                  CASE WHEN d.role = 'admin' THEN TRY_CAST(trim(q.club_id) AS BIGINT) ELSE d.club_id END AS _club
+                  CASE WHEN d.role = 'admin' THEN TRY_CAST({strip_sql("q.club_id")} AS BIGINT) ELSE d.club_id END AS _club
            FROM activity_form_request q LEFT JOIN ({_USER_DIM}) d ON d.user_id = q.actor_user_id),
 x AS (SELECT f.*, CASE
         WHEN NOT COALESCE(f._role IN ('admin', 'club'), false) THEN 'forbidden'
-        WHEN NOT {_FORM_OK.replace("(title", "(f.title").replace("(venue_id", "(f.venue_id").replace("(max_capacity", "(f.max_capacity")} THEN 'invalid_form'
-        WHEN f._role = 'admin' AND NOT COALESCE(regexp_full_match(trim(f.club_id), '[0-9]+'), false) THEN 'club_required'
+        WHEN NOT {_FORM_OK.replace("trim(", "trim(f.")} THEN 'invalid_form'
+        WHEN f._role = 'admin' AND NOT COALESCE(regexp_full_match({strip_sql("f.club_id")}, '[0-9]+'), false) THEN 'club_required'
         WHEN f._club IS NULL OR c.club_id IS NULL OR NOT {_DB_OK} THEN 'db_error'
         ELSE 'created' END AS outcome
       FROM f LEFT JOIN venue v ON v.venue_id = f._venue LEFT JOIN club c ON c.club_id = f._club)
@@ -396,7 +397,6 @@ from quadflow.operators import lending as B  # noqa: E402
 from quadflow.operators import trade as T  # noqa: E402
 from quadflow.sources.domain import EPOCH, plus  # noqa: E402
 
-_WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 _UID = ("COALESCE(order_uid, 'BOR-' || strftime(apply_time, '%Y%m%d') || '-' || "
         "lpad(CAST(order_id AS VARCHAR), CAST(greatest(6, length(CAST(order_id AS VARCHAR))) AS INTEGER), '0'))")
 
@@ -405,17 +405,17 @@ _UID = ("COALESCE(order_uid, 'BOR-' || strftime(apply_time, '%Y%m%d') || '-' ||
 WITH RECURSIVE o AS (SELECT order_id, {_UID} AS order_uid, applicant_user_id FROM borrow_order),
 d AS ({_USER_DIM}),
 x AS (
-  SELECT q.*, CASE WHEN COALESCE(regexp_full_match(trim(q.order_ref, {_WS}), '[0-9]+'), false) THEN o1.order_id ELSE o2.order_id END AS oid,
-         CASE WHEN COALESCE(regexp_full_match(trim(q.order_ref, {_WS}), '[0-9]+'), false) THEN o1.applicant_user_id ELSE o2.applicant_user_id END AS applicant,
+  SELECT q.*, CASE WHEN COALESCE(regexp_full_match({strip_sql("q.order_ref")}, '[0-9]+'), false) THEN o1.order_id ELSE o2.order_id END AS oid,
+         CASE WHEN COALESCE(regexp_full_match({strip_sql("q.order_ref")}, '[0-9]+'), false) THEN o1.applicant_user_id ELSE o2.applicant_user_id END AS applicant,
          d.role, r.available_qty, r.resource_id IS NOT NULL AS has_res
   FROM borrow_request q
-  LEFT JOIN o o1 ON o1.order_id = TRY_CAST(trim(q.order_ref, {_WS}) AS BIGINT)
-  LEFT JOIN o o2 ON o2.order_uid = trim(q.order_ref, {_WS})
+  LEFT JOIN o o1 ON o1.order_id = TRY_CAST({strip_sql("q.order_ref")} AS BIGINT)
+  LEFT JOIN o o2 ON lower(strip_accents(o2.order_uid)) = lower(strip_accents({strip_sql("q.order_ref")}))
   LEFT JOIN d ON d.user_id = q.actor_user_id
   LEFT JOIN resource_item r ON r.resource_id = q.resource_id),
 y AS (SELECT *, CASE
         WHEN NOT COALESCE(role IN ('admin', 'club'), false) THEN 'forbidden'
-        WHEN NOT (COALESCE(trim(order_ref, {_WS}) <> '', false) AND resource_id IS NOT NULL AND resource_id >= 0
+        WHEN NOT (COALESCE({strip_sql("order_ref")} <> '', false) AND resource_id IS NOT NULL AND resource_id >= 0
                   AND borrow_qty IS NOT NULL AND borrow_qty >= 0) THEN 'invalid_form'
         WHEN oid IS NULL THEN 'order_not_found'
         WHEN role <> 'admin' AND applicant <> actor_user_id THEN 'forbidden'
@@ -485,9 +485,11 @@ def _borrow_create_requests(c):
     actor = F.when(k % 5 == 0, F.lit(0).cast("long")).otherwise((k % c.n_club) * 10 + 1)
     ref = F.when(k % 29 == 0, F.concat(F.lit("A"), k.cast("string"))).otherwise(((k * 3) % (c.n_activity + 7)).cast("string"))
     status = (F.when(k % 7 == 0, F.lit(None).cast("string")).when(k % 7 == 1, "lost").when(k % 7 == 2, "pending")
-              .when(k % 7 == 3, "borrowed").otherwise("approved"))
+              .when(k % 7 == 3, " borrowed\t").otherwise("approved"))
+    due = F.when(k % 31 != 0, plus(ts, "DAY", 7))
     return c.raw("orders").select(k.alias("request_id"), ts.alias("ts"), actor.alias("actor_user_id"),
-                                  ref.alias("activity_ref"), plus(ts, "DAY", 7).alias("expected_return_time"),
+                                  F.when(k % 37 == 0, F.concat(F.lit("\t"), ref, F.lit("\n"))).otherwise(ref).alias("activity_ref"),
+                                  due.alias("expected_return_time"),
                                   status.alias("order_status"))
 
 
@@ -496,19 +498,20 @@ _CREATE_SQL = f"""
 WITH q AS (
   SELECT o_orderkey AS request_id, {_E2} + to_hours(CAST(o_orderkey % 720 AS BIGINT)) AS ts,
          CASE WHEN o_orderkey % 5 = 0 THEN CAST(0 AS BIGINT) ELSE (o_orderkey % (SELECT count(*) FROM supplier)) * 10 + 1 END AS actor_user_id,
-         CASE WHEN o_orderkey % 29 = 0 THEN 'A' || CAST(o_orderkey AS VARCHAR)
-              ELSE CAST((o_orderkey * 3) % ((SELECT count(*) FROM orders) + 7) AS VARCHAR) END AS activity_ref,
-         {_E2} + to_hours(CAST(o_orderkey % 720 AS BIGINT)) + to_days(7) AS expected_return_time,
-         CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'lost' WHEN 2 THEN 'pending' WHEN 3 THEN 'borrowed' ELSE 'approved' END AS order_status
+         CASE WHEN o_orderkey % 37 = 0 THEN chr(9) ELSE '' END || CASE WHEN o_orderkey % 29 = 0 THEN 'A' || CAST(o_orderkey AS VARCHAR)
+              ELSE CAST((o_orderkey * 3) % ((SELECT count(*) FROM orders) + 7) AS VARCHAR) END
+           || CASE WHEN o_orderkey % 37 = 0 THEN chr(10) ELSE '' END AS activity_ref,
+         CASE WHEN o_orderkey % 31 <> 0 THEN {_E2} + to_hours(CAST(o_orderkey % 720 AS BIGINT)) + to_days(7) END AS expected_return_time,
+         CASE o_orderkey % 7 WHEN 0 THEN NULL WHEN 1 THEN 'lost' WHEN 2 THEN 'pending' WHEN 3 THEN ' borrowed' || chr(9) ELSE 'approved' END AS order_status
   FROM orders),
-x AS (SELECT q.*, COALESCE(q.order_status, 'approved') AS st, TRY_CAST(trim(q.activity_ref) AS BIGINT) AS act, d.role,
+x AS (SELECT q.*, COALESCE({strip_sql("q.order_status")}, 'approved') AS st, TRY_CAST({strip_sql("q.activity_ref")} AS BIGINT) AS act, d.role,
              a.activity_id IS NOT NULL AS has_act
       FROM q LEFT JOIN ({_USER_DIM}) d ON d.user_id = q.actor_user_id
-      LEFT JOIN activity a ON a.activity_id = TRY_CAST(trim(q.activity_ref) AS BIGINT)),
+      LEFT JOIN activity a ON a.activity_id = TRY_CAST({strip_sql("q.activity_ref")} AS BIGINT)),
 y AS (SELECT *, CASE WHEN NOT COALESCE(role IN ('admin', 'club'), false) THEN 'forbidden'
-                     WHEN NOT COALESCE(regexp_full_match(trim(activity_ref), '[0-9]+'), false)
+                     WHEN NOT COALESCE(regexp_full_match({strip_sql("activity_ref")}, '[0-9]+'), false)
                           OR st NOT IN ('pending', 'approved', 'borrowed', 'returned', 'overdue') THEN 'invalid_form'
-                     WHEN NOT has_act THEN 'db_error' ELSE 'created' END AS outcome FROM x),
+                     WHEN NOT has_act OR expected_return_time IS NULL THEN 'db_error' ELSE 'created' END AS outcome FROM x),
 z AS (SELECT *, CASE WHEN outcome = 'created' THEN (SELECT max(order_id) FROM borrow_order)
                      + row_number() OVER (PARTITION BY outcome = 'created' ORDER BY ts, request_id) END AS oid FROM y)
 SELECT request_id, outcome, oid AS order_id,

@@ -167,13 +167,13 @@ class Requests:
         return self.c.raw("orders").select(
             k.alias("request_id"), plus(self._start(), "DAY", -2).alias("ts"), actor.alias("actor_user_id"),
             role_of(actor).alias("actor_role"), k.alias("activity_id"),
-            F.when(k % 13 == 0, F.lit("   ")).otherwise(
+            F.when(k % 13 == 0, F.lit(" \t ")).when(k % 37 == 0, F.repeat(F.lit("t"), F.lit(200) + (k % 2).cast("int"))).otherwise(
                 F.concat(F.lit(" "), F.col("o_orderpriority"), F.lit(" (updated) #"), k.cast("string"), F.lit(" ")))
             .alias("title"),
-            F.when(k % 4 == 0, F.lit(" ")).otherwise(F.lit("general")).alias("category"),
+            F.when(k % 4 == 0, F.lit(" ")).when(k % 41 == 0, F.repeat(F.lit("c"), 51)).otherwise(F.lit("\tgeneral")).alias("category"),
             F.when(k % 17 == 0, F.concat(F.lit("v"), (k % 25).cast("string"))).otherwise((k % 30).cast("string"))
             .alias("venue_id"),
-            start.alias("start_time"), end.alias("end_time"), plus(start, "DAY", -1).alias("signup_deadline"),
-            F.when(k % 19 == 0, F.lit("")).otherwise((k % 6 + 2).cast("string")).alias("max_capacity"),
+            F.when(k % 43 != 0, start).alias("start_time"), end.alias("end_time"), plus(start, "DAY", -1).alias("signup_deadline"),
+            F.when(k % 19 == 0, F.lit("")).when(k % 29 == 0, F.lit("99999999999")).otherwise((k % 6 + 2).cast("string")).alias("max_capacity"),
             F.when(k % 2 == 0, F.lit("")).otherwise(F.lit(" notes ")).alias("description"),
             F.when(k % 7 == 0, F.lit("abc")).otherwise((k % self.c.n_club).cast("string")).alias("club_id"))

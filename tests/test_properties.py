@@ -348,3 +348,30 @@ def test_reopened_products_are_sold_again(spark):
             status[p], nxt = "locked", nxt + 1
         want[rid] = (oc, nxt if oc == "accepted" else None)
     assert got == want and sum(o == "accepted" for o, _ in want.values()) > 20
+
+
+def test_long_conflict_chain_ends_in_few_rounds(spark, monkeypatch):
+    """Row i shares its name with one neighbour and its number with the other:
+    a chain of 60,000 rows takes about 2 log2(n) steps and every second row stays."""
+    from quadflow.operators import quality
+    steps = []
+    own = quality.cut_lineage
+    monkeypatch.setattr(quality, "cut_lineage", lambda df: steps.append(1) or own(df))
+    n = 60_000
+    df = spark.range(n).select(F.col("id").alias("request_id"), F.lit(T0).cast("timestamp_ntz").alias("ts"),
+                               F.concat(F.lit("u"), F.floor(F.col("id") / 2)).alias("_name"), F.concat(F.lit("s"), F.floor((F.col("id") + 1) / 2)).alias("_sno"))
+    got = quality._greedy_unique(df, ["_name", "_sno"]).select(F.sum("request_id"), F.count("*"), F.max(F.col("request_id") % 2)).first()
+    assert tuple(got) == (sum(range(0, n, 2)), n // 2, 0) and len(steps) < 30
+
+
+def test_names_are_compared_under_the_collation(spark):
+    from quadflow.operators.quality import ingest_users
+    forms = [(1, "Jose", "Né1"), (2, "JOSÉ", "x"), (3, "jose ", "y"), (4, "other", "NE1"), (5, "Øne", "z"), (6, "Zoë", "w")]
+    df = spark.createDataFrame([(i, T0, n, "pw", "student", s, "r") for i, n, s in forms],
+                               "request_id long, ts timestamp_ntz, username string, password string, role string, student_no string, real_name string")
+    users = spark.createDataFrame([(9, "ZOE")], "user_id long, username string")
+    students = spark.createDataFrame([], "student_id long, student_no string")
+    out = {r.request_id: r for r in ingest_users(df, users, students).collect()}
+    assert {i: r.outcome for i, r in out.items()} == {1: "created", 2: "username_taken", 3: "username_taken", 4: "db_error", 5: "created", 6: "username_taken"}
+    assert (out[1].user_id, out[5].user_id, out[1].student_id, out[1].credit_score, out[1].create_time) == (10, 11, 1, 100, T0)
+    assert out[2].user_id is None and out[1].phone is None
