@@ -14,7 +14,11 @@ pair. Three passes keep the work near the number of real links:
    prefix; sets that share a prefix shingle may link. Size, position and a
    256-bit parity signature (a lower bound of the symmetric difference) drop
    pairs that cannot.
-3. Pairs are verified by summed partial overlaps. The first round tries
+3. Pairs are verified by summed partial overlaps, in the fragments that both
+   sets reach; before, the marks of both sets (4,096 parity bits, and the
+   number of shingles that no other set holds) rule out nearly all pairs that
+   don't link, which spares the partial overlaps of near misses within large
+   groups of near copies. The first round tries
    each set with one other set per smallest shingle (sets that link mostly
    share one of the ``STARS`` smallest hashes) and joins what links into
    components; the second tries, per prefix shingle, each set with the middle
@@ -50,6 +54,8 @@ SHIFTS = (1, 2, 4, 8)  # places in a prefix shingle's hash order from a set to i
 BLOCK = 2048
 PAIR_BLOCK = 2_000_000  # pairs that one verification task is planned to hold
 PAIR_SLICE = 100_000  # pairs that are Python integers at a time
+SIGNATURE_BITS = 12  # a set's mark has 2^12 parity bits
+HOT = 1024  # sets that one task pairs with the first set of a shingle
 MAX_BITS = 27  # the survivors' bitmap has at most 2^27 bits (16 MB)
 
 
@@ -341,18 +347,42 @@ def _prefixes(percent: int):
     return run
 
 
-SMALLEST = "shingle long, sid long, n long"
+MARKS = "sid long, n long, alone long, fragments array<int>, signature binary, smallest array<long>, frequency array<int>"
 
 
-def _smallest(batches):
-    """Kernel: the smallest shared shingles of each set, in hash order."""
+def _marks(batches):
+    """Kernel: per set the shingles that no other set holds (their number), the
+    fragments of the others, their parity signature, and the smallest of them
+    with their frequencies."""
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()))
     for batch in batches:
         rows = []
         for sid, n, parts in zip(*(batch.column(c).to_pylist() for c in ("sid", "n", "parts"))):
             h = np.concatenate([np.frombuffer(p["hashes"], np.uint64) for p in parts])
-            rows += [(s, sid, n) for s in np.sort(h)[:STARS].view(np.int64).tolist()]
+            df = np.concatenate([np.frombuffer(p["frequency"], np.uint32) for p in parts])
+            parity = np.bincount((mix(h) >> np.uint64(64 - SIGNATURE_BITS)).astype(np.int64), minlength=1 << SIGNATURE_BITS) & 1
+            first = np.argsort(h)[:STARS]
+            rows.append((sid, n, n - len(h), [p["fragment"] for p in parts if p["hashes"]], np.packbits(parity.astype(np.uint8)).tobytes(),
+                         h[first].view(np.int64).tolist(), df[first].tolist()))
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["shingle", "sid", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=[k.split()[0] for k in MARKS.split(", ")])
+
+
+def _near(percent: int):
+    """Kernel over pairs with the marks of both sets: those that may link.
+    Shingles that one set alone holds are in the symmetric difference, and so
+    is at least one per differing bit of the parities of the others."""
+
+    def run(batches):
+        for batch in batches:
+            number = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+            nx, ny = number("nx"), number("ny")
+            words_ = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(len(nx), -1) for c in ("sx", "sy")]
+            apart = number("ax") + number("ay") + np.bitwise_count(words_[0] ^ words_[1]).sum(axis=1)
+            least = _ceil(percent * (nx + ny), 100 + percent)
+            yield batch.select(["x", "y", "nx", "ny", "fragments"]).filter(pa.array(apart <= nx + ny - 2 * least))
+
+    return run
 
 
 PAIRS = "x long, y long, nx long, ny long"
@@ -459,20 +489,37 @@ def _overlaps(key, left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.concat_tables(found) if found else right.append_column("overlap", pa.array([], pa.int64()))
 
 
-def _verified(pairs: DataFrame, segments: DataFrame, count: int, percent: int) -> DataFrame:
-    """The pairs whose partial overlaps sum up to a link."""
-    pairs = cut_lineage(pairs.distinct())
-    blocks = pairs.count() // PAIR_BLOCK + 1
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    right = pairs.withColumn("block", F.pmod(F.xxhash64("x", "y"), F.lit(blocks)).cast("int")).withColumn("fragment", every(count))
-    asked = pairs.select(F.explode(F.array("x", "y")).alias("sid")).distinct()
-    left = segments.select("fragment", "sid", "hashes").join(asked, "sid", "left_semi").withColumn("block", every(blocks) if blocks > 1 else F.lit(0))
+def _verified(pairs: DataFrame, segments: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose partial overlaps sum up to a link. Pairs that the marks
+    rule out are dropped before; each of the others meets the fragments that
+    both its sets reach, and no others."""
+    one, two = (marks.select(F.col("sid").alias(v), F.col("alone").alias(f"a{v}"), F.col("signature").alias(f"s{v}"), F.col("fragments").alias(f"f{v}")) for v in "xy")
+    known = pairs.distinct().join(one, "x").join(two, "y").withColumn("fragments", F.array_intersect("fx", "fy"))
+    kept = known.select("x", "y", "nx", "ny", "ax", "ay", "sx", "sy", "fragments").mapInArrow(_near(percent), PAIRS + ", fragments array<int>")
+    kept = cut_lineage(kept)
+    blocks = kept.count() // PAIR_BLOCK + 1
+    right = kept.select("x", "y", "nx", "ny", F.pmod(F.xxhash64("x", "y"), F.lit(blocks)).cast("int").alias("block"), F.explode("fragments").alias("fragment"))
+    asked = right.select("fragment", "block", F.explode(F.array("x", "y")).alias("sid")).distinct()
+    left = segments.select("fragment", "sid", "hashes").join(asked, ["fragment", "sid"]).select(*[F.col(c).alias(c) for c in ("fragment", "block", "sid", "hashes")])
     part = (left.groupBy("fragment", "block").cogroup(right.groupBy("fragment", "block"))
             .applyInArrow(_overlaps, PAIRS + ", overlap long"))
     total = part.groupBy("x", "y", "nx", "ny").agg(F.sum("overlap").alias("o"))
     return total.filter(100 * F.col("o") >= percent * (F.col("nx") + F.col("ny") - F.col("o"))).select(F.col("x").alias("u"), F.col("y").alias("v"))
 
 
+def _stars(marks: DataFrame, percent: int) -> DataFrame:
+    """Each set with the first set that holds one of its smallest shingles; the
+    sets of a frequent shingle are spread over several tasks."""
+    small = marks.select("sid", "n", F.explode(F.arrays_zip(F.col("smallest").alias("shingle"), "frequency")).alias("s"))
+    salts = F.ceil(F.col("s.frequency") / HOT)
+    small = cut_lineage(small.select("sid", "n", "s.shingle", salts.alias("salts"), F.pmod("sid", salts).alias("salt")))
+    some = small.groupBy("shingle", "salts", "salt").agg(F.min(F.struct("sid", "n")).alias("c"))
+    centre = some.groupBy("shingle", "salts").agg(F.min("c").alias("c"))
+    spread = centre.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts")
+    return (small.join(spread, ["shingle", "salt"]).select(F.col("c.sid").alias("x"), F.col("sid").alias("y"), F.col("c.n").alias("nx"), F.col("n").alias("ny"))
+            .filter((F.col("x") != F.col("y")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))))
+
+
 def linked(docs: DataFrame, ident: str = "doc_id", text: str = "text", size: int = SIZE, percent: int = PERCENT) -> DataFrame:
     """Per row of ``docs``: doc_id (the integer ``ident``), n_shingles and
     component_id, the smallest doc_id that links reach.
@@ -503,7 +550,7 @@ def linked(docs: DataFrame, ident: str = "doc_id", text: str = "text", size: int
     count = max(8, _ceil(stats[1], FRAGMENT_ENTRIES))
     dealt = rows.mapInArrow(_second_pass(bitmap, count, size), "fragment int, hashes binary, owner binary, sets binary")
     segments = cut_lineage(dealt.groupBy("fragment").applyInArrow(_segments, SEGMENTS))
-    gathered = segments.groupBy("sid", "n").agg(F.collect_list(F.struct("hashes", "frequency", "signature")).alias("parts"))
+    gathered = segments.groupBy("sid", "n").agg(F.collect_list(F.struct("fragment", "hashes", "frequency", "signature")).alias("parts"))
     prefixes = gathered.mapInArrow(_prefixes(percent), PREFIX)
     blocks = F.ceil(F.col("frequency") / BLOCK).cast("int")
     own = F.pmod("sid", blocks).cast("int")
@@ -515,13 +562,10 @@ def linked(docs: DataFrame, ident: str = "doc_id", text: str = "text", size: int
         spread = rows.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high", "n", "sid")
         return spread.select("shingle", "low", "high", "sid", "n", "position", "signature", "component").mapInArrow(_candidates(whole, percent), PAIRS)
 
-    small = cut_lineage(gathered.mapInArrow(_smallest, SMALLEST))
-    centre = small.groupBy("shingle").agg(F.min(F.struct("sid", "n")).alias("c"))
-    stars = (small.join(centre, "shingle").select(F.col("c.sid").alias("x"), F.col("sid").alias("y"), F.col("c.n").alias("nx"), F.col("n").alias("ny"))
-             .filter((F.col("x") != F.col("y")) & (100 * F.least("nx", "ny") >= percent * F.greatest("nx", "ny"))))
-    near = components(_verified(stars, segments, count, percent))
+    marks = cut_lineage(gathered.mapInArrow(_marks, MARKS))
+    near = components(_verified(_stars(marks, percent), segments, marks, percent))
     for every in (False, True):
-        found = _verified(candidates(near, every), segments, count, percent)
+        found = _verified(candidates(near, every), segments, marks, percent)
         near = components(near.select(F.col("node").alias("u"), F.col("component").alias("v")).union(found))
     named = sets.join(near.withColumnRenamed("node", "sid"), "sid", "left")
     return _result(documents, named.select("sid", F.coalesce("component", "sid").alias("component"), "doc_id"))
