@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 
 from quadflow.llm.arrow import release, slices, texts, utf8, worker_store
 
-CACHE_ENTRIES = 300_000  # units, and as many pre-tokens, in a generation of a Python worker's memory
-CACHE_CHARS = 16_000_000  # and their characters
+CACHE_BYTES = 40_000_000  # of units, and as many of pre-tokens, in a generation of a Python worker's memory
+ENTRY_BYTES = 250  # that an entry takes besides its characters
 OUT_BYTES = 4_000_000
 
 
@@ -82,12 +82,12 @@ class Recent:
     def __init__(self):
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.chars = 0
+        self.size = 0
 
     def missing(self, wanted: set[str]) -> list[str]:
         """Those not remembered; afterwards ``young`` holds all the others."""
-        if len(self.young) >= CACHE_ENTRIES or self.chars >= CACHE_CHARS:
-            self.young, self.old, self.chars = {}, self.young, 0
+        if self.size >= CACHE_BYTES:
+            self.young, self.old, self.size = {}, self.young, 0
         young, old, out = self.young, self.old, []
         for key in wanted.difference(young):
             value = old.get(key)
@@ -95,7 +95,7 @@ class Recent:
                 out.append(key)
             else:
                 young[key] = value
-            self.chars += len(key)
+            self.size += len(key) + ENTRY_BYTES
         return out
 
 

@@ -69,7 +69,7 @@ def test_rank_queue_returns_to_a_smaller_rank():
 
 def test_bpe_forgets_without_changing_ids(tok, monkeypatch):
     """Generations of three entries, passed over by every slice."""
-    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 3)
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 800)
     own, rnd = bpe.Encoder(tok[0], public_tokenizers.PATTERN), random.Random(8)
     for _ in range(60):
         rows = [" ".join(rnd.choice(["the", "thha,", "***x", "öä%%%", "", "aab"]) for _ in range(rnd.randint(0, 6))) for _ in range(2)]
