@@ -24,12 +24,16 @@ def _keyed(docs):
 
 
 def toxic(spark, docs, sf_dir):
-    """Drops the rows that the toxicity operator rejects."""
+    """Drops the rows that the toxicity operator rejects (score of 0.3 or more).
+    Null and empty texts have the score of no evidence and stay; equal rows
+    fare alike; columns and null doc_ids pass through; no rows give no rows."""
     return toxicity.accepted(docs, _labels(spark, sf_dir))
 
 
 def poor(spark, docs, sf_dir):
-    """Drops the rows that the quality classifier rejects."""
+    """Drops the rows that the quality classifier rejects (score below 0.5).
+    Null and empty texts are scored like texts without n-grams; equal rows fare
+    alike; columns and null doc_ids pass through; no rows give no rows."""
     return quality.accepted(docs, _labels(spark, sf_dir))
 
 
@@ -53,9 +57,12 @@ def leaks(spark, docs, sf_dir):
 
 def tokens(spark, docs, sf_dir):
     """Token ids of what is left: doc_id, lang, source, n_tokens and ids
-    (little-endian unsigned 32-bit integers); the ids decode to the text."""
+    (little-endian unsigned 32-bit integers); the ids decode to the text. A row
+    per row, repeated ones and null doc_ids too; null and empty texts have no
+    ids; other columns are left out; no rows give no rows."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    coded = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), "text", path, public_tokenizers.PATTERN)
+    # half the cache of the operator's own query: here the workers also keep the memory of four stages before
+    coded = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), "text", path, public_tokenizers.PATTERN, cache_bytes=40_000_000)
     digests = coded.withColumn("decoded_sha256", F.sha2("decoded", 256))
     return digests.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from quadflow.llm.arrow import release, slices, texts, utf8, worker_store
 
-CACHE_BYTES = 40_000_000  # of units, and as many of pre-tokens, in a generation of a Python worker's memory
+CACHE_BYTES = 80_000_000  # of units, and as many of pre-tokens, in a generation of a Python worker's memory
 ENTRY_BYTES = 250  # that an entry takes besides its characters
 OUT_BYTES = 4_000_000
 
@@ -79,14 +79,14 @@ class Recent:
     becomes the old one, whose entries come back when they are asked for again
     and are forgotten otherwise."""
 
-    def __init__(self):
+    def __init__(self, limit: int):
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.size = 0
+        self.size, self.limit = 0, limit
 
     def missing(self, wanted: set[str]) -> list[str]:
         """Those not remembered; afterwards ``young`` holds all the others."""
-        if self.size >= CACHE_BYTES:
+        if self.size >= self.limit:
             self.young, self.old, self.size = {}, self.young, 0
         young, old, out = self.young, self.old, []
         for key in wanted.difference(young):
@@ -103,7 +103,7 @@ class Encoder:
     """Encodes texts with the merge ranks; every match of ``pattern`` is
     encoded on its own, no special tokens. ``ranks`` must hold all 256 bytes."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache_bytes: int | None = None):
         self.ranks = ranks
         self.size = max(ranks.values()) + 1
         self.joined = {}  # left id * size + right id -> id of the two together
@@ -119,8 +119,7 @@ class Encoder:
         self.find = regex.compile(pattern).findall
         self.units = regex.compile(r"\s*\S+|\s+").findall
         self.uneven = regex.compile(r" (?:(?<=\s )|\Z)").search
-        self.known = Recent()
-        self.pieces = Recent()
+        self.known, self.pieces = (Recent(cache_bytes or CACHE_BYTES) for _ in range(2))
 
     def merge(self, pieces: list[bytes]) -> list[bytes]:
         """Ids of pre-tokens that are no entries themselves, all in one rank
@@ -301,19 +300,21 @@ def decode(df: DataFrame, column: str, ranks_path: str, out: str = "decoded") ->
     return df.select(*keep).mapInArrow(run, _with_binary(df, keep, [out]))
 
 
-def round_trip(df: DataFrame, column: str, ranks_path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+def round_trip(df: DataFrame, column: str, ranks_path: str, pattern: str, ids: str = "ids", decoded: str = "decoded",
+               cache_bytes: int | None = None) -> DataFrame:
     """``encode``, then ``decode`` of the ids, in one Python worker per task:
     text ``column`` becomes the binary columns ``ids`` and ``decoded``. Rows,
-    nulls and other columns as there."""
+    nulls and other columns as there. ``cache_bytes`` bounds what a worker
+    remembers, four times (``CACHE_BYTES`` by default); ids don't depend on it."""
     lines = _read(df, ranks_path)
     keep = [c for c in df.columns if c not in (column, ids, decoded)]
 
     def run(batches):
         def both():
             ranks = read_ranks(lines.value.splitlines())
-            return Encoder(ranks, pattern), Decoder(ranks)
+            return Encoder(ranks, pattern, cache_bytes), Decoder(ranks)
 
-        encoder, decoder = _stored("bpe_both", (ranks_path, pattern, len(lines.value)), both)
+        encoder, decoder = _stored("bpe_both", (ranks_path, pattern, len(lines.value), cache_bytes), both)
 
         def convert(rows):
             coded = encoder.encode_all(rows)
