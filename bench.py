@@ -21,9 +21,6 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from quadflow.plans.catalog import queries  # noqa: E402
 from quadflow.session import get_session  # noqa: E402
 
-SKIP = {"stream_like_toggle", "stream_registrations", "stream_status_audit", "stream_sweep"}  # build and run a stream
-
-
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
@@ -34,8 +31,6 @@ def main() -> None:
     times: dict[str, float] = {}
     warm: dict[str, float] = {}
     for name, fn in sorted(queries().items()):
-        if name in SKIP:
-            continue
         runs = []
         for _ in range(repeat):
             start = time.perf_counter()

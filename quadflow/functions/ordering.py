@@ -52,9 +52,9 @@ def sorted_pieces(df: DataFrame, cut: list[Column | str], order: list[Column | s
     there are as many as shuffle partitions, small ones coalesced.
     """
     dealt = (df.repartitionByRange(pieces, *cut) if pieces else df.repartitionByRange(*cut)).sortWithinPartitions(*order)
-    kept = cut_lineage(dealt.withColumn("_at", F.monotonically_increasing_id()))
-    return (kept.withColumn(PIECE, F.shiftright("_at", 33).cast("int"))
-            .withColumn(PLACE, F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at"))
+    kept = cut_lineage(dealt.withColumn("_dealt_at", F.monotonically_increasing_id()))
+    return (kept.withColumn(PIECE, F.shiftright("_dealt_at", 33).cast("int"))
+            .withColumn(PLACE, F.col("_dealt_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_dealt_at"))
 
 
 def pieces_for(df: DataFrame, rows: int) -> int:

@@ -124,19 +124,36 @@ class Settlement:
 def overdue_sweep(borrow_order: DataFrame, penalty: DataFrame, student: DataFrame,
                   as_of: Column) -> tuple[DataFrame, DataFrame]:
     """SWP-1: mark past-due borrowed orders overdue, then one penalty for
-    every overdue order that has no overdue penalty yet. Idempotent."""
+    every overdue order that has no overdue penalty yet. Idempotent. Returns
+    the orders after it and the new penalties alone."""
     due = (F.col("order_status") == "borrowed") & (F.col("expected_return_time") < as_of)
     orders = borrow_order.withColumn("order_status", F.when(due, "overdue").otherwise(F.col("order_status")))
+    return orders, _sweep_penalties(orders.withColumn("_at", as_of), penalty, student)
+
+
+def _sweep_penalties(orders: DataFrame, penalty: DataFrame, student: DataFrame) -> DataFrame:
+    """New penalties of overdue orders, written at ``_at``."""
     has = penalty.filter(F.col("penalty_type") == "overdue").select("order_id").distinct()
     st = student.select("student_id", F.col("user_id").alias("applicant_user_id"))
     todo = (orders.filter(F.col("order_status") == "overdue").join(has, "order_id", "left_anti")
             .join(st, "applicant_user_id"))
-    rows = _ids(todo, penalty.select(F.max("penalty_id")).scalar(), "penalty_id",
-                ["order_id", "student_id"])
-    new = rows.select("penalty_id", "student_id", "activity_id", "order_id", F.lit("overdue").alias("penalty_type"),
-                      F.lit(SWEEP_REASON).alias("reason"), F.lit(0).cast("decimal(10,2)").alias("amount"),
-                      F.lit("unpaid").alias("status"), as_of.alias("create_time"))
-    return orders, penalty.unionByName(new)
+    rows = _ids(todo, penalty.select(F.max("penalty_id")).scalar(), "penalty_id", ["_at", "order_id", "student_id"])
+    return rows.select("penalty_id", "student_id", "activity_id", "order_id", F.lit("overdue").alias("penalty_type"),
+                       F.lit(SWEEP_REASON).alias("reason"), F.lit(0).cast("decimal(10,2)").alias("amount"),
+                       F.lit("unpaid").alias("status"), F.col("_at").alias("create_time"))
+
+
+def sweep_ticks(borrow_order: DataFrame, penalty: DataFrame, student: DataFrame, ticks: list) -> tuple[DataFrame, DataFrame]:
+    """SWP-1 at every one of ``ticks`` (sorted times), as if swept one after
+    the other: an order is marked at the first tick after it was due, one that
+    was overdue before gets its penalty at the first tick. Returns the ids
+    marked and the new penalties."""
+    times = F.array(*[F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz") for t in ticks])
+    first = F.get(F.filter(times, lambda t: t > F.col("expected_return_time")), F.lit(0))  # null if there is none
+    at = F.when(F.col("order_status") == "borrowed", first).when(F.col("order_status") == "overdue", times[0])
+    swept = borrow_order.withColumn("_at", at).filter("_at is not null")
+    marked = swept.filter(F.col("order_status") == "borrowed").select("order_id")
+    return marked, _sweep_penalties(swept.withColumn("order_status", F.lit("overdue")), penalty, student)
 
 
 # -- DEL ----------------------------------------------------------------------------------
@@ -203,6 +220,19 @@ def _permitted(requests: DataFrame, activity: DataFrame, viewers: DataFrame) ->
             .filter(can_manage(F.col("_role"), F.col("_club"), F.col("_act_club"))))
 
 
+def permitted_changes(requests: DataFrame, activity: DataFrame, viewers: DataFrame) -> DataFrame:
+    """Changes to a listed status by someone who may manage the activity, with
+    its status before all of them (``_current``)."""
+    return _permitted(requests.filter(F.col("status").isin(*ACTIVITY_STATUS)), activity, viewers)
+
+
+def activities_after(activity: DataFrame, steps: DataFrame) -> DataFrame:
+    """STA-1 state: the activity table after the changes."""
+    final = steps.groupBy("activity_id").agg(F.max(F.struct("ts", "request_id", "new_status")).alias("_l"))
+    return (activity.join(final, "activity_id", "left").withColumn("status", F.coalesce(F.col("_l.new_status"), F.col("status")))
+            .drop("_l"))
+
+
 def status_changes(requests: DataFrame, activity: DataFrame, viewers: DataFrame) -> DataFrame:
     """STA-1: every accepted status change as (old, new) in request order;
     rows with old <> new are the audit trail. The last row per activity is
@@ -212,7 +242,7 @@ def status_changes(requests: DataFrame, activity: DataFrame, viewers: DataFrame)
     get a skew-safe ordinal n per activity, and step n is equi-joined to step
     n - 1 on (activity, n), a key that is unique, so a hot activity spreads
     over many tasks."""
-    ok = _permitted(requests.filter(F.col("status").isin(*ACTIVITY_STATUS)), activity, viewers)
+    ok = permitted_changes(requests, activity, viewers)
     steps = ordinal(ok, ["activity_id"], [F.col("ts"), F.col("request_id")], time_bucket("ts"), "_n")
     prev = steps.select("activity_id", (F.col("_n") + 1).alias("_n"), F.col("status").alias("_prev"))
     joined = steps.join(prev, ["activity_id", "_n"], "left")

@@ -295,7 +295,7 @@ FROM todo""")
 def overdue_sweep(c, r):
     """SWP-1: the penalties one sweep at as_of inserts."""
     _, penalties = S.overdue_sweep(c.borrow_order, c.penalty, c.student, ts_lit(AS_OF))
-    return penalties.join(c.penalty.select("penalty_id"), "penalty_id", "left_anti")
+    return penalties
 
 
 @query("cascade_delete", """
@@ -689,46 +689,48 @@ def trade_log(c, r):
 
 # -- streaming forms --------------------------------------------------------------------------
 
-def _stream_likes(c, r):
-    from quadflow.streaming import jobs
-    ckpt, snaps = jobs.scratch_paths(c.spark, "likes")
-    store = jobs.SnapshotStore(c.spark, snaps)
-    events = jobs.event_stream(c.spark, c.root, glob="events.parquet")
-    q = jobs.like_stream(c.spark, c, events, store, ckpt)
-    q.awaitTermination()
-    return store.read("post_like")
-
-
 @query("stream_like_toggle", _LIKE_SQL)
 def stream_like_toggle(c, r):
     """STR-4: the like table after the click stream is consumed (availableNow);
     equal to the batch LIK-1 result (see tests for split replays)."""
-    return _stream_likes(c, r)
-
-
-def _stream(c, name, job, table, versions_of):
     from quadflow.streaming import jobs
-    ckpt, snaps = jobs.scratch_paths(c.spark, name)
-    store = jobs.SnapshotStore(c.spark, snaps)
-    events = jobs.event_stream(c.spark, c.root, glob="events.parquet")
-    getattr(jobs, job)(c.spark, c, events, store, ckpt).awaitTermination()
-    out = None
-    for v in range(1, (store.latest_version(versions_of) or 0) + 1):
-        df = store.read(table, v)
-        out = df if out is None else out.unionByName(df)
-    return out
+    ckpt, out = jobs.scratch_paths(c.spark, "likes")
+    jobs.like_stream(c.spark, c, jobs.event_stream(c.spark, c.root, glob="events.parquet"), out, ckpt).awaitTermination()
+    return jobs.likes_after(c.spark, c, out)
 
 
 @query("stream_registrations", _REG_SQL + "\nSELECT * FROM out")
 def stream_registrations(c, r):
     """STR-2: sign-up outcomes from the admission stream (availableNow)."""
-    return _stream(c, "admission", "admission_stream", "registration_outcome", "registration_outcome")
+    from quadflow.streaming import jobs
+    ckpt, out = jobs.scratch_paths(c.spark, "admission")
+    jobs.admission_stream(c.spark, c, jobs.event_stream(c.spark, c.root, glob="events.parquet"), out, ckpt).awaitTermination()
+    return jobs.stored(c.spark, out, "registration_outcome", jobs.OUTCOMES)
+
+
+def _status_steps(c):
+    from quadflow.streaming import jobs
+    ckpt, out = jobs.scratch_paths(c.spark, "audit")
+    jobs.audit_stream(c.spark, c, jobs.event_stream(c.spark, c.root, glob="events.parquet"), out, ckpt).awaitTermination()
+    return jobs.status_steps(c.spark, out)
 
 
 @query("stream_status_audit", _STATUS_SQL)
 def stream_status_audit(c, r):
     """STR-3: audit rows from the status-change stream (availableNow)."""
-    return _stream(c, "audit", "audit_stream", "audit_log", "audit_log")
+    return S.status_audit(_status_steps(c))
+
+
+_ACTIVITY_AFTER_SQL = _STATUS_SQL.split("\nSELECT 'activity' AS biz_type")[0] + """
+SELECT a.* REPLACE (COALESCE(l.status, a.status) AS status)
+FROM activity a LEFT JOIN (SELECT activity_id, max_by(status, (ts, request_id)) AS status FROM st GROUP BY activity_id) l
+  ON l.activity_id = a.activity_id"""
+
+
+@query("activity_after_status", _ACTIVITY_AFTER_SQL)
+def activity_after_status(c, r):
+    """STA-1: the activity table after every status change in the log."""
+    return S.activities_after(c.activity, S.status_changes(r.status_change, c.activity, viewers(c)))
 
 
 # -- second-table effects and their audit rows -------------------------------------------------
@@ -819,13 +821,40 @@ SELECT (SELECT max(penalty_id) FROM penalty) + row_number() OVER (ORDER BY order
        CAST(0 AS DECIMAL(10,2)) AS amount, 'unpaid' AS status, (SELECT as_of FROM t) AS create_time
 FROM todo""")
 def stream_sweep(c, r):
-    """STR-1: the overdue sweep driven by the event stream (one availableNow tick at the newest event time); the penalties it inserts."""
+    """STR-1: the overdue sweep at one tick of the schedule, the newest event
+    time; the penalties it inserts."""
+    return _swept(c, [c.raw("events").select(F.max("ts").alias("ts"))])
+
+
+def _swept(c, schedule):
+    """The penalties of a sweep stream whose ticks are files, one micro-batch each."""
     from quadflow.streaming import jobs
-    ckpt, snaps = jobs.scratch_paths(c.spark, "sweep")
-    store = jobs.SnapshotStore(c.spark, snaps)
-    events = jobs.event_stream(c.spark, c.root, glob="events.parquet")
-    jobs.sweep_stream(c.spark, c, events, store, ckpt, trigger={"availableNow": True}).awaitTermination()
-    return store.read("penalty").join(c.penalty.select("penalty_id"), "penalty_id", "left_anti")
+    ckpt, out = jobs.scratch_paths(c.spark, "sweep")
+    for k, ticks in enumerate(schedule):
+        ticks.coalesce(1).write.mode("append").parquet(f"{out}/ticks")
+    clock = c.spark.readStream.schema("ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(f"{out}/ticks")
+    jobs.sweep_stream(c.spark, c, clock, out, ckpt, {"availableNow": True}).awaitTermination()
+    return jobs.stored(c.spark, out, "penalty", jobs._schema(c.penalty))
+
+
+@query("stream_sweep_schedule", f"""
+WITH bounds AS (SELECT date_trunc('day', min(ts)) AS a, max(ts) AS b FROM events),
+tick AS (SELECT unnest(generate_series(a, b, INTERVAL 30 MINUTE)) AS t FROM bounds),
+hit AS (SELECT bo.order_id, bo.activity_id, bo.applicant_user_id, min(tick.t) AS at
+        FROM borrow_order bo JOIN tick ON bo.order_status = 'overdue' OR (bo.order_status = 'borrowed' AND bo.expected_return_time < tick.t)
+        GROUP BY bo.order_id, bo.activity_id, bo.applicant_user_id)
+SELECT (SELECT max(penalty_id) FROM penalty) + row_number() OVER (ORDER BY hit.at, hit.order_id, st.student_id) AS penalty_id,
+       st.student_id, hit.activity_id, hit.order_id, 'overdue' AS penalty_type, '{S.SWEEP_REASON}' AS reason,
+       CAST(0 AS DECIMAL(10,2)) AS amount, 'unpaid' AS status, hit.at AS create_time
+FROM hit JOIN student st ON st.user_id = hit.applicant_user_id
+WHERE hit.order_id NOT IN (SELECT order_id FROM penalty WHERE penalty_type = 'overdue' AND order_id IS NOT NULL)""")
+def stream_sweep_schedule(c, r):
+    """STR-1: the overdue sweep every 30 minutes of the event log's time span,
+    in four micro-batches, with no event driving it; the penalties it inserts."""
+    bounds = c.raw("events").agg(F.date_trunc("day", F.min("ts")).cast("timestamp_ntz").alias("a"), F.max("ts").alias("b"))
+    ticks = bounds.select("a", "b", F.explode(F.expr("sequence(a, b, interval 30 minutes)")).alias("ts"))
+    quarter = F.least(F.floor(4 * F.timestamp_diff("MINUTE", F.col("a"), F.col("ts")) / F.timestamp_diff("MINUTE", F.col("a"), F.col("b"))), F.lit(3))
+    return _swept(c, [ticks.filter(quarter == k).select("ts") for k in range(4)])
 
 
 @query("dq_audit_foreign_key", "SELECT 'audit_log' AS table_name, 'operator_id->user_account' AS foreign_key, biz_type, biz_id, "

@@ -1,36 +1,42 @@
 """Streaming forms of the transitions (STR-1..4).
 
-The reference has one time-driven job (the overdue event every 30 minutes)
-and row-at-a-time triggers. Here an event stream (a file source) drives
-``foreachBatch``; each micro-batch applies the *batch* operator to the state
-as of the previous version and commits only what it changed:
-
-* state tables live in a ``SnapshotStore``: one base version, then one delta
-  version per micro-batch (O(changed rows) written per batch);
-* micro-batch ``b`` reads version ``b`` and writes version ``b + 1``, so a
-  retried batch recomputes from the same input state and rewrites the same
-  version (idempotent by batch id);
-* ordering inside a micro-batch is ``(ts, request_id)``; across batches it is
-  arrival order, so replaying a log in any split equals one batch run;
-* no watermark is needed: no operator keeps state that expires.
+* Likes and status changes (STR-4, STR-3) keep their state in Spark's state
+  store: one small value per pair or activity, so a micro-batch does work for
+  the keys that it touches. What they emit, a row per toggle or per audited
+  change, goes to Spark's own file sink (exactly once).
+* Sign-ups (STR-2) and the sweep (STR-1) apply the batch operator per
+  micro-batch. What they add only ever grows (registrations, penalties, marks
+  of overdue orders), so micro-batch ``b`` writes plain Parquet under
+  ``batch=b``, reads what earlier batches wrote, and a retried batch rewrites
+  its own folder.
+* Order is ``(ts, request_id)`` inside a micro-batch and arrival across them, so
+  a log replayed in any split equals one batch run.
+* The sweep is driven by a clock: ``rate-micro-batch`` in production, or any
+  schedule of ticks. It needs no event to fire.
 """
 
 from __future__ import annotations
 
+import sys
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quadflow.functions.ordering import numbered
 from quadflow.operators import admission, settlement
 from quadflow.operators.listings import user_dim
 from quadflow.session import ensure_checkpoint_dir
 from quadflow.sources.domain import Campus
 from quadflow.sources.requests import Requests
-from quadflow.sources.snapshots import SnapshotStore
+from quadflow.sources.tables import read_if_written
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+EVERY_MINUTES = 30  # cadence of the sweep
 
 
 def event_stream(spark: SparkSession, path: str, glob: str | None = None, files_per_batch: int | None = None) -> DataFrame:
@@ -42,115 +48,152 @@ def event_stream(spark: SparkSession, path: str, glob: str | None = None, files_
     return reader.parquet(path)
 
 
-def _init(store: SnapshotStore, table: str, initial: DataFrame) -> None:
-    """Write the starting state once, as base version 0."""
-    if store.latest_version(table) is None:
-        store.write(initial, table, 0)
+def clock(spark: SparkSession, start_millis: int, every_minutes: int = EVERY_MINUTES) -> DataFrame:
+    """A tick (``ts``) per micro-batch, ``every_minutes`` apart, from the clock alone."""
+    source = (spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).option("numPartitions", 1)
+              .option("startTimestamp", start_millis).option("advanceMillisPerBatch", every_minutes * 60_000).load())
+    return source.select(F.col("timestamp").cast("timestamp_ntz").alias("ts"))
+
+
+# -- native state: likes and status changes --------------------------------------------------
+
+LIKE_CHANGES = "request_id long, ts timestamp_ntz, post_id long, user_id long, liked boolean"
+STATUS_STEPS = "request_id long, ts timestamp_ntz, activity_id long, old_status string, new_status string"
+
+
+def _toggles(key, frames, state):
+    """One (post, user) pair: every toggle of the batch turns its like over."""
+    import pandas as pd
+    rows = pd.concat(list(frames)).sort_values(["ts", "request_id"])
+    liked = state.get[0] if state.exists else bool(rows["_e"].iloc[0])
+    after = [(k % 2 == 0) != liked for k in range(len(rows))]
+    state.update((bool(after[-1]),))
+    yield pd.DataFrame({"request_id": rows["request_id"].to_numpy(), "ts": rows["ts"].to_numpy(), "post_id": key[0], "user_id": key[1], "liked": after})
+
+
+def _steps(key, frames, state):
+    """One activity: every accepted change follows the status before it."""
+    import pandas as pd
+    rows = pd.concat(list(frames)).sort_values(["ts", "request_id"])
+    new = rows["status"].tolist()
+    old = [state.get[0] if state.exists else rows["_current"].iloc[0], *new[:-1]]
+    state.update((new[-1],))
+    yield pd.DataFrame({"request_id": rows["request_id"].to_numpy(), "ts": rows["ts"].to_numpy(), "activity_id": key[0], "old_status": old, "new_status": new})
+
+
+def _to_files(rows: DataFrame, out: str, checkpoint: str, trigger: dict | None) -> StreamingQuery:
+    return (rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(**(trigger or {"availableNow": True})).start())
+
 
+def like_stream(spark: SparkSession, campus: Campus, events: DataFrame, out: str, checkpoint: str,
+                trigger: dict | None = None) -> StreamingQuery:
+    """STR-4: a row per toggle with the pair's like after it, below ``out``.
+    The state is one boolean per touched pair; a pair's first toggle looks up
+    the like table as it was when the stream began."""
+    req = Requests(campus, events).like.select("request_id", "ts", "post_id", F.col("actor_user_id").alias("user_id"))
+    have = campus.post_like.select("post_id", "user_id", F.lit(True).alias("_e"))
+    rows = (req.join(campus.post.select("post_id"), "post_id", "left_semi").join(have, ["post_id", "user_id"], "left")
+            .withColumn("_e", F.coalesce("_e", F.lit(False))))
+    return _to_files(rows.groupBy("post_id", "user_id").applyInPandasWithState(_toggles, LIKE_CHANGES, "liked boolean", "append", "NoTimeout"),
+                     out, checkpoint, trigger)
+
+
+def likes_after(spark: SparkSession, campus: Campus, out: str) -> DataFrame:
+    """The like table behind a like stream: untouched rows, and the last insert
+    of each touched pair that ends liked, with auto-increment ids over all
+    inserts in request order."""
+    changes = read_if_written(spark, out, LIKE_CHANGES)
+    if changes is None:
+        return campus.post_like
+    first = campus.post_like.select(F.max("like_id")).scalar()
+    inserts = numbered(changes.filter("liked"), ["ts", "request_id"], "_n")
+    last = changes.groupBy("post_id", "user_id").agg(F.max(F.struct("ts", "request_id", "liked")).alias("_l"))
+    live = last.filter("_l.liked").select(F.col("_l.request_id").alias("request_id"))
+    new = inserts.join(live, "request_id", "left_semi").select(
+        (F.coalesce(first, F.lit(0)) + F.col("_n")).cast("long").alias("like_id"), "post_id", "user_id", F.col("ts").alias("create_time"))
+    kept = campus.post_like.join(last.select("post_id", "user_id"), ["post_id", "user_id"], "left_anti")
+    return kept.select(*new.columns).unionByName(new)
+
+
+def audit_stream(spark: SparkSession, campus: Campus, events: DataFrame, out: str, checkpoint: str,
+                 trigger: dict | None = None) -> StreamingQuery:
+    """STR-3: a row per accepted status change with the status before it, below
+    ``out``. The state is the last status of each touched activity."""
+    ok = settlement.permitted_changes(Requests(campus, events).status_change, campus.activity,
+                                      user_dim(campus.user_account, campus.student, campus.club))
+    rows = ok.select("request_id", "ts", "activity_id", "status", "_current")
+    return _to_files(rows.groupBy("activity_id").applyInPandasWithState(_steps, STATUS_STEPS, "status string", "append", "NoTimeout"),
+                     out, checkpoint, trigger)
 
-COMPACT_EVERY = 20  # micro-batches between compactions of a state table
 
+def status_steps(spark: SparkSession, out: str) -> DataFrame:
+    """What a status-change stream has stored so far."""
+    steps = read_if_written(spark, out, STATUS_STEPS)
+    return spark.createDataFrame([], STATUS_STEPS) if steps is None else steps
 
-def _maybe_compact(store: SnapshotStore, batch_id: int, *tables: str) -> None:
-    """Bound the delta chain: every COMPACT_EVERY batches the state tables
-    get a new base, so a batch never resolves more than that many deltas."""
-    if (batch_id + 1) % COMPACT_EVERY == 0:
-        for table in tables:
-            store.compact(table, batch_id + 1)
 
+# -- batch operators per micro-batch -----------------------------------------------------------
 
 def _run(stream: DataFrame, fn, checkpoint: str, trigger: dict) -> StreamingQuery:
     return stream.writeStream.foreachBatch(fn).option("checkpointLocation", checkpoint).trigger(**trigger).start()
 
 
-def like_stream(spark: SparkSession, campus: Campus, events: DataFrame, store: SnapshotStore, checkpoint: str,
-                trigger: dict | None = None) -> StreamingQuery:
-    """STR-4: LIK-1 per micro-batch. The like table and the per-post like
-    counts are maintained as deltas of the touched pairs and posts."""
-    _init(store, "post_like", campus.post_like)
-    _init(store, "post_like_count",
-          campus.post_like.groupBy("post_id").agg(F.count(F.lit(1)).alias("like_count")))
+def _schema(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        likes = store.read("post_like", batch_id)
-        added, deleted = admission.like_changes(Requests(campus, batch).like, campus.post, likes)
-        store.write_delta(added, "post_like", batch_id + 1, ["post_id", "user_id"], deleted=deleted)
-        posts = added.select("post_id").unionByName(deleted.select("post_id")).distinct()
-        now = store.read("post_like", batch_id + 1).join(posts, "post_id", "left_semi") \
-            .groupBy("post_id").agg(F.count(F.lit(1)).alias("like_count"))
-        store.write_delta(now, "post_like_count", batch_id + 1, ["post_id"],
-                          deleted=posts.join(now, "post_id", "left_anti"))
-        _maybe_compact(store, batch_id, "post_like", "post_like_count")
-    return _run(events, apply, checkpoint, trigger or {"availableNow": True})
 
+def _put(rows: DataFrame, out: str, name: str, batch: int) -> None:
+    rows.write.mode("overwrite").parquet(f"{out}/{name}/batch={batch}")
 
-def admission_stream(spark: SparkSession, campus: Campus, events: DataFrame, store: SnapshotStore, checkpoint: str,
-                     trigger: dict | None = None) -> StreamingQuery:
-    """STR-2: REG-1 per micro-batch against the stored registrations; the
-    outcomes are a log, the admitted rows a delta."""
-    _init(store, "activity_registration", campus.activity_registration)
 
-    def apply(batch: DataFrame, batch_id: int) -> None:
-        regs = store.read("activity_registration", batch_id)
-        outcomes = admission.admit_registrations(Requests(campus, batch).registration, campus.activity,
-                                                 campus.student, regs)
-        store.write(outcomes, "registration_outcome", batch_id + 1)
-        written = store.read("registration_outcome", batch_id + 1)
-        empty = regs.limit(0)
-        added = admission.registrations_after(empty, written)
-        store.write_delta(added, "activity_registration", batch_id + 1, ["reg_id"])
-        _maybe_compact(store, batch_id, "activity_registration")
-    return _run(events, apply, checkpoint, trigger or {"availableNow": True})
+def stored(spark: SparkSession, out: str, name: str, schema: str, before: int | None = None) -> DataFrame:
+    """Rows that the micro-batches (those before ``before``) have stored."""
+    rows = read_if_written(spark, f"{out}/{name}", schema + ", batch int")
+    if rows is None:
+        return spark.createDataFrame([], schema)
+    return (rows if before is None else rows.filter(F.col("batch") < before)).drop("batch")
 
 
-def audit_stream(spark: SparkSession, campus: Campus, events: DataFrame, store: SnapshotStore, checkpoint: str,
-                 trigger: dict | None = None) -> StreamingQuery:
-    """STR-3: STA-1 per micro-batch; audit rows per effective change (a log)
-    and the touched activities' new rows (a delta)."""
-    _init(store, "activity", campus.activity)
+OUTCOMES = "request_id long, activity_id long, student_id long, ts timestamp_ntz, outcome string, queue_no int, reg_id long"
 
+
+def admission_stream(spark: SparkSession, campus: Campus, events: DataFrame, out: str, checkpoint: str,
+                     trigger: dict | None = None) -> StreamingQuery:
+    """STR-2: REG-1 per micro-batch against the registrations so far; the
+    outcomes are stored, and the admitted rows follow from them."""
     def apply(batch: DataFrame, batch_id: int) -> None:
-        activity = store.read("activity", batch_id)
-        steps = settlement.status_changes(Requests(campus, batch).status_change, activity,
-                                          user_dim(campus.user_account, campus.student, campus.club))
-        store.write(settlement.status_audit(steps), "audit_log", batch_id + 1)
-        final = steps.groupBy("activity_id").agg(F.max(F.struct("ts", "request_id", "new_status")).alias("_l"))
-        changed = (activity.join(final, "activity_id")
-                   .withColumn("status", F.col("_l.new_status")).drop("_l"))
-        store.write_delta(changed, "activity", batch_id + 1, ["activity_id"])
-        _maybe_compact(store, batch_id, "activity")
+        before = stored(spark, out, "registration_outcome", OUTCOMES, batch_id)
+        regs = admission.registrations_after(campus.activity_registration, before)
+        outcomes = admission.admit_registrations(Requests(campus, batch).registration, campus.activity, campus.student, regs)
+        _put(outcomes, out, "registration_outcome", batch_id)
     return _run(events, apply, checkpoint, trigger or {"availableNow": True})
 
 
-def sweep_stream(spark: SparkSession, campus: Campus, events: DataFrame, store: SnapshotStore, checkpoint: str,
+def sweep_stream(spark: SparkSession, campus: Campus, ticks: DataFrame, out: str, checkpoint: str,
                  trigger: dict | None = None) -> StreamingQuery:
-    """STR-1: the overdue sweep on a cadence (30 minutes in production); each
-    tick sweeps at the newest event time it has seen and stores the marked
-    orders and new penalties as deltas."""
-    _init(store, "borrow_order", campus.borrow_order)
-    _init(store, "penalty", campus.penalty)
+    """STR-1: the overdue sweep, fired by the clock. ``ticks`` is a stream of
+    times (``ts``), one micro-batch per tick in production, several after an
+    outage: every order is then marked, and its penalty written, at the first
+    tick after it was due. New penalties and marks are stored per batch."""
+    penalties, marks = _schema(campus.penalty), "order_id long"
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        as_of = batch.agg(F.max("ts")).first()[0]
-        orders = store.read("borrow_order", batch_id)
-        penalty = store.read("penalty", batch_id)
-        if as_of is None:
-            store.write_delta(orders.limit(0), "borrow_order", batch_id + 1, ["order_id"])
-            store.write_delta(penalty.limit(0), "penalty", batch_id + 1, ["penalty_id"])
+        times = [r[0] for r in batch.filter("ts is not null").select("ts").distinct().orderBy("ts").collect()]  # ticks of one trigger
+        if not times:
             return
-        new_orders, new_pen = settlement.overdue_sweep(orders, penalty, campus.student,
-                                                       F.lit(as_of.isoformat(sep=" ")).cast("timestamp_ntz"))
-        marked = new_orders.join(orders.select("order_id", F.col("order_status").alias("_old")), "order_id") \
-            .filter(F.col("order_status") != F.col("_old")).drop("_old")
-        store.write_delta(marked, "borrow_order", batch_id + 1, ["order_id"])
-        store.write_delta(new_pen.join(penalty.select("penalty_id"), "penalty_id", "left_anti"),
-                          "penalty", batch_id + 1, ["penalty_id"])
-        _maybe_compact(store, batch_id, "borrow_order", "penalty")
-    return _run(events, apply, checkpoint, trigger or {"processingTime": "30 minutes"})
+        done = stored(spark, out, "overdue", marks, batch_id).withColumn("_marked", F.lit(True))
+        orders = campus.borrow_order.join(done, "order_id", "left").withColumn(
+            "order_status", F.when(F.col("_marked"), "overdue").otherwise(F.col("order_status"))).drop("_marked")
+        known = campus.penalty.unionByName(stored(spark, out, "penalty", penalties, batch_id))
+        marked, new = settlement.sweep_ticks(orders, known, campus.student, times)
+        _put(new, out, "penalty", batch_id)
+        _put(marked, out, "overdue", batch_id)
+    return _run(ticks, apply, checkpoint, trigger or {"processingTime": f"{EVERY_MINUTES} minutes"})
 
 
 def scratch_paths(spark: SparkSession, name: str) -> tuple[str, str]:
-    """Checkpoint and snapshot folders for one run, inside the shared
+    """Checkpoint and output folders for one run, inside the shared
     ``spark.checkpoint.dir``."""
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{name}-{uuid.uuid4().hex}"
-    return f"{base}/checkpoint", f"{base}/snapshots"
+    return f"{base}/checkpoint", f"{base}/out"

@@ -8,7 +8,7 @@ from quadflow.plans.catalog import queries
 
 Q = queries()
 PYTHON_OK = {"stock_reserve", "audit_reservations", "stock_after_reserve", "dq_audit_foreign_key", "trade_log"}  # sequential folds
-SKIP = {"stream_like_toggle", "stream_registrations", "stream_status_audit", "stream_sweep"}  # run a stream when built
+SKIP = {"stream_like_toggle", "stream_registrations", "stream_status_audit", "stream_sweep", "stream_sweep_schedule"}  # run a stream when built
 
 
 def plan(df) -> str:

@@ -2,8 +2,10 @@
 the one-batch result (STR-2, STR-3), and the sweep stream converges to a
 single sweep at its last tick (STR-1)."""
 
+import datetime as dt
 import os
 import tempfile
+import time
 
 from pyspark.sql import functions as F
 
@@ -28,60 +30,63 @@ def _split_events(spark, c, parts=3):
             .option("recursiveFileLookup", "true").parquet(src))
 
 
-def _union_versions(store, table, versions):
-    out = None
-    for v in versions:
-        df = store.read(table, v)
-        out = df if out is None else out.unionByName(df)
-    return out
-
-
 def _same(a, b):
     return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
 def test_admission_stream_equals_one_batch(spark):
     c = Campus(spark, SF_SMALL)
-    ckpt, snaps = jobs.scratch_paths(spark, "admission-test")
-    store = jobs.SnapshotStore(spark, snaps)
-    jobs.admission_stream(spark, c, _split_events(spark, c), store, ckpt).awaitTermination()
-    streamed = _union_versions(store, "registration_outcome", [1, 2, 3])
+    ckpt, out = jobs.scratch_paths(spark, "admission-test")
+    jobs.admission_stream(spark, c, _split_events(spark, c), out, ckpt).awaitTermination()
+    streamed = jobs.stored(spark, out, "registration_outcome", jobs.OUTCOMES)
     batch = admission.admit_registrations(Requests(c).registration, c.activity, c.student, c.activity_registration)
     assert _same(streamed.select(*batch.columns), batch)
 
 
 def test_audit_stream_equals_one_batch(spark):
+    """The last status of an activity comes from Spark's state store: batches
+    after the first know it without reading what was written."""
     c = Campus(spark, SF_SMALL)
-    ckpt, snaps = jobs.scratch_paths(spark, "audit-test")
-    store = jobs.SnapshotStore(spark, snaps)
-    jobs.audit_stream(spark, c, _split_events(spark, c), store, ckpt).awaitTermination()
-    streamed = _union_versions(store, "audit_log", [1, 2, 3])
+    ckpt, out = jobs.scratch_paths(spark, "audit-test")
+    query = jobs.audit_stream(spark, c, _split_events(spark, c), out, ckpt)
+    query.awaitTermination()
+    assert query.lastProgress["batchId"] == 2 and query.lastProgress["stateOperators"][0]["numRowsTotal"] > 0
     viewers = user_dim(c.user_account, c.student, c.club)
-    batch = settlement.status_audit(settlement.status_changes(Requests(c).status_change, c.activity, viewers))
-    assert _same(streamed.select(*batch.columns), batch)
+    batch = settlement.status_changes(Requests(c).status_change, c.activity, viewers)
+    steps = jobs.status_steps(spark, out)
+    assert _same(steps.select(*batch.columns), batch)
+    assert _same(settlement.status_audit(steps), settlement.status_audit(batch))
 
 
-def test_sweep_stream_converges_to_last_tick(spark):
+def test_sweep_without_events_follows_the_clock(spark):
+    """Ticks of a rate-micro-batch clock sweep orders in a period without any event."""
     c = Campus(spark, SF_SMALL)
-    ckpt, snaps = jobs.scratch_paths(spark, "sweep-test")
-    store = jobs.SnapshotStore(spark, snaps)
-    jobs.sweep_stream(spark, c, _split_events(spark, c), store, ckpt,
-                      trigger={"availableNow": True}).awaitTermination()
-    last = c.raw("events").agg(F.max("ts")).first()[0]
-    _, once = settlement.overdue_sweep(c.borrow_order, c.penalty, c.student, F.lit(last.isoformat(sep=" ")).cast("timestamp_ntz"))
-    got = store.read("penalty").select("order_id", "student_id", "penalty_type")
-    assert _same(got, once.select("order_id", "student_id", "penalty_type"))
-
-
-def test_like_stream_with_compaction_equals_one_batch(spark, monkeypatch):
-    monkeypatch.setattr(jobs, "COMPACT_EVERY", 2)
+    ckpt, out = jobs.scratch_paths(spark, "sweep-clock-test")
+    start = dt.datetime(2024, 1, 10, tzinfo=dt.timezone.utc)
+    query = jobs.sweep_stream(spark, c, jobs.clock(spark, int(start.timestamp() * 1000), 24 * 60), out, ckpt, {"processingTime": "0 seconds"})
+    try:
+        deadline = time.time() + 120
+        while (query.lastProgress or {"batchId": -1})["batchId"] < 3 and query.isActive and time.time() < deadline:
+            time.sleep(0.2)
+    finally:
+        query.stop()
+    got = jobs.stored(spark, out, "penalty", jobs._schema(c.penalty))
+    ticks = [(start + dt.timedelta(days=k)).replace(tzinfo=None) for k in range(4)]
+    _, want = settlement.sweep_ticks(c.borrow_order, c.penalty, c.student, ticks)
+    some = got.filter(F.col("create_time") <= F.lit(ticks[-1].isoformat(sep=" ")).cast("timestamp_ntz"))
+    assert want.select("create_time").distinct().count() > 1
+    assert _same(some.select("order_id", "student_id", "create_time"), want.select("order_id", "student_id", "create_time"))
+
+
+def test_sweep_ticks_equal_one_sweep_after_the_other(spark):
     c = Campus(spark, SF_SMALL)
-    ckpt, snaps = jobs.scratch_paths(spark, "likes-compact-test")
-    store = jobs.SnapshotStore(spark, snaps)
-    jobs.like_stream(spark, c, _split_events(spark, c), store, ckpt).awaitTermination()
-    assert [k for v, k, _ in store._log("post_like") if v == 2] == ["base"]
-    streamed = store.read("post_like").select("post_id", "user_id", "create_time")
-    batch = admission.toggle_likes(Requests(c).like, c.post, c.post_like).select("post_id", "user_id", "create_time")
-    assert _same(streamed, batch)
-    counts = store.read("post_like_count")
-    assert _same(counts, batch.groupBy("post_id").agg(F.count(F.lit(1)).alias("like_count")))
+    ticks = [dt.datetime(2024, 1, 5), dt.datetime(2024, 1, 5, 0, 30), dt.datetime(2024, 1, 20), dt.datetime(2024, 3, 1)]
+    marked, new = settlement.sweep_ticks(c.borrow_order, c.penalty, c.student, ticks)
+    orders, penalty, rows = c.borrow_order, c.penalty, None
+    for t in ticks:
+        orders, own = settlement.overdue_sweep(orders, penalty, c.student, F.lit(t.isoformat(sep=" ")).cast("timestamp_ntz"))
+        penalty = penalty.unionByName(own)
+        rows = own if rows is None else rows.unionByName(own)
+    assert _same(new, rows)
+    ids = orders.join(c.borrow_order.select("order_id", F.col("order_status").alias("o")), "order_id").filter("o <> order_status").select("order_id")
+    assert _same(marked, ids)
