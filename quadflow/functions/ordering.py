@@ -76,20 +76,30 @@ def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     return out.withColumn(name, F.col("_before") + F.col(PLACE) + 1).drop("_p", "_before", PIECE, PLACE)
 
 
-def running_count(df: DataFrame, key: str, order: list[str], flag: Column, name: str, pieces: int | None = None) -> DataFrame:
-    """``df`` with ``name``: how many rows of the same ``key`` before the row (by
-    ``order``, a total one) are flagged; null flags don't count. A segmented
-    scan: counted inside each sorted piece, after the counts of the earlier
-    pieces that hold the key, so a hot key is counted by many tasks."""
-    flagged = df.withColumn("_flag", F.coalesce(flag, F.lit(False)).cast("long"))
-    rows = sorted_pieces(flagged, [key, *order], [key, *order], pieces)
+def running_sums(df: DataFrame, key: str, order: list[str], sums: dict[str, Column], pieces: int | None = None) -> DataFrame:
+    """``df`` with, per entry of ``sums``, the sum of that long amount over the
+    earlier rows of the same ``key`` (by ``order``, a total one); null amounts
+    count nothing. A segmented scan: summed inside each sorted piece, after the
+    sums of the earlier pieces that hold the key, so a hot key is summed by
+    many tasks."""
+    amounts = {f"_amount{i}": F.coalesce(c, F.lit(0)).cast("long") for i, c in enumerate(sums.values())}
+    rows = sorted_pieces(df.withColumns(amounts), [key, *order], [key, *order], pieces)
     part = [key, PIECE]
     inside = Window.partitionBy(*part).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_in", F.coalesce(F.sum("_flag").over(inside), F.lit(0)))
-    counts = rows.groupBy(*part).agg(F.sum("_flag").alias("_n"))
-    before = _prior(counts, [key], PIECE, "_n", "_before").select(*[F.col(c).alias(f"_off_{c}") for c in part], "_before")
+    rows = rows.withColumns({f"_in{i}": F.coalesce(F.sum(f"_amount{i}").over(inside), F.lit(0)) for i in range(len(sums))})
+    before = rows.groupBy(*part).agg(*[F.sum(a).alias(a) for a in amounts])
+    for i in range(len(sums)):
+        before = _prior(before, [key], PIECE, f"_amount{i}", f"_before{i}")
+    before = before.select(*[F.col(c).alias(f"_off_{c}") for c in part], *[f"_before{i}" for i in range(len(sums))])
     out = rows.join(before, part_eq(rows, before, part, "_off_"))
-    return out.withColumn(name, F.col("_before") + F.col("_in")).drop("_flag", "_in", "_before", PIECE, PLACE, *before.columns)
+    out = out.withColumns({name: F.col(f"_before{i}") + F.col(f"_in{i}") for i, name in enumerate(sums)})
+    return out.drop(*amounts, *[f"_in{i}" for i in range(len(sums))], PIECE, PLACE, *before.columns)
+
+
+def running_count(df: DataFrame, key: str, order: list[str], flag: Column, name: str, pieces: int | None = None) -> DataFrame:
+    """``df`` with ``name``: how many earlier rows of the same key are flagged
+    (``running_sums`` of ones)."""
+    return running_sums(df, key, order, {name: F.when(flag, 1)}, pieces)
 
 
 def ordinal(df: DataFrame, keys: list[str], order: list[Column], bucket: Column,

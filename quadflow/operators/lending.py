@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadflow.functions.ordering import PIECE, pieces_for, sorted_pieces
+from quadflow.functions.ordering import PIECE, pieces_for, running_sums, sorted_pieces
 from quadflow.functions.scalar import collated, order_uid, strip
+from quadflow.session import cut_lineage
 from quadflow.sources.tables import add_column_if_missing
 
 
@@ -212,12 +213,41 @@ def reserve_stock(requests: DataFrame, borrow_order: DataFrame, resource_item: D
                          F.col("left_after").cast("int").alias("left_after"))
 
 
+def _refused(needs: DataFrame, room: DataFrame) -> DataFrame:
+    """Orders refused by ordered all-or-nothing admission: ``needs`` (order_id,
+    ts, request_id, resource_id, _qty) in request order take room on all their
+    resources or on none.
+
+    Only resources asked for more than their room matter. Per round two running
+    sums over them bound what is taken before a row: all earlier orders not
+    refused yet, and all earlier ones surely admitted. An order within its room
+    under the first on every resource is admitted, one beyond it under the
+    second on any is refused. The earliest undecided order of a component of
+    the order-resource graph is decided in every round, so rounds are at most
+    the longest chain of orders that wait for each other."""
+    tight = (needs.groupBy("resource_id").agg(F.sum("_qty").alias("_all")).join(room, "resource_id")
+             .filter(F.col("_all") > F.col("_room")).drop("_all"))
+    rows = cut_lineage(needs.join(tight, "resource_id").withColumn("_ok", F.lit(None).cast("boolean")))
+    while not rows.filter("_ok is null").isEmpty():
+        rows = running_sums(rows, "resource_id", ["ts", "request_id"],
+                            {"_most": F.when(F.coalesce("_ok", F.lit(True)), F.col("_qty")), "_least": F.when(F.col("_ok"), F.col("_qty"))})
+        fits = F.min(F.col("_most") + F.col("_qty") <= F.col("_room"))
+        fails = F.max(F.col("_least") + F.col("_qty") > F.col("_room"))
+        told = rows.groupBy("order_id").agg(F.coalesce(F.max("_ok"), F.when(fails, False).when(fits, True)).alias("_ok"))
+        rows = cut_lineage(rows.drop("_ok", "_most", "_least").join(told, "order_id"))
+    return rows.filter("not _ok").select("order_id").distinct()
+
+
 def return_orders(requests: DataFrame, borrow_order: DataFrame, borrow_detail: DataFrame,
                   resource_item: DataFrame, viewers: DataFrame):
     """BOR-3: full returns. Only borrowed/overdue orders with at least one
     detail; the first valid request per order returns it, later ones find
     it returned. Stock grows by each detail's outstanding quantity.
 
+    A return is all or nothing: one that would lift any of its resources above
+    ``total_qty`` is the database's error as a whole, gives nothing back, and
+    later returns find the room it left (``_refused``).
+
     Returns (outcomes, new orders, new details, new resource stock)."""
     actors = viewers.select(F.col("user_id").alias("actor_user_id"), F.col("role").alias("_role"))
     has_detail = borrow_detail.select("order_id").distinct().withColumn("_has_det", F.lit(True))
@@ -232,11 +262,16 @@ def return_orders(requests: DataFrame, borrow_order: DataFrame, borrow_detail: D
     x = x.withColumn("_reason", reason)
     first = (x.filter(F.col("_reason").isNull()).groupBy("order_id")
              .agg(F.min(F.struct("ts", "request_id")).alias("_first")))
-    x = x.join(first, "order_id", "left")
-    later = F.col("_reason").isNull() & (F.struct("ts", "request_id") > F.col("_first"))
-    outcomes = x.select("request_id", "order_id",
-                        F.coalesce("_reason", F.when(later, "not_returnable").otherwise("returned")).alias("outcome"),
-                        "ts")
+    owed = F.greatest(F.col("borrow_qty") - F.col("returned_qty"), F.lit(0))
+    needs = (borrow_detail.select("order_id", "resource_id", owed.alias("_qty")).filter("_qty > 0").join(first, "order_id")
+             .groupBy("order_id", "_first", "resource_id").agg(F.sum("_qty").alias("_qty"))
+             .select("order_id", "_first.ts", "_first.request_id", "resource_id", "_qty"))
+    room = resource_item.select("resource_id", (F.col("total_qty") - F.col("available_qty")).cast("long").alias("_room"))
+    refused = _refused(needs, room).withColumn("_refused", F.lit(True))
+    x = x.join(first, "order_id", "left").join(refused, "order_id", "left")
+    later = F.struct("ts", "request_id") > F.col("_first")
+    outcome = F.when(F.col("_refused"), "db_error").when(later, "not_returnable").otherwise("returned")
+    outcomes = x.select("request_id", "order_id", F.coalesce("_reason", outcome).alias("outcome"), "ts")
     done = outcomes.filter(F.col("outcome") == "returned").select("order_id", F.col("ts").alias("_rt"))
     new_orders = (borrow_order.join(done, "order_id", "left")
                   .withColumn("order_status", F.when(F.col("_rt").isNotNull(), "returned").otherwise(F.col("order_status")))

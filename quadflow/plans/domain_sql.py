@@ -65,7 +65,7 @@ SELECT reg_id AS checkin_id, reg_id, register_time AS checkin_time,
 FROM activity_registration WHERE checkin_status IN ('checked', 'absent')""",
     "resource_item": f"""
 SELECT p_partkey AS resource_id, p_partkey % {_N['n_club']} AS owner_club_id, p_name AS item_name, p_type AS category,
-       CAST(5000 + p_size AS INTEGER) AS total_qty, CAST(p_size * 4 AS INTEGER) AS available_qty, 'piece' AS unit,
+       CAST(CASE WHEN p_partkey % 7 = 0 THEN p_size * 4 + 40 ELSE 5000 + p_size END AS INTEGER) AS total_qty, CAST(p_size * 4 AS INTEGER) AS available_qty, 'piece' AS unit,
        CAST(p_size AS DECIMAL(10,2)) AS deposit_amount, 'available' AS status
 FROM part""",
     "borrow_order": f"""

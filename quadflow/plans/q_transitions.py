@@ -441,7 +441,7 @@ def stock_reserve(c, r):
 
 
 _RETURN_SQL = f"""
-WITH x AS (
+WITH RECURSIVE x AS (
   SELECT q.*, bo.applicant_user_id, bo.order_status, bo.order_id IS NOT NULL AS has_order, d.role,
          EXISTS (SELECT 1 FROM borrow_detail bd WHERE bd.order_id = q.order_id) AS has_det
   FROM return_request q LEFT JOIN borrow_order bo ON bo.order_id = q.order_id
@@ -451,7 +451,25 @@ y AS (SELECT *, CASE WHEN NOT COALESCE(role IN ('admin', 'club'), false) THEN 'f
                      WHEN role <> 'admin' AND applicant_user_id <> actor_user_id THEN 'forbidden'
                      WHEN order_status NOT IN ('borrowed', 'overdue') THEN 'not_returnable'
                      WHEN NOT has_det THEN 'no_detail' END AS reason FROM x),
+fst AS (SELECT order_id, min((ts, request_id)) AS k FROM y WHERE reason IS NULL GROUP BY order_id),
+need AS (SELECT fst.order_id, bd.resource_id, sum(bd.borrow_qty - bd.returned_qty) AS qty FROM fst JOIN borrow_detail bd ON bd.order_id = fst.order_id
+         WHERE bd.borrow_qty > bd.returned_qty GROUP BY fst.order_id, bd.resource_id),
+tight AS (SELECT n.resource_id, any_value(r.total_qty - r.available_qty) AS room FROM need n JOIN resource_item r ON r.resource_id = n.resource_id
+          GROUP BY n.resource_id HAVING sum(n.qty) > any_value(r.total_qty - r.available_qty)),
+turn AS (SELECT fst.order_id, row_number() OVER (ORDER BY k) AS rn FROM fst
+         WHERE order_id IN (SELECT n.order_id FROM need n JOIN tight t ON t.resource_id = n.resource_id)),
+asked AS (SELECT turn.rn, any_value(turn.order_id) AS order_id, list(CAST(COALESCE(n.qty, 0) AS BIGINT) ORDER BY t.resource_id) AS qty
+          FROM turn JOIN tight t ON true LEFT JOIN need n ON n.order_id = turn.order_id AND n.resource_id = t.resource_id GROUP BY turn.rn),
+serial(rn, room, ok) AS (
+  SELECT 0::BIGINT, (SELECT list(CAST(room AS BIGINT) ORDER BY resource_id) FROM tight), false
+  UNION ALL
+  SELECT s.rn, CASE WHEN s.ok THEN s.after ELSE s.room END, s.ok
+  FROM (SELECT a.rn, w.room, list_transform(list_zip(w.room, a.qty), lambda p: p[1] - p[2]) AS after,
+               len(list_filter(list_zip(w.room, a.qty), lambda p: p[2] > 0 AND p[1] < p[2])) = 0 AS ok
+        FROM serial w JOIN asked a ON a.rn = w.rn + 1) s),
+over AS (SELECT a.order_id FROM serial w JOIN asked a ON a.rn = w.rn WHERE NOT w.ok),
 z AS (SELECT *, CASE WHEN reason IS NOT NULL THEN reason
+                     WHEN order_id IN (SELECT order_id FROM over) THEN 'db_error'
                      WHEN row_number() OVER (PARTITION BY order_id, reason IS NULL ORDER BY ts, request_id) > 1 THEN 'not_returnable'
                      ELSE 'returned' END AS outcome FROM y),
 back AS (SELECT bd.resource_id, sum(bd.borrow_qty - bd.returned_qty) AS qty FROM borrow_detail bd

@@ -193,7 +193,8 @@ class Campus:
         k = F.col("p_partkey")
         return self.raw("part").select(
             k.alias("resource_id"), (k % self.n_club).alias("owner_club_id"), F.col("p_name").alias("item_name"),
-            F.col("p_type").alias("category"), (F.lit(5000) + F.col("p_size")).cast("int").alias("total_qty"),
+            F.col("p_type").alias("category"),
+            F.when(k % 7 == 0, F.col("p_size") * 4 + 40).otherwise(F.lit(5000) + F.col("p_size")).cast("int").alias("total_qty"),
             (F.col("p_size") * 4).cast("int").alias("available_qty"), F.lit("piece").alias("unit"),
             F.col("p_size").cast("decimal(10,2)").alias("deposit_amount"), F.lit("available").alias("status"))
 

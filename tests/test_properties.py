@@ -375,3 +375,43 @@ def test_names_are_compared_under_the_collation(spark):
     assert {i: r.outcome for i, r in out.items()} == {1: "created", 2: "username_taken", 3: "username_taken", 4: "db_error", 5: "created", 6: "username_taken"}
     assert (out[1].user_id, out[5].user_id, out[1].student_id, out[1].credit_score, out[1].create_time) == (10, 11, 1, 100, T0)
     assert out[2].user_id is None and out[1].phone is None
+
+
+def test_returns_are_all_or_nothing(spark):
+    """An order that would lift any resource above its total gives nothing back,
+    and later returns see that; a hot resource with most of the details."""
+    from quadflow.operators.lending import return_orders
+    rnd = random.Random(43)
+    T = "timestamp_ntz"
+    total = {r: (100, 100 - rnd.choice([0, 3, 40, 90])) for r in range(8)} | {9: (5, 7)}
+    orders = [(o, 1, rnd.choice(["borrowed", "borrowed", "overdue", "returned"])) for o in range(300)]
+    details = []
+    for o in range(300):
+        for _ in range(rnd.randint(0, 4)):
+            q = rnd.randint(1, 9)
+            details.append((len(details), o, 0 if rnd.random() < .5 else rnd.choice([*total]), q, rnd.choice([0, 0, q])))
+    reqs = [(i, _ts(rnd.randint(0, 50)), 1, rnd.randint(0, 299)) for i in range(500)]
+    out, _, det, stock = return_orders(
+        spark.createDataFrame(reqs, f"request_id long, ts {T}, actor_user_id long, order_id long"),
+        spark.createDataFrame([(*o, None) for o in orders], f"order_id long, applicant_user_id long, order_status string, actual_return_time {T}"),
+        spark.createDataFrame(details, "detail_id long, order_id long, resource_id long, borrow_qty int, returned_qty int"),
+        spark.createDataFrame([(r, t, a) for r, (t, a) in total.items()], "resource_id long, total_qty int, available_qty int"),
+        spark.createDataFrame([(1, "admin")], "user_id long, role string"))
+    status, avail, want = {o: s for o, _, s in orders}, {r: a for r, (_, a) in total.items()}, {}
+    for _, rid, o in sorted((r[1], r[0], r[3]) for r in reqs):
+        mine = [d for d in details if d[1] == o]
+        if status[o] not in ("borrowed", "overdue"):
+            want[rid] = "not_returnable"
+        elif not mine:
+            want[rid] = "no_detail"
+        else:
+            after = dict(avail)
+            for d in mine:
+                after[d[2]] += d[3] - d[4]
+            if any(after[d[2]] > total[d[2]][0] for d in mine if d[3] > d[4]):
+                want[rid] = "db_error"
+            else:
+                want[rid], avail, status[o] = "returned", after, "returned"
+    assert {r.request_id: r.outcome for r in out.collect()} == want
+    assert {r.resource_id: r.available_qty for r in stock.collect()} == avail
+    assert list(want.values()).count("db_error") > 20 and list(want.values()).count("returned") > 20
