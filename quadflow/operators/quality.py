@@ -147,6 +147,14 @@ def foreign_key_violations(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def audit_key_violations(audit: DataFrame, users: DataFrame) -> DataFrame:
+    """DQ-2 (28th key): audit rows whose operator is not a user."""
+    known = users.select(F.col("user_id").alias("operator_id"))
+    bad = audit.select("biz_type", "biz_id", "operator_id").filter(F.col("operator_id").isNotNull()).join(known, "operator_id", "left_anti")
+    return bad.select(F.lit("audit_log").alias("table_name"), F.lit("operator_id->user_account").alias("foreign_key"),
+                      "biz_type", "biz_id", F.col("operator_id").alias("value"))
+
+
 def unique_violations(tables: dict[str, DataFrame]) -> DataFrame:
     """DQ-3: duplicate key groups; NULL keys are exempt; text keys compare
     case- and accent-insensitively (the database collation)."""

@@ -88,6 +88,84 @@ def dq_not_null(c, r):
     return Q.not_null_violations(_tables(c))
 
 
+# Tables as a careless import would leave them: every few rows break a rule.
+
+def _broken(c):
+    t = _tables(c)
+    k = F.col
+    rows = {
+        "student": t["student"].withColumn("credit_score", k("credit_score") + F.when(k("student_id") % 11 == 0, 121).when(k("student_id") % 13 == 0, -121).otherwise(0)),
+        "venue": t["venue"].withColumn("capacity", F.when(k("venue_id") % 5 == 0, 0).otherwise(k("capacity")))
+                           .withColumn("status", F.when(k("venue_id") % 4 == 0, "closed").otherwise(k("status"))),
+        "activity": t["activity"].withColumn("end_time", F.when(k("activity_id") % 17 == 0, k("start_time")).otherwise(k("end_time")))
+                                 .withColumn("signup_deadline", plus(k("signup_deadline"), "DAY", F.when(k("activity_id") % 19 == 0, 2).otherwise(0)))
+                                 .withColumn("status", F.when(k("activity_id") % 23 == 0, F.lit(None).cast("string")).otherwise(F.upper("status"))),
+        "resource_item": t["resource_item"].withColumn("available_qty", k("available_qty") * F.when(k("resource_id") % 3 == 0, 100).when(k("resource_id") % 5 == 0, -1).otherwise(1)),
+        "borrow_detail": t["borrow_detail"].withColumn("returned_qty", k("returned_qty") + F.when(k("detail_id") % 7 == 0, 1).otherwise(0))
+                                           .withColumn("damage_qty", k("damage_qty") - F.when(k("detail_id") % 29 == 0, 1).otherwise(0)),
+        "trade_order": t["trade_order"].withColumn("buyer_user_id", F.when(k("order_id") % 31 == 0, k("seller_user_id")).otherwise(k("buyer_user_id"))),
+        "user_account": t["user_account"].withColumn("username", F.when(k("user_id") % 10 == 3, F.concat(F.lit("\u00c9va_"), F.floor(k("user_id") / 40)))
+                                                     .when(k("user_id") % 10 == 7, F.concat(F.lit("eva_"), F.floor(k("user_id") / 40))).otherwise(k("username"))),
+        "post_like": t["post_like"].unionByName(t["post_like"].filter(k("like_id") % 9 == 0).withColumn("like_id", -k("like_id"))),
+    }
+    return t | rows
+
+
+_BROKEN_SQL = """
+WITH b_student AS (SELECT student_id, credit_score + CASE WHEN student_id % 11 = 0 THEN 121 WHEN student_id % 13 = 0 THEN -121 ELSE 0 END AS score FROM student),
+b_venue AS (SELECT venue_id, CASE WHEN venue_id % 5 = 0 THEN 0 ELSE capacity END AS seats, CASE WHEN venue_id % 4 = 0 THEN 'closed' ELSE status END AS state FROM venue),
+b_activity AS (SELECT activity_id, start_time AS a, CASE WHEN activity_id % 17 = 0 THEN start_time ELSE end_time END AS z,
+                      signup_deadline + to_days(CASE WHEN activity_id % 19 = 0 THEN 2 ELSE 0 END) AS last_call,
+                      CASE WHEN activity_id % 23 <> 0 THEN upper(status) END AS state FROM activity),
+b_item AS (SELECT resource_id, total_qty, available_qty * CASE WHEN resource_id % 3 = 0 THEN 100 WHEN resource_id % 5 = 0 THEN -1 ELSE 1 END AS here FROM resource_item),
+b_detail AS (SELECT detail_id, borrow_qty, returned_qty + CASE WHEN detail_id % 7 = 0 THEN 1 ELSE 0 END AS back,
+                    damage_qty - CASE WHEN detail_id % 29 = 0 THEN 1 ELSE 0 END AS broken FROM borrow_detail),
+b_trade AS (SELECT order_id, seller_user_id, CASE WHEN order_id % 31 = 0 THEN seller_user_id ELSE buyer_user_id END AS buyer FROM trade_order)"""
+
+
+@query("dq_check_import", _BROKEN_SQL + """
+SELECT 'student' AS table_name, student_id AS row_key, 'credit_range' AS rule FROM b_student WHERE score < 0 OR score > 120
+UNION ALL SELECT 'venue', venue_id, 'capacity_pos' FROM b_venue WHERE seats <= 0
+UNION ALL SELECT 'venue', venue_id, 'status_in' FROM b_venue WHERE state = 'closed'
+UNION ALL SELECT 'activity', activity_id, 'end_after_start' FROM b_activity WHERE z <= a
+UNION ALL SELECT 'activity', activity_id, 'deadline_before_start' FROM b_activity WHERE last_call > a
+UNION ALL SELECT 'activity', activity_id, 'status_in' FROM b_activity WHERE state IS NOT NULL
+UNION ALL SELECT 'resource_item', resource_id, 'available_nonneg' FROM b_item WHERE here < 0
+UNION ALL SELECT 'resource_item', resource_id, 'available_le_total' FROM b_item WHERE here > total_qty
+UNION ALL SELECT 'borrow_detail', detail_id, 'returned_le_borrow' FROM b_detail WHERE back > borrow_qty
+UNION ALL SELECT 'borrow_detail', detail_id, 'damage_nonneg' FROM b_detail WHERE broken < 0
+UNION ALL SELECT 'trade_order', order_id, 'buyer_ne_seller' FROM b_trade WHERE buyer = seller_user_id""")
+def dq_check_import(c, r):
+    """DQ-1 over tables whose every few rows break a rule (a NULL result passes); the oracle states each broken rule by itself."""
+    return Q.check_violations(_broken(c))
+
+
+@query("dq_unique_import", """
+WITH names AS (SELECT CASE user_id % 10 WHEN 3 THEN chr(201) || 'va_' || (user_id // 40) WHEN 7 THEN 'eva_' || (user_id // 40) ELSE username END AS name FROM user_account),
+twice AS (SELECT post_id, user_id FROM post_like WHERE like_id % 9 = 0)
+SELECT 'user_account' AS table_name, 'username' AS key_name, min(name) AS key_value, count(*) AS dup_count
+FROM names GROUP BY lower(strip_accents(name)) HAVING count(*) > 1
+UNION ALL
+SELECT 'post_like', 'post_user', post_id || ',' || user_id, 2 FROM twice""")
+def dq_unique_import(c, r):
+    """DQ-3 over tables with repeated likes and names that differ in accents and case only."""
+    return Q.unique_violations(_broken(c))
+
+
+@query("dq_audit_import", """
+SELECT 'audit_log' AS table_name, 'operator_id->user_account' AS foreign_key, 'borrow_order' AS biz_type, order_id AS biz_id, applicant_user_id AS value
+FROM (SELECT order_id, CASE WHEN order_id % 37 = 0 THEN -order_id ELSE applicant_user_id END AS applicant_user_id, order_status, expected_return_time FROM borrow_order)
+WHERE order_status = 'borrowed' AND expected_return_time < TIMESTAMP '2024-01-20 00:00:00' AND applicant_user_id < 0""")
+def dq_audit_import(c, r):
+    """DQ-2 (28th key) over the audit rows of a sweep whose orders partly name applicants that don't exist."""
+    from quadflow.operators import settlement as S
+    from quadflow.sources.domain import AS_OF
+    odd = F.when(F.col("order_id") % 37 == 0, -F.col("order_id")).otherwise(F.col("applicant_user_id"))
+    before = c.borrow_order.withColumn("applicant_user_id", odd)
+    after, _ = S.overdue_sweep(before, c.penalty, c.student, ts_lit(AS_OF))
+    return Q.audit_key_violations(S.audit_orders(before, after, ts_lit(AS_OF)), c.user_account)
+
+
 # Forms with what users send: fields of blanks and tabs, nulls, too long texts,
 # numbers that are none, names that differ in accents only.
 

@@ -886,7 +886,5 @@ def dq_audit_foreign_key(c, r):
     for part in (audit_orders(c, r), audit_sweep(c, r), audit_returns(c, r), audit_reservations(c, r)):
         part = part.select("biz_type", "biz_id", "operator_id")
         rows = part if rows is None else rows.unionByName(part)
-    users = c.user_account.select(F.col("user_id").alias("operator_id"))
-    bad = rows.filter(F.col("operator_id").isNotNull()).join(users, "operator_id", "left_anti")
-    return bad.select(F.lit("audit_log").alias("table_name"), F.lit("operator_id->user_account").alias("foreign_key"),
-                      "biz_type", "biz_id", F.col("operator_id").alias("value"))
+    from quadflow.operators import quality
+    return quality.audit_key_violations(rows, c.user_account)

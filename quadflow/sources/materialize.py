@@ -24,8 +24,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quadflow.session import ensure_checkpoint_dir
+from quadflow.sources.schemas import TABLES
 from quadflow.sources.tables import read_if_written
 
 _COMMIT_SCHEMA = "table_name string, path string"
@@ -60,6 +62,15 @@ def _files_digest(spark: SparkSession, root: str) -> str:
     return _FILES[key]
 
 
+def _declared(reader, name: str):
+    """A reader with the table's declared schema; category tables also hold
+    the name that their source has for a category."""
+    if name not in TABLES:
+        return reader
+    extra = [T.StructField("_source_name", T.StringType())] if name.endswith("_category") else []
+    return reader.schema(T.StructType([*TABLES[name].fields, *extra]))
+
+
 class TableCache:
     def __init__(self, spark: SparkSession, source_root: str):
         self.spark = spark
@@ -91,5 +102,5 @@ class TableCache:
             self._known[name] = path
         key = (id(self.spark), path)
         if key not in _FRAMES:
-            _FRAMES[key] = self.spark.read.parquet(path)
+            _FRAMES[key] = _declared(self.spark.read, name).parquet(path)
         return _FRAMES[key]

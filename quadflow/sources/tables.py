@@ -7,20 +7,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadflow.sources.schemas import TABLES
+from quadflow.sources.schemas import SOURCES, TABLES
 
 
 def read_table(spark: SparkSession, root: str, name: str,
-               schema: T.StructType | None = None) -> DataFrame:
+               schema: T.StructType | str | None = None) -> DataFrame:
     """SRC-1: read a named parquet table with a declared schema.
 
     Supplying the schema skips footer inference; column pruning and filter
     pushdown still reach the parquet scan. ``spark.read.jdbc`` would give the
-    same DataFrame for a live database.
+    same DataFrame for a live database. Names without a declared schema are
+    read with the schema that the files give.
     """
     reader = spark.read
     if schema is None:
-        schema = TABLES.get(name)
+        schema = TABLES.get(name) or SOURCES.get(name)
     if schema is not None:
         reader = reader.schema(schema)
     return reader.parquet(f"{root.rstrip('/')}/{name}.parquet")

@@ -36,3 +36,11 @@ def test_filter_and_projection_pushdown(spark):
 def test_top_n_is_limited_map_side(spark):
     text = plan(Q["club_activity_perf"](spark, SF_SMALL))
     assert "WindowGroupLimit" in text and "Partial" in text
+
+
+def test_sources_and_stored_tables_are_read_with_declared_schemas(spark):
+    from quadflow.sources.domain import Campus
+    from quadflow.sources.schemas import SOURCES, TABLES
+    c = Campus(spark, SF_SMALL)
+    assert all(dict(c.raw(n).dtypes) == dict(f.split() for f in s.split(", ")) for n, s in SOURCES.items())
+    assert all(c.table(n).dtypes == [(f.name, f.dataType.simpleString()) for f in s.fields] for n, s in TABLES.items() if n != "audit_log")
