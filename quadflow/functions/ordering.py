@@ -82,18 +82,23 @@ def running_sums(df: DataFrame, key: str, order: list[str], sums: dict[str, Colu
     count nothing. A segmented scan: summed inside each sorted piece, after the
     sums of the earlier pieces that hold the key, so a hot key is summed by
     many tasks."""
+    return scan_sums(sorted_pieces(df, [key, *order], [key, *order], pieces), key, sums).drop(PIECE, PLACE)
+
+
+def scan_sums(rows: DataFrame, key: str, sums: dict[str, Column]) -> DataFrame:
+    """``running_sums`` over rows that already are in sorted pieces of the key
+    (and may have been shuffled since: their piece and place say the order)."""
     amounts = {f"_amount{i}": F.coalesce(c, F.lit(0)).cast("long") for i, c in enumerate(sums.values())}
-    rows = sorted_pieces(df.withColumns(amounts), [key, *order], [key, *order], pieces)
     part = [key, PIECE]
     inside = Window.partitionBy(*part).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumns({f"_in{i}": F.coalesce(F.sum(f"_amount{i}").over(inside), F.lit(0)) for i in range(len(sums))})
+    rows = rows.withColumns(amounts).withColumns({f"_in{i}": F.coalesce(F.sum(a).over(inside), F.lit(0)) for i, a in enumerate(amounts)})
     before = rows.groupBy(*part).agg(*[F.sum(a).alias(a) for a in amounts])
-    for i in range(len(sums)):
-        before = _prior(before, [key], PIECE, f"_amount{i}", f"_before{i}")
+    for i, a in enumerate(amounts):
+        before = _prior(before, [key], PIECE, a, f"_before{i}")
     before = before.select(*[F.col(c).alias(f"_off_{c}") for c in part], *[f"_before{i}" for i in range(len(sums))])
     out = rows.join(before, part_eq(rows, before, part, "_off_"))
     out = out.withColumns({name: F.col(f"_before{i}") + F.col(f"_in{i}") for i, name in enumerate(sums)})
-    return out.drop(*amounts, *[f"_in{i}" for i in range(len(sums))], PIECE, PLACE, *before.columns)
+    return out.drop(*amounts, *[f"_in{i}" for i in range(len(sums))], *before.columns)
 
 
 def running_count(df: DataFrame, key: str, order: list[str], flag: Column, name: str, pieces: int | None = None) -> DataFrame:

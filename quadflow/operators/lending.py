@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadflow.functions.ordering import PIECE, pieces_for, running_sums, sorted_pieces
-from quadflow.functions.scalar import collated, order_uid, strip
+from quadflow.functions.ordering import PIECE, pieces_for, scan_sums, sorted_pieces
+from quadflow.functions.scalar import order_uid, strip
 from quadflow.session import cut_lineage
 from quadflow.sources.tables import add_column_if_missing
 
@@ -182,13 +182,14 @@ def reserve_stock(requests: DataFrame, borrow_order: DataFrame, resource_item: D
     """
     spark = requests.sparkSession
     orders = backfill_order_uid(borrow_order)
-    named = orders.select(F.explode(F.array(F.concat(F.lit("i"), F.col("order_id").cast("string")), F.concat(F.lit("u"), "order_uid"))).alias("_ref"),
-                          "order_id", F.col("applicant_user_id").alias("_applicant")).withColumn("_key", collated("_ref")).drop("_ref")
+    # each row looks its order up once, by id or by uid; uids are ASCII, so the collation only ignores their case
+    named = orders.select(F.explode(F.array(F.concat(F.lit("i"), F.col("order_id").cast("string")), F.concat(F.lit("u"), F.upper("order_uid")))).alias("_key"),
+                          "order_id", F.col("applicant_user_id").alias("_applicant"))
     actors = viewers.select(F.col("user_id").alias("actor_user_id"), F.col("role").alias("_role"))
     by_id = _digits(F.col("order_ref"))
     ref = strip("order_ref")
-    key = F.when(by_id, F.concat(F.lit("i"), ref.try_cast("long").cast("string"))).otherwise(F.concat(F.lit("u"), ref))
-    x = (requests.withColumn("_key", collated(key)).join(named, "_key", "left").join(actors, "actor_user_id", "left")
+    key = F.when(by_id, F.concat(F.lit("i"), ref.try_cast("long").cast("string"))).otherwise(F.concat(F.lit("u"), F.upper(ref)))
+    x = (requests.withColumn("_key", key).join(named, "_key", "left").join(actors, "actor_user_id", "left")
          .join(resource_item.select("resource_id", "available_qty", F.lit(True).alias("_has_res")), "resource_id", "left"))
     form_ok = (F.coalesce(strip("order_ref") != "", F.lit(False)) & F.col("resource_id").isNotNull()
                & (F.col("resource_id") >= 0) & F.col("borrow_qty").isNotNull() & (F.col("borrow_qty") >= 0))
@@ -227,10 +228,10 @@ def _refused(needs: DataFrame, room: DataFrame) -> DataFrame:
     the longest chain of orders that wait for each other."""
     tight = (needs.groupBy("resource_id").agg(F.sum("_qty").alias("_all")).join(room, "resource_id")
              .filter(F.col("_all") > F.col("_room")).drop("_all"))
-    rows = cut_lineage(needs.join(tight, "resource_id").withColumn("_ok", F.lit(None).cast("boolean")))
+    order = ["resource_id", "ts", "request_id"]
+    rows = sorted_pieces(needs.join(tight, "resource_id").withColumn("_ok", F.lit(None).cast("boolean")), order, order)
     while not rows.filter("_ok is null").isEmpty():
-        rows = running_sums(rows, "resource_id", ["ts", "request_id"],
-                            {"_most": F.when(F.coalesce("_ok", F.lit(True)), F.col("_qty")), "_least": F.when(F.col("_ok"), F.col("_qty"))})
+        rows = scan_sums(rows, "resource_id", {"_most": F.when(F.coalesce("_ok", F.lit(True)), F.col("_qty")), "_least": F.when(F.col("_ok"), F.col("_qty"))})
         fits = F.min(F.col("_most") + F.col("_qty") <= F.col("_room"))
         fails = F.max(F.col("_least") + F.col("_qty") > F.col("_room"))
         told = rows.groupBy("order_id").agg(F.coalesce(F.max("_ok"), F.when(fails, False).when(fits, True)).alias("_ok"))
