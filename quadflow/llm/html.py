@@ -6,7 +6,7 @@ copies of a page being one; subtrees that recur across many of them are
 template and are deleted, the largest first, but nothing that holds an article
 or main element. Menus, headers, footers, sidebars, notices, adverts, forms and
 reader comments that differ from page to page are told by their element or by
-the words of their class, id and role. Inside an article or main element only
+whole names in their class, id and role, unless the article lies in them. Inside an article or main element only
 recurring boxes are template (BOXES, at most half of its text); paragraphs,
 headings, lists and tables are not, since passages and whole articles recur on
 a host's pages too. What is left is cut into blocks at block elements. Article
@@ -19,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +38,8 @@ INSIDE = b"\x01"  # ends the key of a subtree inside article or main
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes plaintext".split())
 HIDDEN = frozenset("head script style template noscript iframe object svg math canvas audio video map select option "
-                   "datalist textarea button form input label fieldset nav footer aside dialog menu noembed noframes title".split())
+                   "datalist textarea button input noembed noframes title".split())
+ASIDE = frozenset("form label fieldset nav footer aside dialog menu".split())  # dropped too, unless the article lies in them
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
                    "form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead "
                    "tr ul".split())
@@ -47,24 +49,30 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 BOXES = frozenset("div section header address center details hgroup dir".split())  # what may be template inside an article
 SCOPES = frozenset("table ul ol dl td th div section article main body html".split())
 
-# Words of class, id and role that mark what is not the article.
+# Words of class, id and role that mark what is not the article. A name such as
+# site-footer goes by its last word, one such as ad-slot by its first if that
+# is in FIRST, and names with a word of NOT say nothing. Inside an article,
+# words of SOFT are about the article itself.
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion "
                   "nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer header masthead topbar toolbar "
                   "comment comments disqus reply replies respond notice notices cookie cookies consent gdpr popup modal overlay "
                   "newsletter subscribe subscription signup login search share sharing social related recommended widget "
                   "pagination pager copyright legal disclaimer skip contentinfo complementary alert".split())
-WORD = re.compile(r"[a-z]+")
+FIRST = frozenset("ad ads adv advert adverts adsense breadcrumb comment comments cookie cookies gdpr nav navbar newsletter promo sidebar sponsor".split())
+NOT = frozenset("has have is no non not with without".split())
+SOFT = frozenset("alert contentinfo copyright disclaimer footer header legal masthead notice notices related search skip toolbar".split())
+WORD = re.compile(r"[^\W_]+")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|"
-                   r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+                   r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z)|[^\s\"'>][^\s>]*)?)*)(?:>|\Z)", re.S)
 MARKED = re.compile(r"""\b(class|id|role|aria-label|itemprop|hidden|style|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I | re.S)
 SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "marks", "kids", "hash", "size", "mark", "holds")
+    __slots__ = ("tag", "marks", "kids", "hash", "size", "mark", "holds", "all")
 
     def __init__(self, tag: str, marks: str = ""):
-        self.tag, self.marks, self.kids, self.hash, self.size, self.mark, self.holds = tag, marks, [], b"", 0, False, False
+        self.tag, self.marks, self.kids, self.hash, self.size, self.mark, self.holds, self.all = tag, marks, [], b"", 0, False, False, 0
 
 
 def parse(text: str) -> Node:
@@ -74,6 +82,16 @@ def parse(text: str) -> Node:
     stack = [root]
     at, n = 0, len(text)
     for_end = {}
+    open_, paragraphs, scopes = Counter(), [], [0]  # open elements by tag; places of p and of scopes in the stack
+
+    def close(k: int) -> None:
+        open_.subtract(x.tag for x in stack[k:])
+        del stack[k:]
+        while paragraphs and paragraphs[-1] >= k:
+            paragraphs.pop()
+        while scopes and scopes[-1] >= k:
+            scopes.pop()
+
     while at < n:
         m = TOKEN.search(text, at)
         if m is None:
@@ -86,22 +104,22 @@ def parse(text: str) -> Node:
             continue
         tag = m.group(2).lower()
         if m.group(1):
+            if open_[tag] <= 0:
+                continue
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
                 if tag not in BLOCKS and stack[k].tag in SCOPES:
                     break  # a stray inline end tag doesn't close blocks
             continue
-        if tag in CLOSES_P and any(x.tag == "p" for x in stack):
-            k = max(i for i, x in enumerate(stack) if x.tag == "p")
-            if not any(x.tag in SCOPES for x in stack[k + 1:]):
-                del stack[k:]
+        if tag in CLOSES_P and paragraphs and not (scopes and scopes[-1] > paragraphs[-1]):
+            close(paragraphs[-1])
         shut = CLOSED_BY.get(tag)
         if shut:
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag in shut:
-                    del stack[k:]
+                    close(k)
                     break
                 if stack[k].tag in SCOPES:
                     break
@@ -115,23 +133,58 @@ def parse(text: str) -> Node:
             node.kids.append(text[at:e.start()] if e else text[at:])
             at = e.end() if e else n
             continue
+        if tag == "p":
+            paragraphs.append(len(stack))
+        if tag in SCOPES:
+            scopes.append(len(stack))
+        open_[tag] += 1
         stack.append(node)
     return root
 
 
+def weigh(root: Node) -> list:
+    """Sets, of every element that can be seen, the size of its text and
+    whether it holds or is an article or main element with text, marks apart.
+    Returns the nodes, each after what holds it, with the outermost article or
+    main element around it."""
+    order, todo = [], [(root, None)]
+    while todo:
+        node, named = todo.pop()
+        order.append((node, named))
+        if node.tag not in HIDDEN:
+            inner = named or (node if node.tag in ("article", "main") else None)
+            todo += [(k, inner) for k in node.kids if isinstance(k, Node)]
+    for node, _ in reversed(order):
+        if node.tag not in HIDDEN:
+            for k in node.kids:
+                if isinstance(k, Node):
+                    node.all += k.all
+                    node.holds = node.holds or k.holds
+                else:
+                    node.all += sum(map(len, k.split()))
+            node.holds = node.holds or node.all > 0 and node.tag in ("article", "main")
+    return order
+
+
 def seal(root: Node) -> None:
     """Sets whether a subtree is marked, and of every other one the hash, the
     text size and whether it holds or is an article or main element with text,
-    all without the marked subtrees in it; without recursion."""
+    all without the marked subtrees in it; without recursion.
+
+    What holds an article is never marked, nor, on a page without one, what
+    holds three quarters of its text."""
+    for node, named in weigh(root):
+        spared = node.holds or not root.holds and 4 * node.all >= 3 * root.all > 0
+        node.mark = node.tag in HIDDEN or not spared and marked(node, named is not None)
     order, todo = [], [root]
     while todo:
         node = todo.pop()
-        node.mark = marked(node)
         if not node.mark:
             order.append(node)
             todo += [k for k in node.kids if isinstance(k, Node)]
     for node in reversed(order):
         h = hashlib.blake2b(node.tag.encode("utf-8", "replace"), digest_size=8)
+        node.holds = False
         for k in node.kids:
             if not isinstance(k, Node):
                 words = k.split()
@@ -147,17 +200,27 @@ def seal(root: Node) -> None:
         node.hash = h.digest()
 
 
-def marked(node: Node) -> bool:
+def says(name: str, inside: bool) -> bool:
+    """Whether one class, id or role name marks what is not the article."""
+    parts = WORD.findall(name)
+    if not parts or not NOT.isdisjoint(parts):
+        return False
+    if parts[-1] in MARKS and not (inside and parts[-1] in SOFT):
+        return True
+    return parts[0] in FIRST
+
+
+def marked(node: Node, inside: bool) -> bool:
     """Whether element, class, id, role or style say that a subtree is no
-    article text."""
-    if node.tag in HIDDEN:
+    article text; ``inside`` an article or main element its own words don't."""
+    if node.tag in ASIDE:
         return True
     if not node.marks or node.tag in ("body", "html", "main", "article"):
         return False
     for name, value in MARKED.findall(node.marks):
         name, value = name.lower(), value.strip("\"'").lower()
         if name in ("class", "id", "role", "aria-label", "itemprop"):
-            if not MARKS.isdisjoint(WORD.findall(value)):
+            if any(says(x, inside) for x in value.split()):
                 return True
         elif name == "hidden" and not value or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
@@ -217,7 +280,7 @@ def main_text(root: Node, templates) -> str:
             now.append(node)
             within = named is not None
             continue
-        if node.mark or (node.tag == "header" and named is None) or key_of(node, named) in templates:
+        if node.mark or (node.tag == "header" and named is None and not node.holds) or key_of(node, named) in templates:
             if node.tag in BLOCKS:
                 cut()
             continue
