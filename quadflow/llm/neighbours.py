@@ -29,7 +29,8 @@ SUBSTRING = 8  # bits
 WIDTH = 3  # bits that a substring may differ in, at first: radius 31
 BLOCK_ROWS = 8192
 QUERY_ROWS = 1024
-PAIRS = 2_000_000  # candidates held at a time
+PAIRS = 1_000_000  # candidates held at a time
+SCORED = 50_000  # and their vectors
 
 
 def learn(x: np.ndarray) -> dict:
@@ -106,7 +107,8 @@ def _nearest(vectors: np.ndarray, code: np.ndarray, query: np.ndarray, query_cod
                 enough[:] = True
             use = enough[q]
             mine, row = todo[q[use]], row[use]
-            score = np.einsum("ij,ij->i", vectors[row], query[mine]) / (norm[row] * query_norm[mine])
+            score = np.concatenate([np.zeros(0), *(np.einsum("ij,ij->i", vectors[row[a:a + SCORED]], query[mine[a:a + SCORED]])
+                                                   for a in range(0, len(row), SCORED))]) / (norm[row] * query_norm[mine])
             order = np.lexsort((row, -score, mine))
             mine, row, score = mine[order], row[order], score[order]
             first = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]]) if len(mine) else np.zeros(0, np.int64)
@@ -144,20 +146,27 @@ def search(vectors: DataFrame, is_query, ident: str = "vec_id", column: str = "e
     cosine, in double precision), nearest first, ties to the smaller vec_id.
 
     Null ids, and vectors that are null, empty, zero or hold null or
-    non-finite components, take no part; neither do vectors of another length
-    than the commonest. Equal vectors are searched once: of each distinct
-    vector the k + 1 smallest ids are kept, which no result can miss. Repeated
-    ids with one vector count once. Fewer than k others: all of them. The
-    rotation is learned from at most SAMPLE distinct vectors; every vector is
-    indexed."""
+    non-finite components, take no part. Vectors of one length are searched
+    among themselves, since others have no cosine with them; each length has
+    its own index. Equal vectors are searched once: of each distinct vector the
+    k + 1 smallest ids are kept, which no result can miss. Repeated ids with
+    one vector count once. Fewer than k others: all of them. The rotation is
+    learned from at most SAMPLE distinct vectors; every vector is indexed."""
     spark = vectors.sparkSession
     ok = (F.col("e").isNotNull() & F.col("id").isNotNull() & (F.size("e") > 0)
           & F.forall("e", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists("e", lambda v: v != 0))
     rows = vectors.select(F.col(ident).cast("long").alias("id"), F.col(column).cast("array<double>").alias("e")).filter(ok)
-    common = rows.groupBy(F.size("e").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not common:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    rows = rows.filter(F.size("e") == common[0]["d"])
+    lengths = sorted(r["d"] for r in rows.select(F.size("e").alias("d")).distinct().collect())
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for d in lengths:
+        found = _search(rows.filter(F.size("e") == d) if len(lengths) > 1 else rows, is_query, k)
+        out = found if d == lengths[0] else out.unionByName(found)
+    return out
+
+
+def _search(rows: DataFrame, is_query, k: int) -> DataFrame:
+    """``search`` among vectors (id, e) of one length."""
+    spark = rows.sparkSession
     # each distinct vector with its k + 1 smallest ids; its queries are kept apart. Two steps, so that one vector's many ids are thinned out first.
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))).groupBy("e", "salt").agg(F.array_sort(F.collect_set("id")).alias("ids"))
     distinct = (salted.groupBy("e").agg(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.slice("ids", 1, k + 1))))), 1, k + 1).alias("members"))

@@ -533,3 +533,48 @@ def test_arrow_slices_keep_all_rows():
     parts = list(text_slices(batch, "t", 10))
     assert [p.column("a").to_pylist() for p, _, _ in parts] == [[1, 2], [3], [4]] or sum((p.column("a").to_pylist() for p, _, _ in parts), []) == [1, 2, 3, 4]
     assert b"".join(bytes(d) for _, d, _ in parts) == b"xx" + b"y" * 50
+
+
+@pytest.mark.parametrize("page, want", [
+    ('<div class="content has-sidebar"><article><p>Body text.</p></article></div>', "Body text."),
+    ('<div id="page-no-header"><article><p>Body text.</p></article></div>', "Body text."),
+    ('<article><div class="article-header"><h1>Head</h1></div><p>Body text.</p></article>', "Head Body text."),
+    ('<article><p>Body text.</p><section class="legal"><p>The law.</p></section><div class="share-price">3.20</div></article>', "Body text. The law. 3.20"),
+    ('<form id=aspnetForm><div class=nav>Home</div><article><p>Body text.</p></article></form>', "Body text."),
+    ("<article><p data-x=it's>Body text.</p><p title='a>b'>More.</p></article>", "Body text. More."),
+    ('<header><nav>Menu</nav><main><p>Body text.</p></main></header>', "Body text."),
+    ('<div class="site-footer">Foot</div><div class="ad-slot">Buy</div><article><p>Body text.</p><div class="ad">Buy</div></article>'
+     '<div class="comments">A reader says a lot more than the article itself does.</div>', "Body text."),
+    ('<form class="search"><input>Find</form><div class="wrap"><p>Body text that is nearly all there is on this page.</p></div>', "Body text that is nearly all there is on this page."),
+    ('<div class="sidebar-layout legal"><p>Body text.</p></div>', "Body text."),
+])
+def test_html_names_and_wrappers(page, want):
+    """Names are read whole, what holds the article stays, values may hold quotes."""
+    root = html.parse(page)
+    html.seal(root)
+    assert html.main_text(root, frozenset()) == want
+
+
+def test_html_deep_nesting_is_linear():
+    import time
+    for deep in ("<div>", "<p><b>", "<span></div>"):
+        start = time.time()
+        root = html.parse(deep * 60_000 + "end")
+        html.seal(root)
+        assert html.main_text(root, frozenset()) == "end" and time.time() - start < 20
+
+
+def test_neighbours_of_several_lengths(spark):
+    """Vectors of a rarer length are searched too, among themselves."""
+    rnd = np.random.default_rng(3)
+    rows = [(i, rnd.normal(size=8 if i % 7 else 5).tolist()) for i in range(400)] + [(1000, [1.0, 2.0])]
+    got = {}
+    for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 50 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    every = {i: np.array(v) for i, v in rows}
+    found = total = 0
+    for q in [i for i in every if i % 50 == 0 and i != 1000]:
+        near = sorted((-float(every[q] @ v / np.linalg.norm(every[q]) / np.linalg.norm(v)), i) for i, v in every.items() if i != q and len(v) == len(every[q]))[:5]
+        found += len({i for _, i, _ in got[q]} & {i for _, i in near})
+        total += 5
+    assert found >= 0.9 * total and 1000 not in got and any(q % 7 == 0 for q in got)
