@@ -417,13 +417,13 @@ def _sorted(conversations: DataFrame, piece_bytes: int) -> DataFrame:
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"))
     size = rows.agg(F.sum(F.octet_length("text") + F.octet_length("role") + 48)).first()[0] or 0
     pieces = max(math.ceil(size / piece_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    groups = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies"))
-    groups = groups.withColumn("digest", F.unhex(F.sha2("text", 256)))
+    groups = rows.groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("copies")).withColumn("digest", F.unhex(F.sha2("text", 256)))
     order = F.struct(F.col("turn").isNotNull(), "turn")
-    said = groups.groupBy(F.col("conv_id").alias("c"), F.col("role").alias("r"), F.col("digest").alias("d")).agg(
-        F.min(order).alias("earliest"), F.count("*").alias("n")).filter("n > 1")
+    # what is said at several turns, without its text
+    said = rows.groupBy(F.col("conv_id").alias("c"), F.col("role").alias("r"), F.unhex(F.sha2("text", 256)).alias("d")).agg(
+        F.min(order).alias("earliest"), F.max(order).alias("latest")).filter("earliest <> latest").drop("latest")
     marked = groups.join(said, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("role") == F.col("r")) & (F.col("digest") == F.col("d")), "left")
-    fault = (F.when(~F.col("text").rlike("[^\\x20\\x09-\\x0D]"), BLANK).when(F.col("n").isNotNull() & (order != F.col("earliest")), DUPLICATE)
+    fault = (F.when(~F.col("text").rlike("[^\\x20\\x09-\\x0D]"), BLANK).when(F.col("earliest").isNotNull() & ~order.eqNullSafe(F.col("earliest")), DUPLICATE)
              .when(~F.col("text").rlike("[.!?][\\x20\\x09-\\x0D]*\\z"), SHORT).otherwise(NONE))
     slim = marked.select("conv_id", "turn", "role", "text", "copies", F.substring("role", 1, 1).alias("initial"), fault.alias("fault"))
     return sorted_pieces(slim, ["conv_id", "turn", F.substring("role", 1, PREFIX), F.substring("text", 1, PREFIX)], ["conv_id", "turn", "role", "text"], pieces)

@@ -498,7 +498,7 @@ def test_pipeline_decides_on_rows_not_ids(spark, tmp_path):
 
     def rows(*pairs):
         return spark.createDataFrame([(i, t) for i, t in pairs], "doc_id long, text string").select(
-            *[F.col(c) if c in ("doc_id", "text") else F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns]).localCheckpoint()
+            *[F.col(c) if c in ("doc_id", "text") else F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns]).checkpoint()
 
     def texts(name, df):
         out = dict(corpus_pipeline.STAGES)[name](spark, df, SF_SMALL)
