@@ -77,7 +77,7 @@ def admit_registrations(requests: DataFrame, activity: DataFrame, student: DataF
     x = x.withColumn("reason", reason)
 
     admitted = x.filter(F.col("reason").isNull())
-    ranked = ordinal(admitted, ["activity_id"], [F.col("ts"), F.col("request_id")], time_bucket("ts"), "_rank")
+    ranked = running_count(admitted, "activity_id", ["ts", "request_id"], F.lit(True), "_rank").withColumn("_rank", F.col("_rank") + 1)
     counts = relevant.groupBy("activity_id").agg(
         F.count(F.when(F.col("reg_status") == "confirmed", 1)).alias("_confirmed"),
         F.max(F.when(F.col("reg_status") == "waiting", F.col("queue_no"))).alias("_max_q"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadflow.functions.ordering import numbered, ordinal, time_bucket
+from quadflow.functions.ordering import numbered, running_count
 from quadflow.functions.scalar import json_of, strip, ts_text
 from quadflow.operators.folds import clamped_fold
 from quadflow.operators.listings import can_manage
@@ -239,11 +239,11 @@ def status_changes(requests: DataFrame, activity: DataFrame, viewers: DataFrame)
     its final status.
 
     The previous step is found without a per-activity window: accepted steps
-    get a skew-safe ordinal n per activity, and step n is equi-joined to step
+    are counted per activity over sorted pieces, and step n is equi-joined to step
     n - 1 on (activity, n), a key that is unique, so a hot activity spreads
     over many tasks."""
     ok = permitted_changes(requests, activity, viewers)
-    steps = ordinal(ok, ["activity_id"], [F.col("ts"), F.col("request_id")], time_bucket("ts"), "_n")
+    steps = running_count(ok, "activity_id", ["ts", "request_id"], F.lit(True), "_n")
     prev = steps.select("activity_id", (F.col("_n") + 1).alias("_n"), F.col("status").alias("_prev"))
     joined = steps.join(prev, ["activity_id", "_n"], "left")
     return joined.select("request_id", "ts", "activity_id",

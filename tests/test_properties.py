@@ -415,3 +415,38 @@ def test_returns_are_all_or_nothing(spark):
     assert {r.request_id: r.outcome for r in out.collect()} == want
     assert {r.resource_id: r.available_qty for r in stock.collect()} == avail
     assert list(want.values()).count("db_error") > 20 and list(want.values()).count("returned") > 20
+
+
+def test_a_rush_on_one_activity_in_one_minute(spark):
+    """Most sign-ups are for one activity and of one second: seats and queue
+    numbers are the serial ones."""
+    from quadflow.operators.admission import admit_registrations
+    rnd = random.Random(47)
+    T = "timestamp_ntz"
+    reqs = [(i, T0 if rnd.random() < .9 else _ts(rnd.randint(1, 50)), 1 if rnd.random() < .8 else rnd.randint(2, 4), rnd.randint(0, 700)) for i in range(2000)]
+    out = admit_registrations(
+        spark.createDataFrame(reqs, f"request_id long, ts {T}, activity_id long, student_id long"),
+        spark.createDataFrame([(a, "published", _ts(30), 150 * a, "general") for a in (1, 2, 3)], f"activity_id long, status string, signup_deadline {T}, max_capacity int, category string"),
+        spark.createDataFrame([(s, 100) for s in range(690)], "student_id long, credit_score int"),
+        spark.createDataFrame([(1, 1, 700, "waiting", 7)], "reg_id long, activity_id long, student_id long, reg_status string, queue_no int"))
+    got = {r.request_id: (r.outcome, r.queue_no, r.reg_id) for r in out.collect()}
+    seen, taken, queue, nxt, want = {(1, 700)}, {}, {1: 7}, 1, {}
+    for rid, ts, a, s in sorted(reqs, key=lambda r: (r[1], r[0])):
+        if a == 4:
+            want[rid] = ("missing", None, None)
+        elif ts > _ts(30):
+            want[rid] = ("deadline_passed", None, None)
+        elif (a, s) in seen:
+            want[rid] = ("duplicate", None, None)
+        elif s >= 690:
+            want[rid] = ("unknown_student", None, None)
+        else:
+            seen.add((a, s))
+            nxt += 1
+            taken[a] = taken.get(a, 0) + 1
+            if taken[a] <= 150 * a:
+                want[rid] = ("confirmed", None, nxt)
+            else:
+                queue[a] = queue.get(a, 0) + 1
+                want[rid] = ("waiting", queue[a], nxt)
+    assert got == want
