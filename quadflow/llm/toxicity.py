@@ -1,12 +1,16 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over block-max
 inverted indexes, distance-weighted votes, calibrated scores and evidence.
 
-Terms are words and word beginnings. The vocabulary is chosen on the labelled
-rows: the terms that tell label 1. An example is a labelled text's
-unit-length TF-IDF vector over that vocabulary. The index keeps, per term, the
-examples that hold it in blocks of falling weight with each block's largest
-weight; a block is skipped once no example in it can still reach the nearest
-found, so the result is that of an exhaustive search.
+Terms are words and word beginnings. Every labelled text of a bounded sample is
+an example with all its terms. Its vector has unit length; the terms that tell
+label 1 (chosen on the sample) are weighted up to a fixed share of it, so that
+a cosine is a weighted sum of those over telling and over other terms. The
+index keeps, per term, the examples that hold it in blocks of falling weight
+with each block's largest weight. Blocks are taken by falling bound until no
+example not met can reach the nearest found; what may still be among them gets
+its exact cosine, so the result is that of an exhaustive search. A logistic
+curve, fitted on votes for examples left out of the search, turns votes into
+scores.
 """
 
 from __future__ import annotations
@@ -22,10 +26,13 @@ from quadflow.llm.arrow import text_slices, utf8
 from quadflow.llm.sample import fold, labelled
 from quadflow.llm.words import LOWER, U, mix, powers, words, BASE, BASE_INVERSE
 
-PER_LABEL = 4000  # labelled documents indexed per class, at most
-VOCABULARY = 2000  # terms kept, at most
-MIN_DOCS = 4  # labelled documents that hold a kept term, at least
-LIFT = 8  # a kept term is so many times as frequent in label 1, at least
+PER_LABEL = 1500  # labelled documents indexed per class, at most
+CALIBRATED = 300  # of them left out one by one for the calibration curve
+TELLING = 2000  # telling terms, at most; all others are indexed too
+TELLING_SHARE = 0.9  # of a vector's squared length
+MIN_DOCS = 4  # label-1 texts that hold a telling term, at least
+LIFT = 8  # a telling term is so many times as frequent in label 1, at least
+SLACK = 1e-5  # over the rounding of the index's single-precision weights
 NEIGHBOURS = 15
 BLOCK = 64
 BEGINNINGS = (4, 5, 6)  # letters; bytes of UTF-8
@@ -66,75 +73,126 @@ def terms(data: np.ndarray, offsets: np.ndarray):
 
 
 class Index:
-    """Block-max inverted index over unit-length example vectors."""
-
-    def __init__(self, vocabulary: np.ndarray, idf: np.ndarray, vectors, labels: np.ndarray, ids: list, prior: float):
-        self.vocabulary, self.idf, self.labels, self.ids, self.prior = vocabulary, idf, labels, ids, prior
-        self.empty = float(prior)
-        postings: dict[int, list] = {}
-        for e, (t, w) in enumerate(vectors):
-            for term, weight in zip(t.tolist(), w.tolist()):
-                postings.setdefault(term, []).append((-weight, e))
-        self.postings = {}
-        for term, own in postings.items():
-            own.sort()
-            example = np.array([e for _, e in own], np.int64)
-            weight = np.array([-w for w, _ in own])
-            self.postings[term] = (example, weight, weight[::BLOCK])
-        self.vectors = [dict(zip(t.tolist(), w.tolist())) for t, w in vectors]
+    """Block-max inverted index over unit-length example vectors, given as
+    (term, weight) lists one after the other with their bounds ``at``."""
+
+    def __init__(self, model: dict):
+        self.at, self.term, self.weight = model["at"], model["term"], model["weight"]
+        self.labels, self.ids = model["labels"], model["ids"]
+        n_terms = len(model["vocabulary"])
+        owner = np.repeat(np.arange(len(self.at) - 1, dtype=np.int32), np.diff(self.at))
+        order = np.lexsort((owner, -self.weight, self.term))  # each term's examples, heaviest first
+        self.example, self.impact = owner[order], self.weight[order].astype(np.float32)
+        size = np.bincount(self.term, minlength=n_terms)
+        blocks = -(-size // BLOCK)
+        self.first = np.r_[0, np.cumsum(blocks)]  # blocks of each term
+        inside = spread(np.zeros(n_terms, np.int64), blocks)
+        self.start = np.repeat(np.r_[0, np.cumsum(size)][:-1], blocks) + inside * BLOCK
+        self.length = np.minimum(BLOCK, np.repeat(size, blocks) - inside * BLOCK)
+        self.top = self.impact[self.start].astype(float) * (1 + 1e-6)
+        self.query = np.zeros(n_terms)
 
     def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int = -1):
         """The k examples of largest cosine above 0, ties to the smaller
         example number: [(cosine, example)]."""
-        lists = [(w, *self.postings[t]) for t, w in zip(term.tolist(), weight.tolist()) if t in self.postings]
-        if not lists:
+        n = len(self.at) - 1
+        count = self.first[term + 1] - self.first[term]
+        if not count.sum():
             return []
-        query = dict(zip(term.tolist(), weight.tolist()))
-        at = [0] * len(lists)  # next block of each term
-        scored: dict[int, float] = {}
-        best: list[float] = []
-        floor = 0.0
+        block, q = spread(self.first[term], count), np.repeat(weight, count)
+        bound = q * self.top[block]
+        after = np.r_[bound[1:], 0.0]  # the bound that stays when a block is done
+        ends = np.cumsum(count)
+        after[ends - 1] = 0.0
+        order = np.argsort(-bound, kind="stable")
+        left = bound[ends - count].sum() - np.cumsum((bound - after)[order])
+        total, done, step = np.zeros(n), 0, 256
         while True:
-            bound = [w * block[b] if b < len(block) else 0.0 for (w, _, _, block), b in zip(lists, at)]
-            if sum(bound) < floor - 1e-12 or not any(bound):
-                break  # an example not met yet stays under every block's maximum
-            i = int(np.argmax(bound))
-            _, example, _, _ = lists[i]
-            for e in example[at[i] * BLOCK:(at[i] + 1) * BLOCK].tolist():
-                if e not in scored and e != skip:
-                    own = self.vectors[e]
-                    small, large = (own, query) if len(own) < len(query) else (query, own)
-                    scored[e] = sum(v * large[t] for t, v in small.items() if t in large)
-            at[i] += 1
-            if len(scored) >= k:
-                best = sorted(scored.values(), reverse=True)[:k]
-                floor = best[-1]
-        return sorted(((round(c, 12), e) for e, c in scored.items()), key=lambda x: (-x[0], x[1]))[:k]
+            take = order[done:done + step]
+            own = self.length[block[take]]
+            post = spread(self.start[block[take]], own)
+            total += np.bincount(self.example[post], self.impact[post] * np.repeat(q[take], own), minlength=n)
+            if skip >= 0:
+                total[skip] = 0.0
+            done += len(take)
+            rest = max(0.0, float(left[done - 1])) + SLACK
+            floor = np.partition(total, n - k)[n - k] if n > k else 0.0
+            near = np.flatnonzero((total > 0) & (total + rest >= floor))
+            if done == len(order) or rest < floor and len(near) <= 4 * k:
+                break  # an example not met yet stays under the sum of the next blocks' bounds
+            step *= 2
+        if not len(near):
+            return []
+        self.query[term] = weight
+        sizes = self.at[near + 1] - self.at[near]
+        post = spread(self.at[near], sizes)
+        cosine = np.round(np.add.reduceat(self.weight[post] * self.query[self.term[post]], np.cumsum(sizes) - sizes), 12)
+        self.query[term] = 0.0
+        best = np.lexsort((near, -cosine))[:k]
+        return [(float(cosine[i]), int(near[i])) for i in best if cosine[i] > 0]
 
     def vote(self, near) -> float:
-        """Weighted share of label 1 among the nearest; a text without a
-        known term gets the score of such texts among the examples."""
-        if not near:
-            return self.empty
+        """Share of label 1 among the nearest, weighted by squared cosine."""
         weight = np.array([c ** 2 for c, _ in near]) + 1e-9
-        toxic = np.array([self.labels[e] for _, e in near], float)
-        return min(1.0, float((weight @ toxic) / weight.sum()))
+        return min(1.0, float((weight @ np.array([self.labels[e] for _, e in near], float)) / weight.sum()))
+
+
+def spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges start .. start + length, one after the other."""
+    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(length.sum())
+
+
+def calibrated(model: dict, near, index: Index) -> float:
+    """Score of a text by its nearest examples."""
+    if not near:
+        return model["prior"]
+    slope, shift = model["curve"]
+    return float(1 / (1 + np.exp(-np.clip(slope * index.vote(near) + shift, -30, 30)))) if slope else index.vote(near)
+
+
+def curve(votes: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
+    """Slope and shift of the logistic curve from votes to the chance of label
+    1, the classes weighted to ``share``, targets drawn in by one count of
+    each class, by Newton's steps. (0, 0): votes stand as they are, as they do
+    where a label is missing or larger votes don't go with label 1."""
+    n1, n0 = int(y.sum()), int((1 - y).sum())
+    if not n1 or not n0:
+        return 0.0, 0.0
+    target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    weight = np.where(y == 1, share / n1, (1 - share) / n0) * len(y)
+    x, b = np.stack([votes, np.ones(len(y))], 1), np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
+        grad = x.T @ (weight * (p - target)) + 1e-3 * b
+        step = np.linalg.solve((x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 1e-3 * np.eye(2), grad)
+        b -= step * min(1.0, 4.0 / max(1e-12, np.abs(step).max()))
+        if np.abs(step).max() < 1e-9:
+            break
+    return (float(b[0]), float(b[1])) if b[0] > 0 else (0.0, 0.0)
+
+
+def _weights(term: np.ndarray, owner: np.ndarray, count: np.ndarray, n: int, idf: np.ndarray, telling: np.ndarray) -> np.ndarray:
+    """TF-IDF weights of n texts' terms, each text's of unit length: the
+    telling terms make up TELLING_SHARE of the squared length and the others
+    the rest; a text without either has the whole length in the other."""
+    w, tells = (1 + np.log(count)) * idf[term], telling[term]
+    part = owner * 2 + tells
+    square = np.bincount(part, w * w, minlength=2 * n)
+    share = np.where(np.arange(2 * n) % 2 == 1, TELLING_SHARE, 1 - TELLING_SHARE)
+    share[(square.reshape(n, 2)[:, ::-1].ravel()) == 0] = 1.0
+    return w * np.sqrt(share / np.where(square > 0, square, 1))[part]
 
 
-def _vectors(h: np.ndarray, text: np.ndarray, n: int, vocabulary: np.ndarray, idf: np.ndarray):
-    """(term numbers, unit-length weights) of each of n texts."""
-    at = np.searchsorted(vocabulary, h)
-    at[at == len(vocabulary)] = 0
+def _vectors(h: np.ndarray, text: np.ndarray, n: int, model: dict):
+    """(term numbers, weights) of each of n texts, over the sample's terms."""
+    vocabulary, size = model["vocabulary"], max(1, len(model["vocabulary"]))
+    at = np.minimum(np.searchsorted(vocabulary, h), size - 1)
     hit = vocabulary[at] == h if len(vocabulary) else np.zeros(len(h), bool)
-    key, count = np.unique(text[hit] * max(1, len(vocabulary)) + at[hit], return_counts=True)
-    owner, term = np.divmod(key, max(1, len(vocabulary)))
-    weight = (1 + np.log(count)) * idf[term]
+    key, count = np.unique(text[hit] * size + at[hit], return_counts=True)
+    owner, term = np.divmod(key, size)
+    weight = _weights(term, owner, count, n, model["idf"], model["telling"])
     cuts = np.searchsorted(owner, np.arange(n + 1))
-    out = []
-    for i in range(n):
-        w = weight[cuts[i]:cuts[i + 1]]
-        out.append((term[cuts[i]:cuts[i + 1]], w / np.sqrt(w @ w) if len(w) else w))
-    return out
+    return [(term[a:b], weight[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
 def _telling(names, df, y, rows) -> np.ndarray:
@@ -151,7 +209,7 @@ def _telling(names, df, y, rows) -> np.ndarray:
     cuts = np.searchsorted(np.concatenate(toxic)[order], np.arange(len(names) + 1)) if toxic else np.zeros(len(names) + 1, np.int64)
     covered = np.zeros(len(toxic), bool)
     chosen = []
-    while len(chosen) < VOCABULARY:
+    while len(chosen) < TELLING:
         expected = clean * max(1, n1)
         gain = np.where((left >= MIN_DOCS) & (df1 >= LIFT * expected), (left - expected) / np.sqrt(expected + 1), 0)
         best = int(gain.argmax()) if len(gain) else 0
@@ -165,42 +223,43 @@ def _telling(names, df, y, rows) -> np.ndarray:
     return np.sort(np.array(chosen, np.int64))
 
 
-def fit(ids: list, y: np.ndarray, flat: np.ndarray, times: np.ndarray, offsets: np.ndarray) -> dict:
-    """Vocabulary, example vectors and calibration from each labelled text's
-    distinct term hashes and their counts, all texts in one array. Terms of
-    fewer than MIN_DOCS texts are dropped first."""
-    n, n1 = len(y), int(y.sum())
-    in_order = np.sort(flat)
-    start = np.flatnonzero(np.r_[True, in_order[1:] != in_order[:-1]]) if len(flat) else np.zeros(0, np.int64)
-    df = np.diff(np.r_[start, len(flat)])
-    names, df = in_order[start[df >= MIN_DOCS]], df[df >= MIN_DOCS]
-    del in_order, start
-    rows, counts = [], []
-    for a, b in zip(offsets, offsets[1:]):
-        own = flat[a:b]
-        at = np.minimum(np.searchsorted(names, own), max(0, len(names) - 1))
-        hit = names[at] == own if len(names) else np.zeros(len(own), bool)
-        rows.append(at[hit].astype(np.int32))
-        counts.append(times[a:b][hit])
-    use = _telling(names, df, y, rows) if len(names) else np.zeros(0, np.int64)
-    vocabulary, idf = names[use], np.log((1 + n) / (1 + df[use])) + 1
-    place = np.full(len(names), -1, np.int32)
-    place[use] = np.arange(len(use))
-    vectors = []
-    for own, c in zip(rows, counts):
-        term = place[own]
-        w = (1 + np.log(c[term >= 0])) * idf[term[term >= 0]]
-        order = np.argsort(term[term >= 0])
-        vectors.append((term[term >= 0][order].astype(np.int64), (w / np.sqrt(w @ w) if len(w) else w)[order]))
-    empty = np.array([len(t) == 0 for t, _ in vectors], bool)
-    return {"vocabulary": vocabulary, "idf": idf, "vectors": [v for v, e in zip(vectors, empty) if not e],
-            "labels": y[~empty], "ids": [i for i, e in zip(ids, empty) if not e],
-            "prior": float(y[empty].mean()) if empty.any() else (n1 / n if n else 0.0)}
-
-
-def train(rows: DataFrame) -> dict:
+def fit(ids: list, y: np.ndarray, flat: np.ndarray, times: np.ndarray, offsets: np.ndarray, share: float | None = None) -> dict:
+    """The model from each labelled text's distinct term hashes and their
+    counts, all texts in one array: every text is an example with all its
+    terms. ``share`` is that of label 1 among all labelled rows (by default
+    the sample's)."""
+    n = len(y)
+    share = (float(y.mean()) if n else 0.0) if share is None else share
+    names, number = np.unique(flat, return_inverse=True)
+    df = np.bincount(number, minlength=len(names))
+    owner = np.repeat(np.arange(n), np.diff(offsets))
+    often = np.flatnonzero(df >= MIN_DOCS)  # others can't be telling
+    place = np.full(len(names), -1, np.int64)
+    place[often] = np.arange(len(often))
+    rows = [place[number[a:b]] for a, b in zip(offsets, offsets[1:])]
+    use = _telling(often, df[often], y, [r[r >= 0] for r in rows]) if len(often) else np.zeros(0, np.int64)
+    telling = np.zeros(len(names), bool)
+    telling[often[use]] = True
+    idf = np.log((1 + n) / (1 + df)) + 0.1
+    weight = _weights(number, owner, times, n, idf, telling)
+    plain = np.bincount(owner, telling[number], minlength=n) == 0
+    odds = np.where(y == 1, share / max(1, int(y.sum())), (1 - share) / max(1, int((1 - y).sum())))
+    model = {"vocabulary": names, "idf": idf, "telling": telling, "at": np.asarray(offsets, np.int64), "term": number.astype(np.int32), "weight": weight,
+             "labels": y, "ids": ids, "prior": float((odds * y)[plain].sum() / odds[plain].sum()) if odds[plain].sum() > 0 else share, "curve": (0.0, 0.0)}
+    index, votes, own = Index(model), [], []
+    for label in (0, 1):
+        every = np.flatnonzero(y == label)
+        for e in every[np.unique(np.linspace(0, len(every) - 1, CALIBRATED).astype(int))] if len(every) else ():
+            part = slice(offsets[e], offsets[e + 1])
+            if near := index.nearest(number[part], weight[part], NEIGHBOURS, skip=e):
+                votes.append(index.vote(near))
+                own.append(label)
+    return model | {"curve": curve(np.array(votes), np.array(own, np.int64), share)}
+
+
+def train(rows: DataFrame, share: float | None = None) -> dict:
     """Fits on rows of (doc_id, text, label), a bounded sample such as
-    ``sample.labelled`` draws."""
+    ``sample.labelled`` draws. ``share``: see ``fit``."""
     rows = rows.select(F.col("doc_id").alias("__id"), F.col("text").alias("__text"), F.col("label").alias("__label"))
 
     def run(batches):
@@ -219,15 +278,15 @@ def train(rows: DataFrame) -> dict:
     terms_, counts = (got.column(c).combine_chunks().take(order) for c in ("terms", "counts"))
     raw, at = utf8(terms_)
     return fit(got.column("id").take(order).to_pylist(), np.array(got.column("label").take(order).to_pylist(), np.int64),
-               raw.view(U), utf8(counts)[0].view("<i4"), at // 8)
+               raw.view(U), utf8(counts)[0].view("<i4"), at // 8, share)
 
 
 def score(docs: DataFrame, text: str, model: dict, out: str = "score", evidence: str = "evidence", whole: bool = False) -> DataFrame:
     """Adds the score of each whole text (0 to 1) and its evidence, the ids of
     its nearest examples, nearest first.
 
-    Null and empty texts, and texts without a term of the vocabulary, have no
-    neighbours and get the share of label 1 among the examples without one.
+    Null and empty texts, and texts without a term of any example, have no
+    neighbours and get the share of label 1 among texts without telling terms.
     Every row is kept; the text column is dropped unless ``whole`` is set,
     others pass through; columns named ``out`` or ``evidence`` are replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -237,23 +296,15 @@ def score(docs: DataFrame, text: str, model: dict, out: str = "score", evidence:
 
     def run(batches):
         m = shared.value
-        index = Index(m["vocabulary"], m["idf"], m["vectors"], m["labels"], m["ids"], m["prior"])
-        known: dict[bytes, tuple] = {}  # answers by query vector
+        index = Index(m)
         for batch in batches:
             for part, data, off in text_slices(batch, "__text"):
                 h, owner = terms(data, off)
                 values, near_ids = [], []
-                for t, w in _vectors(h, owner, part.num_rows, index.vocabulary, index.idf):
-                    key = t.tobytes() + w.tobytes()
-                    got = known.get(key)
-                    if got is None:
-                        near = index.nearest(t, w, NEIGHBOURS)
-                        got = (index.vote(near), [index.ids[e] for _, e in near])
-                        if len(known) >= 100_000:
-                            known.clear()
-                        known[key] = got
-                    values.append(got[0])
-                    near_ids.append(got[1])
+                for t, w in _vectors(h, owner, part.num_rows, m):
+                    near = index.nearest(t, w, NEIGHBOURS)
+                    values.append(calibrated(m, near, index))
+                    near_ids.append([index.ids[e] for _, e in near])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep + back), pa.array(values, pa.float64()), pa.array(near_ids, pa.list_(pa.int64()))], names=schema.names)
 
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema).withColumnRenamed("__text", text)
@@ -261,7 +312,9 @@ def score(docs: DataFrame, text: str, model: dict, out: str = "score", evidence:
 
 def fitted(documents: DataFrame, labels: DataFrame, held_out: int = 2, folds: int = 4) -> dict:
     """The model learned from the documents outside the held-out fold."""
-    return train(labelled(documents, labels.filter(fold("doc_id", folds) != held_out), "toxic", PER_LABEL))
+    known = labels.filter(fold("doc_id", folds) != held_out)
+    share = known.filter(F.col("toxic").isin(0, 1)).agg(F.avg("toxic")).first()[0]
+    return train(labelled(documents, known, "toxic", PER_LABEL), share)
 
 
 def accepted(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -435,7 +435,8 @@ def test_block_max_search_equals_an_exhaustive_one():
         t = np.sort(rnd.choice(40, rnd.integers(1, 6), replace=False))
         w = rnd.random(len(t)) + 0.01
         vectors.append((t, w / np.sqrt(w @ w)))
-    index = toxicity.Index(np.arange(40, dtype=np.uint64), np.ones(40), vectors, rnd.integers(0, 2, 700), list(range(700)), 0.1)
+    index = toxicity.Index({"vocabulary": np.arange(40, dtype=np.uint64), "at": np.cumsum([0] + [len(t) for t, _ in vectors]), "labels": rnd.integers(0, 2, 700),
+                            "term": np.concatenate([t for t, _ in vectors]), "weight": np.concatenate([w for _, w in vectors]), "ids": list(range(700))})
     dense = np.zeros((700, 40))
     for e, (t, w) in enumerate(vectors):
         dense[e, t] = w
