@@ -6,11 +6,12 @@ an example with all its terms. Its vector has unit length; the terms that tell
 label 1 (chosen on the sample) are weighted up to a fixed share of it, so that
 a cosine is a weighted sum of those over telling and over other terms. The
 index keeps, per term, the examples that hold it in blocks of falling weight
-with each block's largest weight. Blocks are taken by falling bound until no
-example not met can reach the nearest found; what may still be among them gets
-its exact cosine, so the result is that of an exhaustive search. A logistic
-curve, fitted on votes for examples left out of the search, turns votes into
-scores.
+with each block's largest weight; the lists of frequent terms are rows with a
+place per example and come first, in one product for many texts. Blocks are
+taken by falling bound until no example not met can reach the nearest found;
+what may still be among them gets its exact cosine, so the result is that of an
+exhaustive search. A logistic curve, fitted on votes for examples left out of
+the search, turns votes into scores.
 """
 
 from __future__ import annotations
@@ -32,9 +33,11 @@ TELLING = 2000  # telling terms, at most; all others are indexed too
 TELLING_SHARE = 0.9  # of a vector's squared length
 MIN_DOCS = 4  # label-1 texts that hold a telling term, at least
 LIFT = 8  # a telling term is so many times as frequent in label 1, at least
-SLACK = 1e-5  # over the rounding of the index's single-precision weights
+SLACK = 1e-5  # over the rounding of the rows' single-precision weights
 NEIGHBOURS = 15
 BLOCK = 64
+FREQUENT = 12  # lists of this part of the examples and more are kept as rows
+TOGETHER = 128  # texts whose frequent terms are scored at once
 BEGINNINGS = (4, 5, 6)  # letters; bytes of UTF-8
 THRESHOLD = 0.3
 
@@ -80,53 +83,73 @@ class Index:
         self.at, self.term, self.weight = model["at"], model["term"], model["weight"]
         self.labels, self.ids = model["labels"], model["ids"]
         n_terms = len(model["vocabulary"])
-        owner = np.repeat(np.arange(len(self.at) - 1, dtype=np.int32), np.diff(self.at))
-        order = np.lexsort((owner, -self.weight, self.term))  # each term's examples, heaviest first
-        self.example, self.impact = owner[order], self.weight[order].astype(np.float32)
         size = np.bincount(self.term, minlength=n_terms)
+        owner = np.repeat(np.arange(len(self.at) - 1, dtype=np.int32), np.diff(self.at))
+        frequent = np.flatnonzero(FREQUENT * size >= max(FREQUENT, len(self.at) - 1))
+        self.row = np.full(n_terms, -1, np.int64)
+        self.row[frequent] = np.arange(len(frequent))
+        dense = self.row[self.term] >= 0
+        self.dense = np.zeros((len(frequent), len(self.at) - 1), np.float32)
+        self.dense[self.row[self.term[dense]], owner[dense]] = self.weight[dense]
+        size[frequent] = 0
+        term, weight, owner = self.term[~dense], self.weight[~dense], owner[~dense]
+        order = np.lexsort((owner, -weight, term))  # each term's examples, heaviest first
+        self.example, self.impact = owner[order].astype(np.int64), weight[order]
         blocks = -(-size // BLOCK)
         self.first = np.r_[0, np.cumsum(blocks)]  # blocks of each term
         inside = spread(np.zeros(n_terms, np.int64), blocks)
         self.start = np.repeat(np.r_[0, np.cumsum(size)][:-1], blocks) + inside * BLOCK
         self.length = np.minimum(BLOCK, np.repeat(size, blocks) - inside * BLOCK)
-        self.top = self.impact[self.start].astype(float) * (1 + 1e-6)
+        self.top = self.impact[self.start]
         self.query = np.zeros(n_terms)
 
-    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int = -1):
+    def begun(self, queries) -> np.ndarray:
+        """What the frequent terms add to the cosine of every example, of some
+        queries at once."""
+        wide = np.zeros((len(queries), len(self.dense)), np.float32)
+        for own, (term, weight) in zip(wide, queries):
+            row = self.row[term]
+            own[row[row >= 0]] = weight[row >= 0]
+        return wide @ self.dense
+
+    def nearest(self, term: np.ndarray, weight: np.ndarray, k: int, skip: int = -1, begun: np.ndarray | None = None):
         """The k examples of largest cosine above 0, ties to the smaller
         example number: [(cosine, example)]."""
         n = len(self.at) - 1
-        count = self.first[term + 1] - self.first[term]
-        if not count.sum():
+        if not n or not len(term):
             return []
+        total = (self.begun([(term, weight)])[0] if begun is None else begun).astype(float)
+        count = self.first[term + 1] - self.first[term]
         block, q = spread(self.first[term], count), np.repeat(weight, count)
         bound = q * self.top[block]
-        after = np.r_[bound[1:], 0.0]  # the bound that stays when a block is done
-        ends = np.cumsum(count)
-        after[ends - 1] = 0.0
+        ends = np.cumsum(count)[count > 0]
+        after, closed = np.r_[bound[1:], 0.0][:len(bound)], np.zeros(len(bound))
+        after[ends - 1] = 0.0  # the bound that stays when a block is done
+        closed[ends - 1] = q[ends - 1] ** 2
         order = np.argsort(-bound, kind="stable")
-        left = bound[ends - count].sum() - np.cumsum((bound - after)[order])
-        total, done, step = np.zeros(n), 0, 256
+        heads = bound[ends - count[count > 0]].sum()
+        left = np.r_[heads, heads - np.cumsum((bound - after)[order])]
+        far = np.r_[closed.sum(), closed.sum() - np.cumsum(closed[order])]  # squared length of the query in open lists
+        done, step = 0, 256
         while True:
-            take = order[done:done + step]
-            own = self.length[block[take]]
-            post = spread(self.start[block[take]], own)
-            total += np.bincount(self.example[post], self.impact[post] * np.repeat(q[take], own), minlength=n)
             if skip >= 0:
                 total[skip] = 0.0
-            done += len(take)
-            rest = max(0.0, float(left[done - 1])) + SLACK
+            rest = max(0.0, min(float(left[done]), float(np.sqrt(max(0.0, far[done]))))) + SLACK
             floor = np.partition(total, n - k)[n - k] if n > k else 0.0
             near = np.flatnonzero((total > 0) & (total + rest >= floor))
-            if done == len(order) or rest < floor and len(near) <= 4 * k:
+            if done == len(order) or rest < floor and len(near) <= 2 * k:
                 break  # an example not met yet stays under the sum of the next blocks' bounds
+            take = np.sort(order[done:done + step])  # in the order they lie in
+            own = self.length[block[take]]
+            post = spread(self.start[block[take]], own)
+            total += np.bincount(self.example[post], self.impact[post] * np.repeat(q[take], own), minlength=n)
+            done += len(take)
             step *= 2
         if not len(near):
             return []
         self.query[term] = weight
-        sizes = self.at[near + 1] - self.at[near]
-        post = spread(self.at[near], sizes)
-        cosine = np.round(np.add.reduceat(self.weight[post] * self.query[self.term[post]], np.cumsum(sizes) - sizes), 12)
+        parts = [slice(self.at[e], self.at[e + 1]) for e in near]
+        cosine = np.round([self.weight[own] @ self.query[self.term[own]] for own in parts], 12)
         self.query[term] = 0.0
         best = np.lexsort((near, -cosine))[:k]
         return [(float(cosine[i]), int(near[i])) for i in best if cosine[i] > 0]
@@ -186,8 +209,10 @@ def _weights(term: np.ndarray, owner: np.ndarray, count: np.ndarray, n: int, idf
 def _vectors(h: np.ndarray, text: np.ndarray, n: int, model: dict):
     """(term numbers, weights) of each of n texts, over the sample's terms."""
     vocabulary, size = model["vocabulary"], max(1, len(model["vocabulary"]))
-    at = np.minimum(np.searchsorted(vocabulary, h), size - 1)
-    hit = vocabulary[at] == h if len(vocabulary) else np.zeros(len(h), bool)
+    names, number = np.unique(h, return_inverse=True)
+    at = np.minimum(np.searchsorted(vocabulary, names), size - 1)
+    hit = (vocabulary[at] == names if len(vocabulary) else np.zeros(len(names), bool))[number]
+    at = at[number]
     key, count = np.unique(text[hit] * size + at[hit], return_counts=True)
     owner, term = np.divmod(key, size)
     weight = _weights(term, owner, count, n, model["idf"], model["telling"])
@@ -301,10 +326,13 @@ def score(docs: DataFrame, text: str, model: dict, out: str = "score", evidence:
             for part, data, off in text_slices(batch, "__text"):
                 h, owner = terms(data, off)
                 values, near_ids = [], []
-                for t, w in _vectors(h, owner, part.num_rows, m):
-                    near = index.nearest(t, w, NEIGHBOURS)
-                    values.append(calibrated(m, near, index))
-                    near_ids.append([index.ids[e] for _, e in near])
+                queries = _vectors(h, owner, part.num_rows, m)
+                for lo in range(0, len(queries), TOGETHER):
+                    some = queries[lo:lo + TOGETHER]
+                    for (t, w), begun in zip(some, index.begun(some)):
+                        near = index.nearest(t, w, NEIGHBOURS, begun=begun)
+                        values.append(calibrated(m, near, index))
+                        near_ids.append([index.ids[e] for _, e in near])
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep + back), pa.array(values, pa.float64()), pa.array(near_ids, pa.list_(pa.int64()))], names=schema.names)
 
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema).withColumnRenamed("__text", text)
