@@ -27,7 +27,7 @@ from quadflow.llm.arrow import text_slices, utf8
 from quadflow.llm.sample import fold, labelled
 from quadflow.llm.words import LOWER, U, mix, powers, words, BASE, BASE_INVERSE
 
-PER_LABEL = 1500  # labelled documents indexed per class, at most
+PER_LABEL = 1250  # labelled documents indexed per class, at most
 CALIBRATED = 300  # of them left out one by one for the calibration curve
 TELLING = 2000  # telling terms, at most; all others are indexed too
 TELLING_SHARE = 0.9  # of a vector's squared length
@@ -37,6 +37,7 @@ SLACK = 1e-5  # over the rounding of the rows' single-precision weights
 NEIGHBOURS = 15
 BLOCK = 64
 FREQUENT = 12  # lists of this part of the examples and more are kept as rows
+STEP = 1024  # blocks taken before the first look, doubled each time
 TOGETHER = 128  # texts whose frequent terms are scored at once
 BEGINNINGS = (4, 5, 6)  # letters; bytes of UTF-8
 THRESHOLD = 0.3
@@ -126,19 +127,20 @@ class Index:
         after, closed = np.r_[bound[1:], 0.0][:len(bound)], np.zeros(len(bound))
         after[ends - 1] = 0.0  # the bound that stays when a block is done
         closed[ends - 1] = q[ends - 1] ** 2
-        order = np.argsort(-bound, kind="stable")
+        order = np.argsort(-bound, kind="stable")  # of equal bounds the earlier block of a list
         heads = bound[ends - count[count > 0]].sum()
         left = np.r_[heads, heads - np.cumsum((bound - after)[order])]
         far = np.r_[closed.sum(), closed.sum() - np.cumsum(closed[order])]  # squared length of the query in open lists
-        done, step = 0, 256
+        done, step = 0, STEP
         while True:
             if skip >= 0:
                 total[skip] = 0.0
             rest = max(0.0, min(float(left[done]), float(np.sqrt(max(0.0, far[done]))))) + SLACK
             floor = np.partition(total, n - k)[n - k] if n > k else 0.0
-            near = np.flatnonzero((total > 0) & (total + rest >= floor))
-            if done == len(order) or rest < floor and len(near) <= 2 * k:
-                break  # an example not met yet stays under the sum of the next blocks' bounds
+            if done == len(order) or rest < floor:  # an example not met yet stays under the sum of the next blocks' bounds
+                near = np.flatnonzero((total > 0) & (total >= floor - rest))
+                if done == len(order) or len(near) <= 2 * k:
+                    break
             take = np.sort(order[done:done + step])  # in the order they lie in
             own = self.length[block[take]]
             post = spread(self.start[block[take]], own)
