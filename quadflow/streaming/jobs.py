@@ -1,8 +1,8 @@
 """Streaming forms of the transitions (STR-1..4).
 
 * Likes and status changes (STR-4, STR-3) keep their state in Spark's state
-  store: one small value per pair or activity, so a micro-batch does work for
-  the keys that it touches. What they emit, a row per toggle or per audited
+  store: one small value per pair or activity, packed by bucket of them, so a
+  micro-batch does work for the buckets that it touches. What they emit, a row per toggle or per audited
   change, goes to Spark's own file sink (exactly once).
 * Sign-ups (STR-2) and the sweep (STR-1) apply the batch operator per
   micro-batch. What they add only ever grows (registrations, penalties, marks
@@ -61,24 +61,57 @@ LIKE_CHANGES = "request_id long, ts timestamp_ntz, post_id long, user_id long, l
 STATUS_STEPS = "request_id long, ts timestamp_ntz, activity_id long, old_status string, new_status string"
 
 
+BUCKETS = 1 << 12  # fixed: the state of a running stream is kept by bucket
+
+
+def _by_key(rows, keys):
+    """(rows in order, key of each row by number, first row of each key)."""
+    import numpy as np
+    rows = rows.sort_values([*keys, "ts", "request_id"], kind="stable")
+    key = rows[keys].to_numpy()
+    new = np.r_[True, (key[1:] != key[:-1]).any(axis=1)]
+    return rows, np.cumsum(new) - 1, np.flatnonzero(new)
+
+
 def _toggles(key, frames, state):
-    """One (post, user) pair: every toggle of the batch turns its like over."""
+    """A bucket of (post, user) pairs: every toggle of the batch turns its
+    pair's like over."""
+    import numpy as np
     import pandas as pd
-    rows = pd.concat(list(frames)).sort_values(["ts", "request_id"])
-    liked = state.get[0] if state.exists else bool(rows["_e"].iloc[0])
-    after = [(k % 2 == 0) != liked for k in range(len(rows))]
-    state.update((bool(after[-1]),))
-    yield pd.DataFrame({"request_id": rows["request_id"].to_numpy(), "ts": rows["ts"].to_numpy(), "post_id": key[0], "user_id": key[1], "liked": after})
+    keys = ["post_id", "_user", "_anonymous"]
+    rows, pair, first = _by_key(pd.concat(list(frames)), keys)
+    pairs = rows.iloc[first][keys]
+    liked = rows["_e"].to_numpy()[first].astype(bool)
+    before = pd.DataFrame({c: [] for c in keys})
+    if state.exists:
+        posts, users, marks = (np.frombuffer(b, t) for b, t in zip(state.get, (np.int64, np.int64, np.uint8)))
+        before = pd.DataFrame({"post_id": posts, "_user": users, "_anonymous": marks >= 2, "_liked": marks % 2 == 1})
+        found = pairs.merge(before, "left", keys)["_liked"].to_numpy()
+        liked = np.where(pd.isna(found), liked, found).astype(bool)
+    after = ((np.arange(len(rows)) - first[pair]) % 2 == 0) != liked[pair]
+    now = pairs.assign(_liked=after[np.r_[first[1:], len(rows)] - 1])
+    now = pd.concat([before, now]).drop_duplicates(keys, keep="last") if state.exists else now
+    marks = now["_liked"].to_numpy().astype(np.uint8) + 2 * now["_anonymous"].to_numpy().astype(np.uint8)
+    state.update((*(now[c].to_numpy().astype(np.int64).tobytes() for c in keys[:2]), marks.tobytes()))
+    yield rows[["request_id", "ts", *keys]].assign(liked=after)
 
 
 def _steps(key, frames, state):
-    """One activity: every accepted change follows the status before it."""
+    """A bucket of activities: every accepted change follows the status before it."""
+    import numpy as np
     import pandas as pd
-    rows = pd.concat(list(frames)).sort_values(["ts", "request_id"])
-    new = rows["status"].tolist()
-    old = [state.get[0] if state.exists else rows["_current"].iloc[0], *new[:-1]]
-    state.update((new[-1],))
-    yield pd.DataFrame({"request_id": rows["request_id"].to_numpy(), "ts": rows["ts"].to_numpy(), "activity_id": key[0], "old_status": old, "new_status": new})
+    rows, activity, first = _by_key(pd.concat(list(frames)), ["activity_id"])
+    ids, new = rows["activity_id"].to_numpy()[first], rows["status"].to_numpy()
+    old = np.r_[new[:1], new[:-1]]
+    old[first] = rows["_current"].to_numpy()[first]
+    now = dict(zip(ids.tolist(), new[np.r_[first[1:], len(rows)] - 1].tolist()))
+    if state.exists:
+        before = dict(zip(*state.get))
+        old[first] = [before.get(i, s) for i, s in zip(ids.tolist(), old[first])]
+        now = before | now
+    state.update((list(now), list(now.values())))
+    yield pd.DataFrame({"request_id": rows["request_id"].to_numpy(), "ts": rows["ts"].to_numpy(), "activity_id": rows["activity_id"].to_numpy(),
+                        "old_status": old, "new_status": new})
 
 
 def _to_files(rows: DataFrame, out: str, checkpoint: str, trigger: dict | None) -> StreamingQuery:
@@ -89,13 +122,19 @@ def _to_files(rows: DataFrame, out: str, checkpoint: str, trigger: dict | None)
 def like_stream(spark: SparkSession, campus: Campus, events: DataFrame, out: str, checkpoint: str,
                 trigger: dict | None = None) -> StreamingQuery:
     """STR-4: a row per toggle with the pair's like after it, below ``out``.
-    The state is one boolean per touched pair; a pair's first toggle looks up
+    The state is one boolean per touched pair, packed by bucket of pairs, so
+    that a task handles many pairs at a time; a pair's first toggle looks up
     the like table as it was when the stream began."""
     req = Requests(campus, events).like.select("request_id", "ts", "post_id", F.col("actor_user_id").alias("user_id"))
     have = campus.post_like.select("post_id", "user_id", F.lit(True).alias("_e"))
     rows = (req.join(campus.post.select("post_id"), "post_id", "left_semi").join(have, ["post_id", "user_id"], "left")
-            .withColumn("_e", F.coalesce("_e", F.lit(False))))
-    return _to_files(rows.groupBy("post_id", "user_id").applyInPandasWithState(_toggles, LIKE_CHANGES, "liked boolean", "append", "NoTimeout"),
+            .select("request_id", "ts", "post_id", F.coalesce("user_id", F.lit(0)).cast("long").alias("_user"), F.col("user_id").isNull().alias("_anonymous"),
+                    F.coalesce("_e", F.lit(False)).alias("_e")))
+    bucket = F.pmod(F.xxhash64("post_id", "_user"), F.lit(BUCKETS))
+    changes = rows.withColumn("bucket", bucket).groupBy("bucket").applyInPandasWithState(
+        _toggles, "request_id long, ts timestamp_ntz, post_id long, _user long, _anonymous boolean, liked boolean",
+        "posts binary, users binary, marks binary", "append", "NoTimeout")
+    return _to_files(changes.select("request_id", "ts", "post_id", F.when(~F.col("_anonymous"), F.col("_user")).alias("user_id"), "liked"),
                      out, checkpoint, trigger)
 
 
@@ -119,12 +158,13 @@ def likes_after(spark: SparkSession, campus: Campus, out: str) -> DataFrame:
 def audit_stream(spark: SparkSession, campus: Campus, events: DataFrame, out: str, checkpoint: str,
                  trigger: dict | None = None) -> StreamingQuery:
     """STR-3: a row per accepted status change with the status before it, below
-    ``out``. The state is the last status of each touched activity."""
+    ``out``. The state is the last status of each touched activity, by bucket."""
     ok = settlement.permitted_changes(Requests(campus, events).status_change, campus.activity,
                                       user_dim(campus.user_account, campus.student, campus.club))
     rows = ok.select("request_id", "ts", "activity_id", "status", "_current")
-    return _to_files(rows.groupBy("activity_id").applyInPandasWithState(_steps, STATUS_STEPS, "status string", "append", "NoTimeout"),
-                     out, checkpoint, trigger)
+    bucket = F.pmod(F.xxhash64("activity_id"), F.lit(BUCKETS))
+    steps = rows.withColumn("bucket", bucket).groupBy("bucket").applyInPandasWithState(_steps, STATUS_STEPS, "activities array<long>, statuses array<string>", "append", "NoTimeout")
+    return _to_files(steps, out, checkpoint, trigger)
 
 
 def status_steps(spark: SparkSession, out: str) -> DataFrame:

@@ -90,3 +90,42 @@ def test_sweep_ticks_equal_one_sweep_after_the_other(spark):
     assert _same(new, rows)
     ids = orders.join(c.borrow_order.select("order_id", F.col("order_status").alias("o")), "order_id").filter("o <> order_status").select("order_id")
     assert _same(marked, ids)
+
+
+class _State:
+    """A bucket's entry of the state store."""
+
+    exists, get = False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+
+def test_a_bucket_of_pairs_is_toggled_at_once():
+    """One call of the like kernel takes many pairs, null users among them, and
+    finds what earlier batches left of them (one call per pair took most of
+    the time)."""
+    import pandas as pd
+    state, t = _State(), pd.Timestamp("2024-01-01")
+
+    def batch(*rows):
+        frame = pd.DataFrame([(r, t, p, u or 0, u is None, e) for r, p, u, e in rows],
+                             columns=["request_id", "ts", "post_id", "_user", "_anonymous", "_e"])
+        out = pd.concat(jobs._toggles((0,), iter([frame]), state))
+        return dict(zip(out["request_id"].tolist(), out["liked"].tolist()))
+    assert batch((1, 7, 1, False), (2, 7, 2, True), (3, 7, 1, False), (4, 7, None, False), (5, 7, 1, False), (6, 8, 0, False)) == {
+        1: True, 2: False, 3: False, 4: True, 5: True, 6: True}
+    assert batch((10, 7, 1, False), (11, 7, 0, False), (12, 7, None, False), (13, 9, 2, True)) == {10: False, 11: True, 12: False, 13: False}
+    assert batch((20, 7, 2, True), (21, 8, 0, False), (22, 9, 2, True)) == {20: True, 21: False, 22: True}
+
+
+def test_a_bucket_of_activities_steps_at_once():
+    import pandas as pd
+    state, t = _State(), pd.Timestamp("2024-01-01")
+
+    def batch(*rows):
+        frame = pd.DataFrame([(r, t, a, s, c) for r, a, s, c in rows], columns=["request_id", "ts", "activity_id", "status", "_current"])
+        out = pd.concat(jobs._steps((0,), iter([frame]), state))
+        return dict(zip(out["request_id"].tolist(), out["old_status"].tolist()))
+    assert batch((1, 5, "ongoing", "draft"), (2, 6, "cancelled", None), (3, 5, "finished", "draft")) == {1: "draft", 2: None, 3: "ongoing"}
+    assert batch((4, 6, "draft", None), (5, 5, "draft", "draft"), (6, 7, "draft", "ongoing")) == {4: "cancelled", 5: "finished", 6: "ongoing"}
