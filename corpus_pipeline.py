@@ -61,8 +61,8 @@ def tokens(spark, docs, sf_dir):
     per row, repeated ones and null doc_ids too; null and empty texts have no
     ids; other columns are left out; no rows give no rows."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    # half the cache of the operator's own query: here the workers also keep the memory of four stages before
-    coded = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), "text", path, public_tokenizers.PATTERN, cache_bytes=40_000_000)
+    # an eighth of the cache of the operator's own query: here the workers also keep the memory of four stages before
+    coded = bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), "text", path, public_tokenizers.PATTERN, cache_bytes=10_000_000)
     digests = coded.withColumn("decoded_sha256", F.sha2("decoded", 256))
     return digests.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
