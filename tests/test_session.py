@@ -42,3 +42,25 @@ def test_python_kernels_need_no_package_on_workers():
     assert out.returncode == 0, out.stderr[-2000:]
     counts = [int(x) for x in out.stdout.split()[-2:]]
     assert counts[0] > 0 and counts[1] > 0
+
+
+def test_partitions_follow_the_source(spark):
+    """A larger source gets more shuffle partitions, never fewer than the
+    session has; sizes that the session names are kept."""
+    from quadflow import session
+    key, size = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before, named = spark.conf.get(key), spark.conf.get(size, None)
+    try:
+        spark.conf.set(key, "8")
+        spark.conf.set(size, "3m")
+        session.fit_partitions(spark, 5 * session.SOURCE_BYTES)
+        assert spark.conf.get(key) == "8" and spark.conf.get(size) == "3m"
+        session.fit_partitions(spark, 100 * session.SOURCE_BYTES)
+        assert spark.conf.get(key) == "100"
+        spark.conf.unset(size)
+        session.fit_partitions(spark, 0)
+        assert spark.conf.get(key) == "100" and spark.conf.get(size) == session.SIZED[size]
+    finally:
+        spark.conf.set(key, before)
+        if named is not None:
+            spark.conf.set(size, named)
