@@ -18,8 +18,10 @@ pair. Three passes keep the work near the number of real links:
    sets reach; before, the marks of both sets (4,096 parity bits, and the
    number of shingles that no other set holds) rule out nearly all pairs that
    don't link, which spares the partial overlaps of near misses within large
-   groups of near copies. The first round tries
-   each set with one other set per smallest shingle (sets that link mostly
+   groups of near copies, and of the pairs left a few per set come first: the
+   others are verified only if their sets are still apart then, so the partial
+   overlaps follow the sets of a group of near copies, not its links. The
+   first round tries each set with one other set per smallest shingle (sets that link mostly
    share one of the ``STARS`` smallest hashes) and joins what links into
    components; the second tries, per prefix shingle, each set with the middle
    one and with ``SHIFTS`` others picked by hash, where their components
@@ -52,6 +54,7 @@ FLUSH_ENTRIES = 500_000  # shingles that a task holds before it sends them on
 STARS = 4  # smallest shared shingles of a set that give it a partner in the first round
 SHIFTS = (1, 2, 4, 8)  # places in a prefix shingle's hash order from a set to its partners in the second round
 BLOCK = 2048
+PICKS = 2  # pairs of a set, to smaller and to larger ids each, that are verified before the others
 PAIR_BLOCK = 2_000_000  # pairs that one verification task is planned to hold
 PAIR_SLICE = 100_000  # pairs that are Python integers at a time
 SIGNATURE_BITS = 12  # a set's mark has 2^12 parity bits
@@ -489,14 +492,26 @@ def _overlaps(key, left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.concat_tables(found) if found else right.append_column("overlap", pa.array([], pa.int64()))
 
 
-def _verified(pairs: DataFrame, segments: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose partial overlaps sum up to a link. Pairs that the marks
-    rule out are dropped before; each of the others meets the fragments that
-    both its sets reach, and no others."""
+def _plausible(pairs: DataFrame, marks: DataFrame, percent: int) -> DataFrame:
+    """The pairs that the marks don't rule out, with the fragments that both
+    sets reach."""
     one, two = (marks.select(F.col("sid").alias(v), F.col("alone").alias(f"a{v}"), F.col("signature").alias(f"s{v}"), F.col("fragments").alias(f"f{v}")) for v in "xy")
     known = pairs.distinct().join(one, "x").join(two, "y").withColumn("fragments", F.array_intersect("fx", "fy"))
     kept = known.select("x", "y", "nx", "ny", "ax", "ay", "sx", "sy", "fragments").mapInArrow(_near(percent), PAIRS + ", fragments array<int>")
-    kept = cut_lineage(kept)
+    return cut_lineage(kept)
+
+
+def _picked(kept: DataFrame) -> DataFrame:
+    """(x, y) of a few pairs of every set, picked by hash: random ones connect
+    nearly all that the pairs connect, whatever their number."""
+    draws = [F.min(F.struct(F.xxhash64("x", "y", F.lit(k)).alias("by"), "x", "y")) for k in range(PICKS)]
+    some = [kept.groupBy(F.col(c).alias("sid")).agg(F.array(*draws).alias("pairs")).select(F.explode("pairs").alias("p")) for c in "xy"]
+    return some[0].union(some[1]).select("p.x", "p.y").distinct()
+
+
+def _verified(kept: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose partial overlaps sum up to a link. Each pair meets the
+    fragments that both its sets reach, and no others."""
     blocks = kept.count() // PAIR_BLOCK + 1
     right = kept.select("x", "y", "nx", "ny", F.pmod(F.xxhash64("x", "y"), F.lit(blocks)).cast("int").alias("block"), F.explode("fragments").alias("fragment"))
     asked = right.select("fragment", "block", F.explode(F.array("x", "y")).alias("sid")).distinct()
@@ -507,6 +522,16 @@ def _verified(pairs: DataFrame, segments: DataFrame, marks: DataFrame, percent:
     return total.filter(100 * F.col("o") >= percent * (F.col("nx") + F.col("ny") - F.col("o"))).select(F.col("x").alias("u"), F.col("y").alias("v"))
 
 
+def _joined(near: DataFrame, found: DataFrame) -> DataFrame:
+    return components(near.select(F.col("node").alias("u"), F.col("component").alias("v")).union(found))
+
+
+def _apart(kept: DataFrame, near: DataFrame) -> DataFrame:
+    """The pairs whose sets are in different components."""
+    one, two = (near.select(F.col("node").alias(v), F.col("component").alias(f"c{v}")) for v in "xy")
+    return kept.join(one, "x", "left").join(two, "y", "left").filter(F.coalesce("cx", "x") != F.coalesce("cy", "y")).select(kept.columns)
+
+
 def _stars(marks: DataFrame, percent: int) -> DataFrame:
     """Each set with the first set that holds one of its smallest shingles; the
     sets of a frequent shingle are spread over several tasks."""
@@ -563,10 +588,14 @@ def linked(docs: DataFrame, ident: str = "doc_id", text: str = "text", size: int
         return spread.select("shingle", "low", "high", "sid", "n", "position", "signature", "component").mapInArrow(_candidates(whole, percent), PAIRS)
 
     marks = cut_lineage(gathered.mapInArrow(_marks, MARKS))
-    near = components(_verified(_stars(marks, percent), segments, marks, percent))
+    near = components(_verified(_plausible(_stars(marks, percent), marks, percent), segments, percent))
     for every in (False, True):
-        found = _verified(candidates(near, every), segments, marks, percent)
-        near = components(near.select(F.col("node").alias("u"), F.col("component").alias("v")).union(found))
+        kept = _plausible(candidates(near, every), marks, percent)
+        picked = cut_lineage(kept.join(_picked(kept), ["x", "y"], "left_semi"))
+        near = _joined(near, _verified(picked, segments, percent))
+        rest = cut_lineage(_apart(kept.join(picked, ["x", "y"], "left_anti"), near))
+        if not rest.isEmpty():
+            near = _joined(near, _verified(rest, segments, percent))
     named = sets.join(near.withColumnRenamed("node", "sid"), "sid", "left")
     return _result(documents, named.select("sid", F.coalesce("component", "sid").alias("component"), "doc_id"))
 

@@ -137,6 +137,24 @@ def test_jaccard_with_tiny_blocks_loses_no_link(spark, monkeypatch):
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == plain_classes(rows)
 
 
+def test_jaccard_verifies_few_pairs_of_a_group_of_near_copies(spark, monkeypatch):
+    # 150 texts, each with another word of 100 replaced: all 11,175 pairs link, and no star finds them
+    made, overlaps = spark.sparkContext.accumulator(0), jaccard._overlaps
+
+    def counted(key, left, right):
+        out = overlaps(key, left, right)
+        made.add(len(out))
+        return out
+
+    monkeypatch.setattr(jaccard, "STARS", 0)
+    monkeypatch.setattr(jaccard, "_overlaps", counted)
+    plain = [f"w{i}" for i in range(100)]
+    rows = [(k, " ".join(plain[:k % 100] + [f"other{k}"] + plain[k % 100 + 1:])) for k in range(150)]
+    got = jaccard.linked(docs_of(spark, rows)).collect()
+    assert {r.component_id for r in got} == {0}
+    assert made.value <= 8 * 4 * 150  # fragments, picked pairs of a set
+
+
 def test_jaccard_takes_empty_tables(spark):
     assert jaccard.linked(docs_of(spark, [])).count() == 0
 
