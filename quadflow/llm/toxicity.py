@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadflow.llm.arrow import text_slices, utf8
+from quadflow.llm.arrow import release, text_slices, utf8
 from quadflow.llm.sample import fold, labelled
 from quadflow.llm.words import LOWER, U, mix, powers, words, BASE, BASE_INVERSE
 
@@ -38,7 +38,7 @@ NEIGHBOURS = 15
 BLOCK = 64
 FREQUENT = 12  # lists of this part of the examples and more are kept as rows
 STEP = 1024  # blocks taken before the first look, doubled each time
-TOGETHER = 128  # texts whose frequent terms are scored at once
+TOGETHER = 128  # texts whose frequent terms are scored at once, or whose weights are worked out at once
 BEGINNINGS = (4, 5, 6)  # letters; bytes of UTF-8
 THRESHOLD = 0.3
 
@@ -89,13 +89,17 @@ class Index:
         frequent = np.flatnonzero(FREQUENT * size >= max(FREQUENT, len(self.at) - 1))
         self.row = np.full(n_terms, -1, np.int64)
         self.row[frequent] = np.arange(len(frequent))
-        dense = self.row[self.term] >= 0
+        dense = (self.row >= 0)[self.term]
         self.dense = np.zeros((len(frequent), len(self.at) - 1), np.float32)
         self.dense[self.row[self.term[dense]], owner[dense]] = self.weight[dense]
         size[frequent] = 0
-        term, weight, owner = self.term[~dense], self.weight[~dense], owner[~dense]
-        order = np.lexsort((owner, -weight, term))  # each term's examples, heaviest first
-        self.example, self.impact = owner[order].astype(np.int64), weight[order]
+        rest = np.flatnonzero(~dense)
+        falling = self.weight[rest]
+        np.negative(falling, out=falling)
+        order = rest[np.lexsort((falling, self.term[rest]))]  # each term's examples, heaviest first, then by number
+        self.example, self.impact = owner[order].astype(np.int64), self.weight[order]
+        del owner, dense, rest, falling, order
+        release()
         blocks = -(-size // BLOCK)
         self.first = np.r_[0, np.cumsum(blocks)]  # blocks of each term
         inside = spread(np.zeros(n_terms, np.int64), blocks)
@@ -257,21 +261,30 @@ def fit(ids: list, y: np.ndarray, flat: np.ndarray, times: np.ndarray, offsets:
     the sample's)."""
     n = len(y)
     share = (float(y.mean()) if n else 0.0) if share is None else share
-    names, number = np.unique(flat, return_inverse=True)
-    df = np.bincount(number, minlength=len(names))
-    owner = np.repeat(np.arange(n), np.diff(offsets))
+    names = np.unique(flat)
+    number, df = np.empty(len(flat), np.int32), np.zeros(len(names), np.int64)
+    some = [slice(lo, min(lo + TOGETHER, n)) for lo in range(0, n, TOGETHER)]  # a few texts at a time, as this runs on the driver
+    parts = [slice(offsets[t.start], offsets[t.stop]) for t in some]
+    for own in parts:
+        number[own] = np.searchsorted(names, flat[own])
+        np.add.at(df, number[own], 1)
     often = np.flatnonzero(df >= MIN_DOCS)  # others can't be telling
-    place = np.full(len(names), -1, np.int64)
+    place = np.full(len(names), -1, np.int32)
     place[often] = np.arange(len(often))
-    rows = [place[number[a:b]] for a, b in zip(offsets, offsets[1:])]
-    use = _telling(often, df[often], y, [r[r >= 0] for r in rows]) if len(often) else np.zeros(0, np.int64)
+    kept = (place[number[a:b]] for a, b in zip(offsets, offsets[1:]))
+    use = _telling(often, df[often], y, [r[r >= 0] for r in kept]) if len(often) else np.zeros(0, np.int64)
     telling = np.zeros(len(names), bool)
     telling[often[use]] = True
     idf = np.log((1 + n) / (1 + df)) + 0.1
-    weight = _weights(number, owner, times, n, idf, telling)
-    plain = np.bincount(owner, telling[number], minlength=n) == 0
+    weight, plain = np.empty(len(number)), np.empty(n, bool)
+    for texts, own in zip(some, parts):
+        m = texts.stop - texts.start
+        owner = np.repeat(np.arange(m), np.diff(offsets[texts.start:texts.stop + 1]))
+        weight[own] = _weights(number[own], owner, times[own], m, idf, telling)
+        plain[texts] = np.bincount(owner, telling[number[own]], minlength=m) == 0
+    release()
     odds = np.where(y == 1, share / max(1, int(y.sum())), (1 - share) / max(1, int((1 - y).sum())))
-    model = {"vocabulary": names, "idf": idf, "telling": telling, "at": np.asarray(offsets, np.int64), "term": number.astype(np.int32), "weight": weight,
+    model = {"vocabulary": names, "idf": idf, "telling": telling, "at": np.asarray(offsets, np.int64), "term": number, "weight": weight,
              "labels": y, "ids": ids, "prior": float((odds * y)[plain].sum() / odds[plain].sum()) if odds[plain].sum() > 0 else share, "curve": (0.0, 0.0)}
     index, votes, own = Index(model), [], []
     for label in (0, 1):
@@ -301,11 +314,14 @@ def train(rows: DataFrame, share: float | None = None) -> dict:
                      pa.array([c.astype("<i4").tobytes() for _, c in own], pa.binary())], names=["id", "label", "terms", "counts"])
 
     got = rows.mapInArrow(run, "id long, label int, terms binary, counts binary").toArrow()
-    order = pa.compute.sort_indices(got.select(["id", "label"]), [("id", "ascending"), ("label", "ascending")])
-    terms_, counts = (got.column(c).combine_chunks().take(order) for c in ("terms", "counts"))
-    raw, at = utf8(terms_)
-    return fit(got.column("id").take(order).to_pylist(), np.array(got.column("label").take(order).to_pylist(), np.int64),
-               raw.view(U), utf8(counts)[0].view("<i4"), at // 8, share)
+    got = got.take(pa.compute.sort_indices(got.select(["id", "label"]), [("id", "ascending"), ("label", "ascending")])).combine_chunks()
+    release()
+    raw, at = utf8(got.column("terms"))
+    model = fit(got.column("id").to_pylist(), np.array(got.column("label").to_pylist(), np.int64),
+                raw.view(U), utf8(got.column("counts"))[0].view("<i4"), at // 8, share)
+    del got, raw
+    release()
+    return model
 
 
 def score(docs: DataFrame, text: str, model: dict, out: str = "score", evidence: str = "evidence", whole: bool = False) -> DataFrame:

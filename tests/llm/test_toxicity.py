@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -132,3 +133,15 @@ def test_curve_keeps_order_and_proportion():
     assert slope > 0 and abs(p.mean() - y.mean()) < 0.01
     assert toxicity.curve(votes, 1 - y, 0.5) == (0.0, 0.0) and toxicity.curve(votes[:0], y[:0], 0.5) == (0.0, 0.0)
     assert toxicity.curve(votes, np.ones(4000, int), 1.0) == (0.0, 0.0)
+
+
+def test_the_fit_on_the_driver_takes_little_memory():
+    rnd = np.random.default_rng(5)
+    own = [np.unique(rnd.integers(0, 40_000, 1500).astype(np.uint64)) for _ in range(300)]
+    offsets, flat = np.cumsum([0, *map(len, own)]), np.concatenate(own)
+    times = np.ones(len(flat), "<i4")
+    tracemalloc.start()
+    toxicity.fit(list(range(300)), np.arange(300) % 2, flat, times, offsets)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 70 * len(flat)  # bytes a term of a text; it was over 80
