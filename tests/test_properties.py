@@ -247,6 +247,19 @@ def test_hot_resource_is_walked_by_many_tasks(spark):
     assert pieces.filter("resource_id = 0").select("_piece").distinct().count() > 20
 
 
+def test_stock_after_reservations_has_every_resource(spark):
+    """Resources that nobody asked for, or whose requests were all refused, keep their stock."""
+    from quadflow.operators.lending import after_reservations
+    T = "timestamp_ntz"
+    outcomes = spark.createDataFrame([(1, T0, 1, 1, 4, "accepted"), (2, _ts(1), 1, 1, 2, "accepted"), (3, T0, 1, 2, 9, "insufficient_stock"), (4, T0, None, 3, 1, "order_not_found")],
+                                     f"request_id long, ts {T}, order_id long, resource_id long, borrow_qty int, outcome string")
+    orders = spark.createDataFrame([(1, "approved"), (2, "pending")], "order_id long, order_status string")
+    items = spark.createDataFrame([(1, 10), (2, 5), (3, 3), (4, 0), (5, None)], "resource_id long, available_qty int")
+    after, stock = after_reservations(outcomes, orders, items)
+    assert {r.resource_id: r.available_qty for r in stock.collect()} == {1: 4, 2: 5, 3: 3, 4: 0, 5: None}
+    assert sorted((r.order_id, r.order_status, r._changed_at) for r in after.collect()) == [(1, "borrowed", T0), (2, "pending", None)]
+
+
 def test_stock_steps_equal_a_walk_from_every_stock():
     import numpy as np
     from quadflow.operators.lending import _greedy_walk, _stock_steps
