@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from conftest import SF_SMALL
 from quadflow.functions.scalar import field_position, json_of, order_uid, ts_text
 from quadflow.operators import admission, listings, reports
 
@@ -110,3 +111,15 @@ def test_club_utilisation_fan_out(spark):
            for r in reports.club_resource_utilization(club, act, orders, det).collect()}
     # joined rows of club 1: order 100 twice (overdue), order 101 once, activity 11 once -> 2 / 4
     assert got == {1: (20, 1, 5.0, 50.0), 2: (0, 0, 0.0, 0.0)}
+
+
+def test_the_audit_key_derives_each_table_it_reads_once(spark, tmp_path):
+    """The lines are cut out once, for loans and requests, and no sign-ups are
+    derived for audit rows of orders: on large tables these fill the disk."""
+    import shutil
+    from quadflow.plans.catalog import queries
+    from quadflow.sources.domain import Campus
+    source = shutil.copytree(SF_SMALL, tmp_path / "source", copy_function=shutil.copyfile)
+    assert queries()["dq_audit_foreign_key"](spark, str(source)).count() == 0
+    stored = set(Campus(spark, str(source)).cache._commits())
+    assert "line_first" in stored and not stored & {"borrow_detail", "activity_registration", "checkin"}

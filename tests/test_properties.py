@@ -260,6 +260,28 @@ def test_stock_after_reservations_has_every_resource(spark):
     assert sorted((r.order_id, r.order_status, r._changed_at) for r in after.collect()) == [(1, "borrowed", T0), (2, "pending", None)]
 
 
+def test_only_open_requests_are_sorted_and_kept(spark, monkeypatch):
+    """Refused requests are not dealt out for the walk; every request has its
+    outcome, and one of a resource that is listed twice has it twice."""
+    from quadflow.operators import lending
+    dealt, own = [], lending.sorted_pieces
+    monkeypatch.setattr(lending, "sorted_pieces", lambda df, *a: dealt.append(df.count()) or own(df, *a))
+    orders = spark.createDataFrame([(1, None, 5, T0), (2, None, 6, T0)], "order_id long, order_uid string, applicant_user_id long, apply_time timestamp_ntz")
+    items = spark.createDataFrame([(0, 10), (1, 3), (1, 3)], "resource_id long, available_qty int")
+    viewers = spark.createDataFrame([(5, "club"), (7, "student")], "user_id long, role string")
+    kinds = [(5, "1", 0, 6, "accepted"), (5, "1", 0, 6, "insufficient_stock"), (5, "bor-20240101-000001 ", 1, 3, "accepted"), (7, "1", 0, 1, "forbidden"), (None, "1", 0, 1, "forbidden"),
+             (5, " ", 0, 1, "invalid_form"), (5, None, 0, 1, "invalid_form"), (5, "1", None, 1, "invalid_form"), (5, "1", 0, None, "invalid_form"), (5, "1", -1, 1, "invalid_form"),
+             (5, "9", 0, 1, "order_not_found"), (5, "2", 0, 1, "forbidden"), (5, "2", 1, 1, "forbidden"), (5, "1", 8, 1, "resource_not_found"), (5, "1", 1, 0, "db_error")]
+    reqs = spark.createDataFrame([(i, _ts(i), *k[:4]) for i, k in enumerate(kinds)],
+                                 "request_id long, ts timestamp_ntz, actor_user_id long, order_ref string, resource_id long, borrow_qty int")
+    got = sorted((r.request_id, r.outcome, r.left_after) for r in reserve_stock(reqs, orders, items, viewers).collect())
+    left = {0: 4, 1: 4}
+    want = [(i, k[4], left.get(i)) for i, k in enumerate(kinds) for _ in range(2 if k[2] == 1 else 1) if i != 2]
+    assert [g for g in got if g[0] != 2] == want
+    assert [g for g in got if g[0] == 2] == [(2, "accepted", 0), (2, "insufficient_stock", 0)]
+    assert dealt == [4]
+
+
 def test_stock_steps_equal_a_walk_from_every_stock():
     import numpy as np
     from quadflow.operators.lending import _greedy_walk, _stock_steps
@@ -430,6 +452,21 @@ def test_returns_are_all_or_nothing(spark):
     assert list(want.values()).count("db_error") > 20 and list(want.values()).count("returned") > 20
 
 
+def test_rounds_of_refusals_keep_what_is_undecided(spark, monkeypatch):
+    """Order i needs resources i and i+1, each with room for one: every second
+    order is refused, one decision per round. Decided rows leave the rounds."""
+    from quadflow.operators import lending
+    kept, own = [], lending.cut_lineage
+    monkeypatch.setattr(lending, "cut_lineage", lambda df: kept.append(df) or own(df))
+    n = 9
+    needs = spark.createDataFrame([(o, T0, o, r, 1) for o in range(n) for r in (o, o + 1)], "order_id long, ts timestamp_ntz, request_id long, resource_id long, _qty long")
+    room = spark.createDataFrame([(r, 1) for r in range(n + 1)], "resource_id long, _room long")
+    assert sorted(r.order_id for r in lending._refused(needs, room).collect()) == list(range(1, n, 2))
+    sizes = [df.count() for df in kept]
+    assert sizes == sorted(sizes, reverse=True) and sizes[-1] <= 2 and len(set(sizes)) > n // 2
+    assert lending._refused(needs, room.withColumn("_room", F.lit(2).cast("long"))).count() == 0  # nothing is asked for too often
+
+
 def test_a_rush_on_one_activity_in_one_minute(spark):
     """Most sign-ups are for one activity and of one second: seats and queue
     numbers are the serial ones."""
