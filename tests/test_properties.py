@@ -465,6 +465,8 @@ def test_rounds_of_refusals_keep_what_is_undecided(spark, monkeypatch):
     sizes = [df.count() for df in kept]
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] <= 2 and len(set(sizes)) > n // 2
     assert lending._refused(needs, room.withColumn("_room", F.lit(2).cast("long"))).count() == 0  # nothing is asked for too often
+    few = needs.filter("order_id < 3")
+    assert [r.order_id for r in lending._refused(few, room.unionAll(room)).collect()] == [1]  # listed twice: as if once
 
 
 def test_a_rush_on_one_activity_in_one_minute(spark):
